@@ -24,6 +24,18 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"), ["doc_id"]).drop("removed")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.warc import roundtrip
+
+    return roundtrip(table(spark, sf_dir, "pages"))
+
+
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.templates import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.winnowing import contamination
 
@@ -42,6 +54,8 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_line_rules": op5_line_rules,
+    "op6_warc": op6_warc,
+    "op7_templates": op7_templates,
     "op8_winnowing": op8_winnowing,
     "op9_piece_bpe": op9_piece_bpe,
 }
