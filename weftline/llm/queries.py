@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.gam import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.language import languages
+
+    return languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.simhash import simhash_classes
 
@@ -52,6 +64,8 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_gam": op2_gam,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_line_rules": op5_line_rules,
     "op6_warc": op6_warc,
