@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The key of the registered query; a real one is a secret that the caller passes.
+PII_KEY = "registered query"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.surrogates import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op2_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.gam import quality_scores
 
@@ -64,6 +74,7 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_gam": op2_gam,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
