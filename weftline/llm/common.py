@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,6 +39,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES instead of Spark's 64 MB, unless the session names a size of its own: long texts then need no large buffers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def steps(sizes: list[int], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together hold about `most` bytes."""
     lo = total = 0
@@ -58,6 +66,7 @@ def map_texts(df: DataFrame, text: str, carry: list[str], out: str | T.StructTyp
     """
     from pyspark.sql import functions as F
 
+    small_batches(df.sparkSession)
     added = out if isinstance(out, T.StructType) else T._parse_datatype_string(out)
     carry = [c for c in carry if c not in added.fieldNames()]
     given = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("binary").alias("__text"))

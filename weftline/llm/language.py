@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_texts, written
+from weftline.llm.common import map_texts, small_batches, written
 from weftline.llm.gam import held_out
 from weftline.llm.templates import host_of
 
@@ -64,6 +64,7 @@ def _counts(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
                 own[code] += np.bincount(buckets([t])[0], minlength=BUCKETS)
         yield from _emit(own)
 
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("l"))
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums = written(sums)

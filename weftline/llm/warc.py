@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import scratch_dir, written
+from weftline.llm.common import scratch_dir, small_batches, written
 
 #: Payload bytes of a shard at least; with more than MOST_SHARDS such shards they become larger.
 SHARD_BYTES, MOST_SHARDS = 8 << 20, 20_000
@@ -173,6 +173,7 @@ def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id",
     gives an empty manifest. Payloads are shuffled once, to their shard; copies are found on digests alone.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or f"{scratch_dir(spark)}/weftline/warc-{uuid.uuid4().hex}"
     fs, path = filesystem(folder)
     fs.create_dir(f"{path}/_temporary", recursive=True)
