@@ -73,6 +73,12 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.licences import scanned
+
+    return scanned(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_gam": op2_gam,
@@ -83,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_templates": op7_templates,
     "op8_winnowing": op8_winnowing,
     "op9_piece_bpe": op9_piece_bpe,
+    "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {}
