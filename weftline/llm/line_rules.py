@@ -133,9 +133,62 @@ def verdicts(docs: DataFrame, carry: list[str], text: str = "text", host: str =
     )
 
 
-def without_lines(text: str | None, removed: list[int]) -> str | None:
-    """A text without the lines whose hashes are given."""
-    if not text or not removed:
-        return text
-    gone = set(removed)
-    return "\n".join(x for x in text.split("\n") if not x.split() or line_hash(x.encode("utf-8", "replace")) not in gone)
+#: Up to this many frequent lines (24 bytes each) are broadcast to the workers; more are joined by host.
+BROADCAST_LINES = 500_000
+
+
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
+    """docs without the documents that the rules reject, and without the removed lines in the texts of the others.
+
+    Two passes over the texts: one to count lines, one to apply the counts. Texts are not shuffled unless there are
+    more frequent lines than BROADCAST_LINES; then each host's are joined to its documents.
+    """
+    measures = written(measured(docs.select(F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__line_text")), ["__host"], "__line_text").select("__host", "line_key", "lines"))
+    bad = written(frequent_lines(measures, "__host", least, share))
+    schema = docs.schema
+    place, of_host = schema.fieldNames().index(text), schema.fieldNames().index(host)
+    if bad.count() <= BROADCAST_LINES:
+        by_host: dict[object, set[int]] = {}
+        for h, line in bad.collect():
+            by_host.setdefault(h, set()).add(line)
+        known = docs.sparkSession.sparkContext.broadcast(by_host)
+        given, joined = docs, False
+    else:
+        lists = bad.groupBy(F.col("host").alias("__h")).agg(F.collect_set("h").alias("__bad"))
+        given, known, joined = docs.join(lists, docs[host].eqNullSafe(lists["__h"]), "left").select(*docs.columns, "__bad"), None, True
+    from weftline.llm.common import small_batches, steps
+
+    small_batches(docs.sparkSession)
+    n = len(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for lo, hi in steps([len(t or "") for t in texts]):
+                part = batch.slice(lo, hi - lo)
+                plain = [(t or "").encode("utf-8", "replace") for t in texts[lo:hi]]
+                words = Words(plain, TABLE)
+                n_words, n_repeat = np.diff(words.first), repeated_words(words)
+                sets = [set(x or ()) for x in part.column(n).to_pylist()] if joined else [known.value.get(h, ()) for h in part.column(of_host).to_pylist()]
+                keep, out = [], []
+                for t, w, r, gone in zip(plain, n_words.tolist(), n_repeat.tolist(), sets, strict=True):
+                    ok = w >= 10 and 100 * r <= 20 * w
+                    if ok and gone:
+                        t = without_lines(t, gone)
+                        left = len(t.split())
+                        ok = left >= LEAST_WORDS and left >= LEAST_PART * w
+                    keep.append(ok)
+                    out.append(t.decode() if ok else None)
+                columns = [pa.array(out, arrow.field(i).type) if i == place else part.column(i) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)).cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+
+    return given.mapInArrow(run, schema)
+
+
+def without_lines(text: bytes, removed: set[int]) -> bytes:
+    """A text without the lines whose hashes are given; lines without a word stay."""
+    return b"\n".join(x for x in text.split(b"\n") if not x.split() or line_hash(x) not in removed)

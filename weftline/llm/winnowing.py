@@ -17,7 +17,9 @@ WINDOW, GRAM = 8, 5
 #: Bytes of item texts that are indexed and broadcast at once. More items make more passes, each over all documents.
 BLOCK_BYTES = 2 << 20
 TABLE = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()), lower=True)
-RESULT = "n_words long, hit_spans array<int>, item_ids array<string>, n_hit long, n_items long"
+RESULT = "n_words long, hit_spans array<int>, item_ids array<string>, n_hit long, n_items long, n_long_items long"
+
+OWN = ("hit_spans", "item_ids", "n_hit", "n_items", "n_long_items")
 
 
 def kept_hashes(words: Words) -> np.ndarray:
@@ -75,18 +77,21 @@ class Scan:
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(index.kept & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[set[tuple[int, int]]], list[set[str]]]:
-        """Words in each text; spans (first word, words) of windows that occur; items they belong to."""
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[set[tuple[int, int]]], list[set[str]], list[set[str]]]:
+        """Words in each text; spans (first word, words) of windows that occur; items they belong to; those with a window of WINDOW words."""
         words = Words(texts, TABLE)
         n = np.diff(words.first)
         spans: list[set[tuple[int, int]]] = [set() for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
+        long: list[set[str]] = [set() for _ in texts]
 
         def test(start: int, length: int, text: int) -> None:
             span = (start - int(words.first[text]), length)
             if span not in spans[text] and (ids := self.index.windows.get(b" ".join(map(words.word, range(start, start + length))))):
                 spans[text].add(span)
                 items[text].update(ids)
+                if length == WINDOW:
+                    long[text].update(ids)
 
         at, g = kept_hashes(words)
         some = np.flatnonzero(self.seen[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
@@ -98,7 +103,7 @@ class Scan:
             g, whole = words.grams(length)
             for p in np.flatnonzero(_among(g, known) & whole).tolist():
                 test(p, length, int(words.text[p]))
-        return n, spans, items
+        return n, spans, items, long
 
 
 def merged(spans: set[tuple[int, int]] | list[tuple[int, int]]) -> list[int]:
@@ -128,7 +133,8 @@ def _blocks(items: DataFrame, item_id: str, text: str):
 
 
 def contamination(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of docs: the carried columns, n_words, hit_spans (flat word ranges), item_ids, n_hit, n_items.
+    """For each row of docs: the carried columns, n_words, hit_spans (flat word ranges), item_ids, n_hit, n_items,
+    n_long_items (items found by a window of WINDOW words; in several blocks an id counts once a block).
 
     Null texts have no words; null or empty items match nothing; repeated items count once; with no items nothing
     is hit. Items are broadcast in blocks of at most BLOCK_BYTES (one longer item is a block of its own), each
@@ -142,11 +148,11 @@ def contamination(docs: DataFrame, items: DataFrame, carry: list[str], text: str
     out = map_texts(docs, text, [*carry, text] if text not in carry else carry, RESULT, _first(blocks[0]))
     for b in blocks[1:]:
         out = _again(out, text, b)
-    return out.select(*[c for c in out.columns if c in carry or c in ("n_words", "hit_spans", "item_ids", "n_hit", "n_items")])
+    return out.select(*[c for c in out.columns if c in carry or c in ("n_words", "hit_spans", "item_ids", "n_hit", "n_items", "n_long_items")])
 
 
-def _row(spans: list[int], ids: set[str]) -> tuple[list[int], list[str], int, int]:
-    return spans, sorted(ids), sum(spans[1::2]) - sum(spans[0::2]), len(ids)
+def _row(spans: list[int], ids: set[str], long: int) -> tuple[list[int], list[str], int, int, int]:
+    return spans, sorted(ids), sum(spans[1::2]) - sum(spans[0::2]), len(ids), long
 
 
 def _first(block):
@@ -154,9 +160,9 @@ def _first(block):
         scan = Scan(Index(block.value))
 
         def work(texts):
-            n, spans, ids = scan(texts)
-            rows = [_row(merged(s), i) for s, i in zip(spans, ids, strict=True)]
-            return {"n_words": n, "hit_spans": [r[0] for r in rows], "item_ids": [r[1] for r in rows], "n_hit": [r[2] for r in rows], "n_items": [r[3] for r in rows]}
+            n, spans, ids, long = scan(texts)
+            rows = [_row(merged(s), i, len(k)) for s, i, k in zip(spans, ids, long, strict=True)]
+            return {"n_words": n} | {c: [r[k] for r in rows] for k, c in enumerate(OWN)}
 
         return work
 
@@ -174,11 +180,11 @@ def _again(df: DataFrame, text: str, block) -> DataFrame:
         for batch in batches:
             got = batch.to_pydict()
             rows = []
-            for t, old, ids in zip(got[text], got["hit_spans"], got["item_ids"], strict=True):
-                _, spans, found = scan([None if t is None else t.encode("utf-8", "replace")])
+            for t, old, ids, long in zip(got[text], got["hit_spans"], got["item_ids"], got["n_long_items"], strict=True):
+                _, spans, found, more = scan([None if t is None else t.encode("utf-8", "replace")])
                 both = [(a, b - a) for a, b in zip(old[0::2], old[1::2], strict=True)] + list(spans[0])
-                rows.append(_row(merged(both), {*ids, *found[0]}))
-            for i, c in enumerate(("hit_spans", "item_ids", "n_hit", "n_items")):
+                rows.append(_row(merged(both), {*ids, *found[0]}, long + len(more[0])))
+            for i, c in enumerate(OWN):
                 k = batch.schema.get_field_index(c)
                 batch = batch.set_column(k, batch.schema.field(k), pa.array([r[i] for r in rows], type=batch.schema.field(k).type))
             yield batch
