@@ -1,0 +1 @@
+"""Knowledge-graph relation alignment as Spark DataFrame pipelines."""

@@ -1,0 +1 @@
+"""Relational operators over triples, ontologies and answers."""

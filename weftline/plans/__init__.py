@@ -1,0 +1 @@
+"""Whole flows: alignment, self-canonicalisation, mapping, clustering."""

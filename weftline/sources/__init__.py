@@ -1,0 +1 @@
+"""Reading and writing graphs, ontologies, term lists and logs."""
