@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -46,6 +48,49 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+#: What a worker process keeps between tasks, by operator: functions that drop it.
+_kept: dict[str, Callable[[], None]] = {}
+_state: dict[str, str | None] = {"task": None}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Says that this process keeps something for `owner` between tasks, to be dropped when another operator's task comes."""
+    _kept[owner] = drop
+
+
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it keeps its own habits
+        return None
+
+
+@contextlib.contextmanager
+def task(owner: str) -> Iterator[None]:
+    """A Python worker's task: drops what other operators kept, and gives freed memory back at the end.
+
+    Workers live on from stage to stage, so what one leaves behind would lessen what the next may use.
+    """
+    if _state["task"] is None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        if libc := _libc():
+            libc.mallopt(-3, 1 << 18)  # large arrays are mapped, and unmapped when freed
+            libc.mallopt(-8, 2)
+    if _state["task"] != owner:
+        for name in [k for k in _kept if k != owner]:
+            _kept.pop(name)()
+        _state["task"] = owner
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if libc := _libc():
+            libc.malloc_trim(0)
+
+
 def steps(sizes: list[int], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together hold about `most` bytes."""
     lo = total = 0
@@ -73,18 +118,21 @@ def map_texts(df: DataFrame, text: str, carry: list[str], out: str | T.StructTyp
     schema = T.StructType([*given.schema.fields[:-1], *added.fields])
     k = len(carry)
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        work = make()
-        for batch in batches:
-            texts = batch.column(k).to_pylist()
-            for lo, hi in steps([len(t or b"") for t in texts]):
-                got = work(texts[lo:hi])
-                own = [pa.array(got[f.name], type=arrow.field(k + i).type, from_pandas=False) for i, f in enumerate(added.fields)]
-                held = [batch.column(i).slice(lo, hi - lo) for i in range(k)]
-                yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(held)] + own, schema=arrow)
+        with task(owner):
+            work = make()
+            for batch in batches:
+                texts = batch.column(k).to_pylist()
+                for lo, hi in steps([len(t or b"") for t in texts]):
+                    got = work(texts[lo:hi])
+                    own = [pa.array(got[f.name], type=arrow.field(k + i).type, from_pandas=False) for i, f in enumerate(added.fields)]
+                    held = [batch.column(i).slice(lo, hi - lo) for i in range(k)]
+                    yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(held)] + own, schema=arrow)
 
     return given.mapInArrow(run, schema)
 

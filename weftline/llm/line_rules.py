@@ -156,7 +156,7 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: in
     else:
         lists = bad.groupBy(F.col("host").alias("__h")).agg(F.collect_set("h").alias("__bad"))
         given, known, joined = docs.join(lists, docs[host].eqNullSafe(lists["__h"]), "left").select(*docs.columns, "__bad"), None, True
-    from weftline.llm.common import small_batches, steps
+    from weftline.llm.common import small_batches, steps, task
 
     small_batches(docs.sparkSession)
     n = len(schema)
@@ -166,25 +166,26 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: in
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for lo, hi in steps([len(t or "") for t in texts]):
-                part = batch.slice(lo, hi - lo)
-                plain = [(t or "").encode("utf-8", "replace") for t in texts[lo:hi]]
-                words = Words(plain, TABLE)
-                n_words, n_repeat = np.diff(words.first), repeated_words(words)
-                sets = [set(x or ()) for x in part.column(n).to_pylist()] if joined else [known.value.get(h, ()) for h in part.column(of_host).to_pylist()]
-                keep, out = [], []
-                for t, w, r, gone in zip(plain, n_words.tolist(), n_repeat.tolist(), sets, strict=True):
-                    ok = w >= 10 and 100 * r <= 20 * w
-                    if ok and gone:
-                        t = without_lines(t, gone)
-                        left = len(t.split())
-                        ok = left >= LEAST_WORDS and left >= LEAST_PART * w
-                    keep.append(ok)
-                    out.append(t.decode() if ok else None)
-                columns = [pa.array(out, arrow.field(i).type) if i == place else part.column(i) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)).cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+        with task(__name__):
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                for lo, hi in steps([len(t or "") for t in texts]):
+                    part = batch.slice(lo, hi - lo)
+                    plain = [(t or "").encode("utf-8", "replace") for t in texts[lo:hi]]
+                    words = Words(plain, TABLE)
+                    n_words, n_repeat = np.diff(words.first), repeated_words(words)
+                    sets = [set(x or ()) for x in part.column(n).to_pylist()] if joined else [known.value.get(h, ()) for h in part.column(of_host).to_pylist()]
+                    keep, out = [], []
+                    for t, w, r, gone in zip(plain, n_words.tolist(), n_repeat.tolist(), sets, strict=True):
+                        ok = w >= 10 and 100 * r <= 20 * w
+                        if ok and gone:
+                            t = without_lines(t, gone)
+                            left = len(t.split())
+                            ok = left >= LEAST_WORDS and left >= LEAST_PART * w
+                        keep.append(ok)
+                        out.append(t.decode() if ok else None)
+                    columns = [pa.array(out, arrow.field(i).type) if i == place else part.column(i) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)).cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
 
     return given.mapInArrow(run, schema)
 

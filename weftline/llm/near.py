@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Words, map_texts, mixed, small_batches, written
+from weftline.llm.common import Words, map_texts, mixed, small_batches, task, written
 from weftline.llm.components import components
 from weftline.llm.simhash import TABLE, fingerprint, links
 
@@ -99,17 +99,18 @@ def _linker(similarity: float):
         def done() -> list[tuple[int, int]]:
             return _forest(np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1), ids, similarity) if len(ids) > 1 else []
 
-        for batch in batches:
-            found = []
-            for band, key, node, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at != (band, key):
-                    found += done()
-                    at, ids, sigs = (band, key), [], []
-                ids.append(node)
-                sigs.append(sig)
+        with task(__name__):
+            for batch in batches:
+                found = []
+                for band, key, node, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if at != (band, key):
+                        found += done()
+                        at, ids, sigs = (band, key), [], []
+                    ids.append(node)
+                    sigs.append(sig)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = done()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        found = done()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 

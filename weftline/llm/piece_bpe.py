@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections import OrderedDict
 
 SPACE = "▁"
 #: Words whose encoding a worker remembers; when full, the older half goes.
@@ -192,14 +191,17 @@ class PieceBPE:
         return text.replace(SPACE, " ")
 
 
-_models: OrderedDict[str, PieceBPE] = OrderedDict()
+_models: dict[str, PieceBPE] = {}
 
 
 def model(path: str) -> PieceBPE:
     """The model of a file, read once a process."""
+    from weftline.llm.common import keeps
+
     if path not in _models:
         with open(path, "rb") as f:
             _models[path] = PieceBPE(f.read())
+    keeps(__name__, _models.clear)
     return _models[path]
 
 
