@@ -207,18 +207,17 @@ def scanned(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """
     own = ["n_paragraphs", "n_unknown", "n_confirmed", "families", "probability"]
     carry = [c for c in carry if c not in own and c not in ("__row", "__text")]
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("__text"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(f"`{text}`").alias("__text"))
     hit = F.coalesce(has_stem(F.col("__text")), F.lit(False))
     some = given.filter(hit).withColumn("__row", F.monotonically_increasing_id())
-    lines = some.select("*", F.explode(F.split("__text", "\n")).alias("line")).filter(has_stem(F.col("line")))
-    words = F.array_join(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)), " ")
-    # A stem may run over a line's end, so rows without such a line come back by the union's first branch.
-    lines = lines.select(*carry, "__row", words.alias("words"))
+    lines = some.select("carried", "__row", F.explode(F.split("__text", "\n")).alias("line")).filter(has_stem(F.col("line")))
+    lines = lines.select("carried", "__row", F.array_join(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)), " ").alias("words"))
     found = lines.join(classified(lines), "words")
-    rows = found.groupBy("__row", *carry).agg(
-        F.count("*").alias("n_paragraphs"), F.sum((F.col("family") == UNKNOWN).cast("long")).alias("n_unknown"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
+    rows = found.groupBy("__row").agg(
+        F.first("carried").alias("carried"), F.count("*").alias("n_paragraphs"), F.sum((F.col("family") == UNKNOWN).cast("long")).alias("n_unknown"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.round(F.min(F.when(F.col("confirmed"), F.col("probability"))), 6).alias("probability"),
     )
-    in_line = F.exists(F.split("__text", "\n"), has_stem)
-    none = given.filter(~(hit & F.coalesce(in_line, F.lit(False)))).select(*carry, *[F.lit(0).cast("long").alias(c) for c in own[:3]], F.lit("").alias("families"), F.lit(None).cast("double").alias("probability"))
-    return none.union(rows.select(*carry, *own))
+    # A stem may run over a line's end: a text with one but without a line that has one belongs to the others.
+    in_line = F.coalesce(F.exists(F.split("__text", "\n"), has_stem), F.lit(False))
+    none = given.filter(~(hit & in_line)).select("carried", *[F.lit(0).cast("long").alias(c) for c in own[:3]], F.lit("").alias("families"), F.lit(None).cast("double").alias("probability"))
+    return none.union(rows.select("carried", *own)).select("carried.*", *own)
