@@ -1,13 +1,15 @@
 """Quality rules with cross-document line frequency.
 
 Each line is normalised (ASCII lower case, digits as 0, white space as single spaces) and hashed. For each host the
-distinct documents that hold a line are counted. A document counts by its longest line, so copies of one text,
-exact or edited elsewhere, count once and a copied document is no boilerplate. Lines above the limit are removed;
+distinct documents that hold a line are counted. For a line, a document counts by its longest other line, so copies of
+one text, exact or edited elsewhere, count once and a copied document is no boilerplate. Lines above the limit are removed;
 documents left with too few words, or too small a part of them, are rejected.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ TABLE = byte_table(SPACES, lower=False)
 LINE = byte_table(b"", lower=True)[:48] + b"0" * 10 + byte_table(b"", lower=True)[58:]
 SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "line_key long, lines array<struct<h: long, words: long>>"
+LINES = "line_key long, next_key long, lines array<struct<h: long, words: long>>"
 
 
 def line_hash(line: bytes) -> int:
@@ -53,12 +55,12 @@ def repeated_words(words: Words) -> np.ndarray:
     return inside[words.first[1:]] - inside[words.first[:-1]]
 
 
-def _lines(text: bytes) -> tuple[int, int, list[tuple[int, int]]]:
-    """Lines with a word equal to an earlier line, the key line, and words by normalised line hash."""
+def _lines(text: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """Lines with a word equal to an earlier line, the hashes of the two longest distinct lines (0: none), and words by normalised line hash."""
     seen: set[bytes] = set()
     dup = 0
     words: dict[int, int] = {}
-    key = (0, 0)
+    longest: dict[int, int] = {}
     for line in text.split(b"\n"):
         n = len(line.split())
         if not n:
@@ -69,12 +71,14 @@ def _lines(text: bytes) -> tuple[int, int, list[tuple[int, int]]]:
             seen.add(line)
         h = line_hash(line)
         words[h] = words.get(h, 0) + n
-        key = max(key, (n, h))
-    return dup, key[1], list(words.items())
+        longest[h] = n
+    top = heapq.nsmallest(2, longest.items(), key=lambda x: (-x[1], x[0]))
+    keys = [h for h, _ in top] + [0, 0]
+    return dup, keys[0], keys[1], list(words.items())
 
 
 def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """For each row: the carried columns, the base measures, line_key (hash of the longest line) and its lines' hashes with their words."""
+    """For each row: the carried columns, the base measures, line_key and next_key (hashes of the two longest lines) and its lines' hashes with their words."""
 
     def make():
         def work(texts):
@@ -89,7 +93,8 @@ def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame
                 "n_dup_lines": [x[0] for x in lines],
                 "n_repeat_words": repeated_words(words),
                 "line_key": [x[1] for x in lines],
-                "lines": [[{"h": h, "words": n} for h, n in x[2]] for x in lines],
+                "next_key": [x[2] for x in lines],
+                "lines": [[{"h": h, "words": n} for h, n in x[3]] for x in lines],
             }
 
         return work
@@ -102,10 +107,10 @@ def base_failed() -> F.Column:
 
 
 def frequent_lines(measures: DataFrame, host: str, least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limit. Counts are sums over distinct (host, line, key) rows, so no group meets in one task."""
-    lines = measures.select(F.col(host).alias("host"), "line_key", F.explode("lines").alias("l")).select("host", F.col("l.h").alias("h"), "line_key")
+    """(host, h) of the lines above the limit. Counts are sums over distinct (host, line, other line) rows, so no group meets in one task."""
+    lines = measures.select(F.col(host).alias("host"), "line_key", "next_key", F.explode("lines").alias("l")).select("host", F.col("l.h").alias("h"), F.when(F.col("l.h") == F.col("line_key"), F.col("next_key")).otherwise(F.col("line_key")).alias("key"))
     counts = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > least)
-    hosts = measures.select(F.col(host).alias("host"), "line_key").distinct().groupBy("host").agg(F.count("*").alias("all_documents"))
+    hosts = measures.select(F.col(host).alias("host"), "line_key", "next_key").distinct().groupBy("host").agg(F.count("*").alias("all_documents"))
     return counts.join(hosts, counts.host.eqNullSafe(hosts.host)).filter(F.col("documents") > share * F.col("all_documents")).select(counts.host, "h")
 
 
@@ -116,7 +121,7 @@ def verdicts(docs: DataFrame, carry: list[str], text: str = "text", host: str =
     judged alike. Only line hashes are shuffled, never texts.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed", "kept"]
-    carry = [c for c in carry if c not in (*own, "line_key", "lines", "__row", "__host")]
+    carry = [c for c in carry if c not in (*own, "line_key", "next_key", "lines", "__row", "__host")]
     given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__line_text"))
     rows = written(measured(given, [*carry, "__host"], "__line_text").withColumn("__row", F.monotonically_increasing_id()))
     bad = frequent_lines(rows, "__host", least, share)
@@ -143,7 +148,7 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: in
     Two passes over the texts: one to count lines, one to apply the counts. Texts are not shuffled unless there are
     more frequent lines than BROADCAST_LINES; then each host's are joined to its documents.
     """
-    measures = written(measured(docs.select(F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__line_text")), ["__host"], "__line_text").select("__host", "line_key", "lines"))
+    measures = written(measured(docs.select(F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__line_text")), ["__host"], "__line_text").select("__host", "line_key", "next_key", "lines"))
     bad = written(frequent_lines(measures, "__host", least, share))
     schema = docs.schema
     place, of_host = schema.fieldNames().index(text), schema.fieldNames().index(host)
