@@ -169,7 +169,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     key = [F.col(f"`{doc_id}`").cast("string").alias("__id"), F.xxhash64(F.col(f"`{text}`"), F.length(F.col(f"`{text}`"))).alias("__hash")]
     rows = written(near_classes(docs.select(F.col(f"`{doc_id}`").alias("__doc"), *key, F.col(f"`{text}`").alias("__text")), ["__doc", "__id", "__hash"], "__text", **options))
     place = F.struct(F.col("__doc").isNull().alias("n"), F.col("__doc").alias("d"), F.col("__hash").alias("h"))
-    least = rows.groupBy("root").agg(F.min(place).alias("kept"))
+    # Written, so that the join with it is of two plain exchanges, whose large partitions Spark splits.
+    least = written(rows.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "kept"))
     gone = rows.join(least, "root").filter(place != F.col("kept")).select("__id", "__hash").distinct()
     twice = written(rows.groupBy("__id", "__hash").count().filter("count > 1").select("__id", "__hash"))
     marked = docs.select("*", *key)
