@@ -99,7 +99,9 @@ def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = 2) -> DataF
     nodes = written(prints.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(links(nodes.select("fp"), radius))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the joins below are of plain exchanges, whose large partitions Spark splits.
+    placed = written(placed)
+    ids = written(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp")
 
 
