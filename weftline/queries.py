@@ -102,7 +102,7 @@ c AS (SELECT label AS l, 'label_' || CAST(label AS VARCHAR) AS relation, list(a
 
 
 @registered(f"""WITH {LABELS}, s AS (SELECT vec_id, relation, rel_idx, list_cosine_similarity(v, cv) AS sim FROM e CROSS JOIN c)
-SELECT vec_id, rank, relation, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, rel_idx DESC) AS rank FROM s) WHERE rank <= 5""")
+SELECT vec_id, rank, relation, round(sim, 6) + 0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, rel_idx DESC) AS rank FROM s) WHERE rank <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = retrieval.top_k(rows, label_relations(spark, sf_dir), "embedding", "vector", 5)
@@ -116,10 +116,10 @@ def _fused(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 
 FUSED = f"""{LABELS}, s AS (SELECT vec_id, relation, rel_idx, list_cosine_similarity(v[1:21], cv[1:21]) AS p1, list_cosine_similarity(v[22:42], cv[22:42]) AS p2, list_cosine_similarity(v[43:64], cv[43:64]) AS p3 FROM e CROSS JOIN c),
-f AS (SELECT *, round(0.25 * p1 + 0.25 * p2 + 0.5 * p3, 4) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, rel_idx) AS rank FROM f)"""
+f AS (SELECT *, round(0.25 * p1 + 0.25 * p2 + 0.5 * p3, 4) + 0 AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, rel_idx) AS rank FROM f)"""
 
 
-@registered(f"WITH {FUSED} SELECT vec_id, rank, relation, score, round(p1, 4) AS pred_name_score, round(p2, 4) AS pred_def_score, round(p3, 4) AS triplet_def_score FROM r WHERE rank <= 5")
+@registered(f"WITH {FUSED} SELECT vec_id, rank, relation, score, round(p1, 4) + 0 AS pred_name_score, round(p2, 4) + 0 AS pred_def_score, round(p3, 4) + 0 AS triplet_def_score FROM r WHERE rank <= 5")
 def weighted_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _fused(spark, sf_dir).select("vec_id", F.posexplode(retrieval.candidates_column()).alias("n", "c"))
     return found.select("vec_id", (F.col("n") + 1).cast("long").alias("rank"), "c.*")
@@ -509,7 +509,7 @@ COUNTS = "[CAST(length(lower({0})) - length(replace(lower({0}), chr(97 + CAST(i
 ALIGN = f"""{KG}, o AS (SELECT *, row_number() OVER (ORDER BY relation) - 1 AS rel_idx FROM (SELECT 'rel_' || lower(r_name) AS relation, 'things of ' || lower(r_name) AS def FROM region UNION ALL SELECT 'part_of', 'being a part of')),
 ov AS (SELECT *, {COUNTS.format('def')} AS cv FROM o)"""
 CHOSEN = """dv AS (SELECT DISTINCT def, {counts} AS v FROM x),
-sc AS (SELECT dv.def, relation, row_number() OVER (PARTITION BY dv.def ORDER BY list_cosine_similarity(v, cv) DESC, rel_idx DESC) AS k, round(list_cosine_similarity(v, cv), 4) AS sim FROM dv CROSS JOIN ov),
+sc AS (SELECT dv.def, relation, row_number() OVER (PARTITION BY dv.def ORDER BY list_cosine_similarity(v, cv) DESC, rel_idx DESC) AS k, round(list_cosine_similarity(v, cv), 4) + 0 AS sim FROM dv CROSS JOIN ov),
 tp AS (SELECT def, max(relation) FILTER (WHERE k = 1) AS a, max(relation) FILTER (WHERE k = 2) AS b, max(sim) FILTER (WHERE k = 1) AS sa FROM sc GROUP BY def)""".format(counts=COUNTS.format("def"))
 
 
