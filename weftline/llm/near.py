@@ -1,9 +1,11 @@
 """Near-duplicate classes of whole texts at a word-shingle similarity.
 
 SimHash links (see `simhash`) find texts within a few bits, which at a Jaccard similarity of 0.8 is far too few: such
-pairs differ in four to eleven bits of 64. So texts also meet by bands of min-wise hashes, and those that meet are
-linked if their signatures agree enough. Texts with equal signatures are one node from the start. Buckets over
-BUCKET nodes get longer keys until they are small; what still is larger is compared block by block.
+pairs differ in four to eleven bits of 64. So texts also meet by bands of min-wise hashes. Of those that meet, pairs whose
+signatures agree clearly are linked, pairs that agree about as much as the similarity asks are compared by their
+shingles. Texts with equal signatures are one node from the start. Buckets over BUCKET nodes get longer keys until
+they are small; what still is larger is compared block by block. In a bucket over PAIRED nodes only a maximum
+spanning forest is kept: it connects, at any level of agreement, what all its pairs connect.
 """
 
 from __future__ import annotations
@@ -21,13 +23,22 @@ from weftline.llm.simhash import TABLE, fingerprint, links
 
 #: Min-wise hashes of a signature; bands of ROWS of them. Two texts of similarity 0.8 share a band with probability 0.9996.
 HASHES, BANDS, ROWS = 256, 26, 6
-BUCKET, LEVELS = 512, 12
-#: An estimate from HASHES hashes has a standard error of 0.025 at 0.8; pairs are linked from this much under the similarity.
-SLACK = 0.025
+BUCKET, LEVELS, PAIRED = 512, 12, 32
+#: An estimate from HASHES hashes has a standard error of 0.025 at 0.8; pairs within four of them are compared by their shingles.
+SLACK = 0.1
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(20)) >> np.uint64(13)).astype(np.uint32)
 
 
+def hash_of(words: np.ndarray) -> np.uint64:
+    """One hash of a few words' hashes."""
+    own = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for x in words:
+            own = own * np.uint64(0x9E3779B97F4A7C15) + x
+    return mixed(np.array([own]))[0]
+
+
 def signatures(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: HASHES bytes, BANDS keys, shingles. Shorter texts are one shingle; texts without words have zeros and no bands."""
     words = Words(texts, TABLE)
@@ -37,12 +48,8 @@ def signatures(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.
     h = g[at]
     few = np.flatnonzero((n > 0) & (n < shingle))
     for i in few.tolist():
-        own = np.uint64(0)
-        with np.errstate(over="ignore"):
-            for x in words.hashes[words.first[i] : words.first[i + 1]]:
-                own = own * np.uint64(0x9E3779B97F4A7C15) + x
         k = np.searchsorted(text, i)
-        h, text = np.insert(h, k, mixed(np.array([own]))[0]), np.insert(text, k, i)
+        h, text = np.insert(h, k, hash_of(words.hashes[words.first[i] : words.first[i + 1]])), np.insert(text, k, i)
     mins = np.zeros((len(texts), HASHES), dtype=np.uint32)
     some = np.flatnonzero(n > 0)
     if len(some):
@@ -70,33 +77,34 @@ def sketched(docs: DataFrame, carry: list[str], text: str = "text", shingle: int
     return map_texts(docs, text, carry, "fp long, sig binary, bands array<long>, n_shingles long", make)
 
 
-def _forest(group: np.ndarray, ids: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what pairs of agreeing signatures connect, at most one less than there are nodes."""
+def _forest(group: np.ndarray, ids: list[int], similarity: float) -> list[tuple[int, int, float]]:
+    """(a, b, estimated similarity) of a maximum spanning forest of the pairs that may be similar; of up to PAIRED nodes also of the other pairs that need a comparison."""
     n = len(ids)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    need = (similarity - SLACK) * (1 - 1 / 256) + 1 / 256  # unequal hashes agree in a byte by chance
-    for i in range(n - 1):
-        for j in np.flatnonzero((group[i + 1 :] == group[i]).mean(axis=1) >= need).tolist():
-            a, b = find(i), find(i + 1 + j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[i + 1 + j]))
-    return out
+    agree = np.stack([(group == row).mean(axis=1) for row in group])
+    agree = (agree - 1 / 256) / (1 - 1 / 256)  # unequal hashes agree in a byte by chance
+    low, high = similarity - SLACK, similarity + SLACK
+    np.fill_diagonal(agree, -1)
+    kept: set[tuple[int, int]] = set()
+    left = np.ones(n, dtype=bool)
+    best, to = np.full(n, -1.0), np.zeros(n, dtype=int)
+    for _ in range(n):
+        i = int(np.argmax(np.where(left, best, -2.0)))
+        if best[i] >= low:
+            kept.add((min(i, int(to[i])), max(i, int(to[i]))))
+        left[i] = False
+        better = agree[i] > best
+        best[better], to[better] = agree[i][better], i
+    if n <= PAIRED:
+        kept |= {(int(i), int(j)) for i, j in np.argwhere(np.triu((agree >= low) & (agree < high), 1))}
+    return [(ids[i], ids[j], float(agree[i, j])) for i, j in sorted(kept)]
 
 
 def _linker(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, sigs = None, [], []
+        batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "near"])
 
-        def done() -> list[tuple[int, int]]:
+        def done() -> list[tuple[int, int, float]]:
             return _forest(np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1), ids, similarity) if len(ids) > 1 else []
 
         with task(__name__):
@@ -108,15 +116,14 @@ def _linker(similarity: float):
                         at, ids, sigs = (band, key), [], []
                     ids.append(node)
                     sigs.append(sig)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            found = done()
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield batch_of(found)
+            yield batch_of(done())
 
     return run
 
 
 def min_wise_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the nodes (node, sig, bands): see the module."""
+    """Pairs (a, b, near) of the nodes (node, sig, bands) that are or may be similar, with the estimate: see the module."""
     small_batches(nodes.sparkSession)
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sized = lambda rows: rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -140,7 +147,32 @@ def min_wise_links(nodes: DataFrame, similarity: float) -> DataFrame:
     for p in parts[1:]:
         rows = rows.union(p)
     dealt = rows.join(nodes.select("node", "sig"), "node").select("band", "key", "node", "sig")
-    return dealt.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_linker(similarity), "a long, b long").distinct()
+    return dealt.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_linker(similarity), "a long, b long, near double").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near"))
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, text_hash) whose shingle sets have the similarity. Only texts of such nodes are read into sets."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(nodes.join(ends, "node").select("node", "text_hash"))
+    hashed = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
+    texts = hashed.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+    def make():
+        def work(parts):
+            words = Words(parts, TABLE)
+            n = np.diff(words.first)
+            g, whole = words.grams(shingle)
+            sets = [np.unique(g[lo : max(lo, hi - shingle + 1)]) for lo, hi in zip(words.first[:-1], words.first[1:], strict=True)]
+            # A text of fewer words is one shingle, whose words are hashed together.
+            sets = [x if len(x) or not k else np.array([hash_of(words.hashes[words.first[i] : words.first[i + 1]])], dtype=np.uint64) for i, (x, k) in enumerate(zip(sets, n, strict=True))]
+            return {"shingles": [x.view(np.int64) for x in sets]}
+
+        return work
+
+    sets = written(map_texts(texts, "t", ["text_hash"], "shingles array<long>", make).join(wanted, "text_hash").select("node", "shingles"))
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def near_classes(docs: DataFrame, carry: list[str], text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -149,14 +181,17 @@ def near_classes(docs: DataFrame, carry: list[str], text: str = "text", shingle:
     Words are runs of other than ASCII white space, A-Z lower-cased. Texts without words are one class. Only
     signatures are shuffled, distinct ones, and never texts; classes are found by `components`.
     """
-    carry = [c for c in carry if c not in ("fp", "sig", "bands", "n_shingles", "node", "root")]
-    rows = written(sketched(docs, carry, text, shingle).withColumn("node", F.xxhash64("fp", "sig")))
-    nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")))
+    carry = [c for c in carry if c not in ("fp", "sig", "bands", "n_shingles", "node", "root", "text_hash")]
+    given = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text])], F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
+    rows = written(sketched(given, [*carry, "text_hash"], text, shingle).withColumn("node", F.xxhash64("fp", "sig")))
+    nodes = written(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")))
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = links(nodes.select("fp").distinct(), radius)
     close = bits.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = same.union(close).union(min_wise_links(nodes.filter("n_shingles > 0").select("node", "sig", "bands"), similarity))
+    pairs = written(min_wise_links(nodes.filter("n_shingles > 0").select("node", "sig", "bands"), similarity))
+    clear, open_ = pairs.filter(F.col("near") >= similarity + SLACK).select("a", "b"), pairs.filter(F.col("near") < similarity + SLACK).select("a", "b")
+    edges = same.union(close).union(clear).union(compared(open_, nodes, docs, text, shingle, similarity))
     found = components(edges)
     return rows.join(found, "node", "left").select(*carry, "n_shingles", F.coalesce("root", "node").alias("root"))
 
