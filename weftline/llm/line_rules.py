@@ -28,13 +28,21 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 LINES = "line_key long, next_key long, lines array<struct<h: long, words: long>>"
 
 
-def line_hash(line: bytes) -> int:
+def normal_line(line: bytes) -> bytes:
+    return b" ".join(line.translate(LINE).split())
+
+
+def _hash(normal: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(b" ".join(line.translate(LINE).split()))
+    h = xxhash.xxh64_intdigest(normal)
     return h - (1 << 64) if h >> 63 else h
 
 
+def line_hash(line: bytes) -> int:
+    return _hash(normal_line(line))
+
+
 def repeated_words(words: Words) -> np.ndarray:
     """For each text: words in WINDOW-word windows that are found twice or more in the text, the first included."""
     g, whole = words.grams(WINDOW)
@@ -56,11 +64,11 @@ def repeated_words(words: Words) -> np.ndarray:
 
 
 def _lines(text: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """Lines with a word equal to an earlier line, the hashes of the two longest distinct lines (0: none), and words by normalised line hash."""
+    """Lines with a word equal to an earlier line, the hashes of the two longest distinct lines (ties: the least; 0: none), and words by normalised line hash."""
     seen: set[bytes] = set()
     dup = 0
-    words: dict[int, int] = {}
-    longest: dict[int, int] = {}
+    words: dict[bytes, int] = {}
+    longest: dict[bytes, int] = {}
     for line in text.split(b"\n"):
         n = len(line.split())
         if not n:
@@ -69,12 +77,11 @@ def _lines(text: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
             dup += 1
         else:
             seen.add(line)
-        h = line_hash(line)
-        words[h] = words.get(h, 0) + n
-        longest[h] = n
-    top = heapq.nsmallest(2, longest.items(), key=lambda x: (-x[1], x[0]))
-    keys = [h for h, _ in top] + [0, 0]
-    return dup, keys[0], keys[1], list(words.items())
+        normal = normal_line(line)
+        words[normal] = words.get(normal, 0) + n
+        longest[normal] = n
+    keys = [_hash(x) for x, _ in heapq.nsmallest(2, longest.items(), key=lambda x: (-x[1], x[0]))] + [0, 0]
+    return dup, keys[0], keys[1], [(_hash(x), n) for x, n in words.items()]
 
 
 def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:

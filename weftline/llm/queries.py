@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.oracles import ORACLES  # noqa: F401
+
 
 #: The key of the registered query; a real one is a secret that the caller passes.
 PII_KEY = "registered query"
@@ -91,4 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_bpe": op9_piece_bpe,
     "op10_licences": op10_licences,
 }
-ORACLES: dict[str, str] = {}
