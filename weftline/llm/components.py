@@ -15,7 +15,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def _star(arcs: DataFrame, large: bool) -> DataFrame:
     """arcs (u, v): hang neighbours of u on the least of u's neighbours and u. large: those over u; else u itself and those under it."""
-    least = arcs.groupBy("u").agg(F.min("v").alias("m"))
+    # Written, so that the join with it is of two plain exchanges: Spark then splits the arcs of a hub.
+    least = written(arcs.groupBy("u").agg(F.min("v").alias("m")))
     if large:
         joined = arcs.filter("v > u").join(least, "u").select(F.col("v").alias("b"), F.least("m", "u").alias("a"))
     else:
