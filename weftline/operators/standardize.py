@@ -88,15 +88,19 @@ def merged_duplicates(graph: DataFrame, mapping: DataFrame | None = None) -> Dat
     """One row for each mapped (subject, predicate, object): the first row's fields, the sentences joined by ` | `.
 
     A sentence is added, in order of pos, unless it is part of what was gathered before. That fold depends on the
-    order, so a triple's sentences meet in one sorted array.
+    order, so a triple's distinct sentences meet in one sorted array; repeated ones, which the fold would drop, are
+    summed up before.
     """
     rows = replaced(graph, mapping, "term", "target") if mapping is not None else graph
     key = ["subject", "predicate", "object"]
     rest = [c for c in rows.columns if c not in (*key, "sentence", "pos")]
-    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in key})
-    groups = rows.groupBy(*key).agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("sentence", F.lit("")).alias("sentence")))).alias("__s"), *[F.min_by(F.struct(c), "pos")[c].alias(c) for c in rest])
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in (*key, "sentence")})
+    other = F.struct(*rest) if rest else F.lit(0)
+    once = rows.groupBy(*key, "sentence").agg(F.min("pos").alias("pos"), F.min_by(other, "pos").alias("__r"))
+    groups = once.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("__s"), F.min("pos").alias("pos"), F.min_by("__r", "pos").alias("__r"))
     add = lambda acc, x: F.when((x["sentence"] == "") | F.contains(acc, x["sentence"]), acc).when(acc == "", x["sentence"]).otherwise(F.concat(acc, F.lit(" | "), x["sentence"]))
-    return groups.withColumn("sentence", F.aggregate("__s", F.lit(""), add)).select(*graph.columns)
+    folded = groups.withColumn("sentence", F.aggregate("__s", F.lit(""), add))
+    return folded.withColumns({c: F.col(f"__r.{c}") for c in rest}).select(*graph.columns)
 
 
 def standardized(graph: DataFrame, aliases: DataFrame, preferred: DataFrame, lemma: dict[str, str] | None = None) -> DataFrame:
