@@ -13,7 +13,7 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftline-')}")
         at = sc.getCheckpointDir()
