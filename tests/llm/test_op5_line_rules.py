@@ -36,12 +36,12 @@ def test_base_measures(spark):
 
 
 def corpus():
-    """Thirty documents of a host with one line in common, of which some hold little more, and thirty copies of one text."""
+    """Thirty documents of a host with one line in common, some of which hold little more, and thirty copies of one text."""
     line = "Subscribe to our  letter NOW and never miss a word of it again"
     name = lambda i: "".join(chr(97 + int(c)) if c.isdigit() else c for c in str(i))  # noqa: E731  digits are alike in a normalised line
     own = lambda i, n: "\n".join(" ".join(f"{name(i)}{'abcdefghi'[j]}{'abcdefghi'[k]}" for k in range(9)) for j in range(n))
     rows = [(i, f"{line.upper() if i % 2 else line}\n{own(i, 5)}", "h") for i in range(30)]
-    rows += [(100 + i, f"{line}\nfew words of {i} are left", "h") for i in range(4)]
+    rows += [(100 + i, f"{line}\nfew words left", "h") for i in range(4)]
     rows += [(200 + i, own("copy", 6), "h") for i in range(30)] + [(300 + i, f"{own('near', 6)}\nedit {i} here", "h") for i in range(30)]
     return rows + [(400, f"{line}\n{own('o', 3)}", "other")], line
 

@@ -19,7 +19,7 @@ from weftline.llm.common import SPACES, Words, byte_table, map_texts, written
 #: A line is boilerplate for a host if more distinct documents than both have it.
 LEAST_DOCUMENTS, HOST_SHARE = 20, 0.01
 #: A document is depleted if fewer words than this, or than this part of its words, are left.
-LEAST_WORDS, LEAST_PART = 10, 0.3
+LEAST_WORDS, LEAST_PART = 5, 0.3
 WINDOW = 5
 TABLE = byte_table(SPACES, lower=False)
 LINE = byte_table(b"", lower=True)[:48] + b"0" * 10 + byte_table(b"", lower=True)[58:]

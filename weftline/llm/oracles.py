@@ -50,6 +50,6 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND n_words - removed_words >= 10 AND n_words - removed_words >= 0.3 * n_words AS kept FROM f"""
+SELECT *, NOT base_failed AND n_words - removed_words >= 5 AND n_words - removed_words >= 0.3 * n_words AS kept FROM f"""
 
 ORACLES: dict[str, str] = {"op5_line_rules": OP5, "op6_warc": OP6, "op8_winnowing": OP8}
