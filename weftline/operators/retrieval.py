@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FOUND = "array<struct<score: double, rel_idx: long, relation: string, def: string, parts: array<double>>>"
 #: Numbers in a block's matrix at most (8 bytes each).
 BLOCK_NUMBERS = 4_000_000
 
@@ -39,8 +40,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _blocks(relations: DataFrame, columns: list[str]) -> Iterator[list]:
     block, numbers = [], 0
-    for r in relations.select("rel_idx", "relation", *columns).orderBy("rel_idx").toLocalIterator():
-        size = sum(len(r[c] or ()) for c in columns)
+    definition = F.col("def") if "def" in relations.columns else F.lit(None).cast("string")
+    for r in relations.select("rel_idx", "relation", definition.alias("def"), *columns).orderBy("rel_idx").toLocalIterator():
+        size = sum(len(r[c] or ()) for c in columns) + len(r["def"] or "") // 8
         if block and numbers + size > BLOCK_NUMBERS:
             yield block
             block, numbers = [], 0
@@ -51,7 +53,7 @@ def _blocks(relations: DataFrame, columns: list[str]) -> Iterator[list]:
 
 
 def _scored(queries: DataFrame, block: list, parts: list[tuple[str, str, float]], k: int, last_first: bool, round_to: int | None) -> DataFrame:
-    """Adds `found`, the block's best k as array<struct<score, rel_idx, relation, parts array<double>>>. parts: (row's vector, relation's vector, weight)."""
+    """Adds `found`, the block's best k as FOUND. parts: (row's vector, relation's vector, weight)."""
     sc = queries.sparkSession.sparkContext
     matrices = []
     for _, column, _ in parts:
@@ -61,15 +63,15 @@ def _scored(queries: DataFrame, block: list, parts: list[tuple[str, str, float]]
             if r[column] is not None and len(r[column]) == width:
                 m[i] = r[column]
         matrices.append(_unit(m))
-    known = sc.broadcast((matrices, [r["rel_idx"] for r in block], [r["relation"] for r in block]))
-    schema = T.StructType([*queries.schema.fields, T.StructField("found", T._parse_datatype_string("array<struct<score: double, rel_idx: long, relation: string, parts: array<double>>>"))])
+    known = sc.broadcast((matrices, [r["rel_idx"] for r in block], [r["relation"] for r in block], [r["def"] for r in block]))
+    schema = T.StructType([*queries.schema.fields, T.StructField("found", T._parse_datatype_string(FOUND))])
     names, weights = [p[0] for p in parts], [p[2] for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        ms, idx, relations = known.value
+        ms, idx, relations, defs = known.value
         for b in batches:
             each = [_unit(_matrix(b.column(b.schema.get_field_index(n)), m.shape[1])) @ m.T for n, m in zip(names, ms, strict=True)]
             total = sum(w * e for w, e in zip(weights, each, strict=True))
@@ -77,7 +79,7 @@ def _scored(queries: DataFrame, block: list, parts: list[tuple[str, str, float]]
                 scale = 10.0**round_to
                 total = np.floor(total * scale + 0.5) / scale
             order = np.argsort(-total, axis=1, kind="stable") if not last_first else total.shape[1] - 1 - np.argsort(-total[:, ::-1], axis=1, kind="stable")
-            rows = [[{"score": total[i, j], "rel_idx": idx[j], "relation": relations[j], "parts": [e[i, j] for e in each]} for j in order[i, :k].tolist()] for i in range(b.num_rows)]
+            rows = [[{"score": total[i, j], "rel_idx": idx[j], "relation": relations[j], "def": defs[j], "parts": [e[i, j] for e in each]} for j in order[i, :k].tolist()] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)], pa.array(rows, type=arrow.field("found").type)], schema=arrow)
 
     return queries.mapInArrow(run, schema)
@@ -94,12 +96,13 @@ def _best(queries: DataFrame, relations: DataFrame, parts: list[tuple[str, str,
         before = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise((F.sign(y["rel_idx"] - x["rel_idx"]) if last_first else F.sign(x["rel_idx"] - y["rel_idx"])).cast("int"))
         out = both.withColumn("found", F.slice(F.array_sort(F.concat("__before", "found"), before), 1, k)).drop("__before")
     if out is None:
-        return queries.withColumn("found", F.lit(None).cast("array<struct<score: double, rel_idx: long, relation: string, parts: array<double>>>"))
+        return queries.withColumn("found", F.lit(None).cast(FOUND))
     return out
 
 
 def top_k(queries: DataFrame, relations: DataFrame, vector: str, relation_vector: str, k: int) -> DataFrame:
-    """queries with `found`: the k relations of highest cosine, of equal ones the later first. relations: rel_idx, relation, a vector.
+    """queries with `found`: the k relations of highest cosine, of equal ones the later first. relations: rel_idx, relation, a vector,
+    and def if there is one, which comes along.
 
     Null or zero vectors have cosine 0 with everything; without relations `found` is null.
     """

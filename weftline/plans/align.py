@@ -56,9 +56,7 @@ def aligned(
     asked = todo.join(names, same, "left_anti") if mode == "final" else todo
     vectors = embedded(_defined(asked, define, mode == "cached"), "predicate_definition", embedder, "__vector")
     found = top_k(vectors, relations, "__vector", "vector", top)
-    defs = ontology.agg(F.map_from_entries(F.collect_list(F.struct("relation", F.coalesce("def", F.lit(""))))).alias("__defs"))
-    found = found.crossJoin(F.broadcast(defs))  # one row: the ontology's definitions
-    found = found.withColumn("__choices", F.transform(F.coalesce("found", F.array()), lambda c: F.struct(c["relation"].alias("relation"), F.try_element_at(F.col("__defs"), c["relation"]).alias("def"))))
+    found = found.withColumn("__choices", F.transform(F.coalesce("found", F.array()), lambda c: F.struct(c["relation"].alias("relation"), F.coalesce(c["def"], F.lit("")).alias("def"))))
     prompted = found.withColumn("__prompt", choice_prompt(F.col("sentence"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("predicate_definition"), F.col("__choices")))
     answered = completed(prompted, "__prompt", choose, 10, "choice_call")
     letter = (strict_letter if mode == "final" else loose_letter)(F.col("choice_call.text"), F.size("__choices"))
