@@ -69,10 +69,13 @@ def _counts(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums = written(sums)
     top = [r[0] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    out = {code: np.zeros(BUCKETS) for code in sorted(top)}
-    for code, bucket, n in sums.filter(F.col("lang").isin(top)).collect() if top else []:
-        out[code][bucket] = n
-    return out
+    if not top:
+        return {}
+    table = sums.filter(F.col("lang").isin(top)).toArrow()  # MOST_LANGUAGES * BUCKETS rows at most
+    codes = table.column("lang").combine_chunks().dictionary_encode()
+    counts = np.zeros((len(codes.dictionary), BUCKETS))
+    counts[codes.indices.to_numpy(), table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return dict(zip(codes.dictionary.to_pylist(), counts, strict=True))
 
 
 def _emit(own: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
