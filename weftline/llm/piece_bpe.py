@@ -91,6 +91,7 @@ class PieceBPE:
         #: By left token (the last entry: no token), which right tokens are known to fit or not.
         self.fits: list[dict[int, bool]] = [{} for _ in range(len(pieces) + 1)]
         self.fitted = 0
+        self.remembered = REMEMBERED
         self.young: dict[str, tuple[int, str, tuple[int, ...]]] = {}
         self.old: dict[str, tuple[int, str, tuple[int, ...]]] = {}
 
@@ -164,7 +165,7 @@ class PieceBPE:
             ids = self.word_ids(word)
             got = (len(ids), " ".join(map(str, ids)), tuple(ids))
         if len(word) <= 64:
-            if len(self.young) >= REMEMBERED // 2:
+            if len(self.young) >= self.remembered // 2:
                 self.old, self.young = self.young, {}
             self.young[word] = got
         return got
@@ -205,11 +206,11 @@ def model(path: str) -> PieceBPE:
     return _models[path]
 
 
-def encoded(docs, model_path: str, carry: list[str], text: str = "text", ids: bool = False):
+def encoded(docs, model_path: str, carry: list[str], text: str = "text", ids: bool = False, remembered: int = REMEMBERED):
     """For each row: carried columns, n_tokens, ids_sha256, decoded_sha256, and with ids=True the ids and decoded text.
 
     Null texts count as empty: the end id only. The model file must be readable at model_path on every executor
-    (it belongs to an installed package). No shuffle; a worker remembers a bounded number of words.
+    (it belongs to an installed package). No shuffle; a worker remembers about `remembered` words (some 350 bytes each).
     """
     import hashlib
 
@@ -219,6 +220,7 @@ def encoded(docs, model_path: str, carry: list[str], text: str = "text", ids: bo
 
     def make():
         bpe = model(model_path)
+        bpe.remembered = remembered
         end = str(bpe.end)
         plain: dict[str, str] = {}
 
