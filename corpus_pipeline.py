@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of them and of what they decode to."""
     import public_tokenizers
 
-    return encoded(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "lang", "source"], ids=True).drop("decoded")
+    return encoded(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "lang", "source"], ids=True, remembered=200_000).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
