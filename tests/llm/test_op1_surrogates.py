@@ -57,7 +57,7 @@ def test_keys_differ_and_repeat(spark):
 def test_surrogates_are_distinct_and_no_entities(spark):
     """Two-digit locals at one host clash often; names have few combinations. All end distinct, and none is an original."""
     mails = [("email", f"a{i}@x.example.com", "n") for i in range(40)]
-    names = [("name", f"Name{i} Last{i}", "mf"[i % 2]) for i in range(3000)]
+    names = [("name", f"Name{i} Last{i}", "mf"[i % 2]) for i in range(800)]
     ips = [("ip", f"10.0.{i}.{j}", "n") for i in range(20) for j in range(50)]
     rows = assigned(spark.createDataFrame(mails + names + ips, "type string, value string, sex string"), "k").collect()
     assert len(rows) == len(mails + names + ips)
