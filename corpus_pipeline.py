@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over `documents`, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages over `documents`, each on all that its predecessor kept.
+
+Null and empty texts have no words: the quality rules reject them, the other stages would keep them (near-dedup as one
+class, tokens as the end id alone). Of rows that are equal in doc_id and text one stays, of a class of near copies the
+row with the least doc_id, null ids last. Nulls in other columns pass through; a null source is a host of its own.
+Columns beyond those of documents are left out. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
