@@ -41,6 +41,8 @@ LAST = {
 _WORD = r"\p{L}\p{N}._%+\-"
 _NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _TITLES = "|".join(t for g in HONORIFICS.values() for t in g)
+#: A title, tried only where one of their first letters stands.
+_TITLE = "(?=[" + "".join(sorted({t[0] for g in HONORIFICS.values() for t in g})) + f"])(?:{_TITLES})"
 #: Patterns by type, in the order in which they are tried at a place.
 PATTERNS = {
     "email": rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}+(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}+){{1,8}}",
@@ -50,11 +52,11 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\1\d{4})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "number": r"(?<![\p{L}\p{N}.])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.\-])\d{3}\1\d{4}", r"[.\-]\d{3}[.\-]\d{4}")
 #: What every entity has; texts without it are not searched further.
-HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
 
 
 def kind(mention: Column) -> Column:
