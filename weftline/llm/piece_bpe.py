@@ -58,6 +58,10 @@ def model_parts(data: bytes) -> tuple[list[tuple[str, float, int]], dict[int, ob
     return pieces, trainer, normaliser
 
 
+#: A word's number of ids, its ids as text, its ids, and what they add to a decoded text.
+Word = tuple[int, str, tuple[int, ...], str]
+
+
 class PieceBPE:
     """Encoder and decoder of one model file: BPE, byte fallback, identity normaliser, spaces kept and escaped."""
 
@@ -92,8 +96,8 @@ class PieceBPE:
         self.fits: list[dict[int, bool]] = [{} for _ in range(len(pieces) + 1)]
         self.fitted = 0
         self.remembered = REMEMBERED
-        self.young: dict[str, tuple[int, str, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self.young: dict[str, Word] = {}
+        self.old: dict[str, Word] = {}
 
     def merged(self, text: str) -> list[int]:
         """Ids by merging: of the adjacent pairs that form a piece, the best scored, leftmost first. Quadratic; for short texts."""
@@ -158,19 +162,20 @@ class PieceBPE:
         ids.reverse()
         return ids
 
-    def known(self, word: str) -> tuple[int, str, tuple[int, ...]]:
-        """A word's number of ids, its ids as text, and its ids."""
+    def known(self, word: str) -> Word:
+        """A word's encoding, remembered if the word is short."""
         got = self.old.get(word)
         if got is None:
             ids = self.word_ids(word)
-            got = (len(ids), " ".join(map(str, ids)), tuple(ids))
+            text = "".join([self.texts[i] for i in ids])
+            got = (len(ids), " ".join(map(str, ids)), tuple(ids), word if text == word else text)
         if len(word) <= 64:
             if len(self.young) >= self.remembered // 2:
                 self.old, self.young = self.young, {}
             self.young[word] = got
         return got
 
-    def parts(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
+    def parts(self, text: str) -> list[Word]:
         return [self.young.get(w) or self.known(w) for w in self.words(text)]
 
     def words(self, text: str) -> list[str]:
@@ -184,7 +189,10 @@ class PieceBPE:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are nothing, runs of byte pieces are UTF-8, one leading space is dropped."""
-        text = "".join([self.texts[i] for i in ids])
+        return self.finished("".join([self.texts[i] for i in ids]))
+
+    def finished(self, text: str) -> str:
+        """A decoded text from what its ids add one after the other, be it id by id or word by word."""
         if not text.isascii():
             text = text.encode("utf-8", "surrogateescape").decode("utf-8", "weftline_each")
         if self.dummy and text[:1] == SPACE:
@@ -230,7 +238,7 @@ def encoded(docs, model_path: str, carry: list[str], text: str = "text", ids: bo
                 parts = bpe.parts((t or b"").decode("utf-8", "replace"))
                 got["n_tokens"].append(sum(p[0] for p in parts) + 1)
                 got["ids_sha256"].append(hashlib.sha256(" ".join([*[p[1] for p in parts], end]).encode()).hexdigest())
-                decoded = bpe.decode([i for p in parts for i in p[2]] + [bpe.end])
+                decoded = bpe.finished("".join([p[3] for p in parts]))
                 got["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if ids:
                     got["token_ids"].append([i for p in parts for i in p[2]] + [bpe.end])
