@@ -109,6 +109,26 @@ def test_near_classes_against_all_pairs(spark, monkeypatch, bucket):
     assert mine == jaccard_classes(texts, 5, 0.8)
 
 
+def crowded():
+    """An original, copies of it with three edits, and texts with nine, which are 0.8 to 0.85 similar to the original and to few of the copies."""
+    rnd = random.Random(5)
+    base = prose(rnd, 30)
+    return [base] + [edited(rnd, base, 3) for _ in range(80)] + [edited(rnd, base, 9) for _ in range(30)]
+
+
+def classes_of(spark, texts):
+    by = {r.i: r.root for r in near.near_classes(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), ["i"]).collect()}
+    first = {}
+    return [first.setdefault(by[i], i) for i in range(len(texts))]
+
+
+def test_pairs_near_the_similarity_in_crowded_buckets(spark, monkeypatch):
+    """Longer keys part such pairs; the comparison of the classes then known finds them."""
+    monkeypatch.setattr(near, "BUCKET", 8)
+    texts = crowded()
+    assert classes_of(spark, texts) == jaccard_classes(texts, 5, 0.8)
+
+
 def test_odd_and_empty_tables(spark, odd, empty, odd_rows, tmp_path):
     spark.createDataFrame([(None, None), (1, ""), (2, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (odd, empty):

@@ -5,7 +5,8 @@ pairs differ in four to eleven bits of 64. So texts also meet by bands of min-wi
 signatures agree clearly are linked, pairs that agree about as much as the similarity asks are compared by their
 shingles. Texts with equal signatures are one node from the start. Buckets over BUCKET nodes get longer keys until
 they are small; what still is larger is compared block by block. In a bucket over PAIRED nodes only a maximum
-spanning forest is kept: it connects, at any level of agreement, what all its pairs connect.
+spanning forest is kept: it connects, at any level of agreement, what all its pairs connect. Longer keys lose pairs, so
+once the first classes are known all pairs of two classes that met in a bucket over BUCKET are compared, block by block.
 """
 
 from __future__ import annotations
@@ -122,12 +123,20 @@ def _linker(similarity: float):
     return run
 
 
-def min_wise_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, near) of the nodes (node, sig, bands) that are or may be similar, with the estimate: see the module."""
-    small_batches(nodes.sparkSession)
+def _sized(rows: DataFrame) -> DataFrame:
+    """The buckets (band, key) of more than one row, with their number of rows n."""
+    return rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n) of the nodes (node, bands) that share a bucket of n nodes."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    sized = lambda rows: rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    meet = written(keyed.join(sized(keyed), ["band", "key"]).select("band", "key", "node", "n"))
+    return written(keyed.join(_sized(keyed), ["band", "key"]).select("band", "key", "node", "n"))
+
+
+def min_wise_links(nodes: DataFrame, meet: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, near) of the nodes (node, sig) that are or may be similar, with the estimate: see the module."""
+    small_batches(nodes.sparkSession)
     parts = [meet.filter(f"n <= {BUCKET}").select("band", "key", "node")]
     large = meet.filter(f"n > {BUCKET}")
     for level in range(LEVELS):
@@ -135,7 +144,7 @@ def min_wise_links(nodes: DataFrame, similarity: float) -> DataFrame:
             break
         spot = F.pmod(F.lit(ROWS * BANDS + 2 * level) + 2 * F.col("band"), F.lit(HASHES - 1)).cast("int")
         longer = large.join(nodes.select("node", "sig"), "node").select("band", F.xxhash64("key", F.substr("sig", spot + 1, F.lit(2))).alias("key"), "node")
-        now = written(longer.join(sized(longer), ["band", "key"]).select("band", "key", "node", "n"))
+        now = written(longer.join(_sized(longer), ["band", "key"]).select("band", "key", "node", "n"))
         parts.append(now.filter(f"n <= {BUCKET}").select("band", "key", "node"))
         large = now.filter(f"n > {BUCKET}")
     else:
@@ -150,6 +159,67 @@ def min_wise_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_linker(similarity), "a long, b long, near double").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near"))
 
 
+def _crosser(similarity: float):
+    """Pairs of unequal roots in each group of rows (group, side, root, node, sig) that are or may be similar; of two sides only pairs across."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            side, root, node = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+            sigs = np.frombuffer(b"".join([r[3] for r in rows]), dtype=np.uint8).reshape(len(rows), -1)
+            one = np.flatnonzero(side == 0)
+            two = np.flatnonzero(side == 1) if side.any() else one
+            a, b, near = [], [], []
+            for i in one.tolist():
+                agree = ((sigs[two] == sigs[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                hit = np.flatnonzero((agree >= similarity - SLACK) & (root[two] != root[i]))
+                a.append(np.full(len(hit), node[i]))
+                b.append(node[two][hit])
+                near.append(agree[hit])
+            x, y = np.concatenate([*a, one[:0]]), np.concatenate([*b, one[:0]])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64()), pa.array(np.concatenate([*near, np.zeros(0)]), pa.float64())], names=["a", "b", "near"])
+
+        with task(__name__):
+            for batch in batches:
+                for group, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if at != group:
+                        if len(rows) > 1:
+                            yield done()
+                        at, rows = group, []
+                    rows.append(row)
+            if len(rows) > 1:
+                yield done()
+
+    return run
+
+
+def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, near) of nodes that meet in a large bucket, are in two classes (node, root) of `found`, and are or may be similar.
+
+    Nodes of a bucket are dealt to blocks, a large class to blocks of its own, and blocks are compared two by two but
+    for those of one class. So a class of very many near copies is compared with what is outside it only.
+    """
+    small_batches(nodes.sparkSession)
+    half = BUCKET // 2
+    large = meet.filter(f"n > {BUCKET}").select("band", "key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = written(large.groupBy("band", "key", "root").agg(F.count("*").alias("m")))
+    mixed_ = classes.groupBy("band", "key").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") < half, F.col("m")).otherwise(0)).alias("few"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    sized = large.join(classes, ["band", "key", "root"]).join(mixed_, ["band", "key"])
+    part = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / F.lit(half)))
+    own = F.when((F.col("n") > BUCKET) & (F.col("m") >= half), F.col("root"))
+    block = F.when(F.col("n") <= BUCKET, F.lit(0)).when(own.isNull(), part(F.col("few"))).otherwise(F.xxhash64("root", part(F.col("m"))))
+    rows = written(sized.select("band", "key", "node", "root", block.cast("long").alias("block"), own.alias("own")))
+    blocks = rows.select("band", "key", "block", "own").distinct()
+    x, y = (blocks.select("band", "key", F.struct(F.col("own").isNotNull().alias("one"), "block").alias(k), F.col("own").alias(f"{k}_own")) for k in "xy")
+    pairs = x.join(y, ["band", "key"]).filter("x <= y and (x_own is null or y_own is null or x_own != y_own)")
+    pairs = written(pairs.select("band", "key", "x", "y", F.xxhash64("band", "key", "x", "y").alias("group")))
+    sides = pairs.select("band", "key", F.col("x").alias("at"), "group", F.lit(0).alias("side")).union(pairs.filter("x != y").select("band", "key", F.col("y").alias("at"), "group", F.lit(1).alias("side")))
+    given = rows.select("band", "key", "node", "root", F.struct(F.col("own").isNotNull().alias("one"), "block").alias("at"))
+    dealt = given.join(sides, ["band", "key", "at"]).join(nodes.select("node", "sig"), "node").select("group", "side", "root", "node", "sig")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_crosser(similarity), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
+
+
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes (node, text_hash) whose shingle sets have the similarity. Only texts of such nodes are read into sets."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -189,10 +259,17 @@ def near_classes(docs: DataFrame, carry: list[str], text: str = "text", shingle:
     same = nodes.join(first, "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = links(nodes.select("fp").distinct(), radius)
     close = bits.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = written(min_wise_links(nodes.filter("n_shingles > 0").select("node", "sig", "bands"), similarity))
-    clear, open_ = pairs.filter(F.col("near") >= similarity + SLACK).select("a", "b"), pairs.filter(F.col("near") < similarity + SLACK).select("a", "b")
-    edges = same.union(close).union(clear).union(compared(open_, nodes, docs, text, shingle, similarity))
-    found = components(edges)
+    meet = meetings(nodes.filter("n_shingles > 0"))
+    pairs = written(min_wise_links(nodes, meet, similarity))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        clear, open_ = pairs.filter(F.col("near") >= similarity + SLACK).select("a", "b"), pairs.filter(F.col("near") < similarity + SLACK).select("a", "b")
+        return clear.union(compared(open_, nodes, docs, text, shingle, similarity))
+
+    found = written(components(same.union(close).union(linked(pairs))))
+    rest = written(apart(meet, nodes, found, similarity).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(linked(rest)))
     return rows.join(found, "node", "left").select(*carry, "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
