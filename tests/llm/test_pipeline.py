@@ -129,6 +129,12 @@ def test_pairs_near_the_similarity_in_crowded_buckets(spark, monkeypatch):
     assert classes_of(spark, texts) == jaccard_classes(texts, 5, 0.8)
 
 
+def test_edges_of_a_forest_that_fail_their_comparison(spark):
+    """In a bucket over PAIRED the best estimate of such a text may be a copy under the similarity; the original is compared too."""
+    texts = crowded()
+    assert classes_of(spark, texts) == jaccard_classes(texts, 5, 0.8)
+
+
 def test_odd_and_empty_tables(spark, odd, empty, odd_rows, tmp_path):
     spark.createDataFrame([(None, None), (1, ""), (2, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (odd, empty):

@@ -5,8 +5,9 @@ pairs differ in four to eleven bits of 64. So texts also meet by bands of min-wi
 signatures agree clearly are linked, pairs that agree about as much as the similarity asks are compared by their
 shingles. Texts with equal signatures are one node from the start. Buckets over BUCKET nodes get longer keys until
 they are small; what still is larger is compared block by block. In a bucket over PAIRED nodes only a maximum
-spanning forest is kept: it connects, at any level of agreement, what all its pairs connect. Longer keys lose pairs, so
-once the first classes are known all pairs of two classes that met in a bucket over BUCKET are compared, block by block.
+spanning forest is kept: it connects, at any level of agreement, what all its pairs connect. Longer keys lose pairs,
+and an edge of a forest may fail its comparison where another pair would not. So once the first classes are known, all
+pairs of two classes that met in a bucket over PAIRED are compared, block by block.
 """
 
 from __future__ import annotations
@@ -195,14 +196,14 @@ def _crosser(similarity: float):
 
 
 def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, near) of nodes that meet in a large bucket, are in two classes (node, root) of `found`, and are or may be similar.
+    """Pairs (a, b, near) of nodes that meet in a bucket over PAIRED, are in two classes (node, root) of `found`, and are or may be similar.
 
     Nodes of a bucket are dealt to blocks, a large class to blocks of its own, and blocks are compared two by two but
     for those of one class. So a class of very many near copies is compared with what is outside it only.
     """
     small_batches(nodes.sparkSession)
     half = BUCKET // 2
-    large = meet.filter(f"n > {BUCKET}").select("band", "key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = meet.filter(f"n > {PAIRED}").select("band", "key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = written(large.groupBy("band", "key", "root").agg(F.count("*").alias("m")))
     mixed_ = classes.groupBy("band", "key").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") < half, F.col("m")).otherwise(0)).alias("few"), F.count("*").alias("k")).filter("k > 1").drop("k")
     sized = large.join(classes, ["band", "key", "root"]).join(mixed_, ["band", "key"])
