@@ -63,3 +63,14 @@ def test_odd_and_empty_tables(spark, odd, empty, odd_rows):
     assert languages(empty, pages.limit(0)).count() == 0
     assert [r.lang for r in languages(empty, pages).collect()] == [None] * 3
     assert document_evidence(odd, trained(odd), ["doc_id"]).count() == len(odd_rows)
+
+
+def test_declared_language_anywhere_in_a_page():
+    from weftline.llm.language import declared
+
+    late = b"<!-- " + b"licence " * 1000 + b"-->\n"
+    assert declared(late + b'<html class="a" lang="de-AT"><body>x') == "de"
+    assert declared(b'<html data-x="' + b"y" * 5000 + b'" xml:lang=fr>') == "fr"
+    assert declared(b'<!--[if IE]><html lang="en"><![endif]--><html lang="es">') == "es"
+    assert declared(b"<html lang=\"pt><body>x") == "pt"
+    assert declared(b"<html><p>say &lt;html> <html lang='en'>") is None and declared(b"") is None

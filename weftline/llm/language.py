@@ -27,7 +27,8 @@ MOST_LANGUAGES = 200
 EVIDENCE = 60
 #: Pseudo-counts: of a bucket, of a domain's share in a host, of all pages' share in a domain, of evidence agreeing or not.
 ALPHA, HOST, DOMAIN, SIGNAL = 0.5, 4.0, 8.0, 2.0
-_LANG = re.compile(rb"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+_HTML = re.compile(rb"<!--(?:>|->|.*?(?:--!?>|\Z))|(?P<tag><html(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)", re.I | re.S)
+_LANG = re.compile(rb"[\s\"'/](?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
 _MARKUP = re.compile(rb"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&[#A-Za-z0-9]{1,32};", re.I | re.S)
 
 
@@ -36,6 +37,16 @@ def visible(page: bytes) -> bytes:
     return _MARKUP.sub(b" ", page)
 
 
+def declared(page: bytes) -> str | None:
+    """The language that a page's first html tag outside comments declares, wherever in the page it stands."""
+    for m in _HTML.finditer(page):
+        if m["tag"]:
+            end = m.end() if page[m.end() : m.end() + 1] == b">" else page.find(b">", m.start())  # a quote that never ends
+            found = _LANG.search(page, m.start(), end if end >= 0 else len(page))
+            return found[1].lower().decode() if found else None
+    return None
+
+
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram buckets of the texts, and where each text's begin. A text is padded, so that each has some."""
     padded = [b" " + t.lower().translate(_FOLD) + b"  " for t in texts]
@@ -116,8 +127,7 @@ def _evidence(rows: DataFrame, likelihood: Likelihood, markup: bool, carry: list
     def make():
         def work(texts):
             plain = [t or b"" for t in texts]
-            declared = [m[1].lower().decode() if markup and (m := _LANG.search(t[:4096])) else None for t in plain]
-            return {"declared": declared, "log_likelihood": list(model.value([visible(t) if markup else t for t in plain]))}
+            return {"declared": [declared(t) if markup else None for t in plain], "log_likelihood": list(model.value([visible(t) if markup else t for t in plain]))}
 
         return work
 
