@@ -35,15 +35,22 @@ def test_base_measures(spark):
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.kept and r.base_failed)
 
 
+def name(i):
+    """Letters for a number: digits are alike in a normalised line."""
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def lines_of(i, n):
+    return "\n".join(" ".join(f"{i}{'abcdefghi'[j]}{'abcdefghi'[k]}" for k in range(9)) for j in range(n))
+
+
 def corpus():
     """Thirty documents of a host with one line in common, some of which hold little more, and thirty copies of one text."""
     line = "Subscribe to our  letter NOW and never miss a word of it again"
-    name = lambda i: "".join(chr(97 + int(c)) if c.isdigit() else c for c in str(i))  # noqa: E731  digits are alike in a normalised line
-    own = lambda i, n: "\n".join(" ".join(f"{name(i)}{'abcdefghi'[j]}{'abcdefghi'[k]}" for k in range(9)) for j in range(n))
-    rows = [(i, f"{line.upper() if i % 2 else line}\n{own(i, 5)}", "h") for i in range(30)]
-    rows += [(100 + i, f"{line}\nfew words left", "h") for i in range(4)]
-    rows += [(200 + i, own("copy", 6), "h") for i in range(30)] + [(300 + i, f"{own('near', 6)}\nedit {i} here", "h") for i in range(30)]
-    return rows + [(400, f"{line}\n{own('o', 3)}", "other")], line
+    rows = [(i, f"{line.upper() if i % 2 else line}\n{lines_of(name(i), 5)}", "h") for i in range(30)]
+    rows += [(100 + i, f"{line}\nfew words left {name(i)}", "h") for i in range(4)]
+    rows += [(200 + i, lines_of("copy", 6), "h") for i in range(30)] + [(300 + i, f"{lines_of('near', 6)}\nedit {name(i)} here", "h") for i in range(20)]
+    return rows + [(400, f"{line}\n{lines_of('o', 3)}", "other")], line
 
 
 def test_frequent_lines_and_depleted_documents(spark):
@@ -51,7 +58,31 @@ def test_frequent_lines_and_depleted_documents(spark):
     got = {r.doc_id: r for r in verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
     assert all(got[i].removed == [line_hash(line.encode())] and got[i].kept for i in range(30))
     assert all(got[100 + i].removed_words == 13 and not got[100 + i].kept and not got[100 + i].base_failed for i in range(4))
-    assert all(got[i].kept and not got[i].removed for i in (*range(200, 230), *range(300, 330), 400))  # copies are no boilerplate, hosts are apart
+    assert all(got[i].kept and not got[i].removed for i in (*range(200, 230), *range(300, 320), 400))  # equal texts count once, 20 are no more than the limit, hosts are apart
+
+
+def test_lines_that_go_together_do_not_hide_each_other(spark):
+    """Two long passages and a menu that many documents of one host share, beside short lines of their own."""
+    a, b = " ".join(f"a{name(i)}" for i in range(60)), " ".join(f"b{name(i)}" for i in range(55))
+    rows = [(i, f"{a}\nHome About\n{b}\n{lines_of('own' + name(i), 9)}", "h") for i in range(3000)]
+    got = verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    assert {r.removed_words for r in got} == {117} and all(r.kept for r in got)
+
+
+def test_documents_are_counted_as_a_loop_counts_them(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, "\n".join(f"line {name(rnd.randrange(40) ** 2 // 40)} of words" for _ in range(rnd.randrange(1, 12))), rnd.choice(["a", "b", None])) for i in range(300)] + [(300 + i, "x", "b") for i in range(9)]
+    rows += rows[:50]
+    documents = {}
+    for _, t, host in rows:
+        for x in set(map(line_hash, t.encode().split(b"\n"))):
+            documents.setdefault((host, x), set()).add(t)
+    for r in verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id", "text", "source"], least=9).collect():
+        lines = [(line_hash(x.encode()), len(x.split())) for x in r.text.split("\n")]
+        gone = {h for h, _ in lines if len(documents[r.source, h]) > 9}
+        assert set(r.removed) == gone and r.removed_words == sum(n for h, n in lines if h in gone)
 
 
 def test_cleaned_texts_agree_with_verdicts(spark, monkeypatch):

@@ -1,23 +1,22 @@
 """Quality rules with cross-document line frequency.
 
 Each line is normalised (ASCII lower case, digits as 0, white space as single spaces) and hashed. For each host the
-distinct documents that hold a line are counted. For a line, a document counts by its longest other line, so copies of
-one text, exact or edited elsewhere, count once and a copied document is no boilerplate. Lines above the limit are removed;
-documents left with too few words, or too small a part of them, are rejected.
+distinct documents that hold a line are counted: documents of equal text are one, any difference makes two. Lines
+above the limit are removed; documents left with too few words, or too small a part of them, are rejected. Near
+copies are documents of their own here, so what more than the limit of them share in a host goes as boilerplate;
+near-duplicate removal is another operator's.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import SPACES, Words, byte_table, map_texts, written
 
-#: A line is boilerplate for a host if more distinct documents than both have it.
-LEAST_DOCUMENTS, HOST_SHARE = 20, 0.01
+#: A line is boilerplate for a host if more distinct documents than this have it.
+LEAST_DOCUMENTS = 20
 #: A document is depleted if fewer words than this, or than this part of its words, are left.
 LEAST_WORDS, LEAST_PART = 5, 0.3
 WINDOW = 5
@@ -25,7 +24,7 @@ TABLE = byte_table(SPACES, lower=False)
 LINE = byte_table(b"", lower=True)[:48] + b"0" * 10 + byte_table(b"", lower=True)[58:]
 SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "line_key long, next_key long, lines array<struct<h: long, words: long>>"
+LINES = "lines array<struct<h: long, words: long>>"
 
 
 def normal_line(line: bytes) -> bytes:
@@ -63,12 +62,11 @@ def repeated_words(words: Words) -> np.ndarray:
     return inside[words.first[1:]] - inside[words.first[:-1]]
 
 
-def _lines(text: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """Lines with a word equal to an earlier line, the hashes of the two longest distinct lines (ties: the least; 0: none), and words by normalised line hash."""
+def _lines(text: bytes) -> tuple[int, list[tuple[int, int]]]:
+    """Lines with a word equal to an earlier line, and words by normalised line hash."""
     seen: set[bytes] = set()
     dup = 0
     words: dict[bytes, int] = {}
-    longest: dict[bytes, int] = {}
     for line in text.split(b"\n"):
         n = len(line.split())
         if not n:
@@ -79,13 +77,11 @@ def _lines(text: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
             seen.add(line)
         normal = normal_line(line)
         words[normal] = words.get(normal, 0) + n
-        longest[normal] = n
-    keys = [_hash(x) for x, _ in heapq.nsmallest(2, longest.items(), key=lambda x: (-x[1], x[0]))] + [0, 0]
-    return dup, keys[0], keys[1], [(_hash(x), n) for x, n in words.items()]
+    return dup, [(_hash(x), n) for x, n in words.items()]
 
 
 def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """For each row: the carried columns, the base measures, line_key and next_key (hashes of the two longest lines) and its lines' hashes with their words."""
+    """For each row: the carried columns, the base measures, and its lines' hashes with their words."""
 
     def make():
         def work(texts):
@@ -99,9 +95,7 @@ def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame
                 "n_symbols": [len(t) - len(t.translate(None, SYMBOLS)) for t in plain],
                 "n_dup_lines": [x[0] for x in lines],
                 "n_repeat_words": repeated_words(words),
-                "line_key": [x[1] for x in lines],
-                "next_key": [x[2] for x in lines],
-                "lines": [[{"h": h, "words": n} for h, n in x[3]] for x in lines],
+                "lines": [[{"h": h, "words": n} for h, n in x[1]] for x in lines],
             }
 
         return work
@@ -113,27 +107,37 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def frequent_lines(measures: DataFrame, host: str, least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limit. Counts are sums over distinct (host, line, other line) rows, so no group meets in one task."""
-    lines = measures.select(F.col(host).alias("host"), "line_key", "next_key", F.explode("lines").alias("l")).select("host", F.col("l.h").alias("h"), F.when(F.col("l.h") == F.col("line_key"), F.col("next_key")).otherwise(F.col("line_key")).alias("key"))
-    counts = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > least)
-    hosts = measures.select(F.col(host).alias("host"), "line_key", "next_key").distinct().groupBy("host").agg(F.count("*").alias("all_documents"))
-    return counts.join(hosts, counts.host.eqNullSafe(hosts.host)).filter(F.col("documents") > share * F.col("all_documents")).select(counts.host, "h")
+def frequent_lines(measures: DataFrame, host: str, text_key: str, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(host, h) of the lines in more than `least` distinct documents of a host.
+
+    Counts are sums over distinct (host, line, document) rows, so neither a host nor a line meets in one task.
+    """
+    lines = measures.select(F.col(host).alias("host"), F.col(text_key).alias("document"), F.explode("lines.h").alias("h"))
+    return lines.distinct().groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > least).select("host", "h")
+
+
+def text_key(text: F.Column) -> F.Column:
+    """What tells documents of unequal text apart."""
+    return F.xxhash64(text, F.length(text))
 
 
-def verdicts(docs: DataFrame, carry: list[str], text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, carry: list[str], text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS) -> DataFrame:
     """For each row: the carried columns, base measures, base_failed, removed_words, removed (hashes of its removed lines), kept.
 
     Null and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated rows are
     judged alike. Only line hashes are shuffled, never texts.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed", "kept"]
-    carry = [c for c in carry if c not in (*own, "line_key", "next_key", "lines", "__row", "__host")]
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__line_text"))
-    rows = written(measured(given, [*carry, "__host"], "__line_text").withColumn("__row", F.monotonically_increasing_id()))
-    bad = frequent_lines(rows, "__host", least, share)
+    carry = [c for c in carry if c not in (*own, "lines", "__row", "__host", "__text_key")]
+    given = docs.select(
+        *[F.col(f"`{c}`") for c in carry], F.col(f"`{host}`").alias("__host"), text_key(F.col(f"`{text}`")).alias("__text_key"), F.col(f"`{text}`").alias("__line_text")
+    )
+    rows = written(measured(given, [*carry, "__host", "__text_key"], "__line_text").withColumn("__row", F.monotonically_increasing_id()))
+    # Written, so that the join with it is of two plain exchanges: Spark then splits a line of very many documents.
+    bad = written(frequent_lines(rows, "__host", "__text_key", least))
     lines = rows.select("__row", "__host", F.explode("lines").alias("l")).select("__row", "__host", "l.h", "l.words")
-    lost = lines.join(bad, lines["__host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"])).groupBy("__row").agg(F.sum("words").alias("removed_words"), F.collect_list(lines["h"]).alias("removed"))
+    met = lines.join(bad, lines["__host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"]))
+    lost = met.groupBy("__row").agg(F.sum("words").alias("removed_words"), F.collect_list(lines["h"]).alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     return (
         rows.join(lost, "__row", "left")
@@ -145,18 +149,19 @@ def verdicts(docs: DataFrame, carry: list[str], text: str = "text", host: str =
     )
 
 
-#: Up to this many frequent lines (24 bytes each) are broadcast to the workers; more are joined by host.
+#: Up to this many frequent lines (24 bytes each) are broadcast to the workers; with more, each text's own are joined to it.
 BROADCAST_LINES = 500_000
 
 
-def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS) -> DataFrame:
     """docs without the documents that the rules reject, and without the removed lines in the texts of the others.
 
     Two passes over the texts: one to count lines, one to apply the counts. Texts are not shuffled unless there are
-    more frequent lines than BROADCAST_LINES; then each host's are joined to its documents.
+    more frequent lines than BROADCAST_LINES; then the list of its own removed lines is joined to each text.
     """
-    measures = written(measured(docs.select(F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__line_text")), ["__host"], "__line_text").select("__host", "line_key", "next_key", "lines"))
-    bad = written(frequent_lines(measures, "__host", least, share))
+    given = docs.select(F.col(f"`{host}`").alias("__host"), text_key(F.col(f"`{text}`")).alias("__text_key"), F.col(f"`{text}`").alias("__line_text"))
+    measures = written(measured(given, ["__host", "__text_key"], "__line_text").select("__host", "__text_key", "lines"))
+    bad = written(frequent_lines(measures, "__host", "__text_key", least))
     schema = docs.schema
     place, of_host = schema.fieldNames().index(text), schema.fieldNames().index(host)
     if bad.count() <= BROADCAST_LINES:
@@ -166,8 +171,11 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least: in
         known = docs.sparkSession.sparkContext.broadcast(by_host)
         given, joined = docs, False
     else:
-        lists = bad.groupBy(F.col("host").alias("__h")).agg(F.collect_set("h").alias("__bad"))
-        given, known, joined = docs.join(lists, docs[host].eqNullSafe(lists["__h"]), "left").select(*docs.columns, "__bad"), None, True
+        lines = measures.select("__host", "__text_key", F.explode("lines.h").alias("h")).distinct()
+        met = lines.join(bad, lines["__host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"]))
+        lists = written(met.groupBy("__host", "__text_key").agg(F.collect_list(lines["h"]).alias("__bad"))).withColumnsRenamed({"__host": "__h", "__text_key": "__k"})
+        own = docs[host].eqNullSafe(lists["__h"]) & (text_key(docs[text]) == lists["__k"])
+        given, known, joined = docs.join(lists, own, "left").select(*docs.columns, "__bad"), None, True
     from weftline.llm.common import small_batches, steps, task
 
     small_batches(docs.sparkSession)

@@ -39,12 +39,8 @@ l AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
 ln AS (SELECT doc_id, source, line, {_SPLIT.format("regexp_replace(" + _LOWER.format("line") + ", '[0-9]', '0', 'g')")} AS lw FROM l),
 lw AS (SELECT doc_id, source, line, array_to_string(lw, ' ') AS nl, len(lw) AS n FROM ln WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
-dl AS (SELECT doc_id, source, nl, sum(n) AS words, max(n) AS n FROM lw GROUP BY doc_id, source, nl),
-rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, nl) AS k FROM dl),
-keys AS (SELECT doc_id, max(nl) FILTER (WHERE k = 1) AS k1, coalesce(max(nl) FILTER (WHERE k = 2), '') AS k2 FROM rk GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT coalesce(k1, '') || chr(10) || coalesce(k2, '')) AS n FROM d LEFT JOIN keys USING (doc_id) GROUP BY source),
-freq AS (SELECT source, nl, count(DISTINCT CASE WHEN nl = k1 THEN k2 ELSE k1 END) AS c FROM dl JOIN keys USING (doc_id) GROUP BY source, nl),
-bad AS (SELECT source, nl FROM freq JOIN hosts USING (source) WHERE c > 20 AND c > 0.01 * n),
+dl AS (SELECT doc_id, source, nl, sum(n) AS words FROM lw GROUP BY doc_id, source, nl),
+bad AS (SELECT source, nl FROM dl JOIN d USING (doc_id, source) GROUP BY source, nl HAVING count(DISTINCT t) > 20),
 lost AS (SELECT doc_id, sum(words) AS n FROM dl JOIN bad USING (source, nl) GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
