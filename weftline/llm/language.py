@@ -3,7 +3,8 @@
 A text's likelihood under each language comes from byte trigrams counted over the labelled documents. Declared
 markup language and the language code in an address are evidence whose reliability is counted over the pages
 themselves, against what their texts say. The prior is the host's: its counts are smoothed towards its domain's,
-those towards all pages', and a page's own vote is left out. All counts are grouped sums.
+those towards all rows', and a row's own vote is left out. All counts are grouped sums. Hosts of pages and sources
+of documents are two name spaces; sources have no domains.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from weftline.llm.gam import held_out
 from weftline.llm.templates import host_of
 
 BUCKETS = 1 << 15
-#: Languages that are told apart at most: those with the most labelled text.
-MOST_LANGUAGES = 200
+#: More labelled languages than this are refused, as each takes 256 kB on the driver; none is left out. There are about 200 two-letter codes.
+MOST_LANGUAGES = 1000
 #: Trigram log-likelihoods are scaled to this many trigrams at most, as trigrams of one text depend on each other.
 EVIDENCE = 60
 #: Pseudo-counts: of a bucket, of a domain's share in a host, of all pages' share in a domain, of evidence agreeing or not.
@@ -79,10 +80,11 @@ def _counts(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     rows = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("l"))
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums = written(sums)
-    top = [r[0] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not top:
+    if (n := sums.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} labelled languages are more than MOST_LANGUAGES, {MOST_LANGUAGES}")
+    if not n:
         return {}
-    table = sums.filter(F.col("lang").isin(top)).toArrow()  # MOST_LANGUAGES * BUCKETS rows at most
+    table = sums.toArrow()  # MOST_LANGUAGES * BUCKETS rows at most
     codes = table.column("lang").combine_chunks().dictionary_encode()
     counts = np.zeros((len(codes.dictionary), BUCKETS))
     counts[codes.indices.to_numpy(), table.column("bucket").to_numpy()] = table.column("n").to_numpy()
@@ -134,55 +136,82 @@ def _evidence(rows: DataFrame, likelihood: Likelihood, markup: bool, carry: list
     return map_texts(rows, "__text", carry, "declared string, log_likelihood array<double>", make)
 
 
-def _vote(ll: F.Column, codes: list[str]) -> F.Column:
-    """The likeliest language of a text, ties to the first code; null without evidence."""
+def _vote(ll: F.Column) -> F.Column:
+    """The place, from 0, of the likeliest language of a text, ties to the first; null without evidence."""
     best = F.array_max(ll)
-    return F.when(F.array_min(ll) < best, F.element_at(F.array(*[F.lit(c) for c in codes]), F.array_position(ll, best).cast("int")))
+    return F.when(F.array_min(ll) < best, F.array_position(ll, best).cast("int") - 1)
 
 
-def identified(pages: DataFrame, likelihood: Likelihood) -> DataFrame:
-    """Adds lang, probability and text_lang to rows of (any columns), host, domain, suffix, declared, log_likelihood.
+def _numbers(values) -> F.Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
-    Host and domain priors are sums over (host, language), so a host with a third of all rows is added up in parts.
-    Rows without any evidence get the commonest language; with no languages at all, null.
+
+def _votes_by(votes: DataFrame, keys: list[str], k: int, out: str) -> DataFrame:
+    """keys and out, the number of votes of each of the k languages: sums over (keys, language), then k of those a row."""
+    counts = votes.groupBy(*keys, "vote").agg(F.sum("n").cast("double").alias("n"))
+    by_place = F.map_from_entries(F.collect_list(F.struct("vote", "n")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("__n", i), F.lit(0.0)))
+    return counts.groupBy(*keys).agg(by_place.alias("__n")).select(*keys, dense.alias(out))
+
+
+def _smoothed(counts: F.Column, towards: F.Column, weight: float) -> F.Column:
+    """Shares of the counts, with `weight` pseudo-counts dealt as the shares `towards`."""
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x) + weight
+    return F.zip_with(counts, towards, lambda n, p: (n + weight * p) / total)
+
+
+def identified(rows: DataFrame, likelihood: Likelihood) -> DataFrame:
+    """Adds lang, probability and text_lang to rows of (any columns), kind, host, domain, suffix, declared, log_likelihood; one row for each.
+
+    Priors are keyed by kind and host, domains (null: none) are joined to hosts and not to rows. Counts are sums over
+    (key, language), so a host with a third of all rows is added up in parts, and the table of hosts is written, so
+    that Spark splits such a host's rows when it joins them. Declared and address codes have two or three letters:
+    their tables have at most 18,252 and 676 rows and are broadcast. Rows without any evidence get the commonest
+    language; with no languages at all, null.
     """
     codes = likelihood.codes
     if not codes:
-        return pages.select("*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"))
+        return rows.select("*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"))
     k = len(codes)
-    rows = pages.withColumn("text_lang", _vote(F.col("log_likelihood"), codes))
-    votes = rows.filter("text_lang is not null")
-    vector = lambda name: F.array(*[F.sum((F.col("text_lang") == c).cast("double")).alias(c) for c in codes]).alias(name)
-    hosts = votes.groupBy("host", "domain").agg(vector("host_n"))
-    sums = lambda name, out: F.array(*[F.sum(F.col(name)[i]) for i in range(k)]).alias(out)
-    domains = hosts.groupBy("domain").agg(sums("host_n", "domain_n"))
-    overall = domains.agg(sums("domain_n", "n")).first()
-    total = np.array([x or 0.0 for x in overall["n"]]) + 1
-    share = F.array(*[F.lit(float(x)) for x in total / total.sum()])
-    signals = {}
+    given = rows.columns
+    rows = rows.withColumn("__vote", _vote(F.col("log_likelihood")))
+    votes = rows.filter("__vote is not null").select("kind", "host", "domain", "declared", "suffix", F.col("__vote").alias("vote"), F.lit(1).alias("n"))
+    by_host = written(votes.groupBy("kind", "host", "domain", "vote").agg(F.sum("n").alias("n")))
+    hosts = _votes_by(by_host, ["kind", "host", "domain"], k, "__host_n")
+    domains = _votes_by(by_host.filter("domain is not null"), ["domain"], k, "__domain_n").withColumnRenamed("domain", "__domain")
+    domained = hosts.filter("domain is not null").join(domains, F.col("domain") == F.col("__domain")).drop("__domain")
+    none = _numbers([0] * k)
+    hosts = written(domained.unionByName(hosts.filter("domain is null").withColumn("__domain_n", none)).select(F.col("kind").alias("__kind"), F.col("host").alias("__host"), "__host_n", "__domain_n"))
+    overall = np.ones(k)
+    for r in by_host.groupBy("vote").agg(F.sum("n").alias("n")).collect():  # k rows
+        overall[r.vote] += r.n
+    out = rows.join(hosts, (F.col("kind") == F.col("__kind")) & (F.col("host") == F.col("__host")), "left")
+    all_n = {}
     for name in ("declared", "suffix"):
-        signals[name] = votes.filter(F.col(name).isNotNull()).groupBy(name).agg(vector(f"{name}_n"))
-        of = signals[name].agg(sums(f"{name}_n", "n")).first()
-        signals[f"all_{name}"] = np.array([x or 0.0 for x in of["n"]])
-    out = rows.join(hosts.select("host", "host_n"), "host", "left").join(domains, "domain", "left")
-    for name in ("declared", "suffix"):
-        out = out.join(signals[name], name, "left")
-    own = lambda i: F.coalesce((F.col("text_lang") == codes[i]).cast("double"), F.lit(0.0))
-    n = lambda name, i: F.coalesce(F.greatest(F.col(name)[i] - own(i), F.lit(0.0)), F.lit(0.0))
+        table = written(_votes_by(votes.filter(F.col(name).isNotNull()), [name], k, f"__{name}_n"))
+        all_n[name] = [float(x or 0) for x in table.agg(F.array(*[F.sum(F.col(f"__{name}_n")[i]) for i in range(k)])).first()[0]]
+        out = out.join(F.broadcast(table.withColumnRenamed(name, f"__{name}")), F.col(name) == F.col(f"__{name}"), "left")
+    languages_ = F.array(*[F.lit(c) for c in codes])
 
-    def prior(i: int):
-        d = (n("domain_n", i) + DOMAIN * share[i]) / (sum(n("domain_n", j) for j in range(k)) + DOMAIN)
-        return (n("host_n", i) + HOST * d) / (sum(n("host_n", j) for j in range(k)) + HOST)
+    def others(counts: str) -> F.Column:
+        """The counts without the row's own vote."""
+        return F.transform(F.coalesce(F.col(counts), none), lambda n, i: F.when(i == F.col("__vote"), F.greatest(n - 1, F.lit(0.0))).otherwise(n))
 
-    def signal(name: str, i: int):
+    def signal(name: str) -> F.Column:
         """P(value | language): counted, towards agreement of value and code; a value that no language has says nothing."""
-        agrees = F.when(F.col(name) == codes[i], F.lit(0.9)).when(F.col(name).isin(codes), F.lit(0.1 / k)).otherwise(F.lit(0.5))
-        return F.when(F.col(name).isNull(), F.lit(1.0)).otherwise((n(f"{name}_n", i) + SIGNAL * agrees) / (F.lit(float(signals[f"all_{name}"][i])) + SIGNAL))
+        known = F.array_contains(languages_, F.col(name))
+        agrees = F.transform(languages_, lambda c: F.when(c == F.col(name), F.lit(0.9)).when(known, F.lit(0.1 / k)).otherwise(F.lit(0.5)))
+        hit = F.zip_with(others(f"__{name}_n"), agrees, lambda n, p: n + SIGNAL * p)
+        share = F.zip_with(hit, _numbers(all_n[name]), lambda n, total: n / (total + SIGNAL))
+        return F.when(F.col(name).isNull(), _numbers([1] * k)).otherwise(share)
 
-    log = F.array(*[F.col("log_likelihood")[i] + F.log(prior(i)) + F.log(signal("declared", i)) + F.log(signal("suffix", i)) for i in range(k)])
-    out = out.withColumn("__log", log).withColumn("__best", F.array_max("__log"))
+    out = out.withColumn("__prior", _smoothed(others("__host_n"), _smoothed(others("__domain_n"), _numbers(overall / overall.sum()), DOMAIN), HOST))
+    for name in ("declared", "suffix"):
+        out = out.withColumn("__prior", F.zip_with("__prior", signal(name), lambda p, s: p * s))
+    out = out.withColumn("__log", F.zip_with("log_likelihood", "__prior", lambda ll, p: ll + F.log(p))).withColumn("__best", F.array_max("__log"))
     weight = F.aggregate("__log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("__best")))
-    return out.select(*pages.columns, F.element_at(F.array(*[F.lit(c) for c in codes]), F.array_position("__log", F.col("__best")).cast("int")).alias("lang"), (F.lit(1.0) / weight).alias("probability"), "text_lang")
+    lang = F.element_at(languages_, F.array_position("__log", F.col("__best")).cast("int"))
+    return out.select(*given, lang.alias("lang"), (F.lit(1.0) / weight).alias("probability"), F.try_element_at(languages_, F.col("__vote") + 1).alias("text_lang"))
 
 
 def address_code(url: F.Column) -> F.Column:
@@ -193,23 +222,35 @@ def address_code(url: F.Column) -> F.Column:
     return F.coalesce(*[F.nullif(F.lower(x), F.lit("")) for x in (path, first, last)])
 
 
+#: Second-level labels under which countries register names, so that a domain has one label more.
+REGISTRIES = ("ac", "co", "com", "edu", "gov", "net", "org")
+
+
+def domain_of(host: F.Column) -> F.Column:
+    """The registered name in a host: its last two labels, three under a country's registry label such as co.uk; null if it has no dot."""
+    long = F.regexp_extract(host, rf"([^.]+\.(?:{'|'.join(REGISTRIES)})\.[a-z]{{2}})$", 1)
+    return F.coalesce(F.nullif(long, F.lit("")), F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")))
+
+
 def page_evidence(pages: DataFrame, likelihood: Likelihood, carry: list[str], url: str = "url", html: str = "html") -> DataFrame:
-    """Carried columns, host, domain, suffix, declared, log_likelihood of pages. Null html has no text and declares nothing, a null url no host."""
+    """Carried columns, kind, host, domain, suffix, declared, log_likelihood of pages. Null html has no text and declares nothing; pages with a null url are of one host."""
     host = host_of(F.col(url))
-    given = pages.select(*carry, host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), address_code(F.col(url)).alias("suffix"), F.col(html).alias("__text"))
-    return _evidence(given, likelihood, True, [*carry, "host", "domain", "suffix"])
+    given = pages.select(*carry, F.lit("page").alias("kind"), host.alias("host"), domain_of(host).alias("domain"), address_code(F.col(url)).alias("suffix"), F.col(html).alias("__text"))
+    return _evidence(given, likelihood, True, [*carry, "kind", "host", "domain", "suffix"])
 
 
 def document_evidence(docs: DataFrame, likelihood: Likelihood, carry: list[str], host: str = "source", text: str = "text") -> DataFrame:
-    """The same of plain documents, whose host is their source."""
-    given = docs.select(*carry, F.coalesce(F.col(host), F.lit("")).alias("host"), F.lit("").alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col(text).alias("__text"))
-    return _evidence(given, likelihood, False, [*carry, "host", "domain", "suffix"])
+    """The same of plain documents, whose host is their source (null: one of its own)."""
+    none = F.lit(None).cast("string")
+    source = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
+    given = docs.select(*carry, F.lit("document").alias("kind"), source.alias("host"), none.alias("domain"), none.alias("suffix"), F.col(text).alias("__text"))
+    return _evidence(given, likelihood, False, [*carry, "kind", "host", "domain", "suffix"])
 
 
 def languages(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page_id, lang, probability, text_lang, declared, suffix: a row for each document (page_id null) and each page (doc_id null).
+    """doc_id, page_id, lang, probability, text_lang, declared, suffix: one row for each document (page_id null) and each page (doc_id null).
 
-    Trained on the documents' lang, which is no input of a document's own result beyond the trigram counts.
+    Repeated rows are rows of their own with equal results. Trained on the documents' lang, which is no input of a document's own result beyond the trigram counts.
     """
     likelihood = trained(docs)
     one = document_evidence(docs.withColumn("page_id", F.lit(None).cast("long")), likelihood, ["doc_id", "page_id"])
