@@ -1,7 +1,9 @@
 import html
 import re
 
-from weftline.llm.templates import deduced, extracted, main_texts, role_hash
+from pyspark.sql import functions as F
+
+from weftline.llm.templates import deduced, extracted, host_of, main_texts, token_of
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -18,7 +20,8 @@ def test_slots_without_article_elements(spark):
     page = lambda i: f'<html><body><div id="top"><a href="/">Home</a></div><div class="c{i % 1}"><h2>Title {i}</h2><p>{" ".join(f"word{i}{k}" for k in range(40))}<p>more &eacute; {i}</div><div id="rail">Weather today</div></body></html>'
     rows = [(i, f"http://site.example/{i}", page(i)) for i in range(8)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert deduced(df).collect() == [("site.example", role_hash("/html/body/div.c0"))]
+    found = deduced(df.select(host_of(F.col("url")).alias("host"), "html")).collect()
+    assert [(r.host, r.region) for r in found] == [("site.example", [token_of("/html/body/div.c0", False)])]
     for r in main_texts(df, ["page_id"]).collect():
         assert r.text == f"Title {r.page_id} " + " ".join(f"word{r.page_id}{k}" for k in range(40)) + f" more é {r.page_id}"
 
@@ -29,16 +32,16 @@ def test_boilerplate_in_and_around_an_article():
     <p>One<b>two</b> three<br>four &#x41;&nbsp;B<p>Five <!-- no --> six<div class="ad-slot">Buy</div><form><input value="x">Send</form>
     <table><tr><td>a<td>b</table><pre>x
       y</pre><section id="comments"><p>Nice post!</section></article></main><footer>Foot</footer></body></html>"""
-    assert extracted(page, None) == "Head & line Onetwo three four A B Five six a b x y"
+    assert extracted(page) == "Head & line Onetwo three four A B Five six a b x y"
 
 
 def test_broken_markup():
-    assert extracted("<article><p>a<p class='x>y' z>b</q></article></div>c", None) == "a b"
-    assert extracted("plain <unclosed text", None) == "plain"
-    assert extracted("a<!-- open", None) == "a"
-    assert extracted("<p>x<script>never ended", None) == "x"
-    assert extracted("<article><p>1 < 2 & 3</article>", None) == "1 < 2 & 3"
-    assert extracted("<article>" + "<b><p>w " * 3000 + "</article>", None).count("w") == 3000
+    assert extracted("<article><p>a<p class='x>y' z>b</q></article></div>c") == "a b"
+    assert extracted("plain <unclosed text") == "plain"
+    assert extracted("a<!-- open") == "a"
+    assert extracted("<p>x<script>never ended") == "x"
+    assert extracted("<article><p>1 < 2 & 3</article>") == "1 < 2 & 3"
+    assert extracted("<article>" + "<b><p>w " * 3000 + "</article>").count("w") == 3000
 
 
 def test_odd_and_empty_tables(spark):
@@ -54,5 +57,83 @@ def test_without_broadcast(spark, monkeypatch):
 
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = sorted(main_texts(df, ["page_id"]).collect())
-    monkeypatch.setattr(templates, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(templates, "BROADCAST_TOKENS", 0)
     assert sorted(main_texts(df, ["page_id"]).collect()) == want
+
+
+def article_of(page):
+    body = re.search(r"(?s)<article>(.*)</article>", page)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|br|h1)>", " ", body))).split())
+
+
+def test_the_template_finds_the_text_without_any_names(spark):
+    """Pages whose elements are all plain div elements with names that say nothing: slots alone decide, on every host with a template."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    bare = [("article", "q"), ("nav", "m"), ("footer", "f")]
+
+    def plain(page):
+        for name, k in bare:
+            page = page.replace(f"<{name}>", f'<div class="{k}">').replace(f"</{name}>", "</div>")
+        return page.replace('class="ad"', 'class="k"').replace("<h1>", '<div class="z">').replace("</h1>", "</div>")
+
+    df = spark.createDataFrame([(r.page_id, r.url, plain(r.html)) for r in rows], SCHEMA)
+    hosts = {r.page_id: r.host for r in df.select("page_id", host_of(F.col("url")).alias("host")).collect()}
+    many = {r.host for r in deduced(df.select(host_of(F.col("url")).alias("host"), "html")).collect()}
+    got = {r.page_id: r.text for r in main_texts(df, ["page_id"]).collect()}
+    want = {r.page_id: article_of(r.html) for r in rows}
+    assert len(many) > 10 and sum(hosts[i] in many for i in want) > 150
+    for i, text in want.items():
+        if hosts[i] in many:
+            assert got[i] == text
+    alone = main_texts(df.limit(1), ["page_id", "url"]).collect()[0]  # no template: menus stay in
+    assert alone.text != want[alone.page_id]
+
+
+def test_classes_are_those_of_plain_counts(spark):
+    """Tokens, vectors and classes by loops over small hosts."""
+    import random
+    from collections import Counter, defaultdict
+
+    from weftline.llm.templates import classes, page_tokens
+
+    rnd = random.Random(2)
+    words = ["one", "two", "three", "four"]
+    rows = [(f"h{rnd.randrange(3)}", f"<body><div>fixed text here {rnd.choice(words)}</div>" + "<p>" * rnd.randrange(3) + " ".join(rnd.choices(words, k=5)) + rnd.choice(["", "<ul><li>x</ul>"])) for _ in range(40)]
+    rows += rows[:6]
+    pages, seen = Counter(h for h, _ in rows), defaultdict(dict)
+    for i, (h, t) in enumerate(rows):
+        for token, (n, _) in page_tokens(t).items():
+            seen[h, token][i] = n
+    want = {(h, t): frozenset(v.items()) for (h, t), v in seen.items() if len(v) >= 3 and 2 * len(v) >= pages[h]}
+    got = {(r.host, r.token): r for r in classes(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert set(got) == set(want)
+    groups = defaultdict(set)
+    for k, r in got.items():
+        groups[k[0], r["class"]].add(want[k])
+        assert r.pages == len(want[k]) and r.all_pages == pages[k[0]] and r.once == all(n == 1 for _, n in want[k])
+    assert all(len(x) == 1 for x in groups.values()) and len(groups) == len({(k[0], v) for k, v in want.items()})
+
+
+def test_nested_containers_keep_heading_and_lead(spark):
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    page = lambda i: f"<body><div>Menu Start End</div><article><h1>Title {i}</h1><p>Lead {i}</p><div class=body>{text(i, 90)}</div><p>Share this with all of your friends</p><section>{text(i + 100, 30)}</section></article><div>foot {i}</div>"
+    df = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(6)], SCHEMA)
+    for r in main_texts(df, ["page_id"]).collect():
+        assert r.text == f"Title {r.page_id} Lead {r.page_id} {text(r.page_id, 90)} {text(r.page_id + 100, 30)}"  # the line that is the template's goes
+    two = lambda i: f"<body><div class=a>Menu {i}</div><div class=w><h2>Head {i}</h2><div class=b>{text(i, 60)}</div><div class=c>{text(i + 50, 40)}</div></div><div class=d>buy {i} now</div>"
+    df = spark.createDataFrame([(i, f"http://a/{i}", two(i)) for i in range(6)], SCHEMA)
+    for r in main_texts(df, ["page_id"]).collect():
+        assert r.text == f"Head {r.page_id} {text(r.page_id, 60)} {text(r.page_id + 50, 40)}"
+
+
+def test_class_names_of_a_state_or_of_most_text_are_no_boilerplate():
+    assert extracted('<body><div class="layout has-sidebar"><p>Main text of it</div>') == "Main text of it"
+    assert extracted('<body><div class="widget-area-off share-buttons-on"><p>Main text of it</div>') == "Main text of it"
+    assert extracted('<body><div class="sidebar-layout"><p>Main text of it</p><div class="sidebar">Links</div></div>') == "Main text of it"
+    assert extracted('<article><p>Text</p><div class="comments"><p>A comment that is far longer than the text</p></div></article>') == "Text"
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    page = "<body><div>Menu Start End</div><article><h1>One title</h1><p>the very same text on each page of it</article>"
+    got = main_texts(spark.createDataFrame([(i, f"http://a/{i}", page) for i in range(5)], SCHEMA), ["page_id"]).collect()
+    assert [r.text for r in got] == ["One title the very same text on each page of it"] * 5

@@ -1,28 +1,44 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A token is an element's role: the path of its tag and class names from the root. Its occurrence vector says how
-often it occurs in each page of a host; tokens with equal vectors are an equivalence class. Vectors are compared
-by sums that any order of partial aggregation gives: pages, occurrences and a hash over (page, count). A class of
-tokens that occur exactly once in most pages of the host is valid, ancestors' classes contain their descendants',
-and so valid classes nest into the host's template. Of its slots the main one is the deepest that holds most of
-the text outside boilerplate elements. That slot is extracted whole; what surrounds it is the template's.
+Tokens of a page are its block elements, each by its role (the path of tag and class names from the root), and the
+words of its text, each by the role of the element that holds it. A token's occurrence vector says how often it occurs in each
+page of a host; tokens with equal vectors are an equivalence class. Vectors are compared by sums that any order of
+partial aggregation gives: pages, occurrences, and hashes of (page, count). A class is valid if it is in enough pages,
+and if its elements, once a page each, come in one order. Valid classes are split by the slot of other classes in
+which they lie, and so nest into the host's template. What is in no class is the slots' text. The slot with the most of it
+is the main one. Extracted is the article around it if there is one, or else the slots with much text together with
+their headings; text that is wholly the words of one class is the template's and left out.
+
+Element names that the HTML standard gives to other things than the text (menus, forms) are left out wherever they
+stand. Words of class names decide between slots only where text alone does not tell, such as reader comments.
+Pages of hosts with fewer than LEAST_PAGES pages, and pages without the slots of their host, have no template:
+their article or main elements are taken, or else all text outside boilerplate elements.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_texts, written
+from weftline.llm.common import small_batches, steps, task, written
 
-#: A class is valid if its tokens are in at least this part of a host's pages; the main slot holds at least this part of the text.
-SUPPORT, MAIN_PART = 0.5, 0.6
-#: Up to this many hosts the deduced templates (16 bytes a host) are broadcast; more are joined.
-BROADCAST_HOSTS = 200_000
+#: A class is valid if its tokens are in at least this part of a host's pages and in LEAST_PAGES of them, and if this part of these has its elements in one order.
+SUPPORT, LEAST_PAGES, ORDERED = 0.5, 3, 0.9
+#: Words are the template's if their class has at least this many.
+LEAST_WORDS = 3
+#: A slot counts beside the main one if it holds this part of that one's text, and not half of it in links.
+LARGE = 0.25
+#: Up to this many tokens (some 100 bytes each in a worker) all hosts' templates are broadcast; more are joined by host. A host has twice as many as a page of it on average at most.
+BROADCAST_TOKENS = 200_000
+#: Tokens that a task adds up before it passes them on.
+HELD = 400_000
 
 # Element names and class words of the HTML standard and of common use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +53,10 @@ WORDS_OUTSIDE = frozenset(
     promotion recommended related replies reply responses share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription
     toolbar topbar widget widgets""".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus discussion replies reply responses".split())
+#: Words beside which a boilerplate word in a class name is a state of the whole and not the name of a part.
+STATE_WORDS = frozenset("has have is no not off on open show shows sticky with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES_OUTSIDE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(
@@ -49,148 +69,219 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-def _names(rest: str) -> tuple[str, bool]:
-    """What a tag's attributes add to its role, and whether they mark boilerplate."""
+def _names(rest: str) -> tuple[str, int, bool]:
+    """What a tag's attributes add to its role, whether their words mark boilerplate (1) or comments (2), and whether the element is hidden."""
     if "=" not in rest and "hidden" not in rest:
-        return "", False
+        return "", 0, False
     a: dict[str, str] = {}
     for k, x, y, z in ATTRIBUTE.findall(rest):
         a.setdefault(k.lower(), x or y or z)
-    names = " ".join(sorted(set((a.get("class", "") + " " + a.get("id", "")).split())))
-    words = {w.lower() for w in NAME_WORDS.findall(names)}
-    outside = bool(words & WORDS_OUTSIDE) or a.get("role", "").lower() in ROLES_OUTSIDE or "hidden" in a or a.get("aria-hidden") == "true"
-    return ("." + re.sub(r"\d+", "0", names) if names else ""), outside
+    names = sorted(set((a.get("class", "") + " " + a.get("id", "")).split()))
+    mark = int(a.get("role", "").lower() in ROLES_OUTSIDE)
+    for name in names:
+        words = {w.lower() for w in NAME_WORDS.findall(name)}
+        if words & WORDS_OUTSIDE and not words & STATE_WORDS:
+            mark = max(mark, 2 if words & COMMENT_WORDS else 1)
+    return ("." + re.sub(r"\d+", "0", " ".join(names)) if names else ""), mark, "hidden" in a or a.get("aria-hidden") == "true"
 
 
-_roles: dict[str, int] = {}
+_hashes: dict[str, int] = {}
 
 
-def role_hash(path: str) -> int:
-    h = _roles.get(path)
+def token_of(text: str, word: bool) -> int:
+    """A token's number: even for elements, odd for words."""
+    h = _hashes.get(text)
     if h is None:
         import xxhash
 
-        if len(_roles) > 100_000:
-            _roles.clear()
-        h = xxhash.xxh64_intdigest(path, 0)
-        h = _roles[path] = h - (1 << 64) if h >> 63 else h
+        if len(_hashes) > 200_000:
+            _hashes.clear()
+        h = xxhash.xxh64_intdigest(text, int(word)) >> 2 << 1 | word
+        _hashes[text] = h
     return h
 
 
-class _Open:
-    __slots__ = ("name", "outside", "path", "role")
+class Element:
+    """An open tag: `path` is its role, or that of the block around an inline element; `out` says that it, or one around it, is no part of a text."""
 
-    def __init__(self, name: str, path: str, role: int | None, outside: bool) -> None:
-        self.name, self.path, self.role, self.outside = name, path, role, outside
+    __slots__ = ("chars", "frame", "mark", "name", "out", "parent", "path", "token")
 
+    def __init__(self, name: str, parent: Element | None, path: str, mark: int, out: bool) -> None:
+        self.name, self.parent, self.path, self.mark, self.out = name, parent, path, mark, out
+        self.token = token_of(path, False)
+        self.chars = 0
+        self.frame: Element | None = None
 
-def events(page: str) -> Iterator[tuple[str, object, tuple[_Open, ...] | list[_Open]]]:
-    """("open", element, stack), ("close", element, stack), ("text", raw text, stack) and ("break", None, stack) in page order."""
-    stack: list[_Open] = []
+    def up(self) -> Iterator[Element]:
+        e: Element | None = self
+        while e is not None:
+            yield e
+            e = e.parent
+
+
+OPEN, CLOSE, TEXT, BREAK = range(4)
+_CELLS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HOLDS = frozenset("ul ol dl table select nav header footer aside blockquote form".split())
+
+
+def parsed(page: str) -> list[tuple[int, Element, str]]:
+    """A page in order: elements opened and closed, raw texts with the element that holds them, and breaks between blocks."""
+    root = Element("", None, "", 0, False)
+    items: list[tuple[int, Element, str]] = []
+    stack = [root]
     at, n = 0, len(page)
-    names: dict[str, tuple[str, bool]] = {}
+    names: dict[str, tuple[str, int, bool]] = {}
+
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            items.append((CLOSE, stack.pop(), ""))
+
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            yield "text", page[at:], stack
+            items.append((TEXT, stack[-1], page[at:]))
             break
         if m.start() > at:
-            yield "text", page[at : m.start()], stack
+            items.append((TEXT, stack[-1], page[at : m.start()]))
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                yield "text", _html.escape(m[0][9:].removesuffix("]]>")), stack
+                items.append((TEXT, stack[-1], _html.escape(m[0][9:].removesuffix("]]>"))))
             continue
         if m["end"] or m["end2"]:
             if name in BLOCK:
-                yield "break", None, stack
-            for i in range(len(stack) - 1, -1, -1):
+                items.append((BREAK, stack[-1], ""))
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
-                    while len(stack) > i:
-                        yield "close", stack.pop(), stack
+                    close(i)
                     break
                 if stack[i].name in ("article", "main", "body", "html", "td", "table") and name not in CONTAINER and name not in BLOCK:
                     break
             continue
         if name in BLOCK:
-            yield "break", None, stack
+            items.append((BREAK, stack[-1], ""))
         if name in VOID:
             continue
-        if name in ENDS_P or name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            own = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
+        if name in ENDS_P or name in _CELLS:
+            own = _CELLS.get(name, ("p",))
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in own:
-                    while len(stack) > i:
-                        yield "close", stack.pop(), stack
+                    close(i)
                     break
-                if stack[i].name in CONTAINER and stack[i].name not in own or stack[i].name in ("ul", "ol", "dl", "table", "select", "nav", "header", "footer", "aside", "blockquote", "form"):
+                if (stack[i].name in CONTAINER and stack[i].name not in own) or stack[i].name in _HOLDS:
                     break
         rest = m["rest"] or m["rest2"] or ""
-        if rest not in names:
-            names[rest] = _names(rest)
-        extra, outside = names[rest]
-        above = stack[-1] if stack else None
-        outside = (outside and name not in ("html", "body", "article", "main")) or name in OUTSIDE or (name == "header" and not any(x.name in ("article", "main") for x in stack)) or bool(above and above.outside)
-        path = (above.path if above else "") + (f"/{name}{extra}" if name in CONTAINER or outside and not (above and above.outside) else "")
-        element = _Open(name, path, role_hash(path) if name in CONTAINER and not outside else None, outside)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if rest.endswith("/") and name in ("svg", "math", "path"):
             continue
+        if rest not in names:
+            names[rest] = _names(rest)
+        extra, mark, hidden = names[rest]
+        above = stack[-1]
+        whole = name in ("html", "body", "article", "main")
+        out = above.out or name in OUTSIDE or (hidden and not whole) or (name == "header" and not any(x.name in ("article", "main") for x in stack))
+        element = Element(name, above, f"{above.path}/{name}{extra}" if name in BLOCK else above.path, 0 if whole else mark, out)
         stack.append(element)
-        yield "open", element, stack
-    while stack:
-        yield "close", stack.pop(), stack
-
-
-def measured_page(page: str | None) -> list[dict]:
-    """A page's container roles outside boilerplate: hash, occurrences, depth, characters of text inside."""
+        items.append((OPEN, element, ""))
+    close(1)
+    return items
+
+
+def joined(pieces: list[tuple[Element, str]]) -> str:
+    """A block's text: white space is single, and none is around it."""
+    return " ".join("".join(t for _, t in pieces).split())
+
+
+def blocks(items: list[tuple[int, Element, str]]) -> Iterator[list[tuple[Element, str]]]:
+    """Runs of text between breaks, outside the elements that are no part of a text: pieces with the elements that hold them, references decoded."""
+    pieces: list[tuple[Element, str]] = []
+    for kind, e, raw in items:
+        if kind == TEXT and not e.out:
+            if pieces and pieces[-1][0].path != e.path:
+                yield pieces
+                pieces = []
+            pieces.append((e, _html.unescape(raw)))
+        elif kind == BREAK and pieces:
+            yield pieces
+            pieces = []
+    if pieces:
+        yield pieces
+
+
+def page_tokens(page: str) -> dict[int, list[int]]:
+    """A page's tokens: how often each occurs, and its first place."""
     found: dict[int, list[int]] = {}
-    for kind, x, stack in events(page or ""):
-        if kind == "open" and x.role is not None:
-            r = found.setdefault(x.role, [0, x.path.count("/"), 0])
-            r[0] += 1
-        elif kind == "text" and stack and not stack[-1].outside and not x.isspace():
-            size, seen = len(x.strip()), set()
-            for e in stack:
-                if e.role is not None and e.role not in seen:
-                    seen.add(e.role)
-                    found[e.role][2] += size
-    return [{"role": k, "times": v[0], "depth": v[1], "chars": v[2]} for k, v in found.items()]
-
-
-def extracted(page: str | None, main: int | None) -> str:
-    """The text of a page's main slot: the elements of role `main`, or else its article or main elements, or all of it outside boilerplate."""
-    if not page:
-        return ""
-    within: dict[str, tuple[list[str], int]] = {"slot": ([], 0), "article": ([], 0), "page": ([], 0)}
-    parts: dict[str, list[str]] = {k: v[0] for k, v in within.items()}
-    inside = {"slot": 0, "article": 0}
-    for kind, x, stack in events(page):
-        if kind == "text":
-            if not stack or not stack[-1].outside:
-                text = _html.unescape(x)
-                parts["page"].append(text)
-                for k in ("slot", "article"):
-                    if inside[k]:
-                        parts[k].append(text)
-        elif kind == "break":
-            for k in parts:
-                parts[k].append(" ")
-        else:
-            step = 1 if kind == "open" else -1
-            if main is not None and x.role == main:
-                inside["slot"] += step
-            if x.name in ("article", "main") and not x.outside:
-                inside["article"] += step
-    for k in ("slot", "article", "page"):
-        text = " ".join("".join(parts[k]).split())
-        if text:
-            return text
-    return ""
+    place = 0
+    for kind, e, raw in parsed(page):
+        tokens = []
+        if kind == OPEN and e.name in BLOCK:
+            tokens = [e.token]
+        elif kind == TEXT and not raw.isspace():
+            tokens = [token_of(f"{e.path}\x00{w}", True) for w in _html.unescape(raw).split()]
+        for t in tokens:
+            if x := found.get(t):
+                x[0] += 1
+            else:
+                found[t] = [1, place]
+            place += 1
+    return found
+
+
+#: The token that each page has once, so that its number of pages is the host's; and what stands for one where a class's order is counted.
+PAGE, ORDER = -1, -2
+
+
+def _reduced(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Arrays (host, token, pages, times, vector) summed up by host and token, in their order."""
+    host, token, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((token, host))
+    host, token = host[order], token[order]
+    first = np.flatnonzero(np.concatenate(([True], (host[1:] != host[:-1]) | (token[1:] != token[:-1]))))
+    return host[first], token[first], *[np.add.reduceat(x[order], first) for x in sums]
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pages (host, page, html) of a task by host and token."""
+    names: dict[str, int] = {}
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def emitted(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        hosts = pa.DictionaryArray.from_arrays(pa.array(rows[0], pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([hosts, *[pa.array(x, pa.int64()) for x in rows[1:]]], names=["host", "token", "pages", "times", "vector"])
+
+    with task(__name__):
+        for batch in batches:
+            hosts, pages, texts = (c.to_pylist() for c in batch.columns)
+            for lo, hi in steps([len(t or "") for t in texts]):
+                host, token, times, page = [], [], [], []
+                for h, p, t in zip(hosts[lo:hi], pages[lo:hi], texts[lo:hi], strict=True):
+                    found = page_tokens(t or "")
+                    found[PAGE] = [1, 0]
+                    host.append(np.full(len(found), names.setdefault(h, len(names))))
+                    token.append(np.fromiter(found, np.int64, len(found)))
+                    times.append(np.fromiter((x[0] for x in found.values()), np.int64, len(found)))
+                    page.append(np.full(len(found), p))
+                n = np.concatenate(times)
+                vector = _mixed(np.concatenate(page), n)
+                parts.append(_reduced([(np.concatenate(host), np.concatenate(token), np.ones(len(n), np.int64), n, vector)]))
+                if sum(len(x[0]) for x in parts) > HELD:
+                    parts = [_reduced(parts)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield emitted(parts[0])
+                        parts, names = [], {}
+        if parts:
+            yield emitted(_reduced(parts))
+
+
+def _mixed(page: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """31 bits for each (page, count): sums of them cannot overflow."""
+    from weftline.llm.common import mixed
+
+    return (mixed(page.view(np.uint64) + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -198,52 +289,313 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def deduced(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, main): the role of the main slot of each host's template, for the hosts that have one."""
-
-    def make():
-        return lambda texts: {"tokens": [measured_page(t.decode("utf-8", "replace") if t else "") for t in texts]}
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, token, class, pages, all_pages, once) of the tokens of pages (host, html) that are in enough pages of their host, by equivalence class.
 
-    given = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("__html"), F.xxhash64(url, F.length(html), F.substring(html, 1, 4096)).alias("page"))
-    rows = map_texts(given, "__html", ["host", "page"], "tokens array<struct<role: long, times: long, depth: long, chars: long>>", make)
-    seen = written(rows)
-    hosts = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    tokens = seen.select("host", "page", F.explode("tokens").alias("t")).groupBy("host", "t.role").agg(
-        F.count("*").alias("in_pages"), F.sum("t.times").alias("times"), F.bit_xor(F.xxhash64("page", "t.times")).alias("vector"), F.max("t.depth").alias("depth"), F.sum("t.chars").alias("chars")
-    )
-    return nested(tokens.join(hosts, "host"))
+    One shuffle of sums by (host, token), which tasks add up before it; pages are not shuffled.
+    """
+    small_batches(pages.sparkSession)
+    given = pages.select("host", F.xxhash64("host", "html").alias("page"), "html")
+    sums = given.mapInArrow(_counter, "host string, token long, pages long, times long, vector long").groupBy("host", "token")
+    counts = written(sums.agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector")]).filter(f"pages >= {LEAST_PAGES}"))
+    hosts = counts.filter(f"token = {PAGE}").select(F.col("host").alias("__host"), F.col("pages").alias("all_pages"))
+    enough = counts.filter(f"token != {PAGE}").join(hosts, F.col("host") == F.col("__host")).filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    return enough.select("host", "token", F.xxhash64("pages", "times", "vector").alias("class"), "pages", "all_pages", (F.col("times") == F.col("pages")).alias("once"))
 
 
-def nested(tokens: DataFrame) -> DataFrame:
-    """The main slot of each host from its tokens: valid classes by support, then the deepest token that holds enough text."""
-    classes = tokens.groupBy("host", "in_pages", "times", "vector", "pages").agg(F.collect_list(F.struct("depth", "chars", "role")).alias("tokens"))
-    valid = classes.filter((F.col("times") == F.col("in_pages")) & (F.col("in_pages") >= SUPPORT * F.col("pages")))
-    most = tokens.groupBy("host").agg(F.max("chars").alias("all_chars"))
-    slots = valid.select("host", "in_pages", F.explode("tokens").alias("t")).join(most, "host").filter((F.col("t.chars") > 0) & (F.col("t.chars") >= MAIN_PART * F.col("all_chars")))
-    return slots.groupBy("host").agg(F.max_by("t.role", F.struct("t.depth", "in_pages", "t.chars", "t.role")).alias("main"))
+def _known(tokens: DataFrame) -> DataFrame:
+    """(host, tokens, classes) of the tokens that a template may use: elements that occur once, and words of classes with LEAST_WORDS of them."""
+    word = F.col("token") % 2 != 0
+    many = tokens.filter(word).groupBy("host", "class").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_WORDS}").select(F.col("host").alias("__host"), F.col("class").alias("__class"))
+    words = tokens.filter(word).join(many, (F.col("host") == F.col("__host")) & (F.col("class") == F.col("__class"))).select("host", "token", "class")
+    return _lists(tokens.filter(~word & F.col("once")).select("host", "token", "class").union(words))
+
+
+def _lists(tokens: DataFrame) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct("token", "class")))
+    return tokens.groupBy("host").agg(pairs.alias("p")).select("host", F.col("p.token").alias("tokens"), F.col("p.class").alias("classes"))
+
+
+def _with_templates(pages: DataFrame, templates: DataFrame, names: list[str], run: Callable) -> Callable[[str], DataFrame]:
+    """run(rows) over batches of rows (the columns of pages, then `names` of the page's host): broadcast if they are few, else joined by host."""
+    small_batches(pages.sparkSession)
+    many = templates.agg(F.sum(F.size("tokens") + 4)).first()[0] or 0
+    k = len(pages.columns)
+    if many <= BROADCAST_TOKENS:
+        own = {r["host"]: tuple(r[n] for n in names) for r in templates.collect()}
+        known = pages.sparkSession.sparkContext.broadcast(own)
+        place = pages.columns.index("host")
+        none = (None,) * len(names)
+
+        def pick(part: pa.RecordBatch) -> list[tuple]:
+            return [known.value.get(h, none) for h in part.column(place).to_pylist()]
+
+        given = pages
+    else:
+        side = templates.select(F.col("host").alias("__host"), *names)
+        given = pages.join(side, F.col("host") == F.col("__host"), "left").select(*pages.columns, *names)
+
+        def pick(part: pa.RecordBatch) -> list[tuple]:
+            return list(zip(*[c.to_pylist() for c in part.columns[k:]], strict=True))
+
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task(__name__):
+            yield from run(((batch, lo, hi, pick(batch.slice(lo, hi - lo))) for batch in batches for lo, hi in steps(_sizes(batch.column(k - 1)))))
+
+    return lambda schema: given.mapInArrow(work, schema)
+
+
+def _sizes(texts: pa.Array) -> list[int]:
+    import pyarrow.compute as pc
+
+    return [n or 0 for n in pc.binary_length(texts).to_pylist()]
+
+
+class _Words:
+    """Which blocks of a page are a class's own words."""
+
+    def __init__(self, known: dict[int, int]) -> None:
+        self.known = known
+
+    def template(self, pieces: list[tuple[Element, str]]) -> bool:
+        found = {self.known.get(token_of(f"{e.path}\x00{w}", True)) for e, t in pieces for w in t.split()}
+        return len(found) == 1 and None not in found
+
+
+def _frames(items: list[tuple[int, Element, str]], known: dict[int, int]) -> list[Element]:
+    """The page's elements of the host's classes, in order; every element's `frame` is the nearest of them around it, or itself."""
+    found = []
+    for kind, e, _ in items:
+        if kind == OPEN:
+            e.frame = e.parent.frame if e.parent else None
+            if e.name in BLOCK and e.token in known:
+                e.frame = e
+                found.append(e)
+    return found
+
+
+#: Bits of an element in a template.
+IS_OUT, IS_MARKED, IS_ARTICLE, IS_MAIN, IS_PAGE = 1, 2, 4, 8, 16
+_FLAGS = {"article": IS_ARTICLE, "main": IS_MAIN, "html": IS_PAGE, "body": IS_PAGE}
+SLOTS = "host string, token long, class long, parent long, flags long, pages long, own long, links long, heads long"
+
+
+def _slots(rows) -> Iterator[pa.RecordBatch]:
+    """Sums over a task's pages (host, html): of each element in a class its class, the element around it and its slot's text; and the orders of classes (token ORDER)."""
+    sums: dict[tuple, list[int]] = {}
+
+    def emitted() -> pa.RecordBatch:
+        keys, values = list(sums), list(sums.values())
+        names = [x.split()[0] for x in SLOTS.split(", ")]
+        columns = [pa.array([k[i] for k in keys], pa.string() if not i else pa.int64()) for i in range(5)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(4)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    decoded: dict[str, dict[int, int]] = {}
+    for batch, lo, hi, own in rows:
+        hosts, pages = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns[:2])
+        for host, page, (tokens, of) in zip(hosts, pages, own, strict=True):
+            if not tokens or not page:
+                continue
+            if host not in decoded:
+                if len(decoded) > 256:
+                    decoded.clear()
+                decoded[host] = dict(zip(tokens, of, strict=True))
+            known = decoded[host]
+            items = parsed(page)
+            frames = _frames(items, known)
+            order: dict[int, list[int]] = {}
+            slots: dict[int, list[int]] = {}
+            for e in frames:
+                order.setdefault(known[e.token], []).append(e.token)
+                slots[e.token] = [1, 0, 0, 0]
+            words = _Words(known)
+            for pieces in blocks(items):
+                e = pieces[0][0]
+                if e.frame is not None and not words.template(pieces):
+                    n = len(joined(pieces))
+                    x = slots[e.frame.token]
+                    x[1] += n
+                    x[2] += min(n, sum(len(t.strip()) for y, t in pieces if any(z.name == "a" for z in y.up())))
+                    x[3] += n * any(y.name in HEADINGS for y in e.up())
+            for e in frames:
+                above = e.parent.frame if e.parent else None
+                marked = any(y.mark for y in e.up())
+                flags = IS_OUT * e.out + IS_MARKED * marked + _FLAGS.get(e.name, 0)
+                x = sums.setdefault((host, e.token, known[e.token], above.token if above else 0, flags), [0, 0, 0, 0])
+                for i, v in enumerate(slots[e.token]):
+                    x[i] += v
+            for c, tokens_ in order.items():
+                sums.setdefault((host, ORDER, c, hash(tuple(tokens_)), 0), [0, 0, 0, 0])[0] += 1
+            if len(sums) > 50_000:
+                yield emitted()
+                sums.clear()
+    yield emitted()
+
+
+def nested(rows: pd.DataFrame) -> tuple[list[int], set[int]]:
+    """The elements to extract and the valid classes of one host, from rows (token, class, parent, flags, pages, own, links, heads).
+
+    Rows of ORDER have a hash of an order of the class as parent. Its rows are as many as the tokens that half of the host's pages share: twice those of a page of it at most.
+    """
+    order = rows[rows.token == ORDER]
+    by_class = order.groupby("class").pages
+    valid = set((by_class.max() >= ORDERED * by_class.sum()).loc[lambda x: x].index.tolist())
+    valid |= set(rows["class"]) - set(order["class"])
+    nodes: dict[int, dict] = {}
+    for token, of in rows[rows.token != ORDER].groupby("token"):
+        top = of.sort_values(["pages", "parent", "flags"]).iloc[-1]  # the usual place of the element
+        nodes[int(token)] = {"class": int(top["class"]), "parent": int(top["parent"]), "flags": int(top["flags"]), **{c: int(of[c].sum()) for c in ("own", "links", "heads")}}
+    for node in nodes.values():  # elements of classes without an order are no part of the template: their slots join those around them
+        while node["parent"] in nodes and nodes[node["parent"]]["class"] not in valid:
+            node["parent"] = nodes[node["parent"]]["parent"]
+    for node in list(nodes.values()):
+        if node["class"] not in valid and node["parent"] in nodes:
+            for c in ("own", "links", "heads"):
+                nodes[node["parent"]][c] += node[c]
+    nodes = {t: n for t, n in nodes.items() if n["class"] in valid}
+
+    def line(t: int) -> list[int]:
+        out = []
+        while t in nodes and t not in out:
+            out.append(t)
+            t = nodes[t]["parent"]
+        return out
+
+    for t, node in nodes.items():  # a class is split by the slot of another in which its elements lie
+        outer = next((x for x in line(t) if nodes[x]["class"] != node["class"]), 0)
+        node["part"] = (node["class"], outer)
+    prose = {t: n["own"] - n["links"] for t, n in nodes.items() if not n["flags"] & IS_OUT and n["own"] > 2 * n["links"]}
+    if not prose or not max(prose.values()):
+        return [], valid
+    clean = {t: v for t, v in prose.items() if not nodes[t]["flags"] & IS_MARKED}
+    if clean and max(clean.values()) >= 0.1 * max(prose.values()):
+        prose = clean
+    main = max(prose, key=lambda t: (prose[t], t))
+    for bit in (IS_ARTICLE, IS_MAIN):
+        for t in line(main):
+            if nodes[t]["flags"] & bit:
+                return [t], valid
+    large = [t for t in prose if prose[t] >= LARGE * prose[main]]
+    shared = [t for t in line(main) if all(t in line(x) for x in large)]
+    heading = lambda t: nodes[t]["own"] > 0 and 2 * nodes[t]["heads"] >= nodes[t]["own"]
+    inside = lambda t: bool(nodes[t]["flags"] & IS_PAGE)
+    if not shared or inside(shared[0]) and shared[0] != main:
+        tops = [t for t in large if not any(x in large for x in line(t)[1:])]
+        heads = [t for t in nodes if heading(t) and not nodes[t]["flags"] & IS_OUT and inside(nodes[t]["parent"] if nodes[t]["parent"] in nodes else t) and not set(line(t)) & set(tops)]
+        return sorted([*tops, *heads]), valid
+    top = shared[0]
+    for t in shared[1:]:  # what is around it, while that adds nothing but headings
+        gained = [x for x in nodes if t in line(x) and top not in line(x) and nodes[x]["own"] > 0 and not nodes[x]["flags"] & IS_OUT]
+        if inside(t) or not all(heading(x) for x in gained):
+            break
+        top = t
+    return [top], valid
 
 
-def main_texts(pages: DataFrame, carry: list[str], url: str = "url", html: str = "html") -> DataFrame:
-    """For each row: the carried columns, text, n_chars. Null or empty html gives an empty text; pages without a host are one host.
+def deduced(pages: DataFrame) -> DataFrame:
+    """(host, region, tokens, classes) of the hosts of pages (host, html) that have a template: elements to extract, and the words of valid classes.
 
-    Templates are two aggregations over (host, role) sums, so a host with a third of all pages is summed in parts.
-    Pages themselves are not shuffled while the hosts' templates fit a broadcast of a checked size.
+    Templates are two aggregations over (host, token) sums, so a host with a third of all pages is summed in parts.
     """
-    found = written(deduced(pages, url, html))
-    keep = [c for c in carry if c not in ("text", "n_chars", "__host", "__main", "__html")]
-    given = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("__html"), host_of(F.col(url)).alias("__host"))
-    side = found.select(F.col("host").alias("__host"), F.col("main").alias("__main"))
-    met = given.join(F.broadcast(side) if found.count() <= BROADCAST_HOSTS else side, "__host", "left")
-    packed = met.withColumn("__html", F.concat(F.lpad(F.coalesce(F.hex("__main"), F.lit("")), 16, "-"), F.coalesce("__html", F.lit(""))))
-
-    def make():
-        def work(texts):
+    tokens = written(classes(pages))
+    known = written(_known(tokens))
+    slots = _with_templates(pages, known, ["tokens", "classes"], _slots)(SLOTS)
+    sums = slots.groupBy("host", "token", "class", "parent", "flags").agg(*[F.sum(c).alias(c) for c in ("pages", "own", "links", "heads")])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        region, valid = nested(rows)
+        return pd.DataFrame({"host": [rows.host.iloc[0]], "region": [region], "valid": [sorted(valid)]})
+
+    found = written(written(sums).groupBy("host").applyInPandas(one, "host string, region array<long>, valid array<long>"))
+    pairs = F.filter(F.arrays_zip("tokens", "classes"), lambda x: (x["tokens"] % 2 != 0) & F.array_contains("valid", x["classes"]))
+    met = known.join(found.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host")).filter(F.size("region") > 0)
+    return written(met.select("host", "region", pairs.alias("p")).select("host", "region", F.col("p.tokens").alias("tokens"), F.col("p.classes").alias("classes")))
+
+
+def _inside(e: Element, tops: set[int]) -> bool:
+    return any(id(x) in tops for x in e.up())
+
+
+def extracted(page: str | None, region: list[int] | None = None, known: dict[int, int] | None = None) -> str:
+    """The text of a page: that of its elements of `region` without blocks of `known` words, or else of its article or main elements, or all of it, outside boilerplate."""
+    if not page:
+        return ""
+    items = parsed(page)
+    found = list(blocks(items))
+    for pieces in found:
+        for e, t in pieces:
+            n = len(t.strip())
+            for x in e.up():
+                x.chars += n
+    opened = [e for kind, e, _ in items if kind == OPEN and not e.out]
+    wanted = set(region or ())
+    for tops in ([e for e in opened if e.name in BLOCK and e.token in wanted], [e for e in opened if e.name in ("article", "main")], None):
+        if tops is not None and not tops:
+            continue
+        ids = None if tops is None else {id(e) for e in tops}
+        inner = [b for b in found if ids is None or _inside(b[0][0], ids)]
+        size = [sum(len(t.strip()) for _, t in b) for b in inner]
+        if known and tops and tops[0].token in wanted:
+            words = _Words(known)
+            fixed = {i for i, b in enumerate(inner) if words.template(b)}
+            if 2 * sum(size[i] for i in fixed) <= sum(size):  # else copies of one page: their text is no template
+                inner = [b for i, b in enumerate(inner) if i not in fixed]
+        # An element that its class names call boilerplate is none if most of the text is in it; comments always are.
+        bare: dict[int, bool] = {}
+        for e in {id(e): e for b in inner for e, _ in b}.values():
+            bare[id(e)] = not any(x.mark == 2 or (x.mark == 1 and 2 * x.chars <= sum(size)) for x in _below(e, ids))
+        for all_ in (False, True):
+            text = " ".join(filter(None, (joined([p for p in b if all_ or bare[id(p[0])]]) for b in inner)))
+            if text:
+                return text
+    return ""
+
+
+def _below(e: Element, tops: set[int] | None) -> Iterator[Element]:
+    """The elements around e up to the first of the tops, without it."""
+    for x in e.up():
+        if tops is not None and id(x) in tops:
+            return
+        yield x
+
+
+def _texts(carry: list[str], schema):
+    def run(rows) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        k = len(carry)
+        decoded: dict[str, dict[int, int]] = {}
+        for batch, lo, hi, own in rows:
+            part = batch.slice(lo, hi - lo)
             out = []
-            for t in texts:
-                role = None if t[:1] == b"-" and t[:16] == b"-" * 16 else int(t[:16].strip(b"-"), 16)
-                out.append(extracted(t[16:].decode("utf-8", "replace"), role if role is None or role < 1 << 63 else role - (1 << 64)))
-            return {"text": out, "n_chars": [len(x) for x in out]}
+            for host, page, (region, tokens, of) in zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist(), own, strict=True):
+                if region and host not in decoded:
+                    if len(decoded) > 256:
+                        decoded.clear()
+                    decoded[host] = dict(zip(tokens, of, strict=True))
+                out.append(extracted(page, region, decoded[host] if region else None))
+            held = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(part.columns[:k])]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], schema=arrow)
 
-        return work
+    return run
 
-    return map_texts(packed, "__html", keep, "text string, n_chars long", make)
+
+def main_texts(pages: DataFrame, carry: list[str], url: str = "url", html: str = "html") -> DataFrame:
+    """For each row: the carried columns, text, n_chars. Null or empty html gives an empty text; pages without a host are one host.
+
+    Each row is a page of its host, repeated rows too. Pages themselves are not shuffled while the hosts' templates
+    fit a broadcast of a checked size; three passes read them.
+    """
+    from pyspark.sql import types as T
+
+    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    found = deduced(rows)
+    keep = [c for c in carry if c not in ("text", "n_chars")]
+    # Carried columns get names of their own on the way, as any name may clash.
+    given = pages.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)], host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    names = [f"__c{i}" for i in range(len(keep))]
+    schema = T.StructType([*given.select(*names).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    out = _with_templates(given, found, ["region", "tokens", "classes"], _texts(names, schema))(schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "text", "n_chars")
