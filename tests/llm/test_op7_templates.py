@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftline.llm.templates import deduced, extracted, host_of, main_texts, token_of
+from weftline.llm.templates import deduced, element_token, extracted, host_of, main_texts
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -21,7 +21,7 @@ def test_slots_without_article_elements(spark):
     rows = [(i, f"http://site.example/{i}", page(i)) for i in range(8)]
     df = spark.createDataFrame(rows, SCHEMA)
     found = deduced(df.select(host_of(F.col("url")).alias("host"), "html")).collect()
-    assert [(r.host, r.region) for r in found] == [("site.example", [token_of("/html/body/div.c0", False)])]
+    assert [(r.host, r.region) for r in found] == [("site.example", [element_token("/html/body/div.c0")])]
     for r in main_texts(df, ["page_id"]).collect():
         assert r.text == f"Title {r.page_id} " + " ".join(f"word{r.page_id}{k}" for k in range(40)) + f" more é {r.page_id}"
 
@@ -102,7 +102,7 @@ def test_classes_are_those_of_plain_counts(spark):
     rows += rows[:6]
     pages, seen = Counter(h for h, _ in rows), defaultdict(dict)
     for i, (h, t) in enumerate(rows):
-        for token, (n, _) in page_tokens(t).items():
+        for token, n in page_tokens(t).items():
             seen[h, token][i] = n
     want = {(h, t): frozenset(v.items()) for (h, t), v in seen.items() if len(v) >= 3 and 2 * len(v) >= pages[h]}
     got = {(r.host, r.token): r for r in classes(spark.createDataFrame(rows, "host string, html string")).collect()}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,9 @@ LARGE = 0.25
 BROADCAST_TOKENS = 200_000
 #: Tokens that a task adds up before it passes them on.
 HELD = 400_000
+#: Bits of a token's number and of a page's part in a vector: short ones take less room in the shuffle. Of a host with ten
+#: million tokens one of those that matter has another's number with probability 0.00002, and then is in no class.
+TOKEN_BITS, VECTOR_BITS = 40, 20
 
 # Element names and class words of the HTML standard and of common use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,16 +92,19 @@ def _names(rest: str) -> tuple[str, int, bool]:
 _hashes: dict[str, int] = {}
 
 
-def token_of(text: str, word: bool) -> int:
-    """A token's number: even for elements, odd for words."""
-    h = _hashes.get(text)
-    if h is None:
-        import xxhash
+def _number(text: str, word: bool) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text, int(word)) >> (65 - TOKEN_BITS) << 1 | word
+
 
-        if len(_hashes) > 200_000:
+def element_token(path: str) -> int:
+    """The number of an element's role: even, those of words are odd."""
+    h = _hashes.get(path)
+    if h is None:
+        if len(_hashes) > 100_000:
             _hashes.clear()
-        h = xxhash.xxh64_intdigest(text, int(word)) >> 2 << 1 | word
-        _hashes[text] = h
+        h = _hashes[path] = _number(path, False)
     return h
 
 
@@ -108,7 +115,7 @@ class Element:
 
     def __init__(self, name: str, parent: Element | None, path: str, mark: int, out: bool) -> None:
         self.name, self.parent, self.path, self.mark, self.out = name, parent, path, mark, out
-        self.token = token_of(path, False)
+        self.token = element_token(path)
         self.chars = 0
         self.frame: Element | None = None
 
@@ -212,25 +219,41 @@ def blocks(items: list[tuple[int, Element, str]]) -> Iterator[list[tuple[Element
         yield pieces
 
 
-def page_tokens(page: str) -> dict[int, list[int]]:
-    """A page's tokens: how often each occurs, and its first place."""
-    found: dict[int, list[int]] = {}
-    place = 0
+#: Numbers of words by the role that holds them, and how many there are.
+_words: dict[str, dict[str, int]] = {}
+_held = [0]
+
+
+def page_tokens(page: str) -> dict[int, int]:
+    """How often each token occurs in a page, outside the elements that are no part of a text."""
+    elements: Counter[int] = Counter()
+    texts: dict[str, list[str]] = {}
     for kind, e, raw in parsed(page):
-        tokens = []
+        if e.out:
+            continue
         if kind == OPEN and e.name in BLOCK:
-            tokens = [e.token]
-        elif kind == TEXT and not raw.isspace():
-            tokens = [token_of(f"{e.path}\x00{w}", True) for w in _html.unescape(raw).split()]
-        for t in tokens:
-            if x := found.get(t):
-                x[0] += 1
-            else:
-                found[t] = [1, place]
-            place += 1
+            elements[e.token] += 1
+        elif kind == TEXT:
+            texts.setdefault(e.path, []).append(raw)
+    found = dict(elements)
+    for path, raws in texts.items():
+        if _held[0] > 200_000:
+            _words.clear()
+            _held[0] = 0
+        known = _words.setdefault(path, {})
+        for w, n in Counter(_html.unescape(" ".join(raws)).split()).items():
+            t = known.get(w)
+            if t is None:
+                t = known[w] = word_token(path, w)
+                _held[0] += 1
+            found[t] = n
     return found
 
 
+def word_token(path: str, word: str) -> int:
+    return _number(f"{path}\x00{word}", True)
+
+
 #: The token that each page has once, so that its number of pages is the host's; and what stands for one where a class's order is counted.
 PAGE, ORDER = -1, -2
 
@@ -260,10 +283,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, token, times, page = [], [], [], []
                 for h, p, t in zip(hosts[lo:hi], pages[lo:hi], texts[lo:hi], strict=True):
                     found = page_tokens(t or "")
-                    found[PAGE] = [1, 0]
+                    found[PAGE] = 1
                     host.append(np.full(len(found), names.setdefault(h, len(names))))
                     token.append(np.fromiter(found, np.int64, len(found)))
-                    times.append(np.fromiter((x[0] for x in found.values()), np.int64, len(found)))
+                    times.append(np.fromiter(found.values(), np.int64, len(found)))
                     page.append(np.full(len(found), p))
                 n = np.concatenate(times)
                 vector = _mixed(np.concatenate(page), n)
@@ -278,10 +301,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mixed(page: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """31 bits for each (page, count): sums of them cannot overflow."""
+    """VECTOR_BITS bits for each (page, count): sums of them cannot overflow."""
     from weftline.llm.common import mixed
 
-    return (mixed(page.view(np.uint64) + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+    return (mixed(page.view(np.uint64) + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - VECTOR_BITS)).astype(np.int64)
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -359,8 +382,14 @@ class _Words:
         self.known = known
 
     def template(self, pieces: list[tuple[Element, str]]) -> bool:
-        found = {self.known.get(token_of(f"{e.path}\x00{w}", True)) for e, t in pieces for w in t.split()}
-        return len(found) == 1 and None not in found
+        own = None
+        for e, t in pieces:
+            for w in t.split():
+                of = self.known.get(word_token(e.path, w))
+                if of is None or own not in (None, of):
+                    return False
+                own = of
+        return own is not None
 
 
 def _frames(items: list[tuple[int, Element, str]], known: dict[int, int]) -> list[Element]:
