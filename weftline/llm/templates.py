@@ -42,7 +42,7 @@ BROADCAST_TOKENS = 200_000
 HELD = 400_000
 #: Bits of a token's number and of a page's part in a vector: short ones take less room in the shuffle. Of a host with ten
 #: million tokens one of those that matter has another's number with probability 0.00002, and then is in no class.
-TOKEN_BITS, VECTOR_BITS = 40, 20
+TOKEN_BITS, VECTOR_BITS = 40, 12
 
 # Element names and class words of the HTML standard and of common use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,8 +254,8 @@ def word_token(path: str, word: str) -> int:
     return _number(f"{path}\x00{word}", True)
 
 
-#: The token that each page has once, so that its number of pages is the host's; and what stands for one where a class's order is counted.
-PAGE, ORDER = -1, -2
+#: What stands for a token where a class's order is counted.
+ORDER = -2
 
 
 def _reduced(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -283,12 +283,13 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, token, times, page = [], [], [], []
                 for h, p, t in zip(hosts[lo:hi], pages[lo:hi], texts[lo:hi], strict=True):
                     found = page_tokens(t or "")
-                    found[PAGE] = 1
                     host.append(np.full(len(found), names.setdefault(h, len(names))))
                     token.append(np.fromiter(found, np.int64, len(found)))
                     times.append(np.fromiter(found.values(), np.int64, len(found)))
                     page.append(np.full(len(found), p))
                 n = np.concatenate(times)
+                if not len(n):
+                    continue
                 vector = _mixed(np.concatenate(page), n)
                 parts.append(_reduced([(np.concatenate(host), np.concatenate(token), np.ones(len(n), np.int64), n, vector)]))
                 if sum(len(x[0]) for x in parts) > HELD:
@@ -318,11 +319,11 @@ def classes(pages: DataFrame) -> DataFrame:
     One shuffle of sums by (host, token), which tasks add up before it; pages are not shuffled.
     """
     small_batches(pages.sparkSession)
+    hosts = written(pages.groupBy(F.col("host").alias("__host")).agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= LEAST_PAGES))
     given = pages.select("host", F.xxhash64("host", "html").alias("page"), "html")
     sums = given.mapInArrow(_counter, "host string, token long, pages long, times long, vector long").groupBy("host", "token")
-    counts = written(sums.agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector")]).filter(f"pages >= {LEAST_PAGES}"))
-    hosts = counts.filter(f"token = {PAGE}").select(F.col("host").alias("__host"), F.col("pages").alias("all_pages"))
-    enough = counts.filter(f"token != {PAGE}").join(hosts, F.col("host") == F.col("__host")).filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    counts = sums.agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector")]).filter(f"pages >= {LEAST_PAGES}")
+    enough = counts.join(hosts, F.col("host") == F.col("__host")).filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
     return enough.select("host", "token", F.xxhash64("pages", "times", "vector").alias("class"), "pages", "all_pages", (F.col("times") == F.col("pages")).alias("once"))
 
 
