@@ -135,6 +135,39 @@ def test_edges_of_a_forest_that_fail_their_comparison(spark):
     assert classes_of(spark, texts) == jaccard_classes(texts, 5, 0.8)
 
 
+def family(rnd, n, shared=240, own=45):
+    """Different texts that share most of their words: five-word shingle similarity of about 0.72; and for each tenth one a text at about 0.84."""
+    common = [f"c{rnd.randrange(10**6)}" for _ in range(shared)]
+    texts = [" ".join([*common, *[f"w{rnd.randrange(10**9)}" for _ in range(own)]]) for _ in range(n)]
+    return texts + [" ".join([*t.split()[:-25], *[f"x{rnd.randrange(10**9)}" for _ in range(25)]]) for t in texts[::10]]
+
+
+def test_alike_texts_under_the_similarity_stay_apart(spark):
+    """SimHash and min-wise hashes bring thousands of such texts together; only the planted pairs are linked, each of them."""
+    n = 2000
+    got = classes_of(spark, family(random.Random(4), n))
+    assert len(set(got)) == n and got[n:] == list(range(0, n, 10))
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_connecting_links_all_that_is_similar(sides):
+    rnd = random.Random(6)
+    base = [rnd.sample(range(1000), 40) for _ in range(4)]
+    sets = [sorted(set(rnd.choice(base)) ^ set(rnd.sample(range(1000), rnd.randrange(8)))) for _ in range(60)]
+    side = [i % sides for i in range(60)]
+    found = near.connecting(side, list(range(60)), list(range(60)), sets, 0.8)
+    similar = [(i, j) for j in range(60) for i in range(j) if (sides == 1 or side[i] != side[j]) and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+
+    def parts(edges):
+        root = list(range(60))
+        for _ in range(60):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert set(found) <= set(similar) and parts(found) == parts(similar) and len(found) == 60 - len(set(parts(similar)))
+
+
 def test_odd_and_empty_tables(spark, odd, empty, odd_rows, tmp_path):
     spark.createDataFrame([(None, None), (1, ""), (2, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (odd, empty):

@@ -1,13 +1,16 @@
 """Near-duplicate classes of whole texts at a word-shingle similarity.
 
-SimHash links (see `simhash`) find texts within a few bits, which at a Jaccard similarity of 0.8 is far too few: such
-pairs differ in four to eleven bits of 64. So texts also meet by bands of min-wise hashes. Of those that meet, pairs whose
-signatures agree clearly are linked, pairs that agree about as much as the similarity asks are compared by their
-shingles. Texts with equal signatures are one node from the start. Buckets over BUCKET nodes get longer keys until
-they are small; what still is larger is compared block by block. In a bucket over PAIRED nodes only a maximum
-spanning forest is kept: it connects, at any level of agreement, what all its pairs connect. Longer keys lose pairs,
-and an edge of a forest may fail its comparison where another pair would not. So once the first classes are known, all
-pairs of two classes that met in a bucket over PAIRED are compared, block by block.
+Texts meet by their SimHash (see `simhash`: all pairs within a few bits) and, as pairs at a Jaccard similarity of 0.8
+differ in four to eleven bits of 64, by bands of min-wise hashes. Meeting makes candidates only: a pair is linked when the
+sets of its shingles have the similarity. Texts with equal signatures (SimHash and HASHES min-wise hashes) are
+one node from the start.
+
+Candidates are compared in three rounds, each against the classes then known. First those of each node with the
+best estimates; then what is left of all pairs in buckets of up to PAIRED nodes, and of a maximum spanning forest of the estimates
+in larger ones (buckets over BUCKET get longer keys for that); last all pairs of two classes that met in a bucket over
+PAIRED. Those are compared where they meet: nodes with a partner of a near enough estimate bring their shingles to
+their group, which passes on only the links that connect. So no pair of a bucket is lost, and none is emitted but the
+links of a forest.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Words, map_texts, mixed, small_batches, task, written
@@ -26,8 +29,12 @@ from weftline.llm.simhash import TABLE, fingerprint, links
 #: Min-wise hashes of a signature; bands of ROWS of them. Two texts of similarity 0.8 share a band with probability 0.9996.
 HASHES, BANDS, ROWS = 256, 26, 6
 BUCKET, LEVELS, PAIRED = 512, 12, 32
-#: An estimate from HASHES hashes has a standard error of 0.025 at 0.8; pairs within four of them are compared by their shingles.
+#: An estimate from HASHES hashes has a standard error of 0.025 at 0.8; pairs from four of them under the similarity are compared by their shingles.
 SLACK = 0.1
+#: A group that is compared by shingles holds about so many nodes and shingles at most; a longer text is a block of its own.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Candidates of each node in the first round.
+BEST = 2
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(20)) >> np.uint64(13)).astype(np.uint32)
 
@@ -80,11 +87,11 @@ def sketched(docs: DataFrame, carry: list[str], text: str = "text", shingle: int
 
 
 def _forest(group: np.ndarray, ids: list[int], similarity: float) -> list[tuple[int, int, float]]:
-    """(a, b, estimated similarity) of a maximum spanning forest of the pairs that may be similar; of up to PAIRED nodes also of the other pairs that need a comparison."""
+    """(a, b, estimated similarity) of a maximum spanning forest of the pairs that may be similar; of up to PAIRED nodes of all such pairs."""
     n = len(ids)
     agree = np.stack([(group == row).mean(axis=1) for row in group])
     agree = (agree - 1 / 256) / (1 - 1 / 256)  # unequal hashes agree in a byte by chance
-    low, high = similarity - SLACK, similarity + SLACK
+    low = similarity - SLACK
     np.fill_diagonal(agree, -1)
     kept: set[tuple[int, int]] = set()
     left = np.ones(n, dtype=bool)
@@ -97,7 +104,7 @@ def _forest(group: np.ndarray, ids: list[int], similarity: float) -> list[tuple[
         better = agree[i] > best
         best[better], to[better] = agree[i][better], i
     if n <= PAIRED:
-        kept |= {(int(i), int(j)) for i, j in np.argwhere(np.triu((agree >= low) & (agree < high), 1))}
+        kept |= {(int(i), int(j)) for i, j in np.argwhere(np.triu(agree >= low, 1))}
     return [(ids[i], ids[j], float(agree[i, j])) for i, j in sorted(kept)]
 
 
@@ -160,92 +167,143 @@ def min_wise_links(nodes: DataFrame, meet: DataFrame, similarity: float) -> Data
     return dealt.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_linker(similarity), "a long, b long, near double").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near"))
 
 
-def _crosser(similarity: float):
-    """Pairs of unequal roots in each group of rows (group, side, root, node, sig) that are or may be similar; of two sides only pairs across."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of equal first values, with the rest of their rows."""
+    at, rows = None, []
+    for batch in batches:
+        columns = [[x.values.to_numpy(zero_copy_only=False) for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for group, *row in zip(*columns, strict=True):
+            if at != group and rows:
+                yield at, rows
+                rows = []
+            at = group
+            rows.append(row)
+    if rows:
+        yield at, rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-
-        def done() -> pa.RecordBatch:
-            side, root, node = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-            sigs = np.frombuffer(b"".join([r[3] for r in rows]), dtype=np.uint8).reshape(len(rows), -1)
-            one = np.flatnonzero(side == 0)
-            two = np.flatnonzero(side == 1) if side.any() else one
-            a, b, near = [], [], []
-            for i in one.tolist():
-                agree = ((sigs[two] == sigs[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                hit = np.flatnonzero((agree >= similarity - SLACK) & (root[two] != root[i]))
-                a.append(np.full(len(hit), node[i]))
-                b.append(node[two][hit])
-                near.append(agree[hit])
-            x, y = np.concatenate([*a, one[:0]]), np.concatenate([*b, one[:0]])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64()), pa.array(np.concatenate([*near, np.zeros(0)]), pa.float64())], names=["a", "b", "near"])
 
+def _partners(similarity: float):
+    """Of groups of rows (group, side, root, node, sig): those whose estimate with one of another root, across the sides if there are two, is near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task(__name__):
-            for batch in batches:
-                for group, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if at != group:
-                        if len(rows) > 1:
-                            yield done()
-                        at, rows = group, []
-                    rows.append(row)
-            if len(rows) > 1:
-                yield done()
+            for group, rows in _groups(batches):
+                side, root, node = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+                sigs = np.frombuffer(b"".join([r[3] for r in rows]), dtype=np.uint8).reshape(len(rows), -1)
+                one = np.flatnonzero(side == 0)
+                two = np.flatnonzero(side == 1) if side.any() else one
+                some = np.zeros(len(rows), dtype=bool)
+                for i in one.tolist():
+                    agree = ((sigs[two] == sigs[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                    hit = two[(agree >= similarity - SLACK) & (root[two] != root[i])]
+                    some[hit] = True
+                    some[i] |= len(hit) > 0
+                at = np.flatnonzero(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group), pa.int64()), *[pa.array(x[at], pa.int64()) for x in (side, root, node)]], names=["group", "side", "root", "node"])
 
     return run
 
 
-def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, near) of nodes that meet in a bucket over PAIRED, are in two classes (node, root) of `found`, and are or may be similar.
+def _linked(similarity: float):
+    """Of groups of rows (group, side, root, node, shingles): links (a, b) of nodes with the similarity, as many as connect what can be connected."""
 
-    Nodes of a bucket are dealt to blocks, a large class to blocks of its own, and blocks are compared two by two but
-    for those of one class. So a class of very many near copies is compared with what is outside it only.
-    """
-    small_batches(nodes.sparkSession)
-    half = BUCKET // 2
-    large = meet.filter(f"n > {PAIRED}").select("band", "key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = written(large.groupBy("band", "key", "root").agg(F.count("*").alias("m")))
-    mixed_ = classes.groupBy("band", "key").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") < half, F.col("m")).otherwise(0)).alias("few"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    sized = large.join(classes, ["band", "key", "root"]).join(mixed_, ["band", "key"])
-    part = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / F.lit(half)))
-    own = F.when((F.col("n") > BUCKET) & (F.col("m") >= half), F.col("root"))
-    block = F.when(F.col("n") <= BUCKET, F.lit(0)).when(own.isNull(), part(F.col("few"))).otherwise(F.xxhash64("root", part(F.col("m"))))
-    rows = written(sized.select("band", "key", "node", "root", block.cast("long").alias("block"), own.alias("own")))
-    blocks = rows.select("band", "key", "block", "own").distinct()
-    x, y = (blocks.select("band", "key", F.struct(F.col("own").isNotNull().alias("one"), "block").alias(k), F.col("own").alias(f"{k}_own")) for k in "xy")
-    pairs = x.join(y, ["band", "key"]).filter("x <= y and (x_own is null or y_own is null or x_own != y_own)")
-    pairs = written(pairs.select("band", "key", "x", "y", F.xxhash64("band", "key", "x", "y").alias("group")))
-    sides = pairs.select("band", "key", F.col("x").alias("at"), "group", F.lit(0).alias("side")).union(pairs.filter("x != y").select("band", "key", F.col("y").alias("at"), "group", F.lit(1).alias("side")))
-    given = rows.select("band", "key", "node", "root", F.struct(F.col("own").isNotNull().alias("one"), "block").alias("at"))
-    dealt = given.join(sides, ["band", "key", "at"]).join(nodes.select("node", "sig"), "node").select("group", "side", "root", "node", "sig")
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_crosser(similarity), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task(__name__):
+            for _, rows in _groups(batches):
+                found = connecting([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    return run
 
-def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (node, text_hash) whose shingle sets have the similarity. Only texts of such nodes are read into sets."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(ends, "node").select("node", "text_hash"))
+
+def connecting(side: list[int], root: list[int], node: list[int], sets: list, similarity: float) -> list[tuple[int, int]]:
+    """Links between the nodes of a group (sets: without repeats), across the sides if there are two, that connect all that have the similarity."""
+    size = np.array([len(x) for x in sets])
+    values, index = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in sets]), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+    up = {r: r for r in root}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    across = any(side)
+    out = []
+    for i in range(len(node)):
+        if across and side[i]:
+            continue
+        mark = np.zeros(len(values), dtype=bool)
+        mark[index[starts[i] : starts[i] + size[i]]] = True
+        shared = np.add.reduceat(mark[index], starts)
+        for j in np.flatnonzero(shared >= similarity * (size + size[i] - shared)).tolist():
+            if j != i and (not across or side[j]) and (x := top(root[i])) != (y := top(root[j])):
+                up[x] = y
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def shingle_sets(nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes (node, text_hash); only their texts are read into sets."""
     hashed = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    texts = hashed.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = hashed.join(nodes.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
 
     def make():
         def work(parts):
             words = Words(parts, TABLE)
             n = np.diff(words.first)
-            g, whole = words.grams(shingle)
+            g, _ = words.grams(shingle)
             sets = [np.unique(g[lo : max(lo, hi - shingle + 1)]) for lo, hi in zip(words.first[:-1], words.first[1:], strict=True)]
             # A text of fewer words is one shingle, whose words are hashed together.
-            sets = [x if len(x) or not k else np.array([hash_of(words.hashes[words.first[i] : words.first[i + 1]])], dtype=np.uint64) for i, (x, k) in enumerate(zip(sets, n, strict=True))]
-            return {"shingles": [x.view(np.int64) for x in sets]}
+            few = lambda i: np.array([hash_of(words.hashes[words.first[i] : words.first[i + 1]])], dtype=np.uint64)
+            return {"shingles": [(x if len(x) or not k else few(i)).view(np.int64) for i, (x, k) in enumerate(zip(sets, n, strict=True))]}
 
         return work
 
-    sets = written(map_texts(texts, "t", ["text_hash"], "shingles array<long>", make).join(wanted, "text_hash").select("node", "shingles"))
+    return written(map_texts(texts, "t", ["text_hash"], "shingles array<long>", make).join(nodes.select("node", "text_hash"), "text_hash").select("node", "shingles"))
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, text_hash) whose shingle sets have the similarity."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = shingle_sets(written(nodes.join(ends, "node").select("node", "text_hash")), docs, text, shingle)
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes that meet in a bucket over PAIRED, are in two classes (node, root) of `found`, and have the similarity.
+
+    Nodes of a bucket are dealt to blocks, a large class to blocks of its own, and blocks are compared two by two but
+    for those of one class. So a class of very many near copies is compared with what is outside it only.
+    """
+    small_batches(nodes.sparkSession)
+    weight = nodes.select("node", F.col("n_shingles").alias("w"))
+    large = meet.filter(f"n > {PAIRED}").select("band", "key", "node").join(weight, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks_of = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES)))
+    classes = written(large.groupBy("band", "key", "root").agg(F.count("*").alias("m"), F.sum("w").alias("w")))
+    classes = classes.withColumn("own", blocks_of(F.col("m"), F.col("w")))
+    few = lambda c: F.sum(F.when(F.col("own") <= 1, F.col(c)).otherwise(0))
+    mixed_ = classes.groupBy("band", "key").agg(blocks_of(few("m"), few("w")).alias("others"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    sized = large.drop("w").join(classes.select("band", "key", "root", "own"), ["band", "key", "root"]).join(mixed_, ["band", "key"])
+    part = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    own = F.when(F.col("own") > 1, F.col("root"))
+    block = F.when(own.isNull(), part(F.col("others"))).otherwise(F.xxhash64("root", part(F.col("own"))))
+    rows = written(sized.select("band", "key", "node", "root", block.cast("long").alias("block"), own.alias("own")))
+    blocks = rows.select("band", "key", "block", "own").distinct()
+    x, y = (blocks.select("band", "key", F.struct(F.col("own").isNotNull().alias("one"), "block").alias(k), F.col("own").alias(f"{k}_own")) for k in "xy")
+    pairs = x.join(y, ["band", "key"]).filter("x <= y and (x_own is null or y_own is null or x_own != y_own)")
+    pairs = written(pairs.select("band", "key", "x", "y", F.xxhash64("band", "key", "x", "y").alias("group")))
+    sides = pairs.select("band", "key", F.col("x").alias("at"), "group", F.lit(0).alias("side")).union(pairs.filter("x != y").select("band", "key", F.col("y").alias("at"), "group", F.lit(1).alias("side")))
+    given = rows.select("band", "key", "node", "root", F.struct(F.col("own").isNotNull().alias("one"), "block").alias("at"))
+    dealt = given.join(sides, ["band", "key", "at"]).join(nodes.select("node", "sig"), "node").select("group", "side", "root", "node", "sig")
+    near = written(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_partners(similarity), "group long, side long, root long, node long"))
+    ends = written(near.select("node").distinct().join(nodes, "node").select("node", "text_hash"))
+    met = near.join(shingle_sets(ends, docs, text, shingle), "node").select("group", "side", "root", "node", "shingles")
+    return met.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(similarity), "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, carry: list[str], text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """Each row's carried columns, n_shingles and `root`, equal for the rows of one near-duplicate class.
 
@@ -259,18 +317,23 @@ def near_classes(docs: DataFrame, carry: list[str], text: str = "text", shingle:
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = links(nodes.select("fp").distinct(), radius)
-    close = bits.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    close = bits.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     meet = meetings(nodes.filter("n_shingles > 0"))
-    pairs = written(min_wise_links(nodes, meet, similarity))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        clear, open_ = pairs.filter(F.col("near") >= similarity + SLACK).select("a", "b"), pairs.filter(F.col("near") < similarity + SLACK).select("a", "b")
-        return clear.union(compared(open_, nodes, docs, text, shingle, similarity))
-
-    found = written(components(same.union(close).union(linked(pairs))))
-    rest = written(apart(meet, nodes, found, similarity).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(linked(rest)))
+    simhash = same.union(close).withColumn("near", F.lit(1.0))
+    pairs = written(min_wise_links(nodes, meet, similarity).union(simhash).groupBy("a", "b").agg(F.max("near").alias("near")))
+    ends = pairs.select(F.col("a").alias("node"), "a", "b", "near").union(pairs.select(F.col("b").alias("node"), "a", "b", "near"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "a", "b"))
+    best = written(ends.withColumn("k", place).filter(f"k <= {BEST}").select("a", "b").distinct())
+    proven = [written(compared(best, nodes, docs, text, shingle, similarity))]
+    found = written(components(proven[0]))
+    roots = lambda k: found.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+    left = pairs.join(best, ["a", "b"], "left_anti").join(roots("a"), "a", "left").join(roots("b"), "b", "left")
+    left = written(left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    if not left.isEmpty():
+        proven.append(written(compared(left, nodes, docs, text, shingle, similarity)))
+        found = written(components(proven[0].union(proven[1])))
+    if not (rest := written(apart(meet, nodes, found, docs, text, shingle, similarity))).isEmpty():
+        found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest))
     return rows.join(found, "node", "left").select(*carry, "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
