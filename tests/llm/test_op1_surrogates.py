@@ -57,12 +57,121 @@ def test_keys_differ_and_repeat(spark):
 def test_surrogates_are_distinct_and_no_entities(spark):
     """Two-digit locals at one host clash often; names have few combinations. All end distinct, and none is an original."""
     mails = [("email", f"a{i}@x.example.com", "n") for i in range(40)]
-    names = [("name", f"Name{i} Last{i}", "mf"[i % 2]) for i in range(800)]
+    names = [("name", f"name{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}", "mfnl"[i % 4]) for i in range(800)]
+    names += [("name", f"имя{'абвгдежзик'[i % 10]}{'абвгдежзик'[i // 10]}", "ml"[i % 2]) for i in range(100)] + [("name", f"όνο{'αβγδε'[i]}", "m") for i in range(5)]
+    ips6 = [("ip6", f"2001:db8::{i:x}", "n") for i in range(50)] + [("ssn", f"{i:02}", "n") for i in range(100)]
     ips = [("ip", f"10.0.{i}.{j}", "n") for i in range(20) for j in range(50)]
-    rows = assigned(spark.createDataFrame(mails + names + ips, "type string, value string, sex string"), "k").collect()
-    assert len(rows) == len(mails + names + ips)
+    rows = assigned(spark.createDataFrame(mails + names + ips + ips6, "type string, value string, sex string"), "k").collect()
+    assert len(rows) == len(mails + names + ips + ips6)
     assert len({(r.type, r.surrogate) for r in rows}) == len(rows)
-    assert not {(r.type, r.surrogate) for r in rows} & {(t, v) for t, v, _ in mails + names + ips}
+    assert not {(r.type, r.surrogate) for r in rows} & {(t, v) for t, v, _ in mails + names + ips + ips6}
+
+
+def only(spark, *texts):
+    return [r.text for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+
+
+def test_names_of_one_person_stay_together(spark):
+    text, other, plain = only(spark, "Mr. John Smith met J. Doe. Mr. Smith left; Smith and John's dog. Dr. JOHN F. SMITH, Mr. J. Smith, Prof. Dr. van der Berg", "Mrs. Mary Ann Smith", "Smith is a trade, John a book")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met J\. Doe\. Mr\. (\w+) left; (\w+) and (\w+)'s dog\. Dr\. (\w+) (\w)\. (\w+), Mr\. (\w)\. (\w+), Prof\. Dr\. van der (\w+)", text)
+    first, last = m[1], m[2]
+    assert [m[3], m[4], m[10]] == [last] * 3 and m[5] == first and (m[6], m[8]) == (first.upper(), last.upper()) and m[9] == first[0]
+    assert "Smith" not in text and "John" not in text and "Berg" not in text and m[7] != "F"
+    assert re.fullmatch(rf"Mrs\. \w+ \w+ {last}", other) and "Mary" not in other and "Ann" not in other
+    assert plain == "Smith is a trade, John a book"  # no title in that document
+
+
+def test_scripts_and_endings_stay(spark):
+    (text,) = only(spark, "Mr. Γεώργιος Παππάς, г-н Иванов и г-жа Иванова, г-жа ПЕТРОВА; Mr. Արամ Սարյան")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+), г-н (\w+) и г-жа (\w+), г-жа (\w+); Mr\. (\w+) (\w+)", text)
+    assert all(re.fullmatch("[\u0370-\u03ff]+", x) for x in (m[1], m[2])) and m[3] + "а" == m[4] and re.fullmatch("[А-Я]+ОВА", m[5])
+    assert all(re.fullmatch("[\u0530-\u058f]+", x) for x in (m[6], m[7]))
+
+
+def test_numbers_in_several_formats_are_one(spark):
+    (text,) = only(spark, "+1 555 123 4567 or (555) 123-4567 or 555-123-4567; +49 30 1234567; GB82 WEST 1234 5698 7654 32, GB00 WEST 1234 5698 7654 32; 2001:db8:0:1::7f and 2001:DB8:0:1::7F at 12:30:45")
+    m = re.fullmatch(r"\+1 (\d{3}) (\d{3}) (\d{4}) or \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}); \+49 (\d\d) (\d{7}); (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d), (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d); (\S+) and (\S+) at 12:30:45", text)
+    assert m[1] + m[2] + m[3] == m[4] + m[5] + m[6] == m[7] + m[8] + m[9] != "5551234567" and m[10] + m[11] != "301234567"
+
+    def number(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    assert number(m[12]) == 1 != number(m[13])
+    assert m[14].upper() == m[15] and m[14] != "2001:db8:0:1::7f" and m[14].count(":") == 5
+
+
+def test_against_plain_loops(spark):
+    """Detection, canonical forms and rounds of clashes one entity at a time; only a surrogate at an attempt is Spark's."""
+    import random
+
+    import regex
+
+    from weftline.llm import surrogates as S
+
+    rnd = random.Random(1)
+    pool = [f"a{i % 7}@b{i % 3}.example.com" for i in range(12)] + [f"{i % 5}.2.3.{i}" for i in range(9)] + ["4111 1111 1111 1111", "078-05-1120"] + [f"Mr. {a}{b}" for a in ("", "Jo ", "K. ", "Di ") for b in ("Fox", "Lee", "Kim")] + ["Fox", "Jo", "word", "Word"]
+    texts = [" ".join(rnd.choices(pool, k=rnd.randrange(8))) + ", end" for _ in range(60)]
+    got = only(spark, *texts)
+    titled, any_, any_or_word = (regex.compile(x, regex.V0) for x in (S.PATTERNS["name"], S.ANY, S.ANY_OR_WORD))
+    of = lambda t: next((k for k, p in S.PATTERNS.items() if regex.fullmatch(p, t)), None)
+    word = regex.compile(S._PART)
+    first = [[n.lower() for s in S.FIRST.values() for n in s[g]] for g in "mf"]
+
+    def parts(t):
+        w = word.findall(regex.sub(f"^{S._LEAD}", "", t))
+        return [(x, x.lower(), None if x.endswith(".") else "l" if i == len(w) - 1 else "m") for i, x in enumerate(w)]
+
+    def plain(t, k):
+        return t.lower() if k == "email" else regex.sub("[^0-9]", "", t) if k in ("number", "ssn") else t
+
+    found = [[m.group() for m in (any_or_word if titled.search(t) else any_).finditer(t)] for t in texts]
+    entities = {}
+    for f in found:
+        for t in f:
+            if of(t) == "name":
+                for _, v, sex in parts(t):
+                    if sex and entities.get(("name", v), "l") == "l":
+                        entities["name", v] = sex
+            elif of(t):
+                entities[of(t), plain(t, of(t))] = "n"
+    assert not {v for k, v in entities if k == "name"} & set(first[1])
+    tries = spark.createDataFrame([(k, v, s, i) for (k, v), s in entities.items() for i in range(6)], "k string, v string, s string, i int")
+    made = {(r.k, r.v, r.i): r.x for r in tries.select("k", "v", "i", S.surrogate("k", F.col("k"), F.col("v"), F.col("s"), F.col("i")).alias("x")).collect()}
+    at = dict.fromkeys(entities, 0)
+    while True:
+        holders = {}
+        for e in entities:
+            holders.setdefault((e[0], made[(*e, at[e])]), []).append(e[1])
+        lost = [e for e in entities if (x := (e[0], made[(*e, at[e])])) in entities or e[1] != min(holders[x])]
+        if not lost:
+            break
+        for e in lost:
+            at[e] += 1
+    old, new = S.permuted("k", "latin")
+    cap = lambda w, x: x.upper() if w.isupper() and len(w) > 1 else x[0].upper() + x[1:]
+    for t, f, result in zip(texts, found, got, strict=True):
+        own = {v for m in f if of(m) == "name" for _, v, sex in parts(m) if sex}
+
+        def stand_in(m, own=own):
+            k = of(m)
+            if k == "name":
+                rest = regex.sub(f"^{S._LEAD}", "", m)
+                each = iter(new[old.index(w[0])] + "." if sex is None else cap(w, made["name", v, at["name", v]]) for w, v, sex in parts(m))
+                return m[: len(m) - len(rest)] + word.sub(lambda _: next(each), rest)
+            if k is None:
+                return cap(m, made["name", m.lower(), at["name", m.lower()]]) if m.lower() in own else m
+            x = made[k, plain(m, k), at[k, plain(m, k)]]
+            if k in ("number", "ssn"):
+                digits = iter(x)
+                return "".join(next(digits) if c.isdigit() else c for c in m)
+            return x
+
+        want, last = [], 0
+        for m in (any_or_word if titled.search(t) else any_).finditer(t):
+            want += [t[last : m.start()], stand_in(m.group())]
+            last = m.end()
+        assert result == "".join(want) + t[last:]
 
 
 def test_odd_and_empty_tables(odd, empty, odd_rows):
