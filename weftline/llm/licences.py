@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.common import written
+
 UNKNOWN = "unknown"
 #: A prediction counts from this probability, and from this part of a template's grams found in the paragraph or the other way round.
 LEAST_PROBABILITY, LEAST_AGREEMENT = 0.5, 0.5
@@ -239,6 +241,11 @@ def _all_grams(words: F.Column, most: int) -> F.Column:
     return F.array_distinct(F.flatten(F.array(*[F.when(F.size(words) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)])))
 
 
+def _once(value: F.Column, of) -> F.Column:
+    """of(value) with the value computed once for a row, and not again for each element that a function in it looks at."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _features(words: F.Column) -> F.Column:
     """`features` of an array of words."""
     anchors = F.array(*[F.lit(a) for a in sorted(ANCHORS)])
@@ -268,13 +275,13 @@ def classified(paragraphs: DataFrame) -> DataFrame:
     templates = _local(spark, [[g, [{"family": f, "nth": i, "size": len(s)} for f, i, s in parts if g in s]] for g in sorted(set().union(*[s for _, _, s in parts]))], "gram string;of array<struct<family:string,nth:int,size:int>>")
     distinct = paragraphs.select("words").distinct()
     # Both tables are fixed, a few MB: safe to broadcast. A paragraph without known features has the intercepts alone.
-    each = distinct.select("words", F.explode_outer(_features(F.split("words", " "))).alias("gram"))
+    each = distinct.select("words", F.explode_outer(_once(F.split("words", " "), _features)).alias("gram"))
     sums = each.join(F.broadcast(table), "gram", "left").groupBy("words").agg(F.array(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) + F.lit(base[i]) for i in range(k)]).alias("z"))
     top = F.array_max("z")
     mass = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("z")))
     best = sums.select("words", F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("z", top).cast("int")).alias("best"), (F.lit(1.0) / mass).alias("probability"))
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY)
-    compared = best.filter(sure).withColumn("grams", _all_grams(F.split("words", " "), GRAM)).select("words", "best", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    compared = best.filter(sure).withColumn("grams", _once(F.split("words", " "), lambda w: _all_grams(w, GRAM))).select("words", "best", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     met = compared.join(F.broadcast(templates), "gram").select("words", "n", "best", F.explode("of").alias("t")).filter("best = t.family").groupBy("words", "n", "t.nth", "t.size").agg(F.count("*").alias("shared"))
     near = met.groupBy("words").agg(F.max(F.greatest(F.col("shared") / F.col("size"), F.when(F.col("n") >= 6, F.col("shared") / F.col("n")).otherwise(0.0))).alias("agreement"))
     out = best.join(near, "words", "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
@@ -301,7 +308,8 @@ def scanned(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     some = given.filter(hit).withColumn("__row", F.monotonically_increasing_id())
     paragraphs = some.select("carried", "__row", F.explode(F.split("__text", BREAK)).alias("p")).filter(has_anchor(F.col("p")))
     paragraphs = paragraphs.select("carried", "__row", F.array_join(F.regexp_extract_all(F.lower("p"), F.lit(TOKEN), F.lit(0)), " ").alias("words"))
-    found = paragraphs.join(classified(paragraphs), "words")
+    # Written, so that the join with it is of two plain exchanges: Spark then splits a notice that very many documents have.
+    found = paragraphs.join(written(classified(paragraphs)), "words")
     rows = found.groupBy("__row").agg(
         F.first("carried").alias("carried"), F.count("*").alias("n_paragraphs"), F.sum((F.col("family") == UNKNOWN).cast("long")).alias("n_unknown"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.round(F.min(F.when(F.col("confirmed"), F.col("probability"))), 6).alias("probability"),
