@@ -307,7 +307,8 @@ def scanned(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     hit = F.coalesce(has_anchor(F.col("__text")), F.lit(False))
     some = given.filter(hit).withColumn("__row", F.monotonically_increasing_id())
     paragraphs = some.select("carried", "__row", F.explode(F.split("__text", BREAK)).alias("p")).filter(has_anchor(F.col("p")))
-    paragraphs = paragraphs.select("carried", "__row", F.array_join(F.regexp_extract_all(F.lower("p"), F.lit(TOKEN), F.lit(0)), " ").alias("words"))
+    # Written, as it is read for several steps: the texts are searched once.
+    paragraphs = written(paragraphs.select("carried", "__row", F.array_join(F.regexp_extract_all(F.lower("p"), F.lit(TOKEN), F.lit(0)), " ").alias("words")))
     # Written, so that the join with it is of two plain exchanges: Spark then splits a notice that very many documents have.
     found = paragraphs.join(written(classified(paragraphs)), "words")
     rows = found.groupBy("__row").agg(
