@@ -53,6 +53,24 @@ def test_files_are_equal_run_by_run_and_gzip_members(spark, tmp_path, monkeypatc
     assert order == list(range(100))
 
 
+def test_far_ids_and_many_of_one_id_do_not_fill_one_shard(spark, tmp_path, monkeypatch):
+    """One id far from the rest, very many null ids and very many rows of one id: shards stay near their size, and in the order of ids."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 4000)
+    rows = [(i, f"http://h/{i}", f"page {i} " * 40) for i in range(200)] + [(1 << 40, "http://far/", "far"), (-(1 << 62), None, "first"), ((1 << 63) - 1, None, "last")]
+    rows += [(None, f"http://n/{i}", f"no id {i} " * 40) for i in range(60)] + [(77, f"http://s/{i}", f"same id {i} " * 40) for i in range(60)]
+    m = warc.write(spark.createDataFrame(rows, SCHEMA), folder(tmp_path))
+    got = warc.read(m).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got) == sorted((i is None, i or 0, len(t)) for i, _, t in rows)
+    size, ids = {}, {}
+    for r in got:
+        shard = int(r.path.split("-")[1])
+        size[shard] = size.get(shard, 0) + r.payload_bytes
+        ids.setdefault(shard, []).append(-(1 << 63) if r.page_id is None else r.page_id)
+    assert len(size) > 15 and max(size.values()) < 12_000
+    order = [x for k in sorted(ids) for x in (min(ids[k]), max(ids[k]))]
+    assert order == sorted(order)
+
+
 def test_damage_is_found(spark, tmp_path):
     m = warc.write(spark.createDataFrame([(1, "http://a", "payload")], SCHEMA), folder(tmp_path))
     path = f"{tmp_path}/w/{m.first().path}"

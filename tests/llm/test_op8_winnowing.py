@@ -55,16 +55,22 @@ def test_winnowing_keeps_a_hash_of_every_window():
     assert len(at) < 0.5 * len(a)
 
 
-def test_query_in_one_and_in_many_blocks(spark, monkeypatch):
+def test_query_by_broadcast_and_by_join(spark, monkeypatch):
     items, docs = sample(11)
+    more, others = sample(12, 8)
+    items, docs = [*items, *[(100 + i, t) for i, t in more]], [*docs, *others, None, ""]
     d, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([*items, (None, "a b c"), (99, None), items[5]], "item_id long, text string")
-    for block in (1 << 20, 30):
+    long = []
+    for block, bits in ((1 << 20, 1 << 27), (30, 1 << 27), (30, 64)):
         monkeypatch.setattr(winnowing, "BLOCK_BYTES", block)
+        monkeypatch.setattr(winnowing, "FILTER_BITS", bits)
         rows = contamination(d, b, ["doc_id"]).collect()
         assert len(rows) == len(docs)
         for r in rows:
             assert (r.n_words, r.n_hit, r.item_ids) == plain(docs[r.doc_id], items) and r.n_items == len(r.item_ids)
             assert r.n_hit == sum(r.hit_spans[1::2]) - sum(r.hit_spans[0::2])
+        long.append(sorted((r.doc_id, r.n_long_items, str(r.hit_spans)) for r in rows))
+    assert long[0] == long[1] == long[2]
 
 
 def test_odd_and_empty_tables(spark, odd, empty, odd_rows):

@@ -25,8 +25,8 @@ from weftline.llm.common import scratch_dir, small_batches, written
 SHARD_BYTES, MOST_SHARDS = 8 << 20, 20_000
 #: A file is closed when it holds this many compressed bytes.
 ROLL_BYTES = 256 << 20
-#: Ranges of page ids that the shards' borders are taken from.
-RANGES = 20_000
+#: Ranges of page ids that the shards' borders are taken from, and parts that a range with more than a shard's bytes is cut into, again and again.
+RANGES, PARTS = 20_000, 64
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "shard long, seq long, temporary string, path string, records long, bytes long, sha1 string"
@@ -140,28 +140,59 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(","))])
 
 
-def shard_of(pages: DataFrame, page_id: str, size: F.Column) -> tuple[int, F.Column]:
-    """How many shards there are, and a row's shard.
+def _longs(values: list[int]) -> F.Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
-    Ids are cut into at most RANGES equal ranges; exact byte sums of the ranges, taken in order, make the shards, so
-    equal tables have equal shards. The driver sees one number for each range. Null ids are in shard 0.
+
+def range_of(page_id: F.Column, starts: list[int]) -> F.Column:
+    """The number of the range that an id is in, by bisection: the last of the sorted starts that is not over it."""
+    steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+    known = _longs(starts)
+    step = lambda at, n: F.when(F.coalesce(F.try_element_at(known, at + n + 1) <= page_id, F.lit(False)), at + n).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), step)
+
+
+def shard_of(digests: DataFrame) -> tuple[int, F.Column]:
+    """How many shards the rows (page_id, size, sha) make, and a row's shard.
+
+    Ids are cut into at most RANGES equal ranges, those with more than a shard's bytes into PARTS again, until they
+    are small or one id; so a few far ids do not put the rest into one range. Exact byte sums of the ranges, taken in order,
+    make the shards, so equal tables have equal shards. Null ids come first; they, and the rows of one id that
+    are more than a shard's bytes, are dealt by their digest. The driver sees one number for each range.
     """
-    low, high, total = pages.agg(F.min(page_id), F.max(page_id), F.sum(size)).first()
-    if low is None or low == high:
-        return 1, F.lit(0)
+    low, high, total, none = digests.agg(F.min("page_id"), F.max("page_id"), F.sum("size"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
+    each = max(SHARD_BYTES, (total or 0) // MOST_SHARDS + 1)
+    parts = lambda n: max(1, -(-n // each))
+    nulls = 0 if none is None else parts(none)
+    dealt = lambda n: F.pmod(F.xxhash64("sha"), n).cast("int")
+    if low is None:
+        return max(1, nulls), dealt(F.lit(max(1, nulls)))
+    ids = digests.filter(F.col("page_id").isNotNull())
     width = (high - low) // RANGES + 1
-    place = ((F.col(page_id).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("decimal(38,6)")
-    place = F.floor(place).cast("int")
-    sums = dict(pages.filter(F.col(page_id).isNotNull()).groupBy(place.alias("r")).agg(F.sum(size)).collect())
-    each, held, shard, shards = max(SHARD_BYTES, (total or 0) // MOST_SHARDS + 1), 0, 0, []
-    for r in range(max(sums) + 1):
+    starts = list(range(low, high + 1, width))
+    while True:
+        sums = dict(ids.groupBy(range_of(F.col("page_id"), starts).alias("r")).agg(F.sum("size")).collect())
+        ends = [*starts[1:], high + 1]
+        cut: list[int] = []
+        for r, (start, end) in enumerate(zip(starts, ends, strict=True)):
+            cut += range(start, end, max(1, -(-(end - start) // PARTS))) if sums.get(r, 0) > each else [start]
+        if len(cut) == len(starts):
+            break
+        starts = cut
+    shard, held, first, many = nulls, 0, [], []
+    for r in range(len(starts)):
         n = sums.get(r, 0)
         if held and held + n > each:
             shard, held = shard + 1, 0
+        first.append(shard)
+        many.append(parts(n))
         held += n
-        shards.append(shard)
-    table = F.split(F.lit(",".join(map(str, shards))), ",").cast("array<int>")
-    return shard + 1, F.coalesce(F.try_element_at(table, place + 1), F.lit(0))
+        if many[-1] > 1:
+            shard, held = shard + many[-1], 0
+    number = range_of(F.col("page_id"), starts) + 1
+    own = F.element_at(_longs(first), number).cast("int") + dealt(F.element_at(_longs(many), number).cast("int"))
+    return shard + (held > 0 or shard == 0), F.when(F.col("page_id").isNull(), dealt(F.lit(max(1, nulls)))).otherwise(own)
 
 
 def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES, least_bytes: int = 0) -> DataFrame:
@@ -178,9 +209,10 @@ def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id",
     fs, path = filesystem(folder)
     fs.create_dir(f"{path}/_temporary", recursive=True)
     given = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    shards, shard = shard_of(given, "page_id", F.length("payload"))
     rows = given.select("page_id", "url", "payload", F.sha1("payload").alias("sha"))
-    digests = rows.select("page_id", "sha")
+    digests = written(rows.select("page_id", F.length("payload").cast("long").alias("size"), "sha"))
+    shards, shard = shard_of(digests)
+    digests = digests.drop("size")
     copies = digests.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top")
     marks = digests.join(copies, "sha").distinct()
     both = marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "top", "sha").union(rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("top"), "sha"))

@@ -3,24 +3,28 @@
 A text's words are lower-cased runs of ASCII letters, digits and non-ASCII characters. Of each window of
 WINDOW - GRAM + 1 successive GRAM-word hashes the least is kept. Any WINDOW words that a document shares with an
 item keep the same least hash in both, so joining the kept hashes misses no such span; each meeting is extended
-to the WINDOW-word windows around it and those are compared as text.
+to the WINDOW-word windows around it and those are compared as text. Items of fewer words go whole, by their length.
+
+A benchmark of up to BLOCK_BYTES of text is indexed and broadcast, and the join is a lookup as the texts pass. A larger one's
+kept hashes are a table, and are joined with those of the documents that a bit array of fixed size lets through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weftline.llm.common import Words, byte_table, map_texts
+from weftline.llm.common import Words, byte_table, map_texts, mixed, written
 
 WINDOW, GRAM = 8, 5
-#: Bytes of item texts that are indexed and broadcast at once. More items make more passes, each over all documents.
+#: Bytes of item texts up to which all items are indexed and broadcast.
 BLOCK_BYTES = 2 << 20
+#: Bits of the array that says which hashes an item may have: 16 MB, whatever the number of items.
+FILTER_BITS = 1 << 27
 TABLE = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()), lower=True)
 RESULT = "n_words long, hit_spans array<int>, item_ids array<string>, n_hit long, n_items long, n_long_items long"
 
-OWN = ("hit_spans", "item_ids", "n_hit", "n_items", "n_long_items")
-
 
 def kept_hashes(words: Words) -> np.ndarray:
     """Positions of the winnowed GRAM-word hashes, and the hashes. All equal least hashes of a window are kept."""
@@ -117,76 +121,124 @@ def merged(spans: set[tuple[int, int]] | list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _blocks(items: DataFrame, item_id: str, text: str):
-    block, size = [], 0
-    for r in items.select(item_id, text).toLocalIterator():
-        if r[0] is None or not r[1]:
-            continue
-        t = r[1].encode("utf-8", "replace")
-        if block and size + len(t) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((str(r[0]), t))
-        size += len(t)
-    if block:
-        yield block
-
-
 def contamination(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each row of docs: the carried columns, n_words, hit_spans (flat word ranges), item_ids, n_hit, n_items,
-    n_long_items (items found by a window of WINDOW words; in several blocks an id counts once a block).
+    n_long_items (items found by a window of WINDOW words).
 
-    Null texts have no words; null or empty items match nothing; repeated items count once; with no items nothing
-    is hit. Items are broadcast in blocks of at most BLOCK_BYTES (one longer item is a block of its own), each
-    block a further Arrow step on the same rows, so that neither table is ever shuffled and no size of the
-    benchmark breaks a broadcast.
+    Null texts have no words; null or empty items, and items with a null id, match nothing; repeated items count
+    once; with no items nothing is hit. Texts are never shuffled.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text)] or [sc.broadcast([])]
-    if len(blocks) == 1:
-        return map_texts(docs, text, carry, RESULT, _first(blocks[0]))
-    out = map_texts(docs, text, [*carry, text] if text not in carry else carry, RESULT, _first(blocks[0]))
-    for b in blocks[1:]:
-        out = _again(out, text, b)
-    return out.select(*[c for c in out.columns if c in carry or c in ("n_words", "hit_spans", "item_ids", "n_hit", "n_items", "n_long_items")])
-
-
-def _row(spans: list[int], ids: set[str], long: int) -> tuple[list[int], list[str], int, int, int]:
-    return spans, sorted(ids), sum(spans[1::2]) - sum(spans[0::2]), len(ids), long
+    own = items.filter(F.col(f"`{item_id}`").isNotNull() & (F.length(F.col(f"`{item_text}`")) > 0)).select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("t"))
+    if (own.agg(F.sum(F.octet_length("t") + F.octet_length("item"))).first()[0] or 0) > BLOCK_BYTES:
+        return joined(docs, own, carry, text)
+    block = docs.sparkSession.sparkContext.broadcast([(r[0], r[1].encode("utf-8", "replace")) for r in own.collect()])
 
-
-def _first(block):
     def make():
         scan = Scan(Index(block.value))
 
         def work(texts):
             n, spans, ids, long = scan(texts)
-            rows = [_row(merged(s), i, len(k)) for s, i, k in zip(spans, ids, long, strict=True)]
-            return {"n_words": n} | {c: [r[k] for r in rows] for k, c in enumerate(OWN)}
+            flat = [merged(s) for s in spans]
+            return {"n_words": n, "hit_spans": flat, "item_ids": [sorted(x) for x in ids], "n_hit": [sum(x[1::2]) - sum(x[0::2]) for x in flat], "n_items": [len(x) for x in ids], "n_long_items": [len(x) for x in long]}
 
         return work
 
-    return make
+    return map_texts(docs, text, carry, RESULT, make)
 
 
-def _again(df: DataFrame, text: str, block) -> DataFrame:
-    """One more block of items over rows that hold the result for earlier ones."""
-    import pyarrow as pa
+POINT = "struct<h: long, n: int, p: int, gram: string, before: array<string>, after: array<string>>"
 
-    schema = df.schema
 
-    def run(batches):
-        scan = Scan(Index(block.value))
-        for batch in batches:
-            got = batch.to_pydict()
-            rows = []
-            for t, old, ids, long in zip(got[text], got["hit_spans"], got["item_ids"], got["n_long_items"], strict=True):
-                _, spans, found, more = scan([None if t is None else t.encode("utf-8", "replace")])
-                both = [(a, b - a) for a, b in zip(old[0::2], old[1::2], strict=True)] + list(spans[0])
-                rows.append(_row(merged(both), {*ids, *found[0]}, long + len(more[0])))
-            for i, c in enumerate(OWN):
-                k = batch.schema.get_field_index(c)
-                batch = batch.set_column(k, batch.schema.field(k), pa.array([r[i] for r in rows], type=batch.schema.field(k).type))
-            yield batch
-
-    return df.mapInArrow(run, schema)
+def points(words: Words, lengths: list[int] | None, may: np.ndarray | None) -> list[list[dict]]:
+    """Each text's kept hashes with their place, words and the words that a window may reach around them (the nearest first).
+
+    n is 0 for winnowed hashes, else the length of a short item: all of such lengths, or (lengths null) of a text
+    under WINDOW words itself. `may`: bits of the hashes that are wanted.
+    """
+    out: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
+    reach = WINDOW - GRAM
+
+    def wanted(h: np.ndarray) -> np.ndarray:
+        if may is None:
+            return np.ones(len(h), dtype=bool)
+        bit = h & np.uint64(8 * len(may) - 1)
+        return (may[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def add(h: int, n: int, p: int, size: int, around: int) -> None:
+        text = int(words.text[p])
+        lo, hi = int(words.first[text]), int(words.first[text + 1])
+        word = lambda i: words.word(i).decode("utf-8", "replace")
+        out[text].append({"h": h - (1 << 64) if h >> 63 else h, "n": n, "p": p - lo, "gram": " ".join(map(word, range(p, p + size))), "before": [word(i) for i in range(p - 1, max(lo, p - around) - 1, -1)], "after": [word(i) for i in range(p + size, min(hi, p + size + around))]})
+
+    at, g = kept_hashes(words)
+    some = wanted(g)
+    for p, h in zip(at[some].tolist(), g[some].tolist(), strict=True):
+        add(h, 0, p, GRAM, reach)
+    counts = np.diff(words.first)
+    for n in range(1, WINDOW) if lengths is None else lengths:
+        g, whole = words.grams(n)
+        place = np.flatnonzero(whole) if lengths is not None else words.first[:-1][counts == n]
+        g = mixed(g[place] + np.uint64(n))
+        some = wanted(g)
+        for p, h in zip(place[some].tolist(), g[some].tolist(), strict=True):
+            add(h, n, p, n, 0)
+    return out
+
+
+def _bits(hashes: DataFrame, column: str) -> np.ndarray:
+    """FILTER_BITS bits, those of the hashes set: grouped sums of at most FILTER_BITS / 64 rows reach the driver."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    table = hashes.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def joined(docs: DataFrame, items: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """`contamination` by items (item, t) of any number: a join of kept hashes, whose meetings are then extended."""
+    sc = docs.sparkSession.sparkContext
+
+    def of_items():
+        return lambda texts: {"points": points(Words(texts, TABLE), None, None)}
+
+    known = map_texts(items, "t", ["item"], f"points array<{POINT}>", of_items).select("item", F.explode("points").alias("x"))
+    known = written(known.select("item", "x.h", "x.n", "x.gram", "x.before", "x.after").distinct())
+    lengths = sorted(r[0] for r in known.filter("n > 0").select("n").distinct().collect())
+    may = sc.broadcast(_bits(known, "h"))
+
+    def of_docs():
+        def work(texts):
+            words = Words(texts, TABLE)
+            return {"n_words": np.diff(words.first), "__points": points(words, lengths, may.value)}
+
+        return work
+
+    taken = ("n_words", "hit_spans", "item_ids", "n_hit", "n_items", "n_long_items")
+    carry = [c for c in carry if c not in taken and c not in ("__points", "__row")]
+    rows = written(map_texts(docs, text, carry, f"n_words long, __points array<{POINT}>", of_docs).withColumn("__row", F.monotonically_increasing_id()))
+    own = rows.select("__row", F.explode("__points").alias("d")).select("__row", "d.p", F.col("d.h").alias("h"), F.col("d.n").alias("n"), F.col("d.gram").alias("gram"), F.col("d.before").alias("b"), F.col("d.after").alias("a"))
+    met = own.join(known, ["h", "n", "gram"])
+    left, right = _alike("b", "before"), _alike("a", "after")
+    span = met.select("__row", "item", "n", (F.col("p") - left).alias("start"), (F.col("p") + F.when(F.col("n") > 0, F.col("n")).otherwise(GRAM) + right).alias("end"))
+    span = written(span.filter(f"n > 0 or end - start >= {WINDOW}").distinct())
+    ids = span.groupBy("__row", "item").agg(F.max((F.col("n") == 0).cast("int")).alias("long"))
+    ids = ids.groupBy("__row").agg(F.array_sort(F.collect_list("item")).alias("item_ids"), F.count("*").cast("long").alias("n_items"), F.sum("long").alias("n_long_items"))
+    flat = F.array_sort(F.collect_set(F.struct("start", "end")))
+    empty = F.array().cast("array<int>")
+    last = lambda acc: F.element_at(acc, -1)
+    cut = lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1)
+    fold = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1))), F.concat(cut(acc), F.array(F.greatest(last(acc), x["end"])))).otherwise(F.concat(acc, F.array(x["start"], x["end"])))
+    hits = span.groupBy("__row").agg(flat.alias("s")).select("__row", F.aggregate("s", empty, fold).alias("hit_spans"))
+    total = F.aggregate(F.transform("hit_spans", lambda v, i: F.when(i % 2 == 0, -v).otherwise(v)), F.lit(0), lambda acc, v: acc + v)
+    out = rows.drop("__points").join(hits, "__row", "left").join(ids, "__row", "left").withColumn("hit_spans", F.coalesce("hit_spans", empty))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select(*carry, "n_words", "hit_spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), total.cast("long").alias("n_hit"), zero("n_items"), zero("n_long_items"))
+
+
+def _alike(a: str, b: str) -> F.Column:
+    """How many words two arrays of up to WINDOW - GRAM words have in common from their beginning."""
+    out = F.lit(0)
+    for n in range(1, WINDOW - GRAM + 1):
+        same = F.slice(a, 1, n) == F.slice(b, 1, n)
+        out = F.when((F.size(a) >= n) & (F.size(b) >= n) & same, n).otherwise(out)
+    return out
