@@ -35,6 +35,8 @@ SLACK = 0.1
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Candidates of each node in the first round.
 BEST = 2
+#: Up to this many rows to drop (some 60 bytes each) are broadcast, so that texts are not shuffled; more are joined.
+BROADCAST_ROWS = 500_000
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(20)) >> np.uint64(13)).astype(np.uint32)
 
@@ -263,17 +265,15 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, text: str, shingle: int) ->
     return written(map_texts(texts, "t", ["text_hash"], "shingles array<long>", make).join(nodes.select("node", "text_hash"), "text_hash").select("node", "shingles"))
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (node, text_hash) whose shingle sets have the similarity."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = shingle_sets(written(nodes.join(ends, "node").select("node", "text_hash")), docs, text, shingle)
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets (node, shingles) have the similarity."""
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes that meet in a bucket over PAIRED, are in two classes (node, root) of `found`, and have the similarity.
+def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes (node, sig, n_shingles; sets: node, shingles) that meet in a bucket over PAIRED, are in two classes (node, root) of `found`, and have the similarity.
 
     Nodes of a bucket are dealt to blocks, a large class to blocks of its own, and blocks are compared two by two but
     for those of one class. So a class of very many near copies is compared with what is outside it only.
@@ -299,8 +299,7 @@ def apart(meet: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame,
     given = rows.select("band", "key", "node", "root", F.struct(F.col("own").isNotNull().alias("one"), "block").alias("at"))
     dealt = given.join(sides, ["band", "key", "at"]).join(nodes.select("node", "sig"), "node").select("group", "side", "root", "node", "sig")
     near = written(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_partners(similarity), "group long, side long, root long, node long"))
-    ends = written(near.select("node").distinct().join(nodes, "node").select("node", "text_hash"))
-    met = near.join(shingle_sets(ends, docs, text, shingle), "node").select("group", "side", "root", "node", "shingles")
+    met = near.join(sets, "node").select("group", "side", "root", "node", "shingles")
     return met.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(similarity), "a long, b long").distinct()
 
 
@@ -324,15 +323,18 @@ def near_classes(docs: DataFrame, carry: list[str], text: str = "text", shingle:
     ends = pairs.select(F.col("a").alias("node"), "a", "b", "near").union(pairs.select(F.col("b").alias("node"), "a", "b", "near"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "a", "b"))
     best = written(ends.withColumn("k", place).filter(f"k <= {BEST}").select("a", "b").distinct())
-    proven = [written(compared(best, nodes, docs, text, shingle, similarity))]
+    # The shingles of all nodes that any round may compare, made once.
+    wanted = ends.select("node").union(meet.filter(f"n > {PAIRED}").select("node")).distinct()
+    sets = shingle_sets(written(nodes.join(wanted, "node").select("node", "text_hash")), docs, text, shingle)
+    proven = [written(compared(best, sets, similarity))]
     found = written(components(proven[0]))
     roots = lambda k: found.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
     left = pairs.join(best, ["a", "b"], "left_anti").join(roots("a"), "a", "left").join(roots("b"), "b", "left")
     left = written(left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     if not left.isEmpty():
-        proven.append(written(compared(left, nodes, docs, text, shingle, similarity)))
+        proven.append(written(compared(left, sets, similarity)))
         found = written(components(proven[0].union(proven[1])))
-    if not (rest := written(apart(meet, nodes, found, docs, text, shingle, similarity))).isEmpty():
+    if not (rest := written(apart(meet, nodes, found, sets, similarity))).isEmpty():
         found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest))
     return rows.join(found, "node", "left").select(*carry, "n_shingles", F.coalesce("root", "node").alias("root"))
 
@@ -351,7 +353,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     twice = written(rows.groupBy("__id", "__hash").count().filter("count > 1").select("__id", "__hash"))
     marked = docs.select("*", *key)
     met = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__hash"] == b["__hash"])
+    if (gone := written(gone)).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     kept = marked.join(gone, met(marked, gone), "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(twice, met(kept, twice), "left_anti").union(kept.join(twice, met(kept, twice), "left_semi").dropDuplicates(["__id", "__hash"]))
+        few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+        once = kept.join(few, met(kept, few), "left_anti")
+        kept = once.union(kept.join(few, met(kept, few), "left_semi").dropDuplicates(["__id", "__hash"]))
     return kept.drop("__id", "__hash")
