@@ -248,7 +248,10 @@ def connecting(side: list[int], root: list[int], node: list[int], sets: list, si
 def shingle_sets(nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """(node, shingles) of the nodes (node, text_hash); only their texts are read into sets."""
     hashed = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    texts = hashed.join(nodes.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    hashes = written(nodes.select("text_hash").distinct())
+    if hashes.count() <= BROADCAST_ROWS:
+        hashes = F.broadcast(hashes)
+    texts = hashed.join(hashes, "text_hash", "left_semi").dropDuplicates(["text_hash"])
 
     def make():
         def work(parts):
