@@ -147,3 +147,68 @@ def test_incremental_runs_add_only_new_rows(spark, tmp_path):
         spark.createDataFrame(batch, KG).write.mode("append").parquet(source)
         run(spark.readStream.schema(KG).parquet(source), step, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def counting(folder, answer):
+    """A model that leaves a file for each prompt that it is asked."""
+    import os
+    import uuid
+
+    os.makedirs(folder, exist_ok=True)
+
+    def one(prompt):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return answer(prompt)
+
+    return lambda: FunctionCompleter(one)
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    import os
+
+    asked = lambda name: len(os.listdir(tmp_path / name))
+    word = lambda p: "def " + re.search(r"Triplet: \['(.*?)', '(.*?)'", p)[2]
+    rows = [(i, f"s{i}", "a", f"pred{i % 4}", "b") for i in range(12)]
+    g = spark.createDataFrame(rows, KG)
+    align.aligned(g, ontology(spark), counting(tmp_path / "cached", lambda p: "def"), counting(tmp_path / "choose", lambda p: "A"), LetterCounts, mode="cached").collect()
+    assert asked("cached") == 4 and asked("choose") == 12
+    align.aligned(g, ontology(spark), counting(tmp_path / "final", word), lambda: FunctionCompleter(lambda p: "A"), LetterCounts).collect()
+    assert asked("final") == 12
+    out = self_canonical.self_canonicalized(g, counting(tmp_path / "self", word), counting(tmp_path / "fold", lambda p: "A"), LetterCounts)
+    assert len(out.collect()) == 12 == out.count()
+    assert asked("self") == 12 and asked("fold") == 11
+    records = spark.createDataFrame([(i, f"pred{'abcdef'[i]}", f"pred{'abcdef'[i]}", "some words of it", False) for i in range(6)], "pos long, predicate string, original_predicate string, predicate_definition string, canonicalized boolean").withColumn("canonical_predicate", F.col("predicate"))
+    applied, labels = mapping.relabelled(records, LetterCounts, counting(tmp_path / "labels", lambda p: "label"))
+    several = [r for r in labels.collect() if len(r.members) > 1]
+    applied.collect()
+    labels.collect()
+    assert several and asked("labels") == len(several)
+
+
+def test_positions_over_many_files(spark, tmp_path):
+    """Seventy graph files, and term lists of which a later one is larger: positions are unique, and go by path and place."""
+    for i in range(70):
+        (tmp_path / f"g{i:02}.json").write_text(json.dumps([{"sentence": f"{i}-{k}", "subject": "a", "predicate": "p", "object": "b"} for k in range(3)]))
+    got = files.read_graph(spark, f"{tmp_path}/g*.json").orderBy("pos").collect()
+    assert [r.sentence for r in got] == [f"{i}-{k}" for i in range(70) for k in range(3)] and len({r.pos for r in got}) == 210
+    for i in range(4):
+        (tmp_path / f"t{i} x.csv").write_text("term\n" + "".join(f"t{i}n{k}\n" for k in range(1 + 40 * i)))
+    assert [r.term for r in files.read_terms(spark, f"{tmp_path}/t*.csv").orderBy("pos").collect()] == [f"t{i}n{k}" for i in range(4) for k in range(1 + 40 * i)]
+
+
+def test_a_runs_files(spark, tmp_path):
+    g = spark.createDataFrame([(i, "s", f"a{i}", "p", "b") for i in range(3)], KG)
+    out = align.aligned(g, ontology(spark), DEFINE, lambda: FunctionCompleter(lambda p: "A"), LetterCounts)
+    log = files.call_log(out, "choice_call", 3, "stand-in", 10)
+    places = files.write_run(f"{tmp_path}/run.json", result=out.drop("definition_call", "choice_call"), phase3=log)
+    assert set(places) == {"result", "phase3"} and spark.read.json(places["result"]).count() == 3
+    again = spark.read.json(places["phase3"]).collect()
+    assert len(again) == 3 and {(r.phase, r.model, r.response, r.attempts) for r in again} == {(3, "stand-in", "A", 1)}
+
+
+def test_one_rule_reads_letters(spark):
+    from weftline.functions.answers import strict_letter, strict_place
+
+    answers = ["A", "b", "Answer: C", "The answer is D.", "Neither A nor B", "F", "", "**B**", "I think B", "this is E", "E)", "Answer:\nB", " c ", "Z"]
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, a string").orderBy("i").select(strict_letter(F.col("a"), 5)).collect()
+    assert [r[0] for r in rows] == [None if (p := strict_place(a, 5)) is None else "ABCDE"[p] for a in answers]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +23,14 @@ def strict_letter(answer: Column, candidates: Column | int) -> Column:
     return F.when(F.ascii(letter).between(65, 64 + n), letter)
 
 
+def strict_place(answer: str, candidates: int) -> int | None:
+    """`strict_letter` of one text, as the place of the candidate from 0."""
+    hits = (m for m in (re.search(p, answer.strip(), re.IGNORECASE) for p in PATTERNS) if m)
+    letter = next((m[1].upper() for m in hits), "-")
+    place = string.ascii_uppercase[:candidates].find(letter)
+    return place if place >= 0 else None
+
+
 def loose_letter(answer: Column, candidates: Column | int) -> Column:
     """The first candidate letter that occurs anywhere in the answer. It picks A from "F. None of the above"; offered for parity."""
     n = F.lit(candidates) if isinstance(candidates, int) else candidates

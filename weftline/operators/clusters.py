@@ -17,34 +17,63 @@ from weftline.runtime import materialised
 
 #: Rows of a block in the pair search; two blocks' vectors are in a task's memory at once.
 BLOCK = 2048
+#: Rows of one connected component at most: their distances are a matrix of 800 MB in one task then. More fail with a message.
+MOST_MEMBERS = 10_000
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Cluster numbers, by first member: the nearest two clusters merge while their mean distance is under the threshold; ties to the first."""
     n = len(vectors)
+    if n > MOST_MEMBERS:
+        raise ValueError(f"{n} rows are near each other in chains; over MOST_MEMBERS, {MOST_MEMBERS}, their distances do not fit a task: lower the threshold")
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] < threshold:
+    size, label = np.ones(n), np.arange(n)
+    # Each row's nearest, so that a merge looks at rows whose nearest it changes and not at all pairs.
+    to = d.argmin(axis=1) if n else np.zeros(0, dtype=int)
+    least = d[np.arange(n), to]
+    for _ in range(n - 1):
+        i = int(np.argmin(least))
+        j = int(to[i])
+        if not least[i] < threshold:
             break
         i, j = min(i, j), max(i, j)
         joined = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = joined, joined
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
-        d[i, ~alive], d[~alive, i] = np.inf, np.inf
-        alive[j] = False
         size[i] += size[j]
         label[label == j] = i
+        near = d[:, i]
+        sooner = (near < least) | ((near == least) & (i < to))
+        again = (to == i) | (to == j)
+        to[sooner], least[sooner] = i, near[sooner]
+        for k in {i, j, *np.flatnonzero(again).tolist()}:
+            to[k] = d[k].argmin()
+            least[k] = d[k, to[k]]
     return np.unique(label, return_inverse=True)[1]
 
 
+def forest(near: np.ndarray) -> np.ndarray:
+    """Pairs of places that connect what a symmetric matrix of near pairs connects."""
+    out, left = [], np.ones(len(near), dtype=bool)
+    for start in range(len(near)):
+        if not left[start]:
+            continue
+        left[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & left)
+            left[new] = False
+            out += [(i, int(j)) for j in new]
+            todo += new.tolist()
+    return np.array(out, dtype=int).reshape(-1, 2)
+
+
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the ids of rows (id, vector) at cosine distance under the threshold: only those pairs leave a task, block by block."""
+    """(a, b) of ids of rows (id, vector) at cosine distance under the threshold that connect all such pairs: of two blocks' rows only a forest leaves the task."""
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
     dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
@@ -53,10 +82,7 @@ def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         v = np.array(frame["vector"].tolist(), dtype=float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        near = np.argwhere(np.triu(1 - v @ v.T < threshold, 1))
-        own = frame["own"].to_numpy()
-        if key[0] != key[1]:
-            near = near[own[near[:, 0]] != own[near[:, 1]]]
+        near = forest(1 - v @ v.T < threshold)
         ids = frame["id"].to_numpy()
         return pd.DataFrame({"a": ids[near[:, 0]], "b": ids[near[:, 1]]}, columns=["a", "b"])
 

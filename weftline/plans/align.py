@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from weftline.functions.answers import canonical_predicate, letter_choice, loose_letter, strict_letter
 from weftline.functions.ids import triplet_id
 from weftline.functions.text import ALREADY_CANONICAL, cache_key, choice_prompt, definition_prompt
-from weftline.operators.models import Completer, Embedder, completed, embedded
+from weftline.operators.models import Completer, Embedder, completed, embedded, for_distinct
 from weftline.operators.retrieval import top_candidates_column, top_k
 from weftline.operators.unmapped import definition_cache, remaining, resumed
+from weftline.runtime import materialised
 
 EMPTY = "array<struct<relation: string, similarity: double>>"
 
@@ -29,7 +30,8 @@ def _defined(rows: DataFrame, define: Callable[[], Completer], cached: bool) ->
         return completed(rows.withColumn("__prompt", prompt), "__prompt", define, 150, "definition_call").withColumn("predicate_definition", F.col("definition_call.text")).drop("__prompt")
     keyed = rows.withColumn("__key", cache_key(F.coalesce("predicate", F.lit(""))))
     first = keyed.groupBy("__key").agg(F.min_by(F.struct("sentence", "subject", "predicate", "object"), "pos").alias("r"), F.min("pos").alias("pos")).select("__key", "pos", "r.*")
-    asked = completed(first.select("__key", "pos", "predicate", prompt.alias("__prompt")), "__prompt", define, 150, "definition_call")
+    # Materialised, as the cache and the calls both read it: a predicate is asked for once.
+    asked = materialised(completed(first.select("__key", "pos", "predicate", prompt.alias("__prompt")), "__prompt", define, 150, "definition_call"))
     known = definition_cache(asked.select("pos", "predicate", F.col("definition_call.text").alias("response")))
     side = asked.select("__key", "definition_call").join(known.select(F.col("key").alias("__key"), "definition"), "__key", "left")
     return keyed.join(side, "__key").withColumn("predicate_definition", F.coalesce("definition", F.lit(""))).drop("__key", "definition")
@@ -54,7 +56,8 @@ def aligned(
     same = todo["predicate"] == names["__name"]
     passed = todo.join(names, same, "left_semi") if mode == "final" else None
     asked = todo.join(names, same, "left_anti") if mode == "final" else todo
-    vectors = embedded(_defined(asked, define, mode == "cached"), "predicate_definition", embedder, "__vector")
+    defined = _defined(asked, define, mode == "cached")
+    vectors = for_distinct(materialised(defined), "predicate_definition", lambda texts: embedded(texts, "predicate_definition", embedder, "__vector"))
     found = top_k(vectors, relations, "__vector", "vector", top)
     found = found.withColumn("__choices", F.transform(F.coalesce("found", F.array()), lambda c: F.struct(c["relation"].alias("relation"), F.coalesce(c["def"], F.lit("")).alias("def"))))
     prompted = found.withColumn("__prompt", choice_prompt(F.col("sentence"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("predicate_definition"), F.col("__choices")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import candidate_block, cluster_text, first_line, label_prompt, mapping_prompt
@@ -38,10 +38,11 @@ def mapped(graph: DataFrame, ontology: DataFrame, factory: Callable[[], Complete
 
 def relabelled(records: DataFrame, embedder: Callable[[], Embedder], factory: Callable[[], Completer], threshold: float = 0.35) -> tuple[DataFrame, DataFrame]:
     """(records with cluster labels applied, the clusters with members and labels). Without unmapped rows the records come back as they are."""
-    found = materialised(first_unmapped(records).withColumn("id", F.row_number().over(Window.orderBy("key")).cast("long")))
+    found = materialised(first_unmapped(records).orderBy("key").withColumn("id", F.monotonically_increasing_id()))
     vectors = embedded(found.withColumn("__text", cluster_text(F.col("predicate"), F.col("definition"))), "__text", embedder, "vector")
     members = materialised(cluster_members(found, clustered(vectors.select("id", "vector"), threshold)))
     several = split_single(members)[1].withColumn("__prompt", label_prompt(F.col("members")))
-    answers = completed(several, "__prompt", factory, 20, "__call").select("cluster", F.col("__call.text").alias("answer"))
+    # Materialised, as the labels are returned and applied: a cluster is asked for once.
+    answers = materialised(completed(several, "__prompt", factory, 20, "__call").select("cluster", F.col("__call.text").alias("answer")))
     labels = labelled(members, answers)
     return mapping_applied(records, predicate_labels(labels)), labels

@@ -16,6 +16,23 @@ from weftline.schema import KG_OPEN, TRIPLE
 SRDEF = "kind string, id string, name string, tree string, def string, f5 string, f6 string, f7 string, abbr string, inverse string, f10 string"
 
 
+#: Rows of a file at most: positions are the file's place among the sorted paths times this, plus the row's place.
+FILE_ROWS = 1 << 40
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows of files with __start, the first position of their file: paths are sorted, as partitions are packed by size."""
+    paths = sorted(rows.inputFiles())
+    ranks = rows.sparkSession.createDataFrame([(p, i * FILE_ROWS) for i, p in enumerate(paths)], "__path string, __start long")
+    return rows.withColumn("__path", F.input_file_name()).join(F.broadcast(ranks), "__path").drop("__path")
+
+
+def _positioned(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """pos and the columns of rows of unsplit files: the order of paths, and in a file that of its rows."""
+    placed = rows.withColumn("__nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return _ranked(placed).select((F.col("__start") + F.col("__nth")).alias("pos"), *columns)
+
+
 def read_srdef(spark: SparkSession, path: str) -> DataFrame:
     """Pipe-separated semantic types and relations: pos, kind, name, def, inverse of lines with ten fields or more.
 
@@ -27,11 +44,11 @@ def read_srdef(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triples_csv(spark: SparkSession, path: str) -> DataFrame:
-    """subject, predicate, object of a CSV file with a header; raises if one is missing. pos orders the rows."""
+    """subject, predicate, object of a CSV file with a header; raises if one is missing. pos orders the rows, files by their paths."""
     rows = spark.read.csv(path, header=True, escape='"', multiLine=True)
     if absent := missing_columns(rows, TRIPLE):
         raise ValueError(f"missing columns: {absent}")
-    return rows.select(F.monotonically_increasing_id().alias("pos"), *TRIPLE)
+    return _positioned(rows, TRIPLE)
 
 
 def write_triples_json(rows: DataFrame, path: str) -> None:
@@ -77,7 +94,7 @@ def read_graph(spark: SparkSession, path: str, mode: str = "strict", extra: str
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    files = spark.read.text(path, wholetext=True).select("value", (F.monotonically_increasing_id() * (1 << 24)).alias("start"))
+    files = _ranked(spark.read.text(path, wholetext=True)).select("value", F.col("__start").alias("start"))
     return files.mapInArrow(run, schema)
 
 
@@ -121,7 +138,7 @@ def read_terms(spark: SparkSession, path: str, column: str = "term", lowercase:
     if missing_columns(rows, (column,)):
         raise ValueError(f"missing column: {column}")
     term = F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")
-    out = rows.select(F.monotonically_increasing_id().alias("pos"), (F.lower(term) if lowercase else term).alias("term"))
+    out = _positioned(rows.select((F.lower(term) if lowercase else term).alias("term")), ("term",))
     return out.filter("term is not null and term != ''")
 
 
@@ -144,3 +161,22 @@ def layout(output: str) -> dict[str, str]:
     """The folders that belong to an output: results, the logs of both model phases, the checkpoint, the schema, clusters and labels."""
     stem = output.removesuffix(".json")
     return {"result": output, **{k: f"{stem}.{k}.jsonl" for k in ("phase2", "phase3", "checkpoint", "cluster_labels")}, **{k: f"{stem}.{k}.json" for k in ("schema", "clusters")}}
+
+
+def write_run(output: str, **tables: DataFrame) -> dict[str, str]:
+    """Writes what a run made to the places of `layout`, by its names (result, phase2, phase3, checkpoint, schema, clusters, cluster_labels), as JSON lines; returns the paths written."""
+    places = layout(output)
+    if unknown := set(tables) - set(places):
+        raise ValueError(f"not a part of a run: {sorted(unknown)}")
+    for name, rows in tables.items():
+        rows.write.mode("append" if places[name].endswith(".jsonl") else "overwrite").json(places[name])
+    return {name: places[name] for name in tables}
+
+
+def call_log(rows: DataFrame, call: str, phase: int, model: str, max_tokens: int, prompt: str | None = None) -> DataFrame:
+    """The log of a model phase from rows with a `call` struct: ids, fields, prompt, model, time, answer, usage, error, attempts. Rows that were not asked are left out."""
+    asked = F.lit(None).cast("string") if prompt is None else F.col(prompt)
+    return rows.filter(F.col(call).isNotNull()).select(
+        "triplet_id", F.lit(phase).alias("phase"), "predicate", "sentence", "subject", "object", asked.alias("prompt"), F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"),
+        F.current_timestamp().alias("called_at"), F.col(f"{call}.text").alias("response"), *[F.col(f"{call}.{f}").alias(f) for f in rows.schema[call].dataType.fieldNames() if f != "text"],
+    )
