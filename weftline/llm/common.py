@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,26 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from weftline.runtime import scratch_dir
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder; on a cluster the setting is required.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftline-')}")
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
