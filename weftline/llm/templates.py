@@ -19,12 +19,15 @@ from __future__ import annotations
 
 import html as _html
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +74,14 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+#: A tag without any of these has no attribute that is looked at.
+READ = re.compile("class|id|role|hidden", re.I)
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 def _names(rest: str) -> tuple[str, int, bool]:
     """What a tag's attributes add to its role, whether their words mark boilerplate (1) or comments (2), and whether the element is hidden."""
-    if "=" not in rest and "hidden" not in rest:
+    if "=" not in rest and "hidden" not in rest or not READ.search(rest):
         return "", 0, False
     a: dict[str, str] = {}
     for k, x, y, z in ATTRIBUTE.findall(rest):
@@ -89,33 +95,42 @@ def _names(rest: str) -> tuple[str, int, bool]:
     return ("." + re.sub(r"\d+", "0", " ".join(names)) if names else ""), mark, "hidden" in a or a.get("aria-hidden") == "true"
 
 
-_hashes: dict[str, int] = {}
+def _short(number):
+    """A hash in TOKEN_BITS bits, the last one left for the kind of the token: even are elements, odd are words."""
+    return number >> (65 - TOKEN_BITS) << 1
 
 
-def _number(text: str, word: bool) -> int:
-    import xxhash
+#: By role the number of an element and the seed of its words.
+_roles: dict[str, tuple[int, int]] = {}
 
-    return xxhash.xxh64_intdigest(text, int(word)) >> (65 - TOKEN_BITS) << 1 | word
+
+def _role(path: str) -> tuple[int, int]:
+    found = _roles.get(path)
+    if found is None:
+        if len(_roles) > 100_000:
+            _roles.clear()
+        found = _roles[path] = _short(xxhash.xxh64_intdigest(path)), xxhash.xxh64_intdigest(path, 1)
+    return found
 
 
 def element_token(path: str) -> int:
     """The number of an element's role: even, those of words are odd."""
-    h = _hashes.get(path)
-    if h is None:
-        if len(_hashes) > 100_000:
-            _hashes.clear()
-        h = _hashes[path] = _number(path, False)
-    return h
+    return _role(path)[0]
+
+
+def word_token(seed: int, word: str) -> int:
+    """The number of a word in elements whose role gives this seed."""
+    return _short(xxhash.xxh64_intdigest(word, seed)) | 1
 
 
 class Element:
     """An open tag: `path` is its role, or that of the block around an inline element; `out` says that it, or one around it, is no part of a text."""
 
-    __slots__ = ("chars", "frame", "mark", "name", "out", "parent", "path", "token")
+    __slots__ = ("chars", "frame", "mark", "name", "out", "parent", "path", "seed", "token")
 
     def __init__(self, name: str, parent: Element | None, path: str, mark: int, out: bool) -> None:
         self.name, self.parent, self.path, self.mark, self.out = name, parent, path, mark, out
-        self.token = element_token(path)
+        self.token, self.seed = _role(path)
         self.chars = 0
         self.frame: Element | None = None
 
@@ -126,75 +141,86 @@ class Element:
             e = e.parent
 
 
-OPEN, CLOSE, TEXT, BREAK = range(4)
+OPEN, TEXT, BREAK = range(3)
 _CELLS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = frozenset("ul ol dl table select nav header footer aside blockquote form".split())
 
+#: What short tags are: name, whether it ends an element, attributes, and what _names says of them.
+_tags: dict[str, tuple[str, bool, str, tuple[str, int, bool]]] = {}
+
+
+def _tag(m: re.Match) -> tuple[str, bool, str, tuple[str, int, bool]]:
+    """What a match of TOKEN is; the name is empty if it is no tag."""
+    if m.lastindex is None:
+        return "", False, "", ("", 0, False)
+    end, name, rest = m.group(1, 2, 3) if m.lastindex == 3 else m.group(4, 5, 6)
+    name = name.lower()
+    found = name, bool(end), rest, ("", 0, False) if end or name in VOID or name in RAW else _names(rest)
+    if len(m[0]) <= 100:
+        if len(_tags) > 20_000:
+            _tags.clear()
+        _tags[m[0]] = found
+    return found
+
 
 def parsed(page: str) -> list[tuple[int, Element, str]]:
-    """A page in order: elements opened and closed, raw texts with the element that holds them, and breaks between blocks."""
-    root = Element("", None, "", 0, False)
+    """A page in order: elements opened, raw texts with the element that holds them, and breaks between blocks."""
+    top = Element("", None, "", 0, False)
     items: list[tuple[int, Element, str]] = []
-    stack = [root]
+    stack = [top]
     at, n = 0, len(page)
-    names: dict[str, tuple[str, int, bool]] = {}
-
-    def close(down_to: int) -> None:
-        while len(stack) > down_to:
-            items.append((CLOSE, stack.pop(), ""))
-
+    search, known, add = TOKEN.search, _tags.get, items.append
     while at < n:
-        m = TOKEN.search(page, at)
+        m = search(page, at)
         if m is None:
-            items.append((TEXT, stack[-1], page[at:]))
+            add((TEXT, top, page[at:]))
             break
-        if m.start() > at:
-            items.append((TEXT, stack[-1], page[at : m.start()]))
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        start, end = m.span()
+        if start > at:
+            add((TEXT, top, page[at:start]))
+        at = end
+        tag = m[0]
+        name, ends, rest, (extra, mark, hidden) = known(tag) or _tag(m)
         if not name:
-            if m[0].startswith("<![CDATA["):
-                items.append((TEXT, stack[-1], _html.escape(m[0][9:].removesuffix("]]>"))))
+            if tag.startswith("<![CDATA["):
+                add((TEXT, top, _html.escape(tag[9:].removesuffix("]]>"))))
             continue
-        if m["end"] or m["end2"]:
-            if name in BLOCK:
-                items.append((BREAK, stack[-1], ""))
+        block = name in BLOCK
+        if block:
+            add((BREAK, top, ""))
+        if ends:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    close(i)
+                held = stack[i].name
+                if held == name:
+                    del stack[i:]
+                    top = stack[-1]
                     break
-                if stack[i].name in ("article", "main", "body", "html", "td", "table") and name not in CONTAINER and name not in BLOCK:
+                if held in ("article", "main", "body", "html", "td", "table") and name not in CONTAINER and not block:
                     break
             continue
-        if name in BLOCK:
-            items.append((BREAK, stack[-1], ""))
         if name in VOID:
             continue
         if name in ENDS_P or name in _CELLS:
             own = _CELLS.get(name, ("p",))
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in own:
-                    close(i)
+                held = stack[i].name
+                if held in own:
+                    del stack[i:]
+                    top = stack[-1]
                     break
-                if (stack[i].name in CONTAINER and stack[i].name not in own) or stack[i].name in _HOLDS:
+                if held in CONTAINER or held in _HOLDS:
                     break
-        rest = m["rest"] or m["rest2"] or ""
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            close = RAW_ENDS[name].search(page, at)
+            at = close.end() if close else n
             continue
         if rest.endswith("/") and name in ("svg", "math", "path"):
             continue
-        if rest not in names:
-            names[rest] = _names(rest)
-        extra, mark, hidden = names[rest]
-        above = stack[-1]
         whole = name in ("html", "body", "article", "main")
-        out = above.out or name in OUTSIDE or (hidden and not whole) or (name == "header" and not any(x.name in ("article", "main") for x in stack))
-        element = Element(name, above, f"{above.path}/{name}{extra}" if name in BLOCK else above.path, 0 if whole else mark, out)
-        stack.append(element)
-        items.append((OPEN, element, ""))
-    close(1)
+        out = top.out or name in OUTSIDE or (hidden and not whole) or (name == "header" and not any(x.name in ("article", "main") for x in stack))
+        top = Element(name, top, f"{top.path}/{name}{extra}" if block else top.path, 0 if whole else mark, out)
+        stack.append(top)
+        add((OPEN, top, ""))
     return items
 
 
@@ -219,39 +245,37 @@ def blocks(items: list[tuple[int, Element, str]]) -> Iterator[list[tuple[Element
         yield pieces
 
 
-#: Numbers of words by the role that holds them, and how many there are.
-_words: dict[str, dict[str, int]] = {}
-_held = [0]
-
-
-def page_tokens(page: str) -> dict[int, int]:
-    """How often each token occurs in a page, outside the elements that are no part of a text."""
-    elements: Counter[int] = Counter()
-    texts: dict[str, list[str]] = {}
+def _occurrences(page: str, elements: array, words: bytearray) -> None:
+    """Adds the number of each element, and the hash of each word, outside the elements that are no part of a text. No Python code runs for a word."""
     for kind, e, raw in parsed(page):
         if e.out:
             continue
-        if kind == OPEN and e.name in BLOCK:
-            elements[e.token] += 1
-        elif kind == TEXT:
-            texts.setdefault(e.path, []).append(raw)
-    found = dict(elements)
-    for path, raws in texts.items():
-        if _held[0] > 200_000:
-            _words.clear()
-            _held[0] = 0
-        known = _words.setdefault(path, {})
-        for w, n in Counter(_html.unescape(" ".join(raws)).split()).items():
-            t = known.get(w)
-            if t is None:
-                t = known[w] = word_token(path, w)
-                _held[0] += 1
-            found[t] = n
-    return found
+        if kind == TEXT:
+            words += b"".join(map(xxhash.xxh64_digest, _html.unescape(raw).split(), repeat(e.seed)))
+        elif kind == OPEN and e.name in BLOCK:
+            elements.append(e.token)
+
+
+def _counted(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each token occurs in each page: places of pages, tokens and counts, in the order of pages and tokens."""
+    elements, words = array("Q"), bytearray()
+    ends = np.zeros((len(pages) + 1, 2), np.int64)
+    for i, page in enumerate(pages):
+        if page:
+            _occurrences(page, elements, words)
+        ends[i + 1] = len(elements), len(words) // 8
+    place = np.arange(len(pages), dtype=np.uint64) << np.uint64(TOKEN_BITS)
+    hashes = np.frombuffer(words, ">u8").astype(np.uint64)
+    keys = np.concatenate([np.frombuffer(elements, np.uint64), _short(hashes) | np.uint64(1)])
+    keys |= np.concatenate([np.repeat(place, np.diff(ends[:, i])) for i in range(2)])
+    keys, times = np.unique(keys, return_counts=True)
+    return (keys >> np.uint64(TOKEN_BITS)).astype(np.int64), (keys & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64), times.astype(np.int64)
 
 
-def word_token(path: str, word: str) -> int:
-    return _number(f"{path}\x00{word}", True)
+def page_tokens(page: str) -> dict[int, int]:
+    """How often each token occurs in a page, outside the elements that are no part of a text."""
+    _, tokens, times = _counted([page])
+    return dict(zip(tokens.tolist(), times.tolist(), strict=True))
 
 
 #: What stands for a token where a class's order is counted.
@@ -259,39 +283,37 @@ ORDER = -2
 
 
 def _reduced(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Arrays (host, token, pages, times, vector) summed up by host and token, in their order."""
-    host, token, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((token, host))
-    host, token = host[order], token[order]
-    first = np.flatnonzero(np.concatenate(([True], (host[1:] != host[:-1]) | (token[1:] != token[:-1]))))
-    return host[first], token[first], *[np.add.reduceat(x[order], first) for x in sums]
+    """Arrays (host and token in one number, pages, times, vector) summed up by the first, in its order."""
+    key, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], *[np.add.reduceat(x[order], first) for x in sums]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the pages (host, page, html) of a task by host and token."""
-    names: dict[str, int] = {}
+    names: dict[str, int] = {}  # fewer than 1 << (63 - TOKEN_BITS): each host has a token, and only some are held
     parts: list[tuple[np.ndarray, ...]] = []
 
     def emitted(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        hosts = pa.DictionaryArray.from_arrays(pa.array(rows[0], pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
-        return pa.RecordBatch.from_arrays([hosts, *[pa.array(x, pa.int64()) for x in rows[1:]]], names=["host", "token", "pages", "times", "vector"])
+        hosts = pa.DictionaryArray.from_arrays(pa.array(rows[0] >> TOKEN_BITS, pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
+        token = rows[0] & ((1 << TOKEN_BITS) - 1)
+        return pa.RecordBatch.from_arrays([hosts, *[pa.array(x, pa.int64()) for x in (token, *rows[1:])]], names=["host", "token", "pages", "times", "vector"])
 
     with task(__name__):
         for batch in batches:
-            hosts, pages, texts = (c.to_pylist() for c in batch.columns)
+            hosts, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            pages = batch.column(1).to_numpy()
             for lo, hi in steps([len(t or "") for t in texts]):
-                host, token, times, page = [], [], [], []
-                for h, p, t in zip(hosts[lo:hi], pages[lo:hi], texts[lo:hi], strict=True):
-                    found = page_tokens(t or "")
-                    host.append(np.full(len(found), names.setdefault(h, len(names))))
-                    token.append(np.fromiter(found, np.int64, len(found)))
-                    times.append(np.fromiter(found.values(), np.int64, len(found)))
-                    page.append(np.full(len(found), p))
-                n = np.concatenate(times)
-                if not len(n):
+                place, token, times = _counted(texts[lo:hi])
+                if not len(place):
                     continue
-                vector = _mixed(np.concatenate(page), n)
-                parts.append(_reduced([(np.concatenate(host), np.concatenate(token), np.ones(len(n), np.int64), n, vector)]))
+                host = np.zeros(hi - lo, np.int64)
+                for i in np.unique(place).tolist():
+                    host[i] = names.setdefault(hosts[lo + i], len(names))
+                vector = _mixed(pages[lo:hi][place], times)
+                parts.append(_reduced([(host[place] << TOKEN_BITS | token, np.ones(len(times), np.int64), times, vector)]))
                 if sum(len(x[0]) for x in parts) > HELD:
                     parts = [_reduced(parts)]
                     if len(parts[0][0]) > HELD // 2:
@@ -386,7 +408,7 @@ class _Words:
         own = None
         for e, t in pieces:
             for w in t.split():
-                of = self.known.get(word_token(e.path, w))
+                of = self.known.get(word_token(e.seed, w))
                 if of is None or own not in (None, of):
                     return False
                 own = of
