@@ -81,6 +81,24 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.metric_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.block_kmeans import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_gam": op2_gam,
@@ -92,4 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_piece_bpe": op9_piece_bpe,
     "op10_licences": op10_licences,
+    "op11_jaccard": op11_jaccard,
+    "op12_importance": op12_importance,
+    "op13_centroids": op13_centroids,
 }
