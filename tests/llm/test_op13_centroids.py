@@ -47,7 +47,7 @@ def test_against_all_distances(spark, spread):
     assert result(clustered(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA))) == plain(rows)
 
 
-@pytest.mark.parametrize(("spread", "most"), [(0.1, 0.65), (0.5, 0.95)])
+@pytest.mark.parametrize(("spread", "most"), [(0.1, 0.65), (0.5, 0.97)])
 def test_screening_is_exact_and_saves_distances(spread, most):
     x = np.floor(64 * np.array([v for _, v in vectors(2000, spread)])).astype(np.int64)
     c = x[:16]

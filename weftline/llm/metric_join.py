@@ -6,15 +6,18 @@ no prefix shingle with any other have no link and go no further. Shingles that m
 order: they are counted in the prefixes of the order so far, ROUNDS times, and marked in a bit array of a fixed size.
 Marks of other shingles by chance cost time, never a link, as every document reads the same array.
 
-- Pivots. The least node of each shared prefix shingle is a pivot; each node knows its exact distance to the pivots of
-  its own prefix shingles. The nearest is its home, whose Voronoi region it belongs to; it is a boundary document of the
-  regions of the others. Two nodes that link share a prefix shingle, so they meet in the region of its pivot.
-- Links to pivots give classes. A region whose nodes are all of one class is finished.
-- Windows. The others are cut into rings of the linking radius r by distance to the pivot. As |d(x,p) - d(y,p)| <= d(x,y),
-  nodes link inside a ring or with the next one only, which is replicated to it.
-- Recursion. A task that holds a ring chooses pivots in it, gives each node to its nearest and to all that are at most
-  2 r further, and goes on inside; rings over a task's size are dealt to blocks, which meet two by two. Nodes of one class
-  are never compared. Only links that connect leave a task.
+- Pivots. The least node of each shared prefix shingle is a pivot, to whose Voronoi region all nodes come that share a
+  prefix shingle of it: the nearest pivot is a node's home, in the regions of the others it is a boundary document. Two nodes
+  that link share a prefix shingle, so they meet in the region of its pivot. Links to pivots give classes; a region whose
+  nodes are all of one class is finished.
+- Images. A set's image counts its shingles in IMAGE buckets of their hashes. The Jaccard distance of counts is a metric too, and
+  images are never further from each other than their sets. So images of a fixed size rule pairs out, and give distances to
+  pivots, before any set is read: sets are read for pairs whose images link.
+- Windows. Regions are cut into rings of the linking radius r by the images' distance to the pivot. As |d(x,p) - d(y,p)| <= d(x,y),
+  nodes link inside a ring or with the next one only, which is replicated to it. Large rings are dealt to parts that meet two by
+  two. Nodes of one class are never compared.
+- Recursion. A task that holds a part's sets chooses pivots in it, gives each node to its nearest and to all that are at most
+  2 r further, and goes on inside, until few nodes are left or they are too dense to be parted. Only links that connect leave it.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from weftline.llm.simhash import TABLE
 ROUNDS = 2
 #: Bits of the array of frequent shingles, 16 MB at any size of the data; one in LOAD of them may be set.
 FILTER_BITS, LOAD = 1 << 27, 8
+#: Counts of an image.
+IMAGE = 128
 #: A task's part of a ring holds about so many nodes and shingles at most; a larger set is a part of its own.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: Nodes that are compared without further pivots, and pivots of one step of the recursion.
 LEAF, PIVOTS = 48, 6
 #: Up to this many text hashes (some 60 bytes each) are broadcast, so that texts are not shuffled; more are joined.
@@ -84,6 +89,14 @@ def _prefix(x: np.ndarray, bits: np.ndarray | None, percent: int) -> np.ndarray:
     return x[:k].view(np.int64)
 
 
+def _image(x: np.ndarray) -> bytes:
+    return np.bincount((x & np.uint64(IMAGE - 1)).astype(np.int64), minlength=IMAGE).astype("<u4").tobytes()
+
+
+def _images(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<u4").reshape(len(column), IMAGE)
+
+
 def sketched(docs: DataFrame, carry: list[str], text: str, shingle: int, percent: int) -> DataFrame:
     """Each row's carried columns, node (null: no shingles), n_shingles, and prefix in the order of hashes alone."""
 
@@ -124,21 +137,21 @@ def _filter(spark: SparkSession, counted: DataFrame, old: np.ndarray | None) ->
 
 
 def prefixes(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int, bits: np.ndarray) -> DataFrame:
-    """(node, prefix) of the nodes (node, text_hash) in the order of the array."""
+    """(node, prefix, image) of the nodes (node, text_hash), prefixes in the order of the array."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make():
         def work(texts):
             sets = shingle_hashes(texts, shingle)
-            return {"node": [_node(x) for x in sets], "prefix": [_prefix(x, shared.value, percent) for x in sets]}
+            return {"node": [_node(x) for x in sets], "prefix": [_prefix(x, shared.value, percent) for x in sets], "image": [_image(x) for x in sets]}
 
         return work
 
-    return map_texts(_texts_of(nodes, docs, text), "t", [], "node long, prefix array<long>", make).dropDuplicates(["node"])
+    return map_texts(_texts_of(nodes, docs, text), "t", [], "node long, prefix array<long>, image binary", make).dropDuplicates(["node"])
 
 
-def shared_postings(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
-    """(s, node) of the prefix shingles that several nodes share, in the final order; nodes: (node, text_hash, prefix)."""
+def pivots_of(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, pivot) of all nodes that share a prefix shingle with a pivot, and (node, image); nodes: (node, text_hash, prefix)."""
     spark = docs.sparkSession
     bits = None
     alive = nodes
@@ -152,7 +165,24 @@ def shared_postings(nodes: DataFrame, docs: DataFrame, text: str, shingle: int,
         alive = written(prefixes(rest, docs, text, shingle, percent, bits))
     postings = alive.select("node", F.explode("prefix").alias("s"))
     counted = written(postings.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
-    return written(postings.join(counted.select("s", "pivot"), "s").filter("node != pivot").select("node", "pivot").distinct())
+    met = written(postings.join(counted.select("s", "pivot"), "s").filter("node != pivot").select("node", "pivot").distinct())
+    return met, alive.select("node", "image")
+
+
+def imaged(met: DataFrame, images: DataFrame) -> DataFrame:
+    """(node, pivot, small, large): the sums of the lesser and of the greater counts of both images, which bound intersection and union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task(__name__):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 4096):
+                    node, pivot, x, y = batch.slice(lo, 4096).columns
+                    x, y = _images(x.to_pylist()), _images(y.to_pylist())
+                    small, large = np.minimum(x, y).sum(axis=1, dtype=np.int64), np.maximum(x, y).sum(axis=1, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([node, pivot, pa.array(small, pa.int64()), pa.array(large, pa.int64())], names=["node", "pivot", "small", "large"])
+
+    given = met.join(images, "node").join(images.select(F.col("node").alias("pivot"), F.col("image").alias("other")), "pivot").select("node", "pivot", "image", "other")
+    return given.mapInArrow(run, "node long, pivot long, small long, large long")
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -184,7 +214,7 @@ def region_parts(near: DataFrame, classes: DataFrame, sizes: DataFrame, radius:
     """
     pivots = near.select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("d")).distinct()
     members = near.select("node", "pivot", "d").union(pivots).join(sizes, "node").join(classes, "node", "left")
-    members = written(members.select("pivot", "node", "d", F.col("n_shingles").alias("w"), F.coalesce("root", "node").alias("root"), F.floor(F.col("d") / radius).cast("int").alias("ring")))
+    members = written(members.select("pivot", "node", "d", F.col("n_shingles").alias("w"), F.coalesce("root", "node").alias("root"), F.floor(F.col("d") / (radius * (1 + 1e-6))).cast("int").alias("ring")))
     open_ = members.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("pivot")
     members = members.join(written(open_), "pivot")
     windows = F.explode(F.array(F.struct(F.col("ring").alias("at"), F.lit(0).alias("side")), F.struct((F.col("ring") - 1).alias("at"), F.lit(1).alias("side"))))
@@ -210,6 +240,34 @@ def region_parts(near: DataFrame, classes: DataFrame, sizes: DataFrame, radius:
     return given.join(ends, ["pivot", "at", "p"]).select("grp", "half", "side", "root", "node", "d")
 
 
+def _partners(percent: int):
+    """Of groups of rows (grp, half, side, root, node, d, image): those that their image lets link with one of another class, half and window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from weftline.llm.near import _groups
+
+        with task(__name__):
+            for grp, rows in _groups(batches):
+                half, side, root, node = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+                d, images = np.array([r[4] for r in rows]), _images([r[5] for r in rows])
+                size = images.sum(axis=1, dtype=np.int64)
+                across, some = bool(half.any()), np.zeros(len(rows), dtype=bool)
+                for i in np.flatnonzero(half == 0).tolist():
+                    fit = (root != root[i]) & (side + side[i] < 2) & (np.abs(d - d[i]) <= 1 - percent / 100 + 1e-9)
+                    at = np.flatnonzero(fit & (half == 1) if across else fit)
+                    small = np.minimum(images[at], images[i]).sum(axis=1, dtype=np.int64)
+                    at = at[100 * small >= percent * (size[at] + size[i] - small)]
+                    some[at] = True
+                    some[i] |= len(at) > 0
+                at = np.flatnonzero(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), grp), pa.int64()), *[pa.array(x[at], pa.int64()) for x in (half, side, root, node)], pa.array(d[at], pa.float64())],
+                    names=["grp", "half", "side", "root", "node", "d"],
+                )
+
+    return run
+
+
 class Region:
     """The nodes of a part: finds links that connect what can be connected, by recursion on pivots."""
 
@@ -316,14 +374,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     rows = written(sketched(given, ["doc_id", "text_hash"], "__text", shingle, percent))
     nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")))
-    met = shared_postings(nodes, docs, text, shingle, percent)
-    wanted = written(met.select("node").union(met.select(F.col("pivot").alias("node"))).distinct())
-    sets = shingle_sets(nodes.join(wanted, "node", "left_semi").select("node", "text_hash"), docs, text, shingle)
-    near = written(measured(met, sets))
-    links = near.filter(100 * F.col("shared") >= percent * F.col("total")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    met, images = pivots_of(nodes, docs, text, shingle, percent)
+    near = written(imaged(met, images))
+    able = near.filter(100 * F.col("small") >= percent * F.col("large")).select("node", "pivot")
+    sets = lambda wanted: shingle_sets(nodes.join(wanted.distinct(), "node", "left_semi").select("node", "text_hash"), docs, text, shingle)
+    sizes = measured(able, sets(able.select("node").union(able.select(F.col("pivot").alias("node")))))
+    links = sizes.filter(100 * F.col("shared") >= percent * F.col("total")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     found = written(components(links))
-    parts = region_parts(near.select("node", "pivot", (1 - F.col("shared") / F.col("total")).alias("d")), found, nodes.select("node", "n_shingles"), 1 - percent / 100)
-    dealt = parts.join(sets, "node").select("grp", "half", "side", "root", "node", "d", "shingles")
+    parts = region_parts(near.select("node", "pivot", (1 - F.col("small") / F.col("large")).alias("d")), found, nodes.select("node", "n_shingles"), 1 - percent / 100)
+    dealt = parts.join(images, "node").select("grp", "half", "side", "root", "node", "d", "image")
+    kind = "grp long, half long, side long, root long, node long, d double"
+    open_ = written(dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_partners(percent), kind))
+    dealt = open_.join(sets(open_.select("node")), "node").select("grp", "half", "side", "root", "node", "d", "shingles")
     more = written(dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joined(percent), "a long, b long").distinct())
     if not more.isEmpty():
         found = written(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)))
