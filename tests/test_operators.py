@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.operators import clusters, merging, ontology, retrieval, standardize, unmapped
+from weftline.operators import clusters, merging, metric_index, ontology, retrieval, standardize, unmapped
 from weftline.operators.models import FunctionCompleter, LetterCounts, called, completed, embedded, for_distinct
 
 KG = "pos long, sentence string, subject string, predicate string, object string"
@@ -182,15 +182,36 @@ def plain_linkage(v, t):
     return {frozenset(g) for g in groups}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_clusters_against_plain_linkage(spark, monkeypatch, seed):
-    monkeypatch.setattr(clusters, "BLOCK", 7)
-    v = np.random.default_rng(seed).normal(size=(28, 3))
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+@pytest.mark.parametrize(("seed", "few"), [(0, 2), (1, 2), (2, 12), (3, 4096)])
+def test_clusters_against_plain_linkage(spark, monkeypatch, seed, few):
+    """few: from how many clusters on one task ends the rounds."""
+    monkeypatch.setattr(clusters, "FEW", few)
+    monkeypatch.setattr(metric_index, "BLOCK", 8)
+    v = np.random.default_rng(seed).normal(size=(40, 3))
+    v[20], v[21] = 2 * v[3], v[3]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*v, 0 * v[0], 0 * v[0]])], "id long, vector array<double>")
     got = {}
     for r in clusters.clustered(rows, 0.35).collect():
         got.setdefault(r.cluster, set()).add(r.id)
-    assert {frozenset(g) for g in got.values()} == plain_linkage(v, 0.35) and all(k == min(g) for k, g in got.items())
+    assert {frozenset(g) for g in got.values()} == plain_linkage(v, 0.35) | {frozenset([40]), frozenset([41])} and all(k == min(g) for k, g in got.items())
+
+
+def test_nearest_under_a_distance_meets_few_balls(spark, monkeypatch):
+    """Equal to all pairs, without most rows in most balls."""
+    monkeypatch.setattr(metric_index, "BLOCK", 16)
+    rnd = np.random.default_rng(7)
+    v = np.repeat(rnd.normal(size=(40, 8)), 15, axis=0) + 0.1 * rnd.normal(size=(600, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    d = np.round(1 - v @ v.T, 12)
+    np.fill_diagonal(d, np.inf)
+    want = {i: (int(d[i].argmin()), d[i].min()) for i in range(600) if d[i].min() < 0.1}
+    assert {r.id: (r.other, pytest.approx(r.d, abs=1e-9)) for r in metric_index.nearest_under(rows, 0.1).collect()} == want
+    placed, pivots, radii = metric_index.balls(rows)
+    met = metric_index.meetings(placed, pivots, radii, np.sqrt(0.2))
+    assert placed.count() == 600 and met.count() < 600 * len(pivots) / 3
+    groups = metric_index.block_pairs(met).groupBy("grp").count().collect()
+    assert max(g["count"] for g in groups) < 8 * 16
 
 
 def test_few_rows_are_their_own_clusters(spark):

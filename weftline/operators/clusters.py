@@ -1,36 +1,35 @@
 """Average-linkage clustering of predicate vectors under a cosine distance, and labels for the clusters.
 
-A cluster's members lie in one connected component of the pairs nearer than the threshold, since a mean under it needs
-a pair under it. So components are found first, and each is clustered alone.
+The mean distance between the members of two clusters is one less the inner product of the means of their unit vectors,
+so a cluster is a size and a mean, and no table of distances is kept. Average linkage is reducible: a cluster is never
+nearer to the union of two others than to the nearer of them. So each round merges all pairs of clusters that are each
+other's nearest under the threshold, as taking the nearest pair each time would in the end; a cluster with no other under
+the threshold is finished. Ties go to the least id. The few clusters that are left are merged in one task.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import cleaned_label, singleton_label
+from weftline.operators.metric_index import nearest_under
 from weftline.runtime import materialised
 
-#: Rows of a block in the pair search; two blocks' vectors are in a task's memory at once.
-BLOCK = 2048
-#: Rows of one connected component at most: their distances are a matrix of 800 MB in one task then. More fail with a message.
-MOST_MEMBERS = 10_000
+#: Clusters whose distances one task holds as a matrix (130 MB); with as many left or fewer the rounds end.
+FEW = 4096
+#: Distances are compared to this many decimals, so that rounding does not part ties.
+DECIMALS = 12
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers, by first member: the nearest two clusters merge while their mean distance is under the threshold; ties to the first."""
-    n = len(vectors)
-    if n > MOST_MEMBERS:
-        raise ValueError(f"{n} rows are near each other in chains; over MOST_MEMBERS, {MOST_MEMBERS}, their distances do not fit a task: lower the threshold")
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-    d = 1 - unit @ unit.T
+def average_linkage(means: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Cluster numbers, by first member, of clusters of unit vectors with these means and sizes: the nearest two merge while their mean distance is under the threshold; ties to the first."""
+    n = len(means)
+    d = np.round(1 - means @ means.T, DECIMALS)
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    size, label = sizes.astype(float), np.arange(n)
     # Each row's nearest, so that a merge looks at rows whose nearest it changes and not at all pairs.
     to = d.argmin(axis=1) if n else np.zeros(0, dtype=int)
     least = d[np.arange(n), to]
@@ -56,39 +55,6 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def forest(near: np.ndarray) -> np.ndarray:
-    """Pairs of places that connect what a symmetric matrix of near pairs connects."""
-    out, left = [], np.ones(len(near), dtype=bool)
-    for start in range(len(near)):
-        if not left[start]:
-            continue
-        left[start], todo = False, [start]
-        while todo:
-            i = todo.pop()
-            new = np.flatnonzero(near[i] & left)
-            left[new] = False
-            out += [(i, int(j)) for j in new]
-            todo += new.tolist()
-    return np.array(out, dtype=int).reshape(-1, 2)
-
-
-def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of ids of rows (id, vector) at cosine distance under the threshold that connect all such pairs: of two blocks' rows only a forest leaves the task."""
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    sides = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("id", "vector", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-
-    def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(frame["vector"].tolist(), dtype=float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        near = forest(1 - v @ v.T < threshold)
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"a": ids[near[:, 0]], "b": ids[near[:, 1]]}, columns=["a", "b"])
-
-    return sides.groupBy("i", "j").applyInPandas(pairs, "a long, b long")
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) by spreading least ids, with pointers doubled each round."""
     edges = materialised(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -105,19 +71,62 @@ def components(pairs: DataFrame) -> DataFrame:
     return labels
 
 
-def clustered(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """(id, cluster) of rows (id long, vector): cluster is the least id in it. Fewer than two rows are clusters of their own."""
-    rows = materialised(rows.select("id", "vector"))
-    found = components(near_pairs(rows, threshold))
-    parts = rows.join(found, "id", "left").select("id", "vector", F.coalesce("component", "id").alias("component"))
+def _merged(active: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The clusters (id, size, vector) after the pairs (a, b) have each become one of id a."""
+    gone = active.join(pairs.select(F.col("b").alias("id"), "a"), "id").select("a", F.col("size").alias("n"), F.col("vector").alias("v"))
+    left = active.join(pairs.select(F.col("b").alias("id")), "id", "left_anti").withColumnsRenamed({"size": "m", "vector": "u"})
+    mean = F.zip_with("u", "v", lambda x, y: (x * F.col("m") + y * F.col("n")) / (F.col("m") + F.col("n")))
+    alone = F.col("n").isNull()
+    return left.join(gone, F.col("id") == F.col("a"), "left").select("id", (F.col("m") + F.coalesce("n", F.lit(0.0))).alias("size"), F.when(alone, F.col("u")).otherwise(mean).alias("vector"))
+
 
-    def split(frame: pd.DataFrame) -> pd.DataFrame:
+def _finished(active: DataFrame, threshold: float) -> DataFrame:
+    """Merges (a, b) of the last few clusters, made by one task."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        own = average_linkage(np.array(frame["vector"].tolist(), dtype=float), threshold)
-        first = frame["id"].groupby(own).transform("min") if len(frame) else frame["id"]
-        return pd.DataFrame({"id": frame["id"].to_numpy(), "cluster": frame["id"].groupby(own).transform("min").to_numpy() if len(frame) else first})
+        ids = frame["id"].to_numpy()
+        own = average_linkage(np.array(frame["vector"].tolist(), dtype=float), frame["size"].to_numpy(), threshold)
+        first = frame["id"].groupby(own).transform("min").to_numpy()
+        return pd.DataFrame({"a": first[first != ids], "b": ids[first != ids]})
+
+    return active.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, "a long, b long")
+
 
-    return parts.groupBy("component").applyInPandas(split, "id long, cluster long")
+def clustered(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """(id, cluster) of rows (id long, vector): cluster is the least id in it. Fewer than two rows are clusters of their own.
+
+    Vectors have one length; one without length (all zeros) is at distance 1 from all. Rows of one direction begin as one
+    cluster if the threshold is over zero. Each round writes the clusters that are left, so a lost executor repeats one round.
+    """
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    unit = F.transform("vector", lambda x: F.when(F.col("norm") > 0, F.round(x.cast("double") / F.col("norm"), DECIMALS + 3)).otherwise(0.0))
+    given = materialised(rows.select("id", "vector").withColumn("norm", norm).select("id", unit.alias("vector"), (F.col("norm") > 0).alias("turned")))
+    # Equal directions are at distance 0: one cluster, whatever their number.
+    joined = F.col("turned") if threshold > 0 else F.lit(False)
+    key = F.when(joined, F.lit(0)).otherwise(F.col("id"))
+    first = materialised(given.groupBy("vector", key.alias("k")).agg(F.min("id").alias("first"), F.count("*").cast("double").alias("size")))
+    keyed = given.withColumn("k", key)
+    merges = [materialised(keyed.join(first, ["vector", "k"]).filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")))]
+    active = first.select(F.col("first").alias("id"), "size", "vector")
+    while True:
+        near = materialised(nearest_under(active, threshold, DECIMALS))
+        left = near.count()
+        if not left:
+            break
+        active = materialised(active.join(near.select("id"), "id", "left_semi"))
+        if left <= FEW:
+            merges.append(_finished(active, threshold))
+            break
+        back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = materialised(near.select("id", "other").join(back, ["id", "other"]).filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        merges.append(pairs)
+        active = materialised(_merged(active, pairs))
+    edges = merges[0]
+    for more in merges[1:]:
+        edges = edges.union(more)
+    found = components(edges)
+    return given.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def cluster_members(unmapped: DataFrame, clusters: DataFrame) -> DataFrame:
