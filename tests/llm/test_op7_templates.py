@@ -139,29 +139,6 @@ def test_copies_of_one_page_are_no_template(spark):
     assert [r.text for r in got] == ["One title the very same text on each page of it"] * 5
 
 
-def calls(page):
-    """Python and C calls from Python code that counting a page's tokens takes."""
-    import cProfile
-    import pstats
-
-    import pyarrow as pa
-
-    from weftline.llm.templates import _counter
-
-    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(["h"]), pa.array([1], pa.int64()), pa.array([x])], names=["host", "page", "html"])
-    list(_counter(iter([batch("<p>first")])))
-    profile = cProfile.Profile()
-    rows = profile.runcall(lambda: sum(b.num_rows for b in _counter(iter([batch(page)]))))
-    return pstats.Stats(profile).total_calls, rows
-
-
-def test_words_are_counted_without_a_call_for_each():
-    page = lambda n: "<body><p>" + " ".join(f"w{i}" for i in range(n)) + "</p>"
-    (few, rows), (many, more) = calls(page(10)), calls(page(10_000))
-    assert (rows, more) == (12, 10_002)  # body and p are tokens as well
-    assert many < few + 1_000
-
-
 def test_words_have_one_number_in_all_passes():
     from weftline.llm.templates import page_tokens, parsed, word_token
 

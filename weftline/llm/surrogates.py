@@ -59,28 +59,43 @@ COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
 _WORD = r"\p{L}\p{N}._%+\-"
 #: A word of a name, without the s of a possessive.
-_NAME = r"\p{Lu}['’]?[\p{L}\p{M}]{1,60}(?:['’\-](?!s(?![\p{L}]))[\p{L}\p{M}]{1,60}){0,4}"
+_NAME = r"\p{Lu}['’]?[\p{L}\p{M}]++(?:['’\-](?!s(?![\p{L}]))[\p{L}\p{M}]++)*+"
 _TITLES = "|".join(t for g in HONORIFICS.values() for t in g)
 #: A title, tried only where one of their first letters stands.
 _TITLE = "(?=[" + "".join(sorted({t[0] for g in HONORIFICS.values() for t in g})) + f"])(?:{_TITLES})"
-_LEAD = rf"(?:{_TITLE}\.? ){{1,3}}"
+_LEAD = rf"(?:{_TITLE}\.? )+"
+#: A word of a name with the initials and particles before it.
+_STEP = rf"(?:\p{{Lu}}\. ?|(?:{'|'.join(PARTICLES)}) )*+{_NAME}"
+#: Keys and tokens, of any length: what they begin with, and the rest.
+SECRETS = {
+    "hex": r"[0-9a-f]{32,}+|[0-9A-F]{32,}+",
+    "access key": r"A[KS]IA[0-9A-Z]{16,}+",
+    "code host": r"gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_\-]{20,}+",
+    "service": r"sk-(?:[A-Za-z0-9]{20,}+(?![A-Za-z0-9_\-])|(?=[A-Za-z_\-]*+[0-9])[A-Za-z0-9_\-]{20,}+)|AIza[0-9A-Za-z_\-]{35,}+",
+    "chat": r"xox[abeoprs]-(?=[A-Za-z\-]*+[0-9])[A-Za-z0-9\-]{10,}+",
+    "web token": r"eyJ[A-Za-z0-9_\-]{10,}+\.eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+",
+    "block": r"(?<!-)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-(?!----END )[^-]*+)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----",
+}
+#: What a surrogate key keeps of its begin and end.
+_SECRET_HEAD = r"^(A[KS]IA|gh._|github_pat_|glpat-|sk-|AIza|xox.-|eyJ|-----BEGIN [A-Z0-9 ]*-----\s*)"
+_SECRET_TAIL = r"(\s*-----END [A-Z0-9 ]*-----)$"
 #: Patterns by type, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}+(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}+){{1,8}}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,100}|sk-[A-Za-z0-9]{20,100})(?![\p{L}\p{N}])",
+    "email": rf"(?<![{_WORD}])[{_WORD}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)++",
+    "secret": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(SECRETS.values())})(?![\p{{L}}\p{{N}}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|(?=[A-Z]*\d)[A-Z0-9]{11,30})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}\d)(?=(?:[0-9A-Fa-f]{0,4}:){3})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![\p{L}\p{N}:])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\1\d{4})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "number": r"(?<![\p{L}\p{N}.])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_LEAD}(?:(?:\p{{Lu}}\. ?|(?:{'|'.join(PARTICLES)}) |{_NAME} )){{0,6}}{_NAME}",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_LEAD}{_STEP}(?: {_STEP})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.\-])\d{3}\1\d{4}", r"[.\-]\d{3}[.\-]\d{4}")
 #: In documents with names after titles, also words that may be such names again.
 ANY_OR_WORD = rf"{ANY}|(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
 #: What every entity has; texts without it are not searched further.
-HINT = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
+HINT = rf"[0-9@]|sk-|gh[pousr]_|github_pat_|glpat-|AIza|A[KS]IA|eyJ|PRIVATE KEY|[A-Fa-f]{{32}}|{_TITLE}\.? \p{{Lu}}"
 
 
 def kind(mention: Column) -> Column:
@@ -254,8 +269,10 @@ def surrogate(key: str, of: Column, value: Column, sex: Column, attempt: Column)
     email = F.concat(_shaped(local, s), F.when(attempt >= 3, F.concat(F.lit("."), more)).otherwise(F.lit("")), F.lit("@"), _shaped(F.lit("mailhost"), of_domain), F.lit(".example."), top)
     ip = F.concat_ws(".", (1 + _number(s, 0, 223)).cast("string"), *[_number(s, i, 256).cast("string") for i in (1, 2, 3)])
     chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
-    hexa = F.array_join(F.transform(chars(value), lambda c, i: F.when(c == ":", c).otherwise(F.substr(s, i + 1, F.lit(1)))), "")
-    secret = F.when(value.rlike("^[0-9a-f]+$"), hexa).otherwise(F.concat(F.regexp_extract(value, "^(AKIA|gh._|sk-)", 1), _shaped(F.regexp_replace(value, "^(?:AKIA|gh._|sk-)", ""), s)))
+    hexa = F.array_join(F.transform(chars(value), lambda c, i: F.when(c == ":", c).otherwise(F.substr(s, i % 256 + 1, F.lit(1)))), "")
+    head, tail = F.regexp_extract(value, _SECRET_HEAD, 1), F.regexp_extract(value, _SECRET_TAIL, 1)
+    inner = F.substr(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
+    secret = F.when(value.rlike("^[0-9a-f]+$"), hexa).otherwise(F.concat(head, _shaped(inner, s), tail))
     country, account = F.substring(value, 1, 2), _shaped(F.substr(value, F.lit(5), F.length(value)), s)
     right = 98 - remainder97(F.concat(account, country, F.lit("00")))
     checks = remainder97(F.concat(F.substr(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))) == 1
