@@ -8,6 +8,7 @@ from weftline.functions.text import ALREADY_CANONICAL
 from weftline.operators.models import FunctionCompleter, LetterCounts
 from weftline.plans import align, mapping, self_canonical
 from weftline.sources import files
+from weftline.sources.json_parts import joined_file
 
 KG = "pos long, sentence string, subject string, predicate string, object string"
 DEFINE = lambda: FunctionCompleter(lambda p: "def " + re.search(r"Triplet: \['(.*?)', '(.*?)'", p)[2])
@@ -130,8 +131,12 @@ def test_files(spark, tmp_path):
     files.append_jsonl(spark.range(2).withColumnRenamed("id", "a"), f"file://{tmp_path}/out")
     files.append_jsonl(spark.range(1).withColumnRenamed("id", "a"), f"file://{tmp_path}/out")
     assert files.read_jsonl(spark, f"file://{tmp_path}/out", "a long").count() == 3
-    files.write_json_array(files.read_graph(spark, listed).select("subject", "sentence"), f"{tmp_path}/array.json")
+    files.write_json_array(files.read_graph(spark, listed), f"{tmp_path}/array", ["pos"], columns=("subject", "sentence"))
+    joined_file(f"{tmp_path}/array", f"{tmp_path}/array.json")
     assert json.load(open(f"{tmp_path}/array.json", encoding="utf-8")) == [{"subject": "s", "sentence": "é"}, {"subject": "s", "sentence": ""}]
+    files.write_triples_json(files.read_triples_csv(spark, csv), f"{tmp_path}/triples")
+    joined_file(f"{tmp_path}/triples", f"file://{tmp_path}/triples.json")
+    assert json.load(open(f"{tmp_path}/triples.json", encoding="utf-8")) == [{"subject": "Amino Acid, Peptide", "predicate": "isa", "object": 'a "b"'}]
     assert dict(map(tuple, files.read_aliases(spark, put("a.json", '{"x": "y"}')).collect())) == {"x": "y"}
     terms = files.read_terms(spark, put("terms.csv", "term\n Heart \n\nLung\nHeart\n"), lowercase=True)
     assert [r.term for r in terms.orderBy("pos").collect()] == ["heart", "lung", "heart"] and files.distinct_terms(terms).count() == 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import clusters, merging, metric_index, ontology, retrieval, standardize, unmapped
 from weftline.operators.models import FunctionCompleter, LetterCounts, called, completed, embedded, for_distinct
+from weftline.sources import json_parts
 
 KG = "pos long, sentence string, subject string, predicate string, object string"
 
@@ -18,7 +19,7 @@ def test_first_definition_wins(spark):
     assert dict(map(tuple, ontology.relation_definitions(df).collect())) == {"a": "one", "b": "one", "c": "three"}
 
 
-def test_ontology_keeps_order_and_lone_predicates(spark):
+def test_ontology_keeps_order_and_lone_predicates(spark, tmp_path):
     rows = [(2, "s2", "p", "o2"), (1, "s1", "p", "o1"), (3, "s", "a", "o"), (4, "s", None, "o")]
     table = ontology.ontology(spark.createDataFrame(rows, "pos long, subject string, predicate string, object string"), spark.createDataFrame([("p", "d")], "relation string, def string"))
     got = [(r.relation, r.rel_idx, r["def"], [t.s for t in r.triplets]) for r in table.orderBy("rel_idx").collect()]
@@ -26,6 +27,8 @@ def test_ontology_keeps_order_and_lone_predicates(spark):
     import json
 
     assert json.loads(ontology.keyed_json(table).first()[0]) == {"a": {"triplets": [["s", "a", "o"]], "def": ""}, "p": {"triplets": [["s1", "p", "o1"], ["s2", "p", "o2"]], "def": "d"}}
+    ontology.write_keyed_json(table, f"{tmp_path}/keyed")
+    assert "".join(open(p).read() for p in json_parts.parts_of(f"{tmp_path}/keyed")) == json.dumps(json.loads(ontology.keyed_json(table).first()[0]), indent=2)
 
 
 @pytest.mark.parametrize("block", [10**6, 40])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.json_parts import write_array
+
 
 def relation_definitions(srdef: DataFrame) -> DataFrame:
     """(relation, def) of the relations and their inverses in SRDEF rows (pos, kind, name, def, inverse).
@@ -34,7 +36,15 @@ def ontology(triples: DataFrame, definitions: DataFrame) -> DataFrame:
     return rows.withColumn("rel_idx", (F.row_number().over(Window.orderBy("relation")) - 1).cast("int")).select("relation", "rel_idx", "def", "triplets")
 
 
+def _body() -> Column:
+    return F.struct(F.transform("triplets", lambda t: F.array(t["s"], t["p"], t["o"])).alias("triplets"), F.col("def"))
+
+
 def keyed_json(table: DataFrame) -> DataFrame:
-    """One row with the ontology as a JSON object keyed by relation."""
-    body = F.struct(F.transform("triplets", lambda t: F.array(t["s"], t["p"], t["o"])).alias("triplets"), F.col("def"))
-    return table.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", body.alias("body")))))).alias("json"))
+    """One row with the ontology as a JSON object keyed by relation; for large ones see `write_keyed_json`."""
+    return table.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", _body().alias("body")))))).alias("json"))
+
+
+def write_keyed_json(table: DataFrame, path: str, indent: int = 2) -> list[str]:
+    """The ontology as a JSON object keyed by relation, in the order of relations, written in parts (see `json_parts.write_array`); returns the parts."""
+    return write_array(table.select("relation", F.to_json(_body()).alias("body")), path, ["relation"], indent, key="relation", value="body")

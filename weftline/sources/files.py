@@ -1,25 +1,20 @@
-"""File formats. Graph files of JSON arrays are read whole, one file a task; everything else splits."""
+"""File formats. All split but SRDEF tables and alias maps, which are small."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.merging import missing_columns
 from weftline.schema import KG_OPEN, TRIPLE
+from weftline.sources.json_parts import FILE_ROWS, records, write_array
 
 SRDEF = "kind string, id string, name string, tree string, def string, f5 string, f6 string, f7 string, abbr string, inverse string, f10 string"
 
 
-#: Rows of a file at most: positions are the file's place among the sorted paths times this, plus the row's place.
-FILE_ROWS = 1 << 40
-
-
 def _ranked(rows: DataFrame) -> DataFrame:
     """rows of files with __start, the first position of their file: paths are sorted, as partitions are packed by size."""
     paths = sorted(rows.inputFiles())
@@ -51,8 +46,9 @@ def read_triples_csv(spark: SparkSession, path: str) -> DataFrame:
     return _positioned(rows, TRIPLE)
 
 
-def write_triples_json(rows: DataFrame, path: str) -> None:
-    rows.orderBy("pos").select(*TRIPLE).write.mode("overwrite").json(path)
+def write_triples_json(rows: DataFrame, path: str) -> list[str]:
+    """Triples in order as one indented JSON array, in parts under a folder; returns the parts."""
+    return write_array(rows, path, ["pos"], columns=TRIPLE)
 
 
 def _records(value: object, mode: str) -> Iterator[dict]:
@@ -79,23 +75,7 @@ def read_graph(spark: SparkSession, path: str, mode: str = "strict", extra: str
         raise ValueError("mode is list_items, strict or values")
     schema = T._parse_datatype_string(KG_OPEN + (f", {extra}" if extra else ""))
     names = [f.name for f in schema.fields[1:]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-        for b in batches:
-            for text, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                for i, r in enumerate(_records(json.loads(text), mode)):
-                    rows.append({"pos": start + i} | {n: r.get(n, "" if k < 4 else None) for k, n in enumerate(names)})
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    files = _ranked(spark.read.text(path, wholetext=True)).select("value", F.col("__start").alias("start"))
-    return files.mapInArrow(run, schema)
+    return records(spark, path, schema, lambda r: {n: r.get(n, "" if k < 4 else None) for k, n in enumerate(names)}, mode)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -115,16 +95,9 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_json_array(rows: DataFrame, path: str, indent: int = 2) -> None:
-    """Rows as one indented JSON array, for exchange with other tools; it goes through the driver row by row to a local path."""
-    with open(path, "w", encoding="utf-8") as f:
-        first = True
-        f.write("[")
-        for line in rows.toJSON().toLocalIterator():
-            text = json.dumps(json.loads(line), indent=indent, ensure_ascii=False)
-            f.write(("" if first else ",") + "\n" + "\n".join(" " * indent + x for x in text.split("\n")))
-            first = False
-        f.write("]" if first else "\n]")
+def write_json_array(rows: DataFrame, path: str, order: list[str], indent: int = 2, columns: tuple[str, ...] | None = None) -> list[str]:
+    """Rows in order as one indented JSON array, in parts under a folder (see `json_parts.write_array`); returns the parts. `json_parts.joined_file` makes one file of them."""
+    return write_array(rows, path, order, indent, columns=columns)
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
