@@ -2,6 +2,7 @@ import json
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.text import ALREADY_CANONICAL
@@ -143,15 +144,41 @@ def test_files(spark, tmp_path):
     assert files.layout("out/kg.json")["checkpoint"] == "out/kg.checkpoint.jsonl"
 
 
+ARRIVING = ([(0, "s", "a", "p", "b"), (1, "s", "a", "p", "b"), (2, "s", "x", "p", "b"), (5, "s", "done", "p", "b")], [(3, "s", "a", "p", "b"), (4, "s", "new", "p", "b")])
+
+
 def test_incremental_runs_add_only_new_rows(spark, tmp_path):
+    """The stream is started again, and knows what is finished without its output, which is away."""
     from weftline.streaming.incremental import run
 
     source = f"{tmp_path}/in"
-    step = lambda rows: rows.select("triplet_id", F.upper("predicate").alias("p"))
-    for batch in ([(0, "s", "a", "p", "b"), (1, "s", "a", "p", "b"), (2, "s", "x", "p", "b")], [(3, "s", "a", "p", "b"), (4, "s", "new", "p", "b")]):
-        spark.createDataFrame(batch, KG).write.mode("append").parquet(source)
-        run(spark.readStream.schema(KG).parquet(source), step, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    step = lambda rows: rows.select("triplet_id", "subject", F.upper("predicate").alias("p"))
+    finished = align.identified(spark.createDataFrame([(9, "s", "done", "p", "b")], KG)).select("triplet_id")
+    for k, batch in enumerate(ARRIVING):
+        spark.createDataFrame(batch, KG).coalesce(1).write.mode("append").parquet(source)
+        run(spark.readStream.schema(KG).parquet(source), step, f"{tmp_path}/out{k}", f"{tmp_path}/state", finished=finished).awaitTermination(120)
+    assert [sorted(r.subject for r in spark.read.parquet(f"{tmp_path}/out{k}").collect()) for k in (0, 1)] == [["a", "x"], ["new"]]
+
+
+def test_a_failed_batch_is_repeated_whole(spark, tmp_path):
+    """A batch that fails after it was written leaves neither rows twice nor rows that count as finished."""
+    from weftline.streaming.incremental import run
+
+    source, fails = f"{tmp_path}/in", [True]
+
+    def step(rows):
+        if fails:
+            rows.write.parquet(f"{tmp_path}/out/batch=0")
+            fails.pop()
+            raise RuntimeError("lost")
+        return rows.select("triplet_id", "subject")
+
+    spark.createDataFrame(ARRIVING[0], KG).coalesce(1).write.parquet(source)
+    start = lambda: run(spark.readStream.schema(KG).parquet(source), step, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
+    with pytest.raises(Exception, match="lost"):
+        start()
+    start()
+    assert sorted(r.subject for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "done", "x"]
 
 
 def counting(folder, answer):

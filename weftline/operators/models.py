@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.calls import Pace, Paced, Service, in_order
 from weftline.schema import COMPLETION
 
 #: Attempts of a call, and seconds to wait after each failed one.
@@ -161,7 +162,9 @@ def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[lis
 
 
 def completed(df: DataFrame, prompt: str, factory: Callable[[], Completer], max_tokens: int, out: str = "answer", batch: int = GENERATION_BATCH) -> DataFrame:
-    """df with `out`: struct(text, attempts, error, usage) of each prompt. Null prompts are not sent. factory() runs once a task."""
+    """df with `out`: struct(text, attempts, error, usage) of each prompt. Null prompts are not sent. factory() runs once a task; a `Service` is asked for several prompts at one time, one a call."""
+    if isinstance(factory, Service):
+        return _asked(df, prompt, factory, max_tokens, out, batch)
 
     def work():
         completer = factory()
@@ -176,6 +179,38 @@ def completed(df: DataFrame, prompt: str, factory: Callable[[], Completer], max_
     return _added(df, out, COMPLETION, work, prompt, batch)
 
 
+def _asked(df: DataFrame, prompt: str, service: Service, max_tokens: int, out: str, batch: int) -> DataFrame:
+    """`completed` by calls in flight: rows leave a task in their order, `batch` of them at a time."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(COMPLETION))])
+    place = df.columns.index(prompt)
+    tasks = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    share = service.per_second / tasks if service.per_second else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        completer = Paced(service(), Pace(share), service.timeout)
+        parts: list[pa.RecordBatch] = []
+
+        def prompts() -> Iterator[str | None]:
+            for b in batches:
+                for at in range(0, b.num_rows, batch):
+                    parts.append(b.slice(at, batch))
+                    yield from parts[-1].column(place).to_pylist()
+
+        ask = lambda p: None if p is None else called(completer, [p], max_tokens)[0]
+        done: list[dict | None] = []
+        for answer in in_order(prompts(), ask, service.in_flight):
+            done.append(answer)
+            if len(done) == parts[0].num_rows:
+                part = parts.pop(0)
+                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)], pa.array(done, type=arrow.field(out).type)], schema=arrow)
+                done = []
+
+    return df.mapInArrow(run, schema)
+
+
 def embedded(df: DataFrame, text: str, factory: Callable[[], Embedder], out: str, batch: int = EMBEDDING_BATCH, normalize: bool = False) -> DataFrame:
     """df with the vector `out` of each text (null as empty); normalize scales it to length one."""
 
