@@ -125,7 +125,10 @@ def weighted_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", (F.col("n") + 1).cast("long").alias("rank"), "c.*")
 
 
-@registered(f"""WITH {KG} SELECT pos, substr(sha1('{{"object": ' || to_json(object) || ', "predicate": ' || to_json(predicate) || ', "sentence": ' || to_json(sentence) || ', "subject": ' || to_json(subject) || '}}'), 1, 16) AS triplet_id FROM kg""")
+_ID = """substr(sha1('{"object": ' || to_json(object) || ', "predicate": ' || to_json(predicate) || ', "sentence": ' || to_json(sentence) || ', "subject": ' || to_json(subject) || '}'), 1, 16)"""
+
+
+@registered(f"WITH {KG} SELECT pos, {_ID} AS triplet_id FROM kg")
 def triplet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).select("pos", triplet_id(F.col("sentence"), F.col("subject"), F.col("predicate"), F.col("object")).alias("triplet_id"))
 
@@ -198,11 +201,10 @@ def relation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A definition and pairs for the label relations, the first five only: the others are missing, as look-ups must allow."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey % 10 < 5")
-    t = F.struct(F.col("n_name").alias("s"), F.lit("in").alias("p"), F.col("r_name").alias("o"))
-    g = rows.groupBy((F.col("n_nationkey") % 10).alias("l")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", t.alias("t")))).alias("x"))
+    """A definition and some 25 pairs, of nations and market segments, for the first five label relations: the others are missing, as look-ups must allow."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct().join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    t = F.struct(F.col("n_name").alias("s"), F.lit("in").alias("p"), F.col("c_mktsegment").alias("o"))
+    g = rows.groupBy((F.col("n_nationkey") % 5).alias("l")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "c_mktsegment", t.alias("t")))).alias("x"))
     return g.select(F.concat(F.lit("label_"), F.col("l").cast("string")).alias("relation"), F.concat(F.lit("what label "), F.col("l").cast("string"), F.repeat(F.lit(" holds"), 40)).alias("def"), F.transform("x", lambda x: x["t"]).alias("triplets"))
 
 
@@ -212,10 +214,11 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("vec_id").alias("pos"), F.concat(F.lit("sentence "), F.col("vec_id").cast("string")).alias("sentence"), F.lit("a").alias("subject"), F.lit("b").alias("predicate"), F.lit("c").alias("object"), "candidates_rel")
 
 
-ONTO = """lo AS (SELECT 'label_' || CAST(n_nationkey % 10 AS VARCHAR) AS rel, 'what label ' || CAST(n_nationkey % 10 AS VARCHAR) || repeat(' holds', 40) AS def, string_agg('(' || n_name || ', ' || r_name || ')', ', ' ORDER BY n_nationkey) AS pairs FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 10 < 5 GROUP BY n_nationkey % 10)"""
-CANDS = f"""{FUSED}, {ONTO}, k AS (SELECT vec_id, rank, relation, score, coalesce(def, '') AS def, coalesce(pairs, '') AS pairs FROM r LEFT JOIN lo ON relation = rel WHERE rank <= 3),
+ONTO = """lp AS (SELECT n_nationkey % 5 AS l, '(' || n_name || ', ' || c_mktsegment || ')' AS pair, row_number() OVER (PARTITION BY n_nationkey % 5 ORDER BY n_nationkey, c_mktsegment) AS nth FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) JOIN nation ON c_nationkey = n_nationkey),
+lo AS (SELECT 'label_' || CAST(l AS VARCHAR) AS rel, 'what label ' || CAST(l AS VARCHAR) || repeat(' holds', 40) AS def, string_agg(pair, ', ' ORDER BY nth) FILTER (WHERE nth <= 15) AS pairs, string_agg(pair, ', ' ORDER BY nth) FILTER (WHERE nth <= 5) AS few FROM lp GROUP BY l)"""
+CANDS = f"""{FUSED}, {ONTO}, k AS (SELECT vec_id, rank, relation, score, coalesce(def, '') AS def, coalesce(pairs, '') AS pairs, coalesce(few, '') AS few FROM r LEFT JOIN lo ON relation = rel WHERE rank <= 3),
 b AS (SELECT vec_id, string_agg(rank || '. Relation: ' || relation || chr(10) || 'Definition: ' || def || chr(10) || 'Possible type pairs: ' || pairs || chr(10) || 'Retrieval score: ' || CAST(score AS VARCHAR) || chr(10), chr(10) ORDER BY rank) AS block_long,
-  string_agg(rank || '. Relation: ' || relation || chr(10) || 'Definition: ' || substr(def, 1, 150) || chr(10) || 'Possible type pairs: ' || pairs || chr(10) || 'Retrieval score: ' || CAST(score AS VARCHAR) || chr(10), chr(10) ORDER BY rank) AS block_short,
+  string_agg(rank || '. Relation: ' || relation || chr(10) || 'Definition: ' || substr(def, 1, 150) || chr(10) || 'Possible type pairs: ' || few || chr(10) || 'Retrieval score: ' || CAST(score AS VARCHAR) || chr(10), chr(10) ORDER BY rank) AS block_short,
   string_agg(chr(64 + CAST(rank AS INTEGER)) || '. ''' || relation || ''': ' || def, chr(10) ORDER BY rank) || chr(10) || 'D. None of the above' AS choices FROM k GROUP BY vec_id)"""
 
 
@@ -344,8 +347,9 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(k % 1000 == 5).select((100_000_000 - k).alias("pos"), k.cast("string").alias("term"))
+    """The numbers of suppliers, which are also numbers of customers, the last first."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((100_000_000 - k).alias("pos"), k.cast("string").alias("term"))
 
 
 ROOTS = """RECURSIVE al AS (SELECT CAST(c_custkey AS VARCHAR) AS term, CAST(CASE WHEN c_custkey IN (1, 2) THEN c_custkey + 1 WHEN c_custkey = 3 THEN 1 ELSE c_custkey // 2 END AS VARCHAR) AS target FROM customer),
@@ -358,9 +362,9 @@ def alias_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize.alias_roots(aliases(spark, sf_dir))
 
 
-@registered(f"""WITH {ROOTS}, pf AS (SELECT 100000000 - c_custkey AS pos, CAST(c_custkey AS VARCHAR) AS term FROM customer WHERE c_custkey % 1000 = 5),
+@registered(f"""WITH {ROOTS}, pf AS (SELECT 100000000 - s_suppkey AS pos, CAST(s_suppkey AS VARCHAR) AS term FROM supplier),
 ch AS (SELECT root, arg_min(pf.term, pos) AS chosen FROM rt JOIN pf ON rt.term = pf.term GROUP BY root)
-SELECT rt.term, CASE WHEN rt.term IN (SELECT term FROM pf) THEN rt.term ELSE coalesce(chosen, rt.root) END AS target FROM rt LEFT JOIN ch ON rt.root = ch.root""")
+SELECT rt.term, coalesce(chosen, rt.root) AS target FROM rt LEFT JOIN ch ON rt.root = ch.root WHERE rt.term NOT IN (SELECT term FROM pf) UNION ALL SELECT DISTINCT term, term FROM pf""")
 def corrected_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize.corrected_mapping(aliases(spark, sf_dir), alias_terms(spark, sf_dir))
 
@@ -373,12 +377,28 @@ def merged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize.merged_duplicates(graph(spark, sf_dir))
 
 
-@registered(f"""WITH {MAPPED}, g AS (SELECT pos, sentence, coalesce(a.canonical, subject) AS subject, predicate, coalesce(b.canonical, object) AS object FROM vg LEFT JOIN cm a ON subject = a.variant LEFT JOIN cm b ON object = b.variant)
-SELECT min(pos) AS pos, {FOLD} AS sentence, subject, predicate, object FROM g GROUP BY subject, predicate, object""")
+def node_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of part names point to their noun, by way of a second term; part types to a term of their own."""
+    part = table(spark, sf_dir, "part")
+    noun = F.element_at(F.split("p_name", " "), -1)
+    some = [(F.initcap("p_name"), F.concat(F.lit("any "), noun)), (F.concat(F.initcap("p_name"), F.lit("?")), F.concat(F.lit("any "), noun)), (F.concat(F.lit("any "), noun), F.concat(F.lit("the "), noun)), (F.col("p_type"), F.concat(F.lit("type "), F.lower("p_type")))]
+    return part.select(F.explode(F.array(*[F.struct(a.alias("term"), b.alias("target")) for a, b in some])).alias("x")).select("x.*").distinct()
+
+
+_SPELLED = "array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(p_name, ' ')], ' ')"
+_NOUN = "'the ' || string_split(p_name, ' ')[-1]"
+NODE_ALIASES = f"""al AS (SELECT DISTINCT unnest([{{'term': {_SPELLED}, 'root': {_NOUN}}}, {{'term': {_SPELLED} || '?', 'root': {_NOUN}}}, {{'term': 'any ' || string_split(p_name, ' ')[-1], 'root': {_NOUN}}}, {{'term': {_NOUN}, 'root': {_NOUN}}},
+  {{'term': p_type, 'root': 'type ' || lower(p_type)}}, {{'term': 'type ' || lower(p_type), 'root': 'type ' || lower(p_type)}}], recursive := true) FROM part),
+ch AS (SELECT root, arg_min(pt.term, pos) AS chosen FROM al JOIN pt ON al.term = pt.term GROUP BY root),
+mp AS (SELECT al.term, CASE WHEN al.term IN (SELECT term FROM pt) THEN al.term ELSE coalesce(chosen, al.root) END AS target FROM al LEFT JOIN ch ON al.root = ch.root)"""
+
+
+@registered(f"""WITH {MAPPED}, {NODE_ALIASES}, g AS (SELECT pos, sentence, coalesce(a.canonical, subject) AS subject, predicate, coalesce(b.canonical, object) AS object FROM vg LEFT JOIN cm a ON subject = a.variant LEFT JOIN cm b ON object = b.variant),
+g2 AS (SELECT pos, sentence, coalesce(x.target, subject) AS subject, predicate, coalesce(y.target, object) AS object FROM g LEFT JOIN mp x ON subject = x.term LEFT JOIN mp y ON object = y.term)
+SELECT min(pos) AS pos, {FOLD} AS sentence, subject, predicate, object FROM g2 GROUP BY subject, predicate, object""")
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: nodes get one spelling, aliases their term, equal triples merge."""
-    none = aliases(spark, sf_dir).select(F.concat(F.lit("alias "), "term").alias("term"), F.concat(F.lit("alias "), "target").alias("target"))
-    return standardize.standardized(variant_graph(spark, sf_dir), none, preferred_terms(spark, sf_dir))
+    """The flagship: nodes get one spelling, aliases their cluster's term, equal triples merge."""
+    return standardize.standardized(variant_graph(spark, sf_dir), node_aliases(spark, sf_dir), preferred_terms(spark, sf_dir))
 
 
 # Post-processing.
@@ -514,12 +534,18 @@ tp AS (SELECT def, max(relation) FILTER (WHERE k = 1) AS a, max(relation) FILTER
 
 
 @registered(f"""WITH {ALIGN}, x AS (SELECT *, predicate || ' of ' || object AS def FROM kg WHERE predicate <> 'part_of'), {CHOSEN},
-ans AS (SELECT pos, x.def AS predicate_definition, predicate, CASE WHEN length(subject) % 2 = 1 THEN a WHEN length(subject) % 3 = 0 THEN b END AS chosen, sa FROM x JOIN tp ON x.def = tp.def)
-SELECT pos, predicate_definition, coalesce(chosen, predicate) AS canonical_predicate, chosen IS NOT NULL AS canonicalized, sa AS best_similarity FROM ans
-UNION ALL SELECT pos, {_sql_text(X.ALREADY_CANONICAL)}, predicate, FALSE, NULL FROM kg WHERE predicate = 'part_of'""")
+lt AS (SELECT def, string_agg(relation || '=' || CAST(CAST(round(sim * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY k) AS top FROM sc WHERE k <= 5 GROUP BY def),
+ans AS (SELECT pos, sentence, subject, object, x.def AS predicate_definition, predicate, CASE WHEN length(subject) % 2 = 1 THEN a WHEN length(subject) % 3 = 0 THEN b END AS chosen, sa, top FROM x JOIN tp ON x.def = tp.def JOIN lt ON x.def = lt.def),
+res AS (SELECT pos, sentence, subject, predicate, object, predicate_definition, coalesce(chosen, predicate) AS canonical_predicate, chosen IS NOT NULL AS canonicalized, sa AS best_similarity, top AS top_candidates, TRUE AS asked FROM ans
+UNION ALL SELECT pos, sentence, subject, predicate, object, {_sql_text(X.ALREADY_CANONICAL)}, predicate, FALSE, NULL, '', FALSE FROM kg WHERE predicate = 'part_of')
+SELECT *, {_ID} AS triplet_id, predicate AS original_predicate, 0 AS n_unstamped FROM res""")
 def align_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align.aligned(graph(spark, sf_dir), align_ontology(spark, sf_dir), lambda: FunctionCompleter(_define), lambda: FunctionCompleter(_choose), LetterCounts)
-    return out.select("pos", "predicate_definition", "canonical_predicate", "canonicalized", F.try_element_at("top_candidates", F.lit(1))["similarity"].alias("best_similarity"))
+    top = F.array_join(F.transform("top_candidates", lambda c: F.concat(c["relation"], F.lit("="), F.round(c["similarity"] * 10_000).cast("long").cast("string"))), " ")
+    return out.select(
+        "pos", "sentence", "subject", "predicate", "object", "predicate_definition", "canonical_predicate", "canonicalized", F.try_element_at("top_candidates", F.lit(1))["similarity"].alias("best_similarity"), top.alias("top_candidates"),
+        (F.col("definition_call").isNotNull() & F.col("choice_call").isNotNull()).alias("asked"), "triplet_id", "original_predicate", F.col("processed_at").isNull().cast("int").alias("n_unstamped"),
+    )
 
 
 @registered(f"""WITH {ALIGN}, fd AS (SELECT predicate AS p, arg_min(predicate || ' of ' || object, pos) AS def FROM kg GROUP BY predicate), x AS (SELECT kg.*, fd.def FROM kg JOIN fd ON predicate = p), {CHOSEN.replace("max(sim) FILTER (WHERE k = 1) AS sa", "max(relation) FILTER (WHERE k = 5) AS e")}
