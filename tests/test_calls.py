@@ -92,3 +92,45 @@ def test_a_service_gives_what_a_completer_gives(spark, monkeypatch):
     for batch in (7, 1000):
         assert sorted(map(tuple, completed(rows, "prompt", Service(make, in_flight=5, per_second=100_000, timeout=30), 5, batch=batch).collect())) == want
     assert completed(rows.limit(0), "prompt", Service(make), 5).count() == 0
+
+
+def test_a_killed_task_asks_nothing_twice(spark, tmp_path):
+    """A task ends with its process at one prompt; what its finished chunks hold is not asked for again, nor are answers of a run before."""
+    import os
+    import uuid
+
+    os.makedirs(tmp_path / "asked")
+    rows = spark.range(60).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt")).coalesce(1)
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+
+    def service(fatal, wrong=None):
+        def one(p):
+            if p == fatal:
+                os._exit(1)
+            open(f"{tmp_path}/asked/{p}-{uuid.uuid4().hex}", "w").close()
+            if p == wrong:
+                raise RuntimeError("busy")
+            return p.upper()
+
+        return Service(lambda: FunctionCompleter(one), in_flight=1, saved=f"file://{tmp_path}/saved")
+
+    asked = lambda: [n.split("-")[0] for n in os.listdir(tmp_path / "asked")]
+    with pytest.raises(Exception, match="(?i)worker|crash|EOF|exit"):
+        completed(rows, "prompt", service("p47"), 5, batch=10).collect()
+    first = asked()
+    assert set(first) >= {f"p{i}" for i in range(40)}
+    got = completed(rows, "prompt", service(None), 5, batch=10).collect()
+    assert [r.answer.text for r in sorted(got)] == [f"P{i}" for i in range(60)]
+    assert all(asked().count(f"p{i}") == 1 for i in range(40)) and all(asked().count(f"p{i}") == 1 for i in range(50, 60))
+    n = len(asked())
+    assert sorted(completed(rows, "prompt", service("p0"), 5, batch=10).collect()) == sorted(got) and len(asked()) == n
+
+
+def test_failed_answers_are_not_saved(tmp_path):
+    from weftline.operators.calls import Saved
+
+    saved = Saved(f"{tmp_path}/s", 5)
+    good, bad = {"text": "A", "attempts": 1, "error": None, "usage": None}, {"text": "", "attempts": 4, "error": "busy", "usage": None}
+    saved.save(["a", None, "b"], [good, None, bad])
+    assert saved.load(["a", None, "b"]) == [good, None, None] and saved.load(["a"]) == [None] and Saved(f"{tmp_path}/s", 6).load(["a", None, "b"]) == [None] * 3

@@ -1,15 +1,20 @@
-"""Calls to a model service: several in flight in each task, answers in the order of the rows, one rate for all tasks."""
+"""Calls to a model service: several in flight in each task, answers in the order of the rows and saved as they come, one rate for all tasks."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from weftline.sources.json_parts import _filesystem
+
 #: Answers that may wait for an earlier one, for each call in flight.
 AHEAD = 4
 
@@ -21,12 +26,16 @@ class Service:
     in_flight: calls of a task at one time. per_second: calls begun in a second by all tasks together; each of the tasks that may run at
     one time has an equal share, so the rate is never passed, and not reached while some have nothing to ask. timeout: seconds after which
     a call counts as failed; it is left to itself, as a thread cannot be stopped. Failed calls are asked again after the waits of `models.WAITS`.
+    saved: a folder that all executors share, one for each model, in which a task saves the answers of each chunk of rows as it goes. A task that
+    is repeated, in this run or a later one over the same rows, asks only for what is not there. Rows of a task have to come in one order:
+    give it a table that was written.
     """
 
     make: Callable[[], Any]
     in_flight: int = 8
     per_second: float | None = None
     timeout: float | None = None
+    saved: str | None = None
 
     def __call__(self) -> Any:
         return self.make()
@@ -89,3 +98,35 @@ def in_order(items: Iterator[Any], call: Callable[[Any], Any], in_flight: int) -
         finally:
             for f in waiting:
                 f.cancel()
+
+
+class Saved:
+    """Answers of chunks of prompts in a folder, under a hash of the prompts. A file appears whole or not at all; failed answers are not kept."""
+
+    def __init__(self, folder: str | None, max_tokens: int) -> None:
+        self.folder, self.max_tokens = folder, max_tokens
+
+    def _place(self, prompts: list[str | None]):
+        system, place = _filesystem(self.folder)
+        name = hashlib.sha256(json.dumps([self.max_tokens, prompts]).encode()).hexdigest()
+        return system, f"{place}/{name[:2]}/{name}.json"
+
+    def load(self, prompts: list[str | None]) -> list[dict | None]:
+        if self.folder:
+            system, place = self._place(prompts)
+            try:
+                with system.open_input_stream(place) as f:
+                    return json.loads(f.read())
+            except FileNotFoundError:
+                pass
+        return [None] * len(prompts)
+
+    def save(self, prompts: list[str | None], answers: list[dict | None]) -> None:
+        if not self.folder:
+            return
+        system, place = self._place(prompts)
+        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        temporary = f"{place}.{uuid.uuid4().hex}"
+        with system.open_output_stream(temporary) as f:
+            f.write(json.dumps([a if a and a["error"] is None else None for a in answers]).encode())
+        system.move(temporary, place)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.calls import Pace, Paced, Service, in_order
+from weftline.operators.calls import Pace, Paced, Saved, Service, in_order
 from weftline.schema import COMPLETION
 
 #: Attempts of a call, and seconds to wait after each failed one.
@@ -190,21 +191,26 @@ def _asked(df: DataFrame, prompt: str, service: Service, max_tokens: int, out: s
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        completer = Paced(service(), Pace(share), service.timeout)
-        parts: list[pa.RecordBatch] = []
+        completer, saved = Paced(service(), Pace(share), service.timeout), Saved(service.saved, max_tokens)
+        parts: deque[tuple[pa.RecordBatch, list, bool]] = deque()
 
-        def prompts() -> Iterator[str | None]:
+        def prompts() -> Iterator[tuple[str | None, dict | None]]:
             for b in batches:
                 for at in range(0, b.num_rows, batch):
-                    parts.append(b.slice(at, batch))
-                    yield from parts[-1].column(place).to_pylist()
+                    part = b.slice(at, batch)
+                    texts = part.column(place).to_pylist()
+                    old = saved.load(texts)
+                    parts.append((part, texts, any(t is not None and a is None for t, a in zip(texts, old, strict=True))))
+                    yield from zip(texts, old, strict=True)
 
-        ask = lambda p: None if p is None else called(completer, [p], max_tokens)[0]
+        ask = lambda x: x[1] if x[0] is None or x[1] else called(completer, [x[0]], max_tokens)[0]
         done: list[dict | None] = []
         for answer in in_order(prompts(), ask, service.in_flight):
             done.append(answer)
-            if len(done) == parts[0].num_rows:
-                part = parts.pop(0)
+            if len(done) == parts[0][0].num_rows:
+                part, texts, new = parts.popleft()
+                if new:
+                    saved.save(texts, done)
                 yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)], pa.array(done, type=arrow.field(out).type)], schema=arrow)
                 done = []
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions.answers import canonical_predicate, letter_choice, loose_letter, strict_letter
 from weftline.functions.ids import triplet_id
 from weftline.functions.text import ALREADY_CANONICAL, cache_key, choice_prompt, definition_prompt
+from weftline.operators.cache import added, look_up
 from weftline.operators.models import Completer, Embedder, completed, embedded, for_distinct
 from weftline.operators.retrieval import top_candidates_column, top_k
 from weftline.operators.unmapped import definition_cache, remaining, resumed
@@ -23,32 +24,41 @@ def identified(graph: DataFrame) -> DataFrame:
     return graph.withColumn("triplet_id", triplet_id(*[F.coalesce(c, F.lit("")) for c in ("sentence", "subject", "predicate", "object")]))
 
 
-def _defined(rows: DataFrame, define: Callable[[], Completer], cached: bool) -> DataFrame:
-    """rows with predicate_definition: a call for each row, or with `cached` one for each predicate, in its first row's context."""
+def _defined(rows: DataFrame, define: Callable[[], Completer], cached: bool, cache: str | None = None) -> DataFrame:
+    """rows with predicate_definition: a call for each row, or with `cached` one for each predicate, in its first row's context, but for those that the table `cache` holds; it gets the new ones."""
     prompt = definition_prompt(F.col("sentence"), F.col("subject"), F.col("predicate"), F.col("object"), in_context=not cached)
     if not cached:
         return completed(rows.withColumn("__prompt", prompt), "__prompt", define, 150, "definition_call").withColumn("predicate_definition", F.col("definition_call.text")).drop("__prompt")
     keyed = rows.withColumn("__key", cache_key(F.coalesce("predicate", F.lit(""))))
     first = keyed.groupBy("__key").agg(F.min_by(F.struct("sentence", "subject", "predicate", "object"), "pos").alias("r"), F.min("pos").alias("pos")).select("__key", "pos", "r.*")
+    held = None
+    if cache is not None:
+        first = materialised(first)
+        held = materialised(look_up(first.select(F.col("__key").alias("key")), cache))
+        first = first.join(held.select(F.col("key").alias("__key")), "__key", "left_anti")
     # Materialised, as the cache and the calls both read it: a predicate is asked for once.
     asked = materialised(completed(first.select("__key", "pos", "predicate", prompt.alias("__prompt")), "__prompt", define, 150, "definition_call"))
     known = definition_cache(asked.select("pos", "predicate", F.col("definition_call.text").alias("response")))
     side = asked.select("__key", "definition_call").join(known.select(F.col("key").alias("__key"), "definition"), "__key", "left")
+    if held is not None:
+        added(known.select("key", "definition"), cache)
+        side = side.unionByName(held.select(F.col("key").alias("__key"), F.lit(None).cast(dict(asked.dtypes)["definition_call"]).alias("definition_call"), "definition"))
     return keyed.join(side, "__key").withColumn("predicate_definition", F.coalesce("definition", F.lit(""))).drop("__key", "definition")
 
 
 def aligned(
     graph: DataFrame, ontology: DataFrame, define: Callable[[], Completer], choose: Callable[[], Completer], embedder: Callable[[], Embedder],
-    top: int = 5, mode: str = "final", finished: DataFrame | None = None,
+    top: int = 5, mode: str = "final", finished: DataFrame | None = None, cache: str | None = None,
 ) -> DataFrame:
     """graph with triplet_id, original_predicate, predicate_definition, canonical_predicate, canonicalized, top_candidates, the two calls, processed_at.
 
     mode "final": predicates that are relations already pass by unasked, definitions are made for each row, answers
-    are read strictly. mode "cached": one definition a predicate, loose reading, no passing by. Rows of `finished` (a
+    are read strictly. mode "cached": one definition a predicate, loose reading, no passing by; `cache` is a folder of definitions
+    that is kept between runs (see `operators.cache`). Rows of `finished` (a
     checkpoint with these columns) are not computed again. ontology: relation, rel_idx, def (small: broadcast by blocks).
     """
-    if mode not in ("final", "cached") or not 1 <= top <= 25:
-        raise ValueError("mode is final or cached, top from 1 to 25")
+    if mode not in ("final", "cached") or not 1 <= top <= 25 or (cache is not None and mode == "final"):
+        raise ValueError("mode is final or cached, top from 1 to 25; only cached takes a cache")
     rows = identified(graph)
     todo = remaining(rows, finished) if finished is not None else rows
     relations = embedded(ontology.select("relation", "rel_idx", "def"), "def", embedder, "vector")
@@ -56,7 +66,7 @@ def aligned(
     same = todo["predicate"] == names["__name"]
     passed = todo.join(names, same, "left_semi") if mode == "final" else None
     asked = todo.join(names, same, "left_anti") if mode == "final" else todo
-    defined = _defined(asked, define, mode == "cached")
+    defined = _defined(asked, define, mode == "cached", cache)
     vectors = for_distinct(materialised(defined), "predicate_definition", lambda texts: embedded(texts, "predicate_definition", embedder, "__vector"))
     found = top_k(vectors, relations, "__vector", "vector", top)
     found = found.withColumn("__choices", F.transform(F.coalesce("found", F.array()), lambda c: F.struct(c["relation"].alias("relation"), F.coalesce(c["def"], F.lit("")).alias("def"))))
