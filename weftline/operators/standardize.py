@@ -8,21 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import cleanliness, normalized, stripped
+from weftline.operators.lemmas import based
 from weftline.runtime import materialised
 
 
-def node_variants(graph: DataFrame, lemma: dict[str, str] | None = None) -> DataFrame:
+#: Base forms of words: a small map, or the tables (lexicon, exceptions) of `lemmas.lemmas`.
+Lemmas = dict[str, str] | tuple[DataFrame, DataFrame] | None
+
+
+def _normed(rows: DataFrame, column: str, lemma: Lemmas) -> DataFrame:
+    """rows with `norm`, the normal form of a column."""
+    if not isinstance(lemma, tuple):
+        return rows.withColumn("norm", normalized(F.col(column), lemma))
+    plain = rows.withColumn("norm", normalized(F.col(column)))
+    return plain.join(based(plain, *lemma), "norm").withColumn("norm", F.col("base")).drop("base")
+
+
+def node_variants(graph: DataFrame, lemma: Lemmas = None) -> DataFrame:
     """Distinct (norm, variant) over subjects and objects, blank ones left out."""
     nodes = graph.select(F.explode(F.array("subject", "object")).alias("v")).select(stripped(F.col("v")).alias("variant")).filter("variant != ''").distinct()
-    return nodes.withColumn("norm", normalized(F.col("variant"), lemma)).filter("norm != ''")
+    return _normed(nodes, "variant", lemma).filter("norm != ''").select("variant", "norm")
 
 
-def preferred_by_norm(terms: DataFrame, lemma: dict[str, str] | None = None) -> DataFrame:
+def preferred_by_norm(terms: DataFrame, lemma: Lemmas = None) -> DataFrame:
     """(norm, preferred): of terms (pos, term) with the same normal form the last."""
-    return terms.filter(stripped(F.col("term")) != "").groupBy(normalized(F.col("term"), lemma).alias("norm")).agg(F.max_by("term", "pos").alias("preferred"))
+    some = terms.select("pos", "term").filter(stripped(F.col("term")) != "")
+    return _normed(some, "term", lemma).groupBy("norm").agg(F.max_by("term", "pos").alias("preferred"))
 
 
-def canonical_mapping(graph: DataFrame, preferred: DataFrame | None = None, lemma: dict[str, str] | None = None) -> DataFrame:
+def canonical_mapping(graph: DataFrame, preferred: DataFrame | None = None, lemma: Lemmas = None) -> DataFrame:
     """(variant, canonical): the preferred term of a normal form, or its cleanest, longest, last variant."""
     variants = node_variants(graph, lemma)
     best = variants.groupBy("norm").agg(F.max_by("variant", F.struct(cleanliness(F.col("variant")), F.length("variant"), F.col("variant"))).alias("canonical"))
@@ -40,7 +54,7 @@ def replaced(graph: DataFrame, mapping: DataFrame, source: str = "variant", targ
     return out.select(*graph.columns)
 
 
-def canonical_nodes(graph: DataFrame, preferred: DataFrame | None = None, lemma: dict[str, str] | None = None) -> DataFrame:
+def canonical_nodes(graph: DataFrame, preferred: DataFrame | None = None, lemma: Lemmas = None) -> DataFrame:
     return replaced(graph, canonical_mapping(graph, preferred, lemma))
 
 
@@ -103,6 +117,6 @@ def merged_duplicates(graph: DataFrame, mapping: DataFrame | None = None) -> Dat
     return folded.withColumns({c: F.col(f"__r.{c}") for c in rest}).select(*graph.columns)
 
 
-def standardized(graph: DataFrame, aliases: DataFrame, preferred: DataFrame, lemma: dict[str, str] | None = None) -> DataFrame:
+def standardized(graph: DataFrame, aliases: DataFrame, preferred: DataFrame, lemma: Lemmas = None) -> DataFrame:
     """The whole flow: canonical nodes, corrected aliases, merged duplicates."""
     return merged_duplicates(canonical_nodes(graph, preferred, lemma), corrected_mapping(aliases, preferred))

@@ -115,6 +115,13 @@ def read_terms(spark: SparkSession, path: str, column: str = "term", lowercase:
     return out.filter("term is not null and term != ''")
 
 
+def read_lexicon(spark: SparkSession, index: str, exceptions: str) -> tuple[DataFrame, DataFrame]:
+    """The tables (lexicon, exceptions) of `lemmas.lemmas` from a word index (a word, its class and more on each line; lines that begin with a space are notes) and a list of irregular forms (a form and its lemmas on each line)."""
+    words = spark.read.text(index).filter(~F.col("value").startswith(" ")).select(F.split("value", " ")[0].alias("word")).filter("word != ''")
+    each = spark.read.text(exceptions).select(F.split(F.trim("value"), " +").alias("w")).filter("size(w) > 1")
+    return words, each.select(F.col("w")[0].alias("word"), F.posexplode(F.slice("w", F.lit(2), F.size("w") - 1)).alias("pos", "lemma"))
+
+
 def read_terms_excel(spark: SparkSession, path: str, column: str = "term", lowercase: bool = False) -> DataFrame:
     """The same of an Excel sheet on the driver. Needs openpyxl."""
     import pandas as pd
