@@ -62,3 +62,15 @@ def test_odd_and_empty_tables(spark, odd, empty, odd_rows):
 
 def test_features_of_nothing_are_zero():
     assert not features([None, b""]).any()
+
+
+def test_the_sample_is_the_same_in_every_run(spark):
+    """More rows of one id than the sample takes, dealt in different ways."""
+    from pyspark.sql import functions as F
+
+    from weftline.llm.gam import training_rows
+
+    rows = spark.range(4000).select((F.col("id") % 3 + 1).alias("doc_id"), F.array(F.lit(0).cast("float"), F.col("id").cast("float")).alias("features"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    taken = [training_rows(rows.repartition(n, F.col("features")[1]), labels, "quality", most=100) for n in (1, 5, 16)]
+    assert len(taken[0][1]) == 200 and all((x == taken[0][0]).all() and (y == taken[0][1]).all() for x, y in taken)

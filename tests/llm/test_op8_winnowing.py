@@ -79,3 +79,15 @@ def test_odd_and_empty_tables(spark, odd, empty, odd_rows):
     assert len(rows) == len(odd_rows) and sum(r.n_hit == 12 for r in rows) == 4
     assert {r.n_hit for r in contamination(odd, items.limit(0), ["doc_id"]).collect()} == {0}
     assert contamination(empty, items, ["doc_id"]).count() == 0
+
+
+def test_a_phrase_of_very_many_items(spark, monkeypatch):
+    """Eight words that 3,000 items share meet a document once for each of their surroundings, not once for each item."""
+    monkeypatch.setattr(winnowing, "BLOCK_BYTES", 30)
+    phrase = "all of these words are in every item"
+    items = [(i, f"{'one' if i % 2 else 'two'} {phrase} {'x' if i % 3 else 'y'}") for i in range(3000)]
+    docs = [f"one {phrase} y", f"{phrase}", f"{phrase[4:]} alone", "nothing"] + [f"d{i} {phrase} z" for i in range(50)]
+    rows = contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.item_ids) == plain(docs[r.doc_id], items)
+    assert {r.n_items for r in rows} == {0, 3000}

@@ -173,11 +173,13 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_rows(rows: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most about `most` labelled rows that are not held out, picked by a hash of doc_id. A doc_id with several labels has their least."""
+    """Features and labels of at most about `most` labelled rows that are not held out, picked by a hash of doc_id, and of repeated ids twice as many at most, picked by a hash of id and features. A doc_id with several labels has their least."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"))
     n = known.count()
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, most / max(1, n)))))
-    got = rows.select("doc_id", "features").join(picked, "doc_id").limit(2 * most).orderBy("doc_id", "features").toPandas()
+    # Where rows repeat ids there may be more: then those of the least hashes, so that every run takes the same ones.
+    mine = F.xxhash64("doc_id", "features")
+    got = rows.select("doc_id", "features").join(picked, "doc_id").orderBy(mine, "doc_id", "features").limit(2 * most).orderBy("doc_id", "features").toPandas()
     if not len(got):
         return np.zeros((0, len(FEATURES)), dtype=np.float32), np.zeros(0)
     return np.array(got["features"].tolist(), dtype=np.float32), got["y"].to_numpy(dtype=float)

@@ -203,6 +203,13 @@ def joined(docs: DataFrame, items: DataFrame, carry: list[str], text: str) -> Da
 
     known = map_texts(items, "t", ["item"], f"points array<{POINT}>", of_items).select("item", F.explode("points").alias("x"))
     known = written(known.select("item", "x.h", "x.n", "x.gram", "x.before", "x.after").distinct())
+    # Items that have a gram with the same words around it share a place, which meets documents once for all of them.
+    key = ["h", "n", "gram", "before", "after"]
+    places = written(known.select(*key).distinct().withColumn("place", F.monotonically_increasing_id()))
+    same = known["h"] == places["h"]
+    for c in key[1:]:
+        same &= known[c].eqNullSafe(places[c])
+    of_place = written(known.join(places, same).select("place", "item"))
     lengths = sorted(r[0] for r in known.filter("n > 0").select("n").distinct().collect())
     may = sc.broadcast(_bits(known, "h"))
 
@@ -217,11 +224,12 @@ def joined(docs: DataFrame, items: DataFrame, carry: list[str], text: str) -> Da
     carry = [c for c in carry if c not in taken and c not in ("__points", "__row")]
     rows = written(map_texts(docs, text, carry, f"n_words long, __points array<{POINT}>", of_docs).withColumn("__row", F.monotonically_increasing_id()))
     own = rows.select("__row", F.explode("__points").alias("d")).select("__row", "d.p", F.col("d.h").alias("h"), F.col("d.n").alias("n"), F.col("d.gram").alias("gram"), F.col("d.before").alias("b"), F.col("d.after").alias("a"))
-    met = own.join(known, ["h", "n", "gram"])
+    met = own.join(places, ["h", "n", "gram"])
     left, right = _alike("b", "before"), _alike("a", "after")
-    span = met.select("__row", "item", "n", (F.col("p") - left).alias("start"), (F.col("p") + F.when(F.col("n") > 0, F.col("n")).otherwise(GRAM) + right).alias("end"))
+    span = met.select("__row", "place", "n", (F.col("p") - left).alias("start"), (F.col("p") + F.when(F.col("n") > 0, F.col("n")).otherwise(GRAM) + right).alias("end"))
     span = written(span.filter(f"n > 0 or end - start >= {WINDOW}").distinct())
-    ids = span.groupBy("__row", "item").agg(F.max((F.col("n") == 0).cast("int")).alias("long"))
+    found = span.groupBy("__row", "place").agg(F.max((F.col("n") == 0).cast("int")).alias("long"))
+    ids = found.join(of_place, "place").groupBy("__row", "item").agg(F.max("long").alias("long"))
     ids = ids.groupBy("__row").agg(F.array_sort(F.collect_list("item")).alias("item_ids"), F.count("*").cast("long").alias("n_items"), F.sum("long").alias("n_long_items"))
     flat = F.array_sort(F.collect_set(F.struct("start", "end")))
     empty = F.array().cast("array<int>")
