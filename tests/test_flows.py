@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.text import ALREADY_CANONICAL
+from weftline.operators import merging
 from weftline.operators.models import FunctionCompleter, LetterCounts
 from weftline.plans import align, mapping, self_canonical
+from weftline.runtime import materialised
 from weftline.sources import files
 from weftline.sources.json_parts import joined_file
 
@@ -144,6 +146,21 @@ def test_files(spark, tmp_path):
     assert files.layout("out/kg.json")["checkpoint"] == "out/kg.checkpoint.jsonl"
 
 
+def test_counters_of_a_run(spark):
+    rows = [(i, f"s{i}", "a", f"pred{i % 3}", "b") for i in range(9)] + [(9, "s", "a", "r", "b")]
+    g, o = spark.createDataFrame(rows, KG), spark.createDataFrame([("r", 0, "d")], "relation string, rel_idx int, def string")
+    counters = lambda out, **k: merging.run_counters(out, **k).first().asDict()
+    run = lambda g, **k: align.aligned(g, o, lambda: FunctionCompleter(lambda p: "d"), lambda: FunctionCompleter(lambda p: "A"), LetterCounts, **k)
+    first = run(g.filter("pos < 4"))
+    assert counters(first) == {"total": 4, "n_skipped": 0, "n_definition_calls": 4, "n_choice_calls": 4, "n_failed_calls": 0}
+    finished = materialised(first)
+    assert counters(run(g, finished=finished), finished=finished) == {"total": 10, "n_skipped": 4, "n_definition_calls": 5, "n_choice_calls": 5, "n_failed_calls": 0}
+    assert counters(run(g, mode="cached"), cached=True) == {"total": 10, "n_skipped": 0, "n_definition_calls": 4, "n_choice_calls": 10, "n_failed_calls": 0}
+    bad = first.withColumn("choice_call", F.when(F.col("pos") == 1, F.struct(F.lit("").alias("text"), F.lit(4).alias("attempts"), F.lit("busy").alias("error"), F.col("choice_call.usage"))).otherwise(F.col("choice_call")))
+    assert counters(bad) == {"total": 4, "n_skipped": 0, "n_definition_calls": 4, "n_choice_calls": 7, "n_failed_calls": 1}
+    assert counters(first.limit(0)) == {"total": 0, "n_skipped": 0, "n_definition_calls": 0, "n_choice_calls": 0, "n_failed_calls": 0}
+
+
 ARRIVING = ([(0, "s", "a", "p", "b"), (1, "s", "a", "p", "b"), (2, "s", "x", "p", "b"), (5, "s", "done", "p", "b")], [(3, "s", "a", "p", "b"), (4, "s", "new", "p", "b")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import is_isa, isa_normalized, stripped
+from weftline.functions.text import cache_key, is_isa, isa_normalized, stripped
 
 
 def predicate_replaced(graph: DataFrame) -> DataFrame:
@@ -77,5 +77,24 @@ def report(aligned: DataFrame) -> DataFrame:
     return aligned.agg(n.alias("total"), on.alias("n_canonicalized"), F.round(100 * on / F.greatest(n, F.lit(1)), 1).alias("pct_canonicalized"), (n - on).alias("n_unmapped"))
 
 
+def run_counters(rows: DataFrame, finished: DataFrame | None = None, cached: bool = False, key: str = "triplet_id") -> DataFrame:
+    """One row about a run's result (with the call columns of `plans.align`): total, n_skipped (rows of the checkpoint `finished`), n_definition_calls and n_choice_calls (attempts in this run), n_failed_calls.
+
+    cached: rows of one predicate share a definition call, which counts once. Rows of the checkpoint and rows that passed by unasked have no calls.
+    """
+    done = finished.select(key).distinct().withColumn("__done", F.lit(True)) if finished is not None else None
+    marked = rows.join(done, key, "left") if done is not None else rows.withColumn("__done", F.lit(None).cast("boolean"))
+    own = F.col("__done").isNull()
+    call = lambda c: F.when(own & F.col(c).isNotNull(), F.struct(F.col(f"{c}.attempts").alias("n"), F.col(f"{c}.error").isNotNull().cast("long").alias("bad")))
+    each = marked.select(own.alias("own"), cache_key(F.coalesce("original_predicate", F.lit(""))).alias("k"), call("definition_call").alias("d"), call("choice_call").alias("c"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    defined = each.groupBy("k").agg(F.max("d").alias("d")) if cached else each
+    one = defined.agg(zero("d.n").alias("n_definition_calls"), zero("d.bad").alias("bad"))
+    all_ = each.agg(F.count("*").alias("total"), zero((~F.col("own")).cast("long")).alias("n_skipped"), zero("c.n").alias("n_choice_calls"), zero("c.bad").alias("worse"))
+    # Two tables of one row each.
+    both = all_.withColumn("one", F.lit(1)).join(one.withColumn("one", F.lit(1)), "one")
+    return both.select("total", "n_skipped", "n_definition_calls", "n_choice_calls", (F.col("bad") + F.col("worse")).alias("n_failed_calls"))
+
+
 def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
     return [c for c in required if c not in df.columns]
