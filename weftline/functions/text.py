@@ -150,13 +150,17 @@ def label_prompt(members: Column) -> Column:
     return filled(LABEL_PROMPT, members=F.array_join(F.transform(members, lambda m: F.concat(F.lit("  - '"), m["predicate"], F.lit("': "), F.coalesce(m["definition"], F.lit("")))), "\n"))
 
 
+# The patterns of a node's normal form and what stands for them, in order. The weights and patterns in `cleanliness` are fixed as well.
+NORMAL_PATTERNS = ((r"(?U)\s*'\s*", "'"), (r"(?U)\s*-\s*", "-"), (r"[-_/]", " "), (r"(?U)[^\w\s']", " "), (r"(?U)\s+", " "))
+
+
 def normalized(c: Column, lemma: dict[str, str] | None = None) -> Column:
     """The form that node variants share: lower case, tight apostrophes and hyphens, separators as spaces, no other punctuation.
 
     lemma maps words to their base form (a bounded table, at most some thousand entries); None leaves words alone.
     """
     t = F.lower(stripped(F.coalesce(c, F.lit(""))))
-    for pattern, put in ((r"(?U)\s*'\s*", "'"), (r"(?U)\s*-\s*", "-"), (r"[-_/]", " "), (r"(?U)[^\w\s']", " "), (r"(?U)\s+", " ")):
+    for pattern, put in NORMAL_PATTERNS:
         t = F.regexp_replace(t, pattern, put)
     t = F.trim(t)
     if lemma:
