@@ -146,3 +146,89 @@ def test_words_have_one_number_in_all_passes():
     held = {e.path: e for _, e, _ in parsed(page) if e.path}
     div, p = held["/div.a"], held["/div.a/p"]
     assert page_tokens(page) == {div.token: 1, p.token: 1, word_token(div.seed, "one"): 2, word_token(div.seed, "été"): 1, word_token(p.seed, "one"): 1}
+
+
+def layout_rows():
+    """Twenty pages of one host in three layouts (40, 40 and 20 percent) without an article element, and their texts."""
+    import random
+
+    rnd = random.Random(1)
+    text = lambda n: " ".join(f"word{rnd.randrange(3000)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        title, body = text(5), [text(rnd.randrange(20, 60)) for _ in range(rnd.randrange(2, 5))]
+        top, end = '<div class="hd"><a href="/">Home</a> <a href="/n">News</a> <a href="/c">Contact us</a></div>', '<div class="lg">All rights reserved by the owner of this site</div>'
+        mid = [
+            f'<div class="q"><h1>{title}</h1><p>' + "<p>".join(body) + "</div>",
+            f'<div class="z"><div class="y"><h2>{title}</h2><div class=k>' + "</div><div class=k>".join(body) + "</div></div></div>",
+            f"<section><h1>{title}</h1><table class=v><tr><td>" + "<td>".join(body) + "</table></section>",
+        ][(i >= 8) + (i >= 16)]
+        rows.append((i, f"http://three.example/{i}", f"<html><body>{top}{mid}{end}</body></html>"))
+        want[i] = " ".join([title, *body])
+    return rows, want
+
+
+def test_a_host_of_three_layouts(spark, monkeypatch):
+    from weftline.llm import templates
+
+    rows, want = layout_rows()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = templates.page_layouts(df.select(host_of(F.col("url")).alias("host"), "html")).collect()
+    assert sorted(r.all_pages for r in found) == [4, 8, 8] and sorted(r.layout for r in found) == [0, 1, 2]
+    assert {r.page_id: r.text for r in main_texts(df, ["page_id"]).collect()} == want
+    monkeypatch.setattr(templates, "BROADCAST_TOKENS", 0)
+    assert {r.page_id: r.text for r in main_texts(df, ["page_id"]).collect()} == want
+
+
+def test_boxes_without_a_name_are_told_apart_by_place(spark):
+    """Landmarks as plain div elements, some pages with one more before the text."""
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    page = lambda i: f"<body><div><a href=/>Start</a> <a href=/b>Blog</a> <a href=/c>Shop</a></div>{'<div>Buy it now</div>' * (i % 2)}<div><h1>Title {i}</h1><p>{text(i, 40)}<p>{text(i, 9)}</div><div>All rights reserved here</div>"
+    df = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(12)], SCHEMA)
+    for r in main_texts(df, ["page_id"]).collect():
+        assert r.text == f"Title {r.page_id} {text(r.page_id, 40)} {text(r.page_id, 9)}"
+
+
+def test_text_vectors_and_layouts_are_those_of_plain_counts(spark):
+    """Vectors by hand; layouts, their pages included, by a loop over all pages of hosts with rare and odd ones."""
+    import random
+    from collections import Counter, defaultdict
+
+    from weftline.llm import templates
+
+    page = "<body><nav>not counted</nav><div class=a><p>12345</p><p>678</p></div><div class=b>1234</div><div class=c>1</div>"
+    want = {"/body/div.a": 2, "/body/div.a/p": 2, "/body/div.b": 1}  # eight, eight and four of 13 characters; one of 13 is none
+    assert templates.text_vector(templates.parsed(page)) == sorted(element_token(k) << 3 | n for k, n in want.items())
+    assert templates.text_vector([]) == [] and templates.likeness([], []) == 1.0
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(300):
+        k = rnd.choice("aaaaabbbbcccd")
+        rows.append((rnd.choice(["x", "y"]), f"<body><div class={k}>{'m' * rnd.randrange(20, 40)}<p>{'t' * rnd.randrange(30)}</p></div><div class=e>{'n' * rnd.randrange(25)}</div>"))
+    rows += [("x", None), ("x", ""), ("few", "<p>a"), ("few", "<p>b")]
+    counts = defaultdict(Counter)
+    for host, html_ in rows:
+        if html_:
+            counts[host][tuple(templates.text_vector(templates.parsed(html_)))] += 1
+    expected = set()
+    for host, vectors in counts.items():
+        total = sum(vectors.values())
+        if total < templates.LEAST_PAGES:
+            continue
+        lead = []
+        for v in sorted(vectors, key=lambda v: (-vectors[v], v))[: templates.LEADERS]:
+            if all(templates.likeness(v, x) < templates.ALIKE for x in lead):
+                lead.append(v)
+        support = Counter()
+        for v, n in vectors.items():
+            k = templates.nearest(v, lead)
+            if templates.likeness(v, lead[k]) >= templates.ALIKE:
+                support[lead[k]] += n
+        order = sorted(support, key=lambda v: (-support[v], v))
+        kept = [v for i, v in enumerate(order) if not i or (support[v] >= templates.LEAST_PAGES and support[v] >= templates.LAYOUT * total)]
+        own = Counter()
+        for v, n in vectors.items():
+            own[kept[templates.nearest(v, kept)]] += n
+        expected |= {(host, kept.index(v), v, n) for v, n in own.items()}
+    got = templates.page_layouts(spark.createDataFrame(rows, "host string, html string").repartition(5)).collect()
+    assert {(r.host, r.layout, tuple(r.vector), r.all_pages) for r in got} == expected and len(got) == len(expected) > 4

@@ -1,17 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tokens of a page are its block elements, each by its role (the path of tag and class names from the root), and the
-words of its text, each by the role of the element that holds it. A token's occurrence vector says how often it occurs in each
-page of a host; tokens with equal vectors are an equivalence class. Vectors are compared by sums that any order of
+words of its text, each by the role of the element that holds it. Boxes near the root without a name also have their place among
+their like as a part of the role. A host's pages are told apart by layout first: by the elements that hold their text. A token's
+occurrence vector says how often it occurs in each page of a layout; tokens with equal vectors are an equivalence class. Vectors are compared by sums that any order of
 partial aggregation gives: pages, occurrences, and hashes of (page, count). A class is valid if it is in enough pages,
 and if its elements, once a page each, come in one order. Valid classes are split by the slot of other classes in
-which they lie, and so nest into the host's template. What is in no class is the slots' text. The slot with the most of it
+which they lie, and so nest into the layout's template. What is in no class is the slots' text. The slot with the most of it
 is the main one. Extracted is the article around it if there is one, or else the slots with much text together with
 their headings; text that is wholly the words of one class is the template's and left out.
 
 Element names that the HTML standard gives to other things than the text (menus, forms) are left out wherever they
 stand. Words of class names decide between slots only where text alone does not tell, such as reader comments.
-Pages of hosts with fewer than LEAST_PAGES pages, and pages without the slots of their host, have no template:
+Pages of hosts with fewer than LEAST_PAGES pages, and pages without the slots of their layout, have no template:
 their article or main elements are taken, or else all text outside boilerplate elements.
 """
 
@@ -28,13 +29,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, steps, task, written
 
-#: A class is valid if its tokens are in at least this part of a host's pages and in LEAST_PAGES of them, and if this part of these has its elements in one order.
+#: A class is valid if its tokens are in at least this part of a layout's pages and in LEAST_PAGES of them, and if this part of these has its elements in one order.
 SUPPORT, LEAST_PAGES, ORDERED = 0.5, 3, 0.9
+#: A page's vector says which elements hold how many of PARTS parts of its text. Layouts begin at vectors that differ from each
+#: other by so much that what they share is less than ALIKE of what they hold together, sought among the LEADERS commonest vectors
+#: of a host (and its others go to the most alike); a layout has at least LAYOUT of its host's pages, and LEAST_PAGES.
+PARTS, ALIKE, LEADERS, LAYOUT = 4, 0.4, 64, 0.05
+#: Boxes without a name have their place in the role down to this depth below the body.
+PLACED_DEPTH, PLACED = 2, frozenset("div section table".split())
 #: Words are the template's if their class has at least this many.
 LEAST_WORDS = 3
 #: A slot counts beside the main one if it holds this part of that one's text, and not half of it in links.
@@ -123,17 +130,30 @@ def word_token(seed: int, word: str) -> int:
     return _short(xxhash.xxh64_intdigest(word, seed)) | 1
 
 
+_TOP = ("", "html", "body")
+
+
 class Element:
     """An open tag: `path` is its role, or that of the block around an inline element; `out` says that it, or one around it, is no part of a text."""
 
-    __slots__ = ("chars", "frame", "mark", "name", "out", "parent", "path", "seed", "token")
+    __slots__ = ("chars", "depth", "frame", "kids", "mark", "name", "out", "parent", "path", "seed", "token")
 
     def __init__(self, name: str, parent: Element | None, path: str, mark: int, out: bool) -> None:
         self.name, self.parent, self.path, self.mark, self.out = name, parent, path, mark, out
         self.token, self.seed = _role(path)
         self.chars = 0
+        self.depth = 0 if parent is None or name in _TOP else parent.depth + 1
+        self.kids: dict[str, int] | None = None
         self.frame: Element | None = None
 
+    def placed(self, name: str) -> str:
+        """What the place of a next nameless box adds to its role."""
+        if name not in PLACED or self.depth >= PLACED_DEPTH:
+            return ""
+        self.kids = self.kids or {}
+        n = self.kids[name] = self.kids.get(name, 0) + 1
+        return f"[{n}]" if n > 1 else ""
+
     def up(self) -> Iterator[Element]:
         e: Element | None = self
         while e is not None:
@@ -218,7 +238,7 @@ def parsed(page: str) -> list[tuple[int, Element, str]]:
             continue
         whole = name in ("html", "body", "article", "main")
         out = top.out or name in OUTSIDE or (hidden and not whole) or (name == "header" and not any(x.name in ("article", "main") for x in stack))
-        top = Element(name, top, f"{top.path}/{name}{extra}" if block else top.path, 0 if whole else mark, out)
+        top = Element(name, top, f"{top.path}/{name}{extra or top.placed(name)}" if block else top.path, 0 if whole else mark, out)
         stack.append(top)
         add((OPEN, top, ""))
     return items
@@ -245,9 +265,47 @@ def blocks(items: list[tuple[int, Element, str]]) -> Iterator[list[tuple[Element
         yield pieces
 
 
-def _occurrences(page: str, elements: array, words: bytearray) -> None:
+def text_vector(items: list[tuple[int, Element, str]]) -> list[int]:
+    """Which block elements below the body hold how much of a page's text: tokens, shifted by three bits, and PARTS parts of it, rounded."""
+    own: dict[int, int] = {}
+    opened = [e for kind, e, _ in items if kind == OPEN and not e.out]
+    total = 0
+    for kind, e, raw in items:
+        if kind == TEXT and not e.out:
+            n = len(raw.strip())
+            own[id(e)] = own.get(id(e), 0) + n
+            total += n
+    held: dict[int, int] = {}
+    for e in reversed(opened):
+        n = own.get(id(e), 0)
+        if n and e.name not in _TOP:
+            if e.name in BLOCK:
+                held[e.token] = held.get(e.token, 0) + n
+            own[id(e.parent)] = own.get(id(e.parent), 0) + n
+    levels = ((t, int(PARTS * n / total + 0.5)) for t, n in held.items())
+    return sorted(t << 3 | min(n, PARTS) for t, n in levels if n)
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    """What two vectors share as a part of what they hold together."""
+    x, y = ({v >> 3: v & 7 for v in vector} for vector in (a, b))
+    both = sum(max(x.get(t, 0), y.get(t, 0)) for t in x.keys() | y.keys())
+    return sum(min(x[t], y[t]) for t in x.keys() & y.keys()) / both if both else 1.0
+
+
+def nearest(vector: list[int], layouts: list[list[int]]) -> int:
+    """The place of the most alike layout, the first of several."""
+    return max(range(len(layouts)), key=lambda i: (likeness(vector, layouts[i]), -i))
+
+
+def _layout(items: list[tuple[int, Element, str]], layouts: list | None) -> int:
+    """The place of a page's layout among those of its host."""
+    return nearest(text_vector(items), [x["vector"] for x in layouts]) if layouts and len(layouts) > 1 else 0
+
+
+def _occurrences(items: list[tuple[int, Element, str]], elements: array, words: bytearray) -> None:
     """Adds the number of each element, and the hash of each word, outside the elements that are no part of a text. No Python code runs for a word."""
-    for kind, e, raw in parsed(page):
+    for kind, e, raw in items:
         if e.out:
             continue
         if kind == TEXT:
@@ -256,13 +314,16 @@ def _occurrences(page: str, elements: array, words: bytearray) -> None:
             elements.append(e.token)
 
 
-def _counted(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each token occurs in each page: places of pages, tokens and counts, in the order of pages and tokens."""
+def _counted(pages: list[str], layouts: list[list | None] | None = None, found: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each token occurs in each page: places of pages, tokens and counts, in the order of pages and tokens. Layouts of pages are added to `found`."""
     elements, words = array("Q"), bytearray()
     ends = np.zeros((len(pages) + 1, 2), np.int64)
     for i, page in enumerate(pages):
         if page:
-            _occurrences(page, elements, words)
+            items = parsed(page)
+            _occurrences(items, elements, words)
+            if found is not None:
+                found[i] = _layout(items, layouts[i])
         ends[i + 1] = len(elements), len(words) // 8
     place = np.arange(len(pages), dtype=np.uint64) << np.uint64(TOKEN_BITS)
     hashes = np.frombuffer(words, ">u8").astype(np.uint64)
@@ -291,36 +352,36 @@ def _reduced(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return key[first], *[np.add.reduceat(x[order], first) for x in sums]
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the pages (host, page, html) of a task by host and token."""
-    names: dict[str, int] = {}  # fewer than 1 << (63 - TOKEN_BITS): each host has a token, and only some are held
+def _counter(rows) -> Iterator[pa.RecordBatch]:
+    """Sums of the pages (host, page, html) of a task by host, layout and token."""
+    names: dict[tuple[str, int], int] = {}  # fewer than 1 << (63 - TOKEN_BITS): each has a token, and only some are held
     parts: list[tuple[np.ndarray, ...]] = []
 
     def emitted(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        hosts = pa.DictionaryArray.from_arrays(pa.array(rows[0] >> TOKEN_BITS, pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
+        place = pa.array(rows[0] >> TOKEN_BITS, pa.int32())
+        hosts = pa.DictionaryArray.from_arrays(place, pa.array([h for h, _ in names], pa.string())).cast(pa.string())
+        layouts = pa.array([k for _, k in names], pa.int32()).take(place)
         token = rows[0] & ((1 << TOKEN_BITS) - 1)
-        return pa.RecordBatch.from_arrays([hosts, *[pa.array(x, pa.int64()) for x in (token, *rows[1:])]], names=["host", "token", "pages", "times", "vector"])
+        return pa.RecordBatch.from_arrays([hosts, layouts, *[pa.array(x, pa.int64()) for x in (token, *rows[1:])]], names=["host", "layout", "token", "pages", "times", "vector"])
 
-    with task(__name__):
-        for batch in batches:
-            hosts, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            pages = batch.column(1).to_numpy()
-            for lo, hi in steps([len(t or "") for t in texts]):
-                place, token, times = _counted(texts[lo:hi])
-                if not len(place):
-                    continue
-                host = np.zeros(hi - lo, np.int64)
-                for i in np.unique(place).tolist():
-                    host[i] = names.setdefault(hosts[lo + i], len(names))
-                vector = _mixed(pages[lo:hi][place], times)
-                parts.append(_reduced([(host[place] << TOKEN_BITS | token, np.ones(len(times), np.int64), times, vector)]))
-                if sum(len(x[0]) for x in parts) > HELD:
-                    parts = [_reduced(parts)]
-                    if len(parts[0][0]) > HELD // 2:
-                        yield emitted(parts[0])
-                        parts, names = [], {}
-        if parts:
-            yield emitted(_reduced(parts))
+    for batch, lo, hi, own in rows:
+        hosts, texts = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 2))
+        pages = batch.column(1).slice(lo, hi - lo).to_numpy()
+        found = [0] * (hi - lo)
+        place, token, times = _counted(texts, [x for (x,) in own], found)
+        if not len(place):
+            continue
+        host = np.zeros(hi - lo, np.int64)
+        for i in np.unique(place).tolist():
+            host[i] = names.setdefault((hosts[i], found[i]), len(names))
+        parts.append(_reduced([(host[place] << TOKEN_BITS | token, np.ones(len(times), np.int64), times, _mixed(pages[place], times))]))
+        if sum(len(x[0]) for x in parts) > HELD:
+            parts = [_reduced(parts)]
+            if len(parts[0][0]) > HELD // 2:
+                yield emitted(parts[0])
+                parts, names = [], {}
+    if parts:
+        yield emitted(_reduced(parts))
 
 
 def _mixed(page: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -335,40 +396,126 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def classes(pages: DataFrame) -> DataFrame:
-    """(host, token, class, pages, all_pages, once) of the tokens of pages (host, html) that are in enough pages of their host, by equivalence class.
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pages (host, html) counted by text vector; empty pages are left out."""
+    counts: Counter = Counter()
+    held = 0
+
+    def emitted() -> pa.RecordBatch:
+        columns = [pa.array([h for h, _ in counts], pa.string()), pa.array([list(v) for _, v in counts], pa.list_(pa.int64())), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "vector", "pages"])
+
+    with task(__name__):
+        for batch in batches:
+            texts = batch.column(1)
+            for lo, hi in steps(_sizes(texts)):
+                for host, page in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True):
+                    if page:
+                        key = host, tuple(text_vector(parsed(page)))
+                        counts[key] += 1
+                        held += len(key[1]) + 4 if counts[key] == 1 else 0
+                        if held > HELD:
+                            yield emitted()
+                            counts.clear()
+                            held = 0
+        yield emitted()
+
+
+def _leaders(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a host's commonest vectors (host, rank, vector), in order, those that are unlike all before."""
+    found: list[list[int]] = []
+    for vector in rows.sort_values("rank").vector:
+        v = [int(x) for x in vector]
+        if all(likeness(v, x) < ALIKE for x in found):
+            found.append(v)
+    return pd.DataFrame({"host": [rows.host.iloc[0]], "leaders": [found]})
+
+
+def _assigned(vectors: DataFrame, layouts: DataFrame, least: float) -> DataFrame:
+    """(host, layout, pages, vector) of layouts (host, leaders), most alike to at least `least` of vectors (host, vector, pages); layouts without pages are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, given, pages, leaders = (c.to_pylist() for c in batch.columns)
+            sums: Counter = Counter()
+            for host, v, n, found in zip(hosts, given, pages, leaders, strict=True):
+                k = nearest(v, found) if len(found) > 1 else 0
+                if likeness(v, found[k]) >= least:
+                    sums[host, k] += n
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["host", "layout", "pages"])
+
+    side = layouts.select(F.col("host").alias("__host"), "leaders")
+    met = vectors.join(side, F.col("host") == F.col("__host")).select("host", "vector", "pages", "leaders")
+    sums = met.mapInArrow(run, "host string, layout int, pages long").groupBy("host", "layout").agg(F.sum("pages").alias("pages"))
+    return sums.join(side, F.col("host") == F.col("__host")).select("host", "layout", "pages", F.get("leaders", F.col("layout")).alias("vector"))
+
 
-    One shuffle of sums by (host, token), which tasks add up before it; pages are not shuffled.
+def page_layouts(pages: DataFrame) -> DataFrame:
+    """(host, layout, vector, all_pages) of the layouts of pages (host, html), numbered by the pages they have; hosts of fewer than LEAST_PAGES pages are left out.
+
+    Pages are counted by vector in each task and then summed up; the layouts of a host are sought among LEADERS vectors, and all its vectors are summed by layout.
     """
     small_batches(pages.sparkSession)
-    hosts = written(pages.groupBy(F.col("host").alias("__host")).agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= LEAST_PAGES))
+    vectors = written(pages.select("host", "html").mapInArrow(_vectors, "host string, vector array<long>, pages long").groupBy("host", "vector").agg(F.sum("pages").alias("pages")))
+    hosts = vectors.groupBy(F.col("host").alias("__host")).agg(F.sum("pages").alias("of")).filter(F.col("of") >= LEAST_PAGES)
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "vector"))
+    first = vectors.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).join(hosts, F.col("host") == F.col("__host"), "left_semi")
+    leaders = written(first.select("host", "rank", "vector").groupBy("host").applyInPandas(_leaders, "host string, leaders array<array<long>>"))
+    support = _assigned(vectors, leaders, ALIKE).join(hosts, F.col("host") == F.col("__host")).drop("__host")
+    enough = support.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "vector"))).filter(
+        (F.col("rank") == 1) | ((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LAYOUT * F.col("of")))
+    )
+    kept = written(enough.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "vector"))).alias("l")).select("host", F.col("l.vector").alias("leaders")))
+    return written(_assigned(vectors, kept, 0.0).select("host", "layout", "vector", F.col("pages").alias("all_pages")))
+
+
+def _by_host(layouts: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(host, layouts) with an array of layouts in order, each a vector and the columns that `own` has for it."""
+    names = [c for c in own.columns if c not in ("host", "layout")] if own is not None else []
+    rows = layouts.select("host", "layout", "vector")
+    if own is not None:
+        side = own.select(F.col("host").alias("__host"), F.col("layout").alias("__layout"), *names)
+        rows = rows.join(side, (F.col("host") == F.col("__host")) & (F.col("layout") == F.col("__layout")), "left")
+    held = F.array_sort(F.collect_list(F.struct("layout", "vector", *names)))
+    return rows.groupBy("host").agg(held.alias("layouts"))
+
+
+def classes(pages: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """(host, layout, token, class, pages, all_pages, once) of the tokens of pages (host, html) that are in enough pages of their layout, by equivalence class.
+
+    One shuffle of sums by (host, layout, token), which tasks add up before it; pages are not shuffled. Without layouts a host is one.
+    """
+    if layouts is None:
+        whole = pages.groupBy("host").agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= LEAST_PAGES)
+        layouts = written(whole.select("host", F.lit(0).alias("layout"), F.array().cast("array<long>").alias("vector"), "all_pages"))
     given = pages.select("host", F.xxhash64("host", "html").alias("page"), "html")
-    sums = given.mapInArrow(_counter, "host string, token long, pages long, times long, vector long").groupBy("host", "token")
-    counts = sums.agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector")]).filter(f"pages >= {LEAST_PAGES}")
-    enough = counts.join(hosts, F.col("host") == F.col("__host")).filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
-    return enough.select("host", "token", F.xxhash64("pages", "times", "vector").alias("class"), "pages", "all_pages", (F.col("times") == F.col("pages")).alias("once"))
+    sums = _with_templates(given, _by_host(layouts), ["layouts"], _counter)("host string, layout int, token long, pages long, times long, vector long")
+    counts = sums.groupBy("host", "layout", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector")]).filter(f"pages >= {LEAST_PAGES}")
+    side = layouts.select(F.col("host").alias("__host"), F.col("layout").alias("__layout"), "all_pages")
+    enough = counts.join(side, (F.col("host") == F.col("__host")) & (F.col("layout") == F.col("__layout"))).filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    return enough.select("host", "layout", "token", F.xxhash64("pages", "times", "vector").alias("class"), "pages", "all_pages", (F.col("times") == F.col("pages")).alias("once"))
 
 
 def _known(tokens: DataFrame) -> DataFrame:
-    """(host, tokens, classes) of the tokens that a template may use: elements that occur once, and words of classes with LEAST_WORDS of them."""
+    """(host, layout, tokens, classes) of the tokens that a template may use: elements that occur once, and words of classes with LEAST_WORDS of them."""
     word = F.col("token") % 2 != 0
-    many = tokens.filter(word).groupBy("host", "class").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_WORDS}").select(F.col("host").alias("__host"), F.col("class").alias("__class"))
-    words = tokens.filter(word).join(many, (F.col("host") == F.col("__host")) & (F.col("class") == F.col("__class"))).select("host", "token", "class")
-    return _lists(tokens.filter(~word & F.col("once")).select("host", "token", "class").union(words))
-
-
-def _lists(tokens: DataFrame) -> DataFrame:
+    place = ["host", "layout", "class"]
+    many = tokens.filter(word).groupBy(*place).agg(F.count("*").alias("n")).filter(f"n >= {LEAST_WORDS}")
+    words = tokens.filter(word).join(many, place, "left_semi").select("host", "layout", "token", "class")
     pairs = F.array_sort(F.collect_list(F.struct("token", "class")))
-    return tokens.groupBy("host").agg(pairs.alias("p")).select("host", F.col("p.token").alias("tokens"), F.col("p.class").alias("classes"))
+    rows = tokens.filter(~word & F.col("once")).select("host", "layout", "token", "class").union(words)
+    return rows.groupBy("host", "layout").agg(pairs.alias("p")).select("host", "layout", F.col("p.token").alias("tokens"), F.col("p.class").alias("classes"))
 
 
 def _with_templates(pages: DataFrame, templates: DataFrame, names: list[str], run: Callable) -> Callable[[str], DataFrame]:
     """run(rows) over batches of rows (the columns of pages, then `names` of the page's host): broadcast if they are few, else joined by host."""
     small_batches(pages.sparkSession)
-    many = templates.agg(F.sum(F.size("tokens") + 4)).first()[0] or 0
+    inner = [f for f in templates.schema["layouts"].dataType.elementType.names if f in ("vector", "tokens")]
+    size = F.aggregate("layouts", F.lit(4), lambda n, x: n + sum((F.coalesce(F.array_size(x[f]), F.lit(0)) for f in inner), F.lit(4)))
+    many = templates.agg(F.sum(size)).first()[0] or 0
     k = len(pages.columns)
     if many <= BROADCAST_TOKENS:
-        own = {r["host"]: tuple(r[n] for n in names) for r in templates.collect()}
+        own = {r["host"]: tuple([x.asDict() for x in r[n]] for n in names) for r in templates.collect()}
         known = pages.sparkSession.sparkContext.broadcast(own)
         place = pages.columns.index("host")
         none = (None,) * len(names)
@@ -384,7 +531,6 @@ def _with_templates(pages: DataFrame, templates: DataFrame, names: list[str], ru
         def pick(part: pa.RecordBatch) -> list[tuple]:
             return list(zip(*[c.to_pylist() for c in part.columns[k:]], strict=True))
 
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task(__name__):
             yield from run(((batch, lo, hi, pick(batch.slice(lo, hi - lo))) for batch in batches for lo, hi in steps(_sizes(batch.column(k - 1)))))
@@ -427,34 +573,42 @@ def _frames(items: list[tuple[int, Element, str]], known: dict[int, int]) -> lis
     return found
 
 
+def _decoded(held: dict[tuple, dict[int, int]], key: tuple, layout: dict) -> dict[int, int]:
+    """The classes of a layout's tokens, kept in `held`."""
+    if key not in held:
+        if len(held) > 256:
+            held.clear()
+        held[key] = dict(zip(layout["tokens"] or (), layout["classes"] or (), strict=True))
+    return held[key]
+
+
 #: Bits of an element in a template.
 IS_OUT, IS_MARKED, IS_ARTICLE, IS_MAIN, IS_PAGE = 1, 2, 4, 8, 16
 _FLAGS = {"article": IS_ARTICLE, "main": IS_MAIN, "html": IS_PAGE, "body": IS_PAGE}
-SLOTS = "host string, token long, class long, parent long, flags long, pages long, own long, links long, heads long"
+SLOTS = "host string, layout int, token long, class long, parent long, flags long, pages long, own long, links long, heads long"
 
 
 def _slots(rows) -> Iterator[pa.RecordBatch]:
-    """Sums over a task's pages (host, html): of each element in a class its class, the element around it and its slot's text; and the orders of classes (token ORDER)."""
+    """Sums over a task's pages (host, html) by layout: of each element in a class its class, the element around it and its slot's text; and the orders of classes (token ORDER)."""
     sums: dict[tuple, list[int]] = {}
 
     def emitted() -> pa.RecordBatch:
         keys, values = list(sums), list(sums.values())
         names = [x.split()[0] for x in SLOTS.split(", ")]
-        columns = [pa.array([k[i] for k in keys], pa.string() if not i else pa.int64()) for i in range(5)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(4)]
+        columns = [pa.array([k[i] for k in keys], (pa.string(), pa.int32())[i] if i < 2 else pa.int64()) for i in range(6)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(4)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    decoded: dict[str, dict[int, int]] = {}
+    decoded: dict[tuple, dict[int, int]] = {}
     for batch, lo, hi, own in rows:
         hosts, pages = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns[:2])
-        for host, page, (tokens, of) in zip(hosts, pages, own, strict=True):
-            if not tokens or not page:
+        for host, page, (layouts,) in zip(hosts, pages, own, strict=True):
+            if not layouts or not page:
                 continue
-            if host not in decoded:
-                if len(decoded) > 256:
-                    decoded.clear()
-                decoded[host] = dict(zip(tokens, of, strict=True))
-            known = decoded[host]
             items = parsed(page)
+            place = _layout(items, layouts)
+            known = _decoded(decoded, (host, place), layouts[place])
+            if not known:
+                continue
             frames = _frames(items, known)
             order: dict[int, list[int]] = {}
             slots: dict[int, list[int]] = {}
@@ -474,11 +628,11 @@ def _slots(rows) -> Iterator[pa.RecordBatch]:
                 above = e.parent.frame if e.parent else None
                 marked = any(y.mark for y in e.up())
                 flags = IS_OUT * e.out + IS_MARKED * marked + _FLAGS.get(e.name, 0)
-                x = sums.setdefault((host, e.token, known[e.token], above.token if above else 0, flags), [0, 0, 0, 0])
+                x = sums.setdefault((host, place, e.token, known[e.token], above.token if above else 0, flags), [0, 0, 0, 0])
                 for i, v in enumerate(slots[e.token]):
                     x[i] += v
             for c, tokens_ in order.items():
-                sums.setdefault((host, ORDER, c, hash(tuple(tokens_)), 0), [0, 0, 0, 0])[0] += 1
+                sums.setdefault((host, place, ORDER, c, hash(tuple(tokens_)), 0), [0, 0, 0, 0])[0] += 1
             if len(sums) > 50_000:
                 yield emitted()
                 sums.clear()
@@ -486,9 +640,9 @@ def _slots(rows) -> Iterator[pa.RecordBatch]:
 
 
 def nested(rows: pd.DataFrame) -> tuple[list[int], set[int]]:
-    """The elements to extract and the valid classes of one host, from rows (token, class, parent, flags, pages, own, links, heads).
+    """The elements to extract and the valid classes of one layout, from rows (token, class, parent, flags, pages, own, links, heads).
 
-    Rows of ORDER have a hash of an order of the class as parent. Its rows are as many as the tokens that half of the host's pages share: twice those of a page of it at most.
+    Rows of ORDER have a hash of an order of the class as parent. Its rows are as many as the tokens that half of the layout's pages share: twice those of a page of it at most.
     """
     order = rows[rows.token == ORDER]
     by_class = order.groupby("class").pages
@@ -545,35 +699,36 @@ def nested(rows: pd.DataFrame) -> tuple[list[int], set[int]]:
     return [top], valid
 
 
-def deduced(pages: DataFrame) -> DataFrame:
-    """(host, region, tokens, classes) of the hosts of pages (host, html) that have a template: elements to extract, and the words of valid classes.
+def deduced(pages: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """(host, layout, region, tokens, classes) of the layouts of pages (host, html) that have a template: elements to extract, and the words of valid classes.
 
-    Templates are two aggregations over (host, token) sums, so a host with a third of all pages is summed in parts.
+    Templates are two aggregations over (host, layout, token) sums, so a host with a third of all pages is summed in parts.
     """
-    tokens = written(classes(pages))
+    layouts = page_layouts(pages) if layouts is None else layouts
+    tokens = written(classes(pages, layouts))
     known = written(_known(tokens))
-    slots = _with_templates(pages, known, ["tokens", "classes"], _slots)(SLOTS)
-    sums = slots.groupBy("host", "token", "class", "parent", "flags").agg(*[F.sum(c).alias(c) for c in ("pages", "own", "links", "heads")])
+    slots = _with_templates(pages, _by_host(layouts, known), ["layouts"], _slots)(SLOTS)
+    sums = slots.groupBy("host", "layout", "token", "class", "parent", "flags").agg(*[F.sum(c).alias(c) for c in ("pages", "own", "links", "heads")])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         region, valid = nested(rows)
-        return pd.DataFrame({"host": [rows.host.iloc[0]], "region": [region], "valid": [sorted(valid)]})
+        return pd.DataFrame({"host": [rows.host.iloc[0]], "layout": [rows.layout.iloc[0]], "region": [region], "valid": [sorted(valid)]})
 
-    found = written(written(sums).groupBy("host").applyInPandas(one, "host string, region array<long>, valid array<long>"))
+    found = written(written(sums).groupBy("host", "layout").applyInPandas(one, "host string, layout int, region array<long>, valid array<long>"))
     pairs = F.filter(F.arrays_zip("tokens", "classes"), lambda x: (x["tokens"] % 2 != 0) & F.array_contains("valid", x["classes"]))
-    met = known.join(found.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host")).filter(F.size("region") > 0)
-    return written(met.select("host", "region", pairs.alias("p")).select("host", "region", F.col("p.tokens").alias("tokens"), F.col("p.classes").alias("classes")))
+    met = known.join(found, ["host", "layout"]).filter(F.size("region") > 0)
+    return written(met.select("host", "layout", "region", pairs.alias("p")).select("host", "layout", "region", F.col("p.tokens").alias("tokens"), F.col("p.classes").alias("classes")))
 
 
 def _inside(e: Element, tops: set[int]) -> bool:
     return any(id(x) in tops for x in e.up())
 
 
-def extracted(page: str | None, region: list[int] | None = None, known: dict[int, int] | None = None) -> str:
+def extracted(page: str | None, region: list[int] | None = None, known: dict[int, int] | None = None, items: list | None = None) -> str:
     """The text of a page: that of its elements of `region` without blocks of `known` words, or else of its article or main elements, or all of it, outside boilerplate."""
     if not page:
         return ""
-    items = parsed(page)
+    items = items or parsed(page)
     found = list(blocks(items))
     for pieces in found:
         for e, t in pieces:
@@ -618,16 +773,18 @@ def _texts(carry: list[str], schema):
 
         arrow = to_arrow_schema(schema)
         k = len(carry)
-        decoded: dict[str, dict[int, int]] = {}
+        decoded: dict[tuple, dict[int, int]] = {}
         for batch, lo, hi, own in rows:
             part = batch.slice(lo, hi - lo)
             out = []
-            for host, page, (region, tokens, of) in zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist(), own, strict=True):
-                if region and host not in decoded:
-                    if len(decoded) > 256:
-                        decoded.clear()
-                    decoded[host] = dict(zip(tokens, of, strict=True))
-                out.append(extracted(page, region, decoded[host] if region else None))
+            for host, page, (layouts,) in zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist(), own, strict=True):
+                if not layouts or not page:
+                    out.append(extracted(page))
+                    continue
+                items = parsed(page)
+                place = _layout(items, layouts)
+                region = layouts[place]["region"]
+                out.append(extracted(page, region, _decoded(decoded, (host, place), layouts[place]) if region else None, items))
             held = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(part.columns[:k])]
             yield pa.RecordBatch.from_arrays([*held, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], schema=arrow)
 
@@ -638,16 +795,17 @@ def main_texts(pages: DataFrame, carry: list[str], url: str = "url", html: str =
     """For each row: the carried columns, text, n_chars. Null or empty html gives an empty text; pages without a host are one host.
 
     Each row is a page of its host, repeated rows too. Pages themselves are not shuffled while the hosts' templates
-    fit a broadcast of a checked size; three passes read them.
+    fit a broadcast of a checked size; four passes read them.
     """
     from pyspark.sql import types as T
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
-    found = deduced(rows)
+    layouts = page_layouts(rows)
+    found = _by_host(layouts, deduced(rows, layouts))
     keep = [c for c in carry if c not in ("text", "n_chars")]
     # Carried columns get names of their own on the way, as any name may clash.
     given = pages.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)], host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
     names = [f"__c{i}" for i in range(len(keep))]
     schema = T.StructType([*given.select(*names).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    out = _with_templates(given, found, ["region", "tokens", "classes"], _texts(names, schema))(schema)
+    out = _with_templates(given, found, ["layouts"], _texts(names, schema))(schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "text", "n_chars")
