@@ -232,3 +232,20 @@ def test_text_vectors_and_layouts_are_those_of_plain_counts(spark):
         expected |= {(host, kept.index(v), v, n) for v, n in own.items()}
     got = templates.page_layouts(spark.createDataFrame(rows, "host string, html string").repartition(5)).collect()
     assert {(r.host, r.layout, tuple(r.vector), r.all_pages) for r in got} == expected and len(got) == len(expected) > 4
+
+
+def test_different_vectors_stay_different(spark):
+    """Two thousand words with occurrences of their own on 24 pages: as many classes as there are different vectors."""
+    import random
+    from collections import defaultdict
+
+    from weftline.llm.templates import classes
+
+    rnd = random.Random(4)
+    words = {f"w{i}": rnd.sample(range(24), rnd.randrange(12, 20)) for i in range(2000)}
+    pages = [" ".join(w for w, at in words.items() if i in at) for i in range(24)]
+    vectors = defaultdict(set)
+    for w, at in words.items():
+        vectors[frozenset(at)].add(w)
+    rows = classes(spark.createDataFrame([("h", f"<body>{p}") for p in pages], "host string, html string")).filter("token % 2 != 0").collect()
+    assert len(rows) == 2000 and len({r["class"] for r in rows}) == len(vectors)

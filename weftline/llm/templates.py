@@ -50,9 +50,9 @@ LARGE = 0.25
 BROADCAST_TOKENS = 200_000
 #: Tokens that a task adds up before it passes them on.
 HELD = 400_000
-#: Bits of a token's number and of a page's part in a vector: short ones take less room in the shuffle. Of a host with ten
+#: Bits of a token's number and of a page's part in a vector: sums over two billion pages fit a long. Of a host with ten
 #: million tokens one of those that matter has another's number with probability 0.00002, and then is in no class.
-TOKEN_BITS, VECTOR_BITS = 40, 12
+TOKEN_BITS, VECTOR_BITS = 40, 32
 
 # Element names and class words of the HTML standard and of common use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
