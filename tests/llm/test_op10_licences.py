@@ -105,3 +105,33 @@ def test_odd_and_empty_tables(spark, odd, empty, odd_rows):
     two = spark.createDataFrame([(None, "Released under the MIT License.\nReleased under the MIT License."), (1, "publicdomain\nmit")] * 2, DDL)
     assert sorted((r.doc_id or 0, r.n_paragraphs, r.families) for r in scanned(two, ["doc_id"]).collect()) == [(0, 2, "MIT"), (0, 2, "MIT"), (1, 0, ""), (1, 0, "")]
     assert scanned(empty, ["doc_id"]).count() == 0
+
+
+def test_several_families_and_none_granted(spark):
+    """Each family that a paragraph grants, and none where it says that it grants none."""
+    want = {
+        "Dual licensed under the MIT License and the Apache License 2.0.": "Apache-2.0,MIT",
+        "Licensed under either of the Apache License, Version 2.0 or the MIT license, at your option.": "Apache-2.0,MIT",
+        "You may use this software under the terms of the GPL v2, the LGPLv3 or the Mozilla Public License 2.0.": "GPL-2.0,LGPL,MPL-2.0",
+        "This code may be used as described in the BSD licence.": "BSD",
+        "This is distributed without the MIT License.": "",
+        "This package comes without the BSD license.": "",
+        "The files are not under the GPL v3.": "",
+        "It is not licensed under the MIT License or the GPL v2.": "",
+    }
+    rows = scanned(spark.createDataFrame(list(enumerate(want)), DDL), ["doc_id"]).orderBy("doc_id").collect()
+    assert {t: r.families for t, r in zip(want, rows, strict=True)} == want
+    assert all(r.n_paragraphs == 1 and r.n_confirmed == bool(r.families) and r.n_unknown == (not r.families) for r in rows)
+    both = scanned(spark.createDataFrame([(1, "Under the MIT License or the GPL v2.\nReleased under the MIT License.\nunder a license")], DDL), ["doc_id"]).first()
+    assert (both.n_paragraphs, both.n_confirmed, both.n_unknown, both.families) == (3, 2, 1, "GPL-2.0,MIT")
+
+
+def test_readings_leave_out_the_names_of_others(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.licences import readings
+
+    given = ["the mit license", "mit license or gpl v2 or isc license at will", "cc by-sa 4.0 and cc by 4.0", "gnu general public license v2.0 gnu general public license v2.0"]
+    want = [["the mit license"], ["mit license or or at will", "or gpl v2 or at will", "or or isc license at will"], ["cc by-sa 4.0 and", "and cc by 4.0"], given[3:]]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(given)], "i int, words string").select("i", readings(F.col("words")).alias("r")).orderBy("i").collect()
+    assert [sorted(r.r) for r in got] == [sorted(w) for w in want]

@@ -5,6 +5,7 @@ regression over the paragraph's word 1- to 4-grams gives the probabilities of th
 "unknown". Its only features are grams with an anchor word, so a paragraph without one is unknown by the model itself, and is not
 looked at further. Probabilities are calibrated by a temperature, on notices and sentences whose wording is in no
 training text. A prediction counts if the paragraph also agrees with one of the family's templates.
+A paragraph that names licences of several families is classified once for each of them, without the names of the others.
 Weights are trained on the driver from the fixed texts below, never from the corpus.
 """
 
@@ -25,7 +26,7 @@ from weftline.llm.common import written
 UNKNOWN = "unknown"
 #: A prediction counts from this probability, and from this part of a template's grams found in the paragraph or the other way round.
 LEAST_PROBABILITY, LEAST_AGREEMENT = 0.5, 0.5
-STEPS, RATE, SEED, DECAY = 400, 0.8, 7, 3e-4
+STEPS, RATE, SEED, DECAY = 300, 0.8, 7, 3e-4
 #: Words of a feature with an anchor, of one near an anchor, and of a template's gram at most; words on either side of an anchor that are near.
 FEATURE, NEAR, GRAM, CONTEXT = 4, 2, 3, 8
 
@@ -37,7 +38,7 @@ NAMES = {
     "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL v2", "GPLv2", "GNU GPL version 2", "GPL-2.0 license", "GNU GPLv2"],
     "LGPL": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "LGPL v2.1", "LGPLv3", "GNU LGPL", "GNU Library General Public License"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPL v3", "AGPLv3", "GNU AGPL version 3"],
-    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD license", "New BSD License", "Simplified BSD License", "BSD-3-Clause license"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD license", "BSD licence", "New BSD License", "Simplified BSD License", "BSD-3-Clause license"],
     "ISC": ["ISC License", "ISC licence"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0 license"],
     "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License"],
@@ -48,7 +49,7 @@ NAMES = {
 # SPDX identifiers.
 SPDX = {"MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-3.0": ["GPL-3.0-or-later", "GPL-3.0-only"], "GPL-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"], "LGPL": ["LGPL-3.0-or-later", "LGPL-2.1-only"], "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "BSD": ["BSD-3-Clause", "BSD-2-Clause"], "ISC": ["ISC"], "MPL-2.0": ["MPL-2.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY": ["CC-BY-4.0"], "CC0": ["CC0-1.0"]}
 # How short notices grant; the second group is held out for the temperature.
-GRANTS = ["Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "This project is licensed under the {}, see the LICENSE file for details.", "Text is available under the {}.", "Text available under {}", "{}", "License: {}", "Permission to copy is granted under the {}.", "This file is part of a library that may be used under the {}, either version or later."]
+GRANTS = ["Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "This project is licensed under the {}, see the LICENSE file for details.", "Text is available under the {}.", "Text available under {}", "{}", "License: {}", "Permission to copy is granted under the {}.", "This file is part of a library that may be used under the {}, either version or later.", "This code may be used as described in the {}.", "You can copy and change it as the {} allows.", "Dual licensed under the {}.", "It comes with the {}.", "Use is governed by the {}.", "Our code is offered under the {} only."]
 GRANTS_HELD = ["Published under the {}.", "Content on this site is made available under {} unless otherwise noted.", "You may use this software under the terms of the {}.", "The code is covered by the {}.", "This article is shared under a {}."]
 # What longer notices of each family say.
 NOTICES = {
@@ -106,8 +107,8 @@ STRANGE = ["European Union Public Licence, version 1.2", "Common Development and
 STRANGE_HELD = ["Eclipse Public License 2.0", "Boost Software License 1.0", "Sun Public License", "Open Data Commons License", "Lucent Public License, version 1.02"]
 STRANGE_GRANTS = ["This program and the accompanying materials are made available under the terms of the {}, which is available at the address below.", "This program is made available under the {} as published by its steward."]
 # Sentences about licences that grant nothing; {} is a name of one. The second group is held out.
-ABOUT = ["The old module was licensed under the {} and we could not use it.", "It is not licensed under the {}.", "We cannot accept code under the {}.", "The {} requires that changes are published.", "He asked whether the {} allows that.", "Unlike the {}, ours has no such clause.", "In 2007 they moved away from the {}.", "A lawyer explained the {} to the team.", "Code under the {} is incompatible with our terms.", "They had released an earlier version under the {} but withdrew it.", "Many projects use the {} today.", "Do not use anything that is under the {}.", "An article compared the {} with older licenses.", "Nobody in the room had read the {}.", "She wrote a book on the {}.", "The judge did not say whether the {} applied.", "Some of them prefer the {} to all others.", "Was the first version under the {}?", "They discussed the {} for hours.", "The company knew nothing of the {}.", "There was a debate about the {} last year.", "It had been under the {} until they changed it."]
-ABOUT_HELD = ["Her first library had been under the {} before it was rewritten.", "The talk compared the {} with other licenses.", "Nobody knew that the {} was involved.", "The court did not decide whether the {} was binding."]
+ABOUT = ["The old module was licensed under the {} and we could not use it.", "It is not licensed under the {}.", "We cannot accept code under the {}.", "The {} requires that changes are published.", "He asked whether the {} allows that.", "Unlike the {}, ours has no such clause.", "In 2007 they moved away from the {}.", "A lawyer explained the {} to the team.", "Code under the {} is incompatible with our terms.", "They had released an earlier version under the {} but withdrew it.", "Many projects use the {} today.", "Do not use anything that is under the {}.", "An article compared the {} with older licenses.", "Nobody in the room had read the {}.", "She wrote a book on the {}.", "The judge did not say whether the {} applied.", "Some of them prefer the {} to all others.", "Was the first version under the {}?", "They discussed the {} for hours.", "The company knew nothing of the {}.", "There was a debate about the {} last year.", "It had been under the {} until they changed it.", "This is distributed without the {}.", "This file is not under the {}.", "It may not be used under the {}.", "None of this is covered by the {}.", "The code is no longer under the {}.", "This was never released under the {}.", "Nothing here is licensed under the {}.", "We refuse to publish under the {}.", "It comes without the {}."]
+ABOUT_HELD = ["Her first library had been under the {} before it was rewritten.", "The talk compared the {} with other licenses.", "Nobody knew that the {} was involved.", "The court did not decide whether the {} was binding.", "The program is shipped without the {}.", "It is not published under the {}.", "This is not covered by the {}."]
 # Sentences with licence words that grant nothing.
 OTHERS = [
     "He lost his driver's license on the way to the office.", "The city council voted to change the liquor license rules.", "Copyright law is a difficult subject for students.",
@@ -295,10 +296,28 @@ def has_anchor(text: F.Column) -> F.Column:
     return F.lower(text).rlike(rf"(?=[{starts}])(?<![a-z0-9])(?<![a-z0-9][.+\-])(?:{inner})(?![a-z0-9]|[.+\-][a-z0-9])")
 
 
+def _named(families: list[str]) -> str:
+    """A pattern of the names of families in space-joined words, longer ones first."""
+    names = {" ".join(tokens(n)) for f in families for n in NAMES[f]}
+    return rf"(?<![^ ])(?:{'|'.join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))})(?![^ ])"
+
+
+def readings(words: F.Column) -> F.Column:
+    """Space-joined words as what is to be classified: themselves, or, if they name several families, for each of these without the names of the others."""
+    several = F.array(*[F.struct(words.rlike(_named([f])).alias("named"), F.lit(f).alias("family")) for f in NAMES])
+    of = F.transform(F.filter(several, lambda x: x["named"]), lambda x: x["family"])
+
+    def alone(f: F.Column) -> F.Column:
+        cut = F.coalesce(*[F.when(f == x, F.regexp_replace(words, _named([y for y in NAMES if y != x]), " ")) for x in NAMES])
+        return F.trim(F.regexp_replace(cut, " +", " "))
+
+    return _once(of, lambda of: F.when(F.size(of) > 1, F.transform(of, alone)).otherwise(F.array(words)))
+
+
 def scanned(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """For each row: carried columns, n_paragraphs (with an anchor word), n_unknown, n_confirmed, families (confirmed, sorted, comma-joined), probability (least of the confirmed; null if none).
 
-    Null and empty texts have no paragraphs. Only paragraphs with an anchor are shuffled, by their words, and each
+    A paragraph counts as confirmed if one of its readings is, and as unknown if all are. Null and empty texts have no paragraphs. Only paragraphs with an anchor are shuffled, by their words, and each
     distinct one is classified once; repeated rows get equal results.
     """
     own = ["n_paragraphs", "n_unknown", "n_confirmed", "families", "probability"]
@@ -306,13 +325,15 @@ def scanned(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(f"`{text}`").alias("__text"))
     hit = F.coalesce(has_anchor(F.col("__text")), F.lit(False))
     some = given.filter(hit).withColumn("__row", F.monotonically_increasing_id())
-    paragraphs = some.select("carried", "__row", F.explode(F.split("__text", BREAK)).alias("p")).filter(has_anchor(F.col("p")))
+    paragraphs = some.select("carried", "__row", F.posexplode(F.split("__text", BREAK)).alias("at", "p")).filter(has_anchor(F.col("p")))
     # Written, as it is read for several steps: the texts are searched once.
-    paragraphs = written(paragraphs.select("carried", "__row", F.array_join(F.regexp_extract_all(F.lower("p"), F.lit(TOKEN), F.lit(0)), " ").alias("words")))
+    joined = paragraphs.select("carried", "__row", "at", F.array_join(F.regexp_extract_all(F.lower("p"), F.lit(TOKEN), F.lit(0)), " ").alias("words"))
+    paragraphs = written(joined.select("carried", "__row", "at", F.explode(readings(F.col("words"))).alias("words")))
     # Written, so that the join with it is of two plain exchanges: Spark then splits a notice that very many documents have.
     found = paragraphs.join(written(classified(paragraphs)), "words")
+    of = lambda which=F.lit(True): F.size(F.collect_set(F.when(which, F.col("at")))).cast("long")
     rows = found.groupBy("__row").agg(
-        F.first("carried").alias("carried"), F.count("*").alias("n_paragraphs"), F.sum((F.col("family") == UNKNOWN).cast("long")).alias("n_unknown"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
+        F.first("carried").alias("carried"), of().alias("n_paragraphs"), (of() - of(F.col("family") != UNKNOWN)).alias("n_unknown"), of(F.col("confirmed")).alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.round(F.min(F.when(F.col("confirmed"), F.col("probability"))), 6).alias("probability"),
     )
     none = given.filter(~hit).select("carried", *[F.lit(0).cast("long").alias(c) for c in own[:3]], F.lit("").alias("families"), F.lit(None).cast("double").alias("probability"))
