@@ -217,6 +217,23 @@ def test_nearest_under_a_distance_meets_few_balls(spark, monkeypatch):
     assert max(g["count"] for g in groups) < 8 * 16
 
 
+def test_blocks_meet_packed_where_balls_rule_out_little(spark, monkeypatch):
+    """Equal to all pairs, ties included, without a row for each vector and ball."""
+    monkeypatch.setattr(metric_index, "BLOCK", 16)
+    monkeypatch.setattr(metric_index, "meetings", None)
+    v = np.random.default_rng(3).normal(size=(150, 12))
+    v[100:120] = np.round(v[:20], 1)
+    v[120:] = v[:30] * 0.5
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
+    rows = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    d = np.round(1 - v @ v.T, 12)
+    np.fill_diagonal(d, np.inf)
+    for t in (0.35, 0.9, 0.0):
+        want = {i * 3: (int(d[i].argmin()) * 3, pytest.approx(d[i].min(), abs=1e-9)) for i in range(150) if d[i].min() < t}
+        assert {r.id: (r.other, r.d) for r in metric_index.nearest_under(rows, t).collect()} == want
+        monkeypatch.setattr(metric_index, "MANY_VISITS", -1)
+
+
 def test_few_rows_are_their_own_clusters(spark):
     one = spark.createDataFrame([(5, [1.0])], "id long, vector array<double>")
     assert [tuple(r) for r in clusters.clustered(one).collect()] == [(5, 5)] and clusters.clustered(one.limit(0)).count() == 0
