@@ -72,6 +72,25 @@ def test_alias_roots(spark):
     assert standardize.alias_roots(spark.createDataFrame([], "term string, target string")).count() == 0
 
 
+def test_alias_joins_send_no_rows_to_the_driver(spark, monkeypatch):
+    """A cycle that all terms lead into ends the doubling, and no table is broadcast."""
+    plans = []
+
+    def kept(df, written=standardize.materialised):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(standardize, "materialised", kept)
+    given_ = {str(k): str({1: 2, 2: 3, 3: 1}.get(k, k // 2)) for k in range(1, 3000)}
+    rows = spark.createDataFrame(list(given_.items()), "term string, target string")
+    roots = standardize.alias_roots(rows)
+    rounds = len(plans)
+    got = dict(map(tuple, roots.collect()))
+    plans += [roots._jdf.queryExecution().executedPlan().toString()]
+    assert got == {t: plain_root(t, given_) for t in given_} and rounds < 16
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_corrected_mapping_prefers_list_order(spark):
     aliases = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "term string, target string")
     preferred = spark.createDataFrame([(0, "b "), (1, "a"), (2, None), (3, "new")], "pos long, term string")

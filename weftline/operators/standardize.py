@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,35 +56,47 @@ def canonical_nodes(graph: DataFrame, preferred: DataFrame | None = None, lemma:
     return replaced(graph, canonical_mapping(graph, preferred, lemma))
 
 
-def _hop(steps: DataFrame, times: int) -> DataFrame:
-    """steps (term, target) after `times` doublings: each round joins the table with itself. Ends early once nothing moves."""
-    for _ in range(times):
+def _sorted(df: DataFrame) -> DataFrame:
+    """df for a join by sorting. A written table's size is that of its files, many times less than its rows take when a join broadcasts them by way of the driver."""
+    return df.hint("merge")
+
+
+def _hop(steps: DataFrame, cycles: bool) -> DataFrame:
+    """steps (term, target), doubled until all are at an end or, with `cycles`, in one: each round joins the table with itself.
+
+    Without cycles that is so once nothing moves. With them the terms that are some term's target get fewer until just ends
+    and cycle members are left, which a doubling only exchanges.
+    """
+    targets = None
+    while True:
         to = steps.select(F.col("term").alias("target"), F.col("target").alias("next"))
-        moved = materialised(steps.join(to, "target", "left").select("term", F.coalesce("next", "target").alias("after"), F.col("target").alias("before")))
+        moved = materialised(steps.join(_sorted(to), "target", "left").select("term", F.coalesce("next", "target").alias("after"), F.col("target").alias("before")))
         steps = moved.select("term", F.col("after").alias("target"))
         if moved.filter("after != before").isEmpty():
-            break
-    return steps
+            return steps
+        if cycles:
+            before, targets = targets, steps.select("target").distinct().count()
+            if targets == before:
+                return steps
 
 
 def alias_roots(aliases: DataFrame) -> DataFrame:
     """(term, root) of all terms of the pointers (term, target); of repeated terms the last by target counts.
 
     A chain ends at the term that points nowhere or at itself. In a cycle each term is its own root, and what leads into
-    a cycle has the term where it enters. Pointers are doubled, so a chain of n terms takes log2(n) joins: after n steps
+    a cycle has the term where it enters. Pointers are doubled, so a chain of n terms takes log2(n) joins: then
     all are at an end or in a cycle, cycle members are cut loose, and a second doubling finds the entries.
     """
     given = aliases.filter(F.col("term").isNotNull() & F.col("target").isNotNull()).groupBy("term").agg(F.max("target").alias("target")).filter("term != target")
     given = materialised(given)
     terms = materialised(given.select("term").union(given.select("target")).union(aliases.select("term").filter("term is not null")).distinct())
-    n = given.count()
-    if not n:
+    if given.isEmpty():
         return terms.select("term", F.col("term").alias("root"))
-    far = _hop(given, math.ceil(math.log2(n + 1)) + 1)
-    looped = materialised(far.select("target").distinct().join(given.select(F.col("term").alias("target")), "target", "left_semi"))
-    cut = given.join(looped.select(F.col("target").alias("term")), "term", "left_anti")
-    ends = _hop(materialised(cut), math.ceil(math.log2(n + 1)) + 1)
-    return terms.join(ends, "term", "left").select("term", F.coalesce("target", "term").alias("root"))
+    far = _hop(given, True)
+    looped = materialised(far.select("target").distinct().join(_sorted(given.select(F.col("term").alias("target"))), "target", "left_semi"))
+    cut = given.join(_sorted(looped.select(F.col("target").alias("term"))), "term", "left_anti")
+    ends = _hop(materialised(cut), False)
+    return terms.join(_sorted(ends), "term", "left").select("term", F.coalesce("target", "term").alias("root"))
 
 
 def corrected_mapping(aliases: DataFrame, preferred: DataFrame) -> DataFrame:
