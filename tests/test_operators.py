@@ -86,8 +86,11 @@ def test_alias_joins_send_no_rows_to_the_driver(spark, monkeypatch):
     roots = standardize.alias_roots(rows)
     rounds = len(plans)
     got = dict(map(tuple, roots.collect()))
-    plans += [roots._jdf.queryExecution().executedPlan().toString()]
+    mapped = standardize.corrected_mapping(rows, spark.createDataFrame([(0, "40"), (1, "4")], "pos long, term string"))
+    plans += [d._jdf.queryExecution().executedPlan().toString() for d in (roots, mapped)]
     assert got == {t: plain_root(t, given_) for t in given_} and rounds < 16
+    chosen = {"2": "40"}
+    assert dict(map(tuple, mapped.collect())) == {t: chosen.get(r, r) for t, r in got.items()} | {"40": "40", "4": "4"}
     assert not any("Broadcast" in p for p in plans)
 
 

@@ -102,10 +102,11 @@ def alias_roots(aliases: DataFrame) -> DataFrame:
 def corrected_mapping(aliases: DataFrame, preferred: DataFrame) -> DataFrame:
     """(term, target): each alias cluster's earliest preferred term (pos, term), or its root; preferred terms map to themselves."""
     wanted = preferred.select("pos", stripped(F.col("term")).alias("term")).filter("term != ''").groupBy("term").agg(F.min("pos").alias("pos"))
-    roots = alias_roots(aliases)
-    chosen = roots.join(wanted, "term").groupBy("root").agg(F.min_by("term", "pos").alias("chosen"))
-    mapped = roots.join(chosen, "root", "left").select("term", F.coalesce("chosen", "root").alias("target"))
-    return mapped.join(wanted.select("term"), "term", "left_anti").union(wanted.select("term", F.col("term").alias("target")))
+    wanted = materialised(wanted)
+    roots = materialised(alias_roots(aliases))
+    chosen = roots.join(_sorted(wanted), "term").groupBy("root").agg(F.min_by("term", "pos").alias("chosen"))
+    mapped = roots.join(_sorted(chosen), "root", "left").select("term", F.coalesce("chosen", "root").alias("target"))
+    return mapped.join(_sorted(wanted.select("term")), "term", "left_anti").union(wanted.select("term", F.col("term").alias("target")))
 
 
 def merged_duplicates(graph: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
