@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import runtime
 from weftline.functions.text import ALREADY_CANONICAL
-from weftline.operators import merging
+from weftline.operators import merging, retrieval
 from weftline.operators.models import FunctionCompleter, LetterCounts
 from weftline.plans import align, mapping, self_canonical
 from weftline.runtime import materialised
@@ -38,6 +39,27 @@ def test_cached_alignment_defines_a_predicate_once(spark):
     assert {r.predicate_definition for r in out.values()} == {"sentence 0", "sentence 2"} and out[7].predicate_definition == "sentence 0"
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_candidates_are_sought_once_a_definition(spark, monkeypatch, few):
+    """few: rows that are broadcast."""
+    sought = []
+
+    def counted(queries, *rest):
+        sought.append(queries.count())
+        return retrieval.top_k(queries, *rest)
+
+    monkeypatch.setattr(align, "top_k", counted)
+    monkeypatch.setattr(runtime, "FEW_ROWS", few)
+    rows = [(i, f"s{i}", "a", ["part", "lead", "zz"][i % 3], "b") for i in range(30)]
+    word = FunctionCompleter(lambda p: re.search(r"Triplet: \['.*?', '(.*?)'", p)[1] + " of it")
+    choose = FunctionCompleter(lambda p: "A" if "'lead'" in p else "none")
+    for mode in ("final", "cached"):
+        out = align.aligned(spark.createDataFrame(rows, KG), ontology(spark), lambda: word, lambda: choose, LetterCounts, mode=mode).collect()
+        assert sought.pop() == 3 and len(out) == 30 and all(len(r.top_candidates) == 3 for r in out)
+        assert {r.predicate: r.predicate_definition for r in out} == {"part": "part of it", "lead": "lead of it", "zz": "zz of it"}
+        assert all(r.canonical_predicate == r.top_candidates[0].relation for r in out if r.predicate == "lead")
+
+
 def test_resuming_skips_finished_rows(spark):
     g = spark.createDataFrame([(i, "s", f"a{i}", "p", "b") for i in range(4)], KG)
     full = align.aligned(g, ontology(spark), DEFINE, lambda: FunctionCompleter(lambda p: "A"), LetterCounts)

@@ -18,9 +18,10 @@ def strict_letter(answer: Column, candidates: Column | int) -> Column:
     """The letter that the first matching pattern gives, or null if it is not one of the candidates' letters."""
     n = F.lit(candidates) if isinstance(candidates, int) else candidates
     text = stripped(F.coalesce(answer, F.lit("")))
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?iU){p}", 1), F.lit("")) for p in PATTERNS])
-    letter = F.upper(found)
-    return F.when(F.ascii(letter).between(65, 64 + n), letter)
+    # Each pattern gives one letter or nothing, so the first letter of all together is that of the first match. Nothing is written twice, as Spark would evaluate it twice.
+    found = F.upper(F.substring(F.concat(*[F.regexp_extract(text, f"(?iU){p}", 1) for p in PATTERNS]), 1, 1))
+    letters = F.array(F.lit(None).cast("string"), *[F.lit(x) for x in string.ascii_uppercase])
+    return F.try_element_at(F.slice(letters, F.lit(1), F.greatest(n, F.lit(0)) + 1), F.greatest(F.ascii(found) - 64, F.lit(0)) + 1)
 
 
 def strict_place(answer: str, candidates: int) -> int | None:

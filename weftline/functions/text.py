@@ -136,7 +136,12 @@ def definition_prompt(sentence: Column, subject: Column, predicate: Column, obje
 
 
 def choice_prompt(sentence: Column, subject: Column, predicate: Column, object_: Column, definition: Column, candidates: Column) -> Column:
-    return filled(CHOICE_PROMPT, sentence=sentence, subject=subject, predicate=predicate, object=object_, definition=definition, choices=choices_text(candidates), none=none_letter(candidates))
+    return choice_prompt_of(sentence, subject, predicate, object_, definition, choices_text(candidates), none_letter(candidates))
+
+
+def choice_prompt_of(sentence: Column, subject: Column, predicate: Column, object_: Column, definition: Column, choices: Column, none: Column) -> Column:
+    """`choice_prompt` of lettered choices and the letter for none of them."""
+    return filled(CHOICE_PROMPT, sentence=sentence, subject=subject, predicate=predicate, object=object_, definition=definition, choices=choices, none=none)
 
 
 def mapping_prompt(sentence: Column, subject: Column, predicate: Column, object_: Column, block: Column, framed: bool = False) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.calls import Pace, Paced, Saved, Service, in_order
+from weftline.runtime import beside
 from weftline.schema import COMPLETION
 
 #: Attempts of a call, and seconds to wait after each failed one.
@@ -144,7 +145,7 @@ def called(completer: Completer, prompts: list[str], max_tokens: int, waits: tup
     return [{"text": "", "attempts": len(waits), "error": error, "usage": None}]
 
 
-def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[list], pa.Array]], column: str, batch: int) -> DataFrame:
+def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[list], list]], column: str, batch: int) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
     place = df.columns.index(column)
 
@@ -154,10 +155,9 @@ def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[lis
         arrow = to_arrow_schema(schema)
         step = work()
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                own = pa.array(step(part.column(place).to_pylist()), type=arrow.field(name).type)
-                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)], own], schema=arrow)
+            # The model gets `batch` values at a time, but rows leave as they came: a small batch costs as much to hand over as a large one.
+            own = [x for at in range(0, b.num_rows, batch) for x in step(b.column(place).slice(at, batch).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)], pa.array(own, type=arrow.field(name).type)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -235,8 +235,8 @@ def embedded(df: DataFrame, text: str, factory: Callable[[], Embedder], out: str
 
 
 def for_distinct(df: DataFrame, column: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A model step over a column's distinct values only, joined back."""
+    """A step over a column's distinct values only, written and joined back."""
     done = step(df.select(column).distinct())
     extra = [c for c in done.columns if c != column]
-    side = done.select(F.col(column).alias("__v"), *extra)
+    side = beside(done.select(F.col(column).alias("__v"), *extra))
     return df.join(side, df[column].eqNullSafe(side["__v"]), "left").drop("__v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.answers import canonical_predicate, letter_choice, loose_letter, strict_letter
 from weftline.functions.ids import triplet_id
-from weftline.functions.text import ALREADY_CANONICAL, cache_key, choice_prompt, definition_prompt
+from weftline.functions.text import ALREADY_CANONICAL, cache_key, choice_prompt_of, choices_text, definition_prompt, none_letter
 from weftline.operators.cache import added, look_up
 from weftline.operators.models import Completer, Embedder, completed, embedded, for_distinct
 from weftline.operators.retrieval import top_candidates_column, top_k
@@ -67,19 +67,23 @@ def aligned(
     passed = todo.join(names, same, "left_semi") if mode == "final" else None
     asked = todo.join(names, same, "left_anti") if mode == "final" else todo
     defined = _defined(asked, define, mode == "cached", cache)
-    vectors = for_distinct(materialised(defined), "predicate_definition", lambda texts: embedded(texts, "predicate_definition", embedder, "__vector"))
-    found = top_k(vectors, relations, "__vector", "vector", top)
-    found = found.withColumn("__choices", F.transform(F.coalesce("found", F.array()), lambda c: F.struct(c["relation"].alias("relation"), F.coalesce(c["def"], F.lit("")).alias("def"))))
-    prompted = found.withColumn("__prompt", choice_prompt(F.col("sentence"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("predicate_definition"), F.col("__choices")))
-    answered = completed(prompted, "__prompt", choose, 10, "choice_call")
-    letter = (strict_letter if mode == "final" else loose_letter)(F.col("choice_call.text"), F.size("__choices"))
-    chosen = letter_choice(letter, F.transform("__choices", lambda c: c["relation"]))
-    done = answered.withColumn("__chosen", chosen)
+
+    def candidates(texts: DataFrame) -> DataFrame:
+        found = top_k(embedded(texts, "predicate_definition", embedder, "__vector"), relations, "__vector", "vector", top)
+        choices = F.transform(F.coalesce("found", F.array()), lambda c: F.struct(c["relation"].alias("relation"), F.coalesce(c["def"], F.lit("")).alias("def")))
+        found = found.select("predicate_definition", choices.alias("__choices"), F.coalesce(top_candidates_column(), F.array().cast(EMPTY)).alias("top_candidates"))
+        return found.select("predicate_definition", choices_text(F.col("__choices")).alias("__lines"), none_letter(F.col("__choices")).alias("__none"), "top_candidates")
+
+    found = for_distinct(materialised(defined), "predicate_definition", candidates)
+    prompted = found.withColumn("__prompt", choice_prompt_of(F.col("sentence"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("predicate_definition"), F.col("__lines"), F.col("__none"))).drop("__lines", "__none")
+    answered = completed(prompted, "__prompt", choose, 10, "choice_call").withColumn("__names", F.col("top_candidates")["relation"])
+    letter = (strict_letter if mode == "final" else loose_letter)(F.col("choice_call.text"), F.size("__names"))
+    done = answered.withColumn("__letter", letter).withColumn("__chosen", letter_choice(F.col("__letter"), F.col("__names")))
     columns = [c for c in graph.columns if c != "triplet_id"]
     calls = ("definition_call", "choice_call")
     out = done.select(
         *columns, "triplet_id", F.col("predicate").alias("original_predicate"), "predicate_definition", canonical_predicate(F.col("__chosen"), F.col("predicate")).alias("canonical_predicate"),
-        F.col("__chosen").isNotNull().alias("canonicalized"), F.coalesce(top_candidates_column(), F.array().cast(EMPTY)).alias("top_candidates"), *calls, F.current_timestamp().alias("processed_at"),
+        F.col("__chosen").isNotNull().alias("canonicalized"), "top_candidates", *calls, F.current_timestamp().alias("processed_at"),
     )
     if passed is not None:
         none = [F.lit(None).cast(dict(out.dtypes)[c]).alias(c) for c in calls]

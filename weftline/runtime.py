@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a written table that a join broadcasts.
+FEW_ROWS = 10_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,3 +29,9 @@ def materialised(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/weftline-core/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """df written, to be joined with many rows: up to FEW_ROWS are broadcast, so that those stay where they are; more are joined by sorting, as the size of files says little about what their rows take."""
+    done = materialised(df)
+    return F.broadcast(done) if done.count() <= FEW_ROWS else done.hint("merge")
