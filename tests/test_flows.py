@@ -60,6 +60,37 @@ def test_candidates_are_sought_once_a_definition(spark, monkeypatch, few):
         assert all(r.canonical_predicate == r.top_candidates[0].relation for r in out if r.predicate == "lead")
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_a_definition_is_that_of_a_predicates_first_row(spark, monkeypatch, few):
+    """All spellings of a predicate share one definition; null, empty and blank names are one predicate."""
+    monkeypatch.setattr(runtime, "FEW_ROWS", few)
+    names = ["Part", "", None, "part ", " ", "PART", "lead", "Lead", None, "zz"]
+    rows = [((i * 7) % 20, f"s{(i * 7) % 20}", "a", names[(i * 7) % 20 % 10], "b") for i in range(20)]
+    define = FunctionCompleter(lambda p: re.search(r"Text: (.*)", p)[1])
+    run = align.aligned(spark.createDataFrame(rows, KG), ontology(spark), lambda: define, lambda: FunctionCompleter(lambda p: re.search(r"Text: (.*)", p)[1]), LetterCounts, mode="cached")
+    first = {}
+    for r in sorted(rows):
+        first.setdefault((r[3] or "").strip().lower(), r[1])
+    out = run.collect()
+    assert sorted((r.pos, r.predicate or "", r.predicate_definition) for r in out) == sorted((r[0], r[3] or "", first[(r[3] or "").strip().lower()]) for r in rows)
+    assert all(r.choice_call.text == r.sentence == f"s{r.pos}" and r.definition_call.text == r.predicate_definition for r in out)
+    assert {r.pos: r.triplet_id for r in out} == {r.pos: r.triplet_id for r in align.identified(spark.createDataFrame(rows, KG)).collect()}
+
+
+@pytest.mark.parametrize("mode", ["final", "cached"])
+def test_rows_of_one_row_group_go_to_several_tasks(spark, tmp_path, mode):
+    """A file of one row group is one task's; the calls, which are what costs, are dealt to all cores, and prompts are not handed back."""
+    from pyspark import TaskContext
+
+    spark.createDataFrame([(i, f"s{i}", "a", "part", "b") for i in range(400)], KG).coalesce(1).write.parquet(f"{tmp_path}/g")
+    task = FunctionCompleter(lambda p: f"task {TaskContext.get().partitionId()}")
+    out = align.aligned(spark.read.parquet(f"{tmp_path}/g"), ontology(spark), lambda: task, lambda: task, LetterCounts, mode=mode)
+    rows = out.collect()
+    assert len(rows) == 400 and len({r.choice_call.text for r in rows}) >= 4
+    defined = len({r.definition_call.text for r in rows})
+    assert defined == 1 if mode == "cached" else defined >= 4
+
+
 def test_resuming_skips_finished_rows(spark):
     g = spark.createDataFrame([(i, "s", f"a{i}", "p", "b") for i in range(4)], KG)
     full = align.aligned(g, ontology(spark), DEFINE, lambda: FunctionCompleter(lambda p: "A"), LetterCounts)

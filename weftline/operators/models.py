@@ -145,9 +145,10 @@ def called(completer: Completer, prompts: list[str], max_tokens: int, waits: tup
     return [{"text": "", "attempts": len(waits), "error": error, "usage": None}]
 
 
-def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[list], list]], column: str, batch: int) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[list], list]], column: str, batch: int, kept: bool = True) -> DataFrame:
     place = df.columns.index(column)
+    stay = [i for i in range(len(df.columns)) if kept or i != place]
+    schema = T.StructType([*[df.schema.fields[i] for i in stay], T.StructField(name, T._parse_datatype_string(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -157,15 +158,15 @@ def _added(df: DataFrame, name: str, kind: str, work: Callable[[], Callable[[lis
         for b in batches:
             # The model gets `batch` values at a time, but rows leave as they came: a small batch costs as much to hand over as a large one.
             own = [x for at in range(0, b.num_rows, batch) for x in step(b.column(place).slice(at, batch).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)], pa.array(own, type=arrow.field(name).type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*[b.column(i).cast(f.type) for i, f in zip(stay, arrow, strict=False)], pa.array(own, type=arrow.field(name).type)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def completed(df: DataFrame, prompt: str, factory: Callable[[], Completer], max_tokens: int, out: str = "answer", batch: int = GENERATION_BATCH) -> DataFrame:
-    """df with `out`: struct(text, attempts, error, usage) of each prompt. Null prompts are not sent. factory() runs once a task; a `Service` is asked for several prompts at one time, one a call."""
+def completed(df: DataFrame, prompt: str, factory: Callable[[], Completer], max_tokens: int, out: str = "answer", batch: int = GENERATION_BATCH, kept: bool = True) -> DataFrame:
+    """df with `out`: struct(text, attempts, error, usage) of each prompt, and without the prompts if they are not `kept`. Null prompts are not sent. factory() runs once a task; a `Service` is asked for several prompts at one time, one a call."""
     if isinstance(factory, Service):
-        return _asked(df, prompt, factory, max_tokens, out, batch)
+        return _asked(df, prompt, factory, max_tokens, out, batch, kept)
 
     def work():
         completer = factory()
@@ -177,13 +178,14 @@ def completed(df: DataFrame, prompt: str, factory: Callable[[], Completer], max_
 
         return step
 
-    return _added(df, out, COMPLETION, work, prompt, batch)
+    return _added(df, out, COMPLETION, work, prompt, batch, kept)
 
 
-def _asked(df: DataFrame, prompt: str, service: Service, max_tokens: int, out: str, batch: int) -> DataFrame:
+def _asked(df: DataFrame, prompt: str, service: Service, max_tokens: int, out: str, batch: int, kept: bool) -> DataFrame:
     """`completed` by calls in flight: rows leave a task in their order, `batch` of them at a time."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(COMPLETION))])
     place = df.columns.index(prompt)
+    stay = [i for i in range(len(df.columns)) if kept or i != place]
+    schema = T.StructType([*[df.schema.fields[i] for i in stay], T.StructField(out, T._parse_datatype_string(COMPLETION))])
     tasks = max(1, df.sparkSession.sparkContext.defaultParallelism)
     share = service.per_second / tasks if service.per_second else None
 
@@ -211,7 +213,7 @@ def _asked(df: DataFrame, prompt: str, service: Service, max_tokens: int, out: s
                 part, texts, new = parts.popleft()
                 if new:
                     saved.save(texts, done)
-                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)], pa.array(done, type=arrow.field(out).type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*[part.column(i).cast(f.type) for i, f in zip(stay, arrow, strict=False)], pa.array(done, type=arrow.field(out).type)], schema=arrow)
                 done = []
 
     return df.mapInArrow(run, schema)

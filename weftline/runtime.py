@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a written table that a join broadcasts.
 FEW_ROWS = 10_000
+#: Tasks for each core that rows are dealt to; not more, as each makes its own model.
+TASKS_A_CORE = 3
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,3 +37,8 @@ def beside(df: DataFrame) -> DataFrame:
     """df written, to be joined with many rows: up to FEW_ROWS are broadcast, so that those stay where they are; more are joined by sorting, as the size of files says little about what their rows take."""
     done = materialised(df)
     return F.broadcast(done) if done.count() <= FEW_ROWS else done.hint("merge")
+
+
+def spread(df: DataFrame, by: str = "pos") -> DataFrame:
+    """df dealt out anew by a column whose values differ, to TASKS_A_CORE tasks, for steps that cost much a row. A file's row group is read by one task, however many rows it has and however many cores wait."""
+    return df.repartition(TASKS_A_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism), by)
