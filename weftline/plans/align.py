@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline import runtime
 from weftline.functions.answers import canonical_predicate, letter_choice, loose_letter, strict_letter
 from weftline.functions.ids import triplet_id
 from weftline.functions.text import ALREADY_CANONICAL, cache_key, choice_prompt_of, choices_text, definition_prompt, none_letter
@@ -82,8 +83,14 @@ def aligned(
         # What belongs to a predicate is made beside the rows, which are then read and dealt once.
         side = beside(for_distinct(_definitions(asked, define, cache), "predicate_definition", candidates).withColumnRenamed("predicate", "__predicate"))
         found = spread(asked).join(side, asked["predicate"].eqNullSafe(side["__predicate"])).drop("__predicate")
+        if side.count() <= runtime.FEW_ROWS:  # a broadcast table is joined again after the calls, which then hand little back; with a sorted one that would cost more than it saves
+            found = found.drop("definition_call", "top_candidates")
     prompted = found.withColumn("__prompt", choice_prompt_of(*fields, F.col("predicate_definition"), F.col("__lines"), F.col("__none"))).drop("__lines", "__none")
-    answered = completed(prompted, "__prompt", choose, 10, "choice_call", kept=False).withColumn("__names", F.col("top_candidates")["relation"])
+    answered = completed(prompted, "__prompt", choose, 10, "choice_call", kept=False)
+    if "top_candidates" not in answered.columns:
+        later = side.select(F.col("__predicate"), "definition_call", "top_candidates")
+        answered = answered.join(later, answered["predicate"].eqNullSafe(later["__predicate"])).drop("__predicate")
+    answered = answered.withColumn("__names", F.col("top_candidates")["relation"])
     letter = (strict_letter if mode == "final" else loose_letter)(F.col("choice_call.text"), F.size("__names"))
     done = answered.withColumn("__letter", letter).withColumn("__chosen", letter_choice(F.col("__letter"), F.col("__names")))
     if finished is None:  # the ids are nothing that a step needs: last, so that who does not read them does not pay for them
